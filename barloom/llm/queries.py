@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, line_dedup, omh, pieces, toxicity
+from . import decontam, html_text, langid, licences, line_dedup, neighbours, omh, pieces, shards, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(read(spark, sf_dir, "documents"))
 
@@ -31,11 +35,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
     return got.select("doc_id", "n_tokens", F.xxhash64("tokens").alias("token_hash"), "lossless")
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,9 +56,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_html_text": op3_html_text,
+    "op4_licence_scan": op4_licence_scan,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_training_order": op9_training_order,
     "op10_toxicity": op10_toxicity,
 }
 
