@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 _shipped: set[str] = set()
 
@@ -30,3 +31,8 @@ def ship_package(spark: SparkSession) -> None:
         f.write(held.getvalue())
     sc.addPyFile(path)  # the driver serves it; workers don't read this path
     _shipped.add(sc.applicationId)
+
+
+def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
+    """A new schema with more fields; ``StructType.add`` would change the one a DataFrame holds."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in kinds.items())).fields])
