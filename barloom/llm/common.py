@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, with_fields
+
+
+__all__ = ["crc_mod", "cut", "read", "shared_dir", "text_key", "with_fields"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,16 +43,3 @@ def text_key(column: str = "text") -> list[Column]:
     """128 bits that stand for a whole text in joins and groups; null and the empty text differ."""
     t = F.col(column)
     return [F.xxhash64(t, F.lit(0)).alias("k1"), F.xxhash64(F.lit(1), t, F.length(t)).alias("k2")]
-
-
-def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
-    """A new schema with more fields; ``StructType.add`` would change the one a DataFrame holds."""
-    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items())).fields])
-
-
-def local_path(uri: str) -> str:
-    return uri[len("file://"):] if uri.startswith("file://") else uri
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
