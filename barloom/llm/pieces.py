@@ -31,7 +31,6 @@ SEED = 20240917
 CACHE = 150_000
 _SPACE = 0x2581
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,23 +67,12 @@ class Sampler:
         self.log_w[ids] = -alpha * np.log(1.0 + np.array([rank[i] for i in ids.tolist()]))
         self.log_byte = -alpha * np.log(1.0 + len(words))
         keys = np.array([self._hash_one(p) for _, p, _ in words], np.uint64)
-        self.tables = []
-        left = np.arange(len(ids))
-        for level in range(8):  # what collides in one table goes to the next
-            if not len(left):
-                break
-            at = self._slot(keys[left], level)
-            _, first = np.unique(at, return_index=True)
-            key, piece = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
-            key[at[first]], piece[at[first]] = keys[left[first]], ids[left[first]]
-            self.tables.append((key, piece))
-            left = np.delete(left, first)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(keys >> np.uint64(44)).astype(np.int64)] = True
         self._forget()
 
-    @staticmethod
-    def _slot(h: np.ndarray, level: int) -> np.ndarray:
-        return ((h * (_ODD + np.uint64(2 * level))) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-
     @staticmethod
     def _hash_one(p: str) -> int:
         h = np.zeros(1, np.uint64)
@@ -93,71 +81,78 @@ class Sampler:
         return int(h[0])
 
     def _forget(self) -> None:
-        """Place 0 of each chunk holds nothing; the tables of the other places are found at starts + place."""
+        """A chunk's places are start .. start + length - 1, each the end of one character; ``row`` gives a place its number among ``first``,
+        and first[row] .. first[row + 1] - 1 are the pieces that end there, the longest first."""
         self.at: dict[str, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.cum = np.zeros((0, self.longest), np.float32)
-        self.piece = np.zeros((0, self.longest), np.int32)
+        self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.row, self.first = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.cum, self.piece, self.size = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _learn(self, chunks: list[str]) -> None:
         """Forward filtering of new chunks, place by place for all of them at once. A chunk is written without its first space."""
-        base, n0 = len(self.cum), len(self.start)
         lens = np.array([len(c) + 1 for c in chunks])
         ends = np.cumsum(lens)
         starts = ends - lens
-        flat = np.full(int(ends[-1]), _SPACE, np.int64)
+        n = int(ends[-1])
+        flat = np.full(n, _SPACE, np.int64)
         text = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        inner = np.ones(len(flat), bool)
+        inner = np.ones(n, bool)
         inner[starts] = False
         flat[inner] = np.where(text == 32, _SPACE, np.where(text == _SPACE, 0x7FFFFFFF, text))
-        place = np.arange(len(flat)) - np.repeat(starts, lens)
-        n, longest = len(flat), self.longest
-        piece = np.full((n, longest), -1, np.int32)
-        h = np.zeros(n, np.uint64)
-        live = np.arange(n)
-        for size in range(1, longest + 1):
-            live = live[place[live] >= size - 1]
-            if not len(live):
-                break
-            h[live] = _mix(h[live] + (flat[live - size + 1] + 1).astype(np.uint64))
-            left, x = live, h[live]
-            for level, (key, ids) in enumerate(self.tables):
-                s = self._slot(x, level)
-                hit = (key[s] == x) & (ids[s] >= 0)
-                piece[left[hit], size - 1] = ids[s[hit]]
-                if level == 0:
-                    left, x = left[~hit], x[~hit]
-        none = piece[:, 0] < 0
-        weight = np.where(piece >= 0, self.log_w[np.maximum(piece, 0)], -np.inf)
-        raw = flat[none]
-        raw = np.where(raw == 0x7FFFFFFF, _SPACE, raw)
-        weight[none, 0] = self.log_byte * (1 + (raw > 0x7F) + (raw > 0x7FF) + (raw > 0xFFFF))
-        piece[none, 0] = -2 - raw
-        total = np.zeros(n + 1)
-        # total[i + 1] belongs to the place after character i; a chunk's own start counts as 0
-        share = np.full((n, longest), -np.inf)
-        order = np.argsort(-lens, kind="stable")
-        by_len = lens[order]
-        for t in range(int(lens.max())):
-            k = int(np.searchsorted(-by_len, -t, side="left"))
-            e = starts[order[:k]] + t
-            m = min(t + 1, longest)
-            prev = np.zeros((k, m))
-            for size in range(1, m + 1):
-                if size <= t:
-                    prev[:, size - 1] = total[e - size + 1]
-            sums = prev + weight[e, :m]
-            top = sums.max(axis=1)
-            total[e + 1] = top + np.log(np.exp(sums - top[:, None]).sum(axis=1))
-            share[e, :m] = sums - total[e + 1][:, None]
-        cum = np.cumsum(np.exp(share), axis=1)
-        cum /= cum[:, -1:]
-        last = longest - 1 - np.argmax(piece[:, ::-1] != -1, axis=1)
-        cum[np.arange(longest) >= last[:, None]] = 2.0
+        place = np.arange(n) - np.repeat(starts, lens)
+        # the pieces that end at each place
+        h, live, found = np.zeros(n, np.uint64), np.arange(n), []
+        plus = (flat + 1).astype(np.uint64)
+        for size in range(1, self.longest + 1):
+            if size > 1:
+                stay = place[live] >= size - 1
+                live, h = live[stay], h[stay]
+                if not len(live):
+                    break
+            h = _mix(h + plus[live - size + 1])
+            may = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.keys, h[may]), len(self.keys) - 1)
+            hit = self.keys[k] == h[may]
+            ids = self.ids[k[hit]]
+            found.append((live[may[hit]], np.full(len(ids), size), ids, self.log_w[ids]))
+        none = np.ones(n, bool)
+        none[found[0][0]] = False
+        none = np.flatnonzero(none)
+        raw = np.where(flat[none] == 0x7FFFFFFF, _SPACE, flat[none])
+        spelled = np.where(raw < 0x80, np.array(self.byte_id)[np.minimum(raw, 0x7F)], -2 - raw)
+        found.insert(0, (none, np.ones(len(none), np.int64), spelled, self.log_byte * (1 + (raw > 0x7F) + (raw > 0x7FF) + (raw > 0xFFFF))))
+        end, size, piece, weight = (np.concatenate(x) for x in zip(*found[::-1]))
+        # rows: the places by their number in the chunk, then by chunk
+        by_place = np.argsort(place, kind="stable")
+        row = np.empty(n, np.int64)
+        row[by_place] = np.arange(n)
+        order = np.argsort(row[end], kind="stable")
+        end, size, piece, weight = end[order], size[order], piece[order], weight[order]
+        counts = np.bincount(row[end], minlength=n)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        steps = np.concatenate(([0], np.cumsum(np.bincount(place))))
+        total, share = np.zeros(n + 1), np.empty(len(end))
+        for t in range(len(steps) - 1):
+            lo, hi = steps[t], steps[t + 1]
+            a, b = first[lo], first[hi]
+            sums = np.where(size[a:b] == t + 1, 0.0, total[end[a:b] + 1 - size[a:b]]) + weight[a:b]
+            at = first[lo:hi] - a
+            top = np.maximum.reduceat(sums, at)
+            x = np.exp(sums - np.repeat(top, counts[lo:hi]))
+            whole = np.add.reduceat(x, at)
+            total[by_place[lo:hi] + 1] = top + np.log(whole)
+            share[a:b] = x / np.repeat(whole, counts[lo:hi])
+        cum = np.cumsum(share)
+        cum -= np.repeat(np.concatenate(([0.0], cum))[first[:-1]], counts)
+        cum[first[1:] - 1] = 2.0
+        entries, rows, n0 = len(self.cum), len(self.first), len(self.start)
+        self.start = np.concatenate((self.start, (starts + len(self.row)).astype(np.int32)))
+        self.length = np.concatenate((self.length, lens.astype(np.int32)))
+        self.row = np.concatenate((self.row, (row + rows).astype(np.int32)))
+        self.first = np.concatenate((self.first, (first[:-1] + entries).astype(np.int32)))
         self.cum = np.concatenate((self.cum, cum.astype(np.float32)))
-        self.piece = np.concatenate((self.piece, piece))
-        self.start = np.concatenate((self.start, starts + base))
-        self.length = np.concatenate((self.length, lens))
+        self.piece = np.concatenate((self.piece, piece.astype(np.int32)))
+        self.size = np.concatenate((self.size, size.astype(np.int32)))
         self.at.update(zip(chunks, range(n0, n0 + len(chunks))))
 
     @staticmethod
@@ -219,13 +214,18 @@ class Sampler:
         live, steps = np.arange(len(ids)), []
         count = np.zeros(len(ids), np.int64)
         while len(live):
-            row = start[live] + place[live] - 1
-            u = (_mix(seed[live] + place[live].astype(np.uint64)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-            k = (self.cum[row] <= u[:, None]).sum(axis=1)
-            steps.append((live, self.piece[row, k]))
+            spot = place[live]
+            k = self.first[self.row[start[live] + spot - 1]]
+            u = (_mix(seed[live] + spot.astype(np.uint64)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+            on = np.flatnonzero(self.cum[k] <= u)
+            while len(on):
+                k[on] += 1
+                on = on[self.cum[k[on]] <= u[on]]
+            steps.append((live, self.piece[k]))
             count[live] += 1
-            place[live] -= k + 1
-            live = live[place[live] > 0]
+            spot = spot - self.size[k]
+            place[live] = spot
+            live = live[spot > 0]
         end = np.cumsum(count)
         tokens = np.empty(int(end[-1]), np.int64)
         for s, (who, what) in enumerate(steps):
@@ -251,13 +251,20 @@ class Sampler:
         return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
+_made: dict[tuple[int, float, int], Sampler] = {}
+
+
 def _workers(docs: DataFrame, model: str, alpha: float, seed: int):
     """A function that gives a worker its sampler; the model file's bytes (some MB at most) are read on the driver and broadcast."""
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def sampler() -> Sampler:
-        return Sampler(shared.value, alpha, seed)
+        k = (xxhash.xxh64_intdigest(shared.value), alpha, seed)
+        if k not in _made:  # it and the chunks it keeps serve all tasks of the worker
+            _made.clear()
+            _made[k] = Sampler(shared.value, alpha, seed)
+        return _made[k]
 
     return sampler
 
