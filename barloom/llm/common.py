@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package, with_fields
 
 
-__all__ = ["crc_mod", "cut", "read", "shared_dir", "text_key", "with_fields"]
+__all__ = ["Tables", "claim", "crc_mod", "cut", "own_prefix", "read", "shared_dir", "text_key", "with_fields"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,12 +32,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has, for columns of one's own."""
+    p = "_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage: a lost executor costs a re-read, not a recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Compressed tables in the shared folder that live as long as a with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.home = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again."""
+        self.n += 1
+        df.write.parquet(f"{self.home}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.home}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.home)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_held: tuple[str, Callable[[], None]] | None = None
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """A worker serves one operator after another; what an operator keeps between tasks (``clear`` empties it) goes when the next one begins."""
+    global _held
+    if _held and _held[0] != owner:
+        _held[1]()
+        gc.collect()
+    _held = (owner, clear)
+
+
 def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 

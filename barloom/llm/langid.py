@@ -72,14 +72,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_profiles(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles of the labelled languages, learned from ``text`` and ``lang``.
 
-    Fitted on about ``sample`` rows of each language, chosen by a hash of the text; smaller languages are taken whole.
+    Fitted on about ``sample`` rows of each language, chosen by a hash of doc_id and text (copies of one text are not chosen together); smaller languages are taken whole.
     What comes to the driver is ``profile`` codes for each language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    taken = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
     counts = cut(taken.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     best = None
     for lang in sorted(sizes):
@@ -144,4 +144,11 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents without those that have no identifiable language; the columns stay as they were."""
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    return identify(docs, fit_profiles(docs.where(~held))).where(F.col("lang_pred") != "und").drop("lang_pred", "lang_score")
+    shared = docs.sparkSession.sparkContext.broadcast(RankModel(fit_profiles(docs.where(~held))))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([shared.value.predict(t)[0] != "und" for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, own_prefix, text_key
 
 SPAN = 3
 
@@ -46,27 +46,35 @@ def covered(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "k1", "k2").agg(lines.alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, and ``n_lines``, ``n_removed``."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = covered(docs).withColumnsRenamed({"doc_id": "_d", "k1": "_k1", "k2": "_k2", "gone": "_gone"})
-    keyed = docs.select(*own, *[k.alias(f"_{n}") for k, n in zip(text_key(), ("h1", "h2"))])
-    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    clean = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+def _cleaned(docs: DataFrame, p: str) -> DataFrame:
+    """All columns of ``docs`` with ``text`` cleaned, and {p}lines, {p}removed: how many lines there were, and how many went."""
+    gone = covered(docs).select(*[F.col(c).alias(f"{p}{c}") for c in ("doc_id", "k1", "k2", "gone")])
+    keyed = docs.select(*[F.col(c) for c in docs.columns], *[k.alias(f"{p}{n}") for k, n in zip(text_key(), ("h1", "h2"))])
+    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{p}doc_id")) & (F.col(f"{p}h1") == F.col(f"{p}k1")) & (F.col(f"{p}h2") == F.col(f"{p}k2")), "left")
+    lines, out = F.split("text", "\n", -1), F.col(f"{p}gone")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out), lambda i: F.get(lines, i))
+    clean = F.when(out.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return both.select(
-        *[clean.alias(c) if c == "text" else F.col(c) for c in own],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("int").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("int").alias("n_removed"),
+        *[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("int").alias(f"{p}lines"),
+        F.coalesce(F.size(out), F.lit(0)).cast("int").alias(f"{p}removed"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with ``text`` cleaned, and ``n_lines``, ``n_removed`` (which replace columns of these names)."""
+    p = own_prefix(docs)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _cleaned(docs, p).select(*own, F.col(f"{p}lines").alias("n_lines"), F.col(f"{p}removed").alias("n_removed"))
+
+
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``: texts without repeated windows, n_chars renewed where lines went; a document all of whose lines are later occurrences goes."""
-    out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    p = own_prefix(docs)
+    went = F.col(f"{p}removed")
+    out = _cleaned(docs, p).where((went == 0) | (went < F.col(f"{p}lines")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(went > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
