@@ -1,16 +1,17 @@
 """Training-order materialisation of token ids as binary shards.
 
 Texts become byte-pair token ids and are packed, each followed by an end mark, into sequences of ``LENGTH`` tokens, input partition by
-input partition; only the last sequence of a partition is padded. With N sequences in all, a keyed Feistel network over the
-next even number of bits, walked until it falls below N, permutes 0 .. N - 1: sequence i gets the global slot permute(i), its place
-in training order. Sequences are dealt to shards by ranges of slots, sorted, and written with a fixed stride, so slot s stands in shard s // PER_SHARD at byte
-(s % PER_SHARD) * stride: a reader goes through them in order and resumes at any slot by arithmetic.
+input partition; only the last sequence of a partition is padded. A text has no more tokens than bytes, so sizes alone give each input partition a range of
+numbers for its sequences, with some left over. A keyed Feistel network over the next even number of bits, walked until it falls below the end M of all
+ranges, permutes 0 .. M - 1: sequence i gets the place permute(i). Places are dealt to shards by ranges, sorted, and written with a fixed
+stride. Places that no sequence has are closed up: a sequence's global slot is its rank, the first slot of its shard and its number there, so slot s stands at byte
+(s - first) * stride: a reader goes through the slots in order and resumes at any of them by arithmetic.
 
-Tokens are counted in a first pass and made again in a second; nothing but the sequences themselves is shuffled, once. What the driver holds is a number for
-each input partition. A shard is written under a name of its own and renamed, so a task that runs again, or twice, leaves one whole file.
+Texts are tokenised once and nothing but the sequences is shuffled, once. What the driver holds is a number for each input partition and each
+shard. A shard is written under a name of its own and renamed, so a task that runs again, or twice, leaves one whole file.
 
 Defined results: a null text gives no tokens and no end mark, an empty one its end mark. Rows of equal doc_id follow each other like any others. Extra columns are ignored. An empty table
-gives no shard. The permutation depends on the key and N only; which tokens a sequence holds depends on how the input is cut into partitions.
+gives no shard. The permutation depends on the key and M only; which tokens a sequence holds depends on how the input is cut into partitions.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import claim, shared_dir
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -36,10 +38,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = 50_256
 PAD = 65_535
 LENGTH = 1_024
+#: sequences of a shard, about, for texts of two and a half bytes a token
 PER_SHARD = 4_096
 KEY = 20240917
 ROUNDS = 6
-CACHE = 400_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,30 +84,16 @@ class Permutation:
 
 
 class Tokens:
-    """Token ids of texts as bytes of 16-bit numbers. Words after a space are encoded once and kept."""
+    """Token ids of texts as bytes of 16-bit numbers."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.kept: dict[str, bytes] = {}
-
-    def _make(self, word: str) -> bytes:
-        if len(self.kept) >= CACHE:
-            self.kept.clear()
-        x = self.kept[word] = np.array(self.bpe.encode_ordinary(" " + word), np.uint16).tobytes()
-        return x
 
     def encode(self, text: str) -> bytes:
-        """No pre-token goes on past a space that follows a character other than a space, so words are encoded apart; texts with runs of spaces are encoded whole."""
-        if not text:
-            return b""
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return np.array(self.bpe.encode_ordinary(text), np.uint16).tobytes()
-        first, *words = text.split(" ")
-        get, make = self.kept.get, self._make
-        return np.array(self.bpe.encode_ordinary(first), np.uint16).tobytes() + b"".join([get(w) or make(w) for w in words])
+        return np.array(self.bpe.encode_ordinary(text), np.uint16).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return self.bpe.decode(ids.tolist())
@@ -115,7 +103,8 @@ _made: dict[int, Tokens] = {}
 
 
 def tokens_of(ranks: bytes) -> Tokens:
-    """The worker's tokenizer for these ranks; it and the words it keeps serve all tasks of the worker."""
+    """The worker's tokenizer for these ranks; it serves all tasks of the worker."""
+    claim("shards", _made.clear)
     k = xxhash.xxh64_intdigest(ranks)
     if k not in _made:
         _made.clear()
@@ -145,76 +134,78 @@ def _packed(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[tuple
 
 
 def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY) -> tuple[DataFrame, int]:
-    """(slot, doc_ids, n_tokens, tokens) of all sequences, unsorted, and their number."""
+    """(place, doc_ids, n_tokens, tokens) of all sequences, unsorted, and the number of places."""
     with open(ranks, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select("doc_id", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, size = tokens_of(shared.value), 0
-        for b in batches:
-            size += sum(len(t.encode(x)) + 2 for x in b.column(1).to_pylist() if x is not None)
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-size // (2 * LENGTH))], pa.int64())], ["part", "n"])
-
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part int, n long").collect()}
-    base, n = {}, 0
-    for part in sorted(counts):
-        base[part] = n
-        n += counts[part]
+    sizes = rows.where("text is not null").groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text") + F.lit(1).cast("long")).alias("n")).collect()
+    most = {r["part"]: -(-r["n"] // LENGTH) for r in sizes}
+    base, places = {}, 0
+    for part in sorted(most):
+        base[part] = places
+        places += most[part]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        order, t, done, held = Permutation(n, key), tokens_of(shared.value), 0, []
+        order, t, done, held = Permutation(places, key), tokens_of(shared.value), 0, []
 
         def flush() -> pa.RecordBatch:
-            slots = order.slot(np.arange(base[part] + done - len(held), base[part] + done))
-            return pa.record_batch([pa.array(slots), pa.array([x[0] for x in held], pa.list_(pa.int64())), pa.array([len(x[1]) // 2 for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], ["slot", "doc_ids", "n_tokens", "tokens"])
+            at = order.slot(np.arange(base[part] + done - len(held), base[part] + done))
+            return pa.record_batch([pa.array(at), pa.array([x[0] for x in held], pa.list_(pa.int64())), pa.array([len(x[1]) // 2 for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], ["place", "doc_ids", "n_tokens", "tokens"])
 
         for x in _packed(batches, t):
             held.append(x)
             done += 1
+            if done > most.get(part, 0):
+                raise RuntimeError(f"partition {part} has more sequences than its size allows; its input changed between the passes")
             if len(held) == 512:
                 yield flush()
                 held = []
         if held:
             yield flush()
-        if done != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} has {done} sequences; {counts.get(part, 0)} were counted. Its input changed between the passes")
 
-    return rows.mapInArrow(make, "slot long, doc_ids array<long>, n_tokens int, tokens binary"), n
+    return rows.mapInArrow(make, "place long, doc_ids array<long>, n_tokens int, tokens binary"), places
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def write_shards(docs: DataFrame, out: str, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write all sequences of ``docs`` as ``out``/shard-NNNNNNNN.bin, and meta.json; gives slot, doc_ids, n_tokens of what was written, sorted within shards."""
-    got, n = sequences(docs, ranks, key)
-    shards = max(1, -(-n // per_shard))
+def write_shards(docs: DataFrame, out: str, manifest: str, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
+    """Write all sequences of ``docs`` as ``out``/shard-NNNNNNNN.bin, and meta.json; gives slot, doc_ids, n_tokens of what was written, kept as Parquet in ``manifest``."""
+    spark = docs.sparkSession
+    got, places = sequences(docs, ranks, key)
+    shards = max(1, -(-places * 2 // (5 * per_shard)))
     fs, top = _open(out)
     fs.create_dir(top, recursive=True)
-    with fs.open_output_stream(f"{top}/meta.json") as f:
-        f.write(json.dumps({"sequences": n, "length": LENGTH, "per_shard": per_shard, "stride": 2 * LENGTH, "shards": shards if n else 0, "end": END, "pad": PAD, "key": key}).encode())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(out)
-        f, tmp, shard = None, "", -1
+        f, tmp, shard, n = None, "", TaskContext.get().partitionId(), 0
         for b in batches:
-            slots = b.column(0).to_pylist()
-            if f is None and slots:
-                shard = slots[0] // per_shard
+            if f is None and b.num_rows:
                 tmp = f"{top}/_{shard:08d}-{uuid.uuid4().hex}"
                 f = fs.open_output_stream(tmp)
             for x in b.column(3).to_pylist():
                 f.write(x if len(x) == 2 * LENGTH else x + np.uint16(PAD).tobytes() * (LENGTH - len(x) // 2))
-            yield b.select(["slot", "doc_ids", "n_tokens"])
+            yield pa.record_batch([pa.array([shard] * b.num_rows, pa.int32()), pa.array(range(n, n + b.num_rows), pa.int64()), b.column(1), b.column(2)], ["shard", "rank", "doc_ids", "n_tokens"])
+            n += b.num_rows
         if f is not None:
             f.close()
             fs.move(tmp, f"{top}/shard-{shard:08d}.bin")
 
-    dealt = got.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, "slot long, doc_ids array<long>, n_tokens int")
+    at = F.floor(F.col("place") * F.lit(shards).cast("decimal(20,0)") / F.lit(max(places, 1))).cast("int")
+    dealt = got.repartitionById(shards, at).sortWithinPartitions("place")
+    dealt.mapInArrow(write, "shard int, rank long, doc_ids array<long>, n_tokens int").write.parquet(manifest)
+    wrote = spark.read.schema("shard int, rank long, doc_ids array<long>, n_tokens int").parquet(manifest)
+    counts = {r["shard"]: r["n"] for r in wrote.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    first = [0]
+    for k in range(shards):
+        first.append(first[-1] + counts.get(k, 0))
+    with fs.open_output_stream(f"{top}/meta.json") as f:
+        f.write(json.dumps({"sequences": first[-1], "length": LENGTH, "stride": 2 * LENGTH, "first": first, "end": END, "pad": PAD, "key": key}).encode())
+    starts = spark.createDataFrame(list(enumerate(first[:-1])), "shard int, start long")
+    return wrote.join(F.broadcast(starts), "shard").select((F.col("start") + F.col("rank")).alias("slot"), "doc_ids", "n_tokens")  # starts: two numbers for each shard
 
 
 def read_from(out: str, slot: int, count: int) -> Iterator[np.ndarray]:
@@ -222,12 +213,12 @@ def read_from(out: str, slot: int, count: int) -> Iterator[np.ndarray]:
     fs, top = _open(out)
     with fs.open_input_stream(f"{top}/meta.json") as f:
         meta = json.loads(f.read())
-    stride, stop = meta["stride"], min(slot + count, meta["sequences"])
+    stride, first, stop = meta["stride"], meta["first"], min(slot + count, meta["sequences"])
     while slot < stop:
-        shard, first = divmod(slot, meta["per_shard"])
+        shard = bisect_right(first, slot) - 1
         with fs.open_input_file(f"{top}/shard-{shard:08d}.bin") as f:
-            f.seek(first * stride)
-            for _ in range(min(stop, (shard + 1) * meta["per_shard"]) - slot):
+            f.seek((slot - first[shard]) * stride)
+            for _ in range(min(stop, first[shard + 1]) - slot):
                 x = np.frombuffer(f.read(stride), np.uint16)
                 yield x[x != PAD]
                 slot += 1
@@ -242,17 +233,17 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column(0).to_pylist():
-                at = shard * meta["per_shard"]
-                got = [(len(x), xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63)) for x in read_from(out, at, meta["per_shard"])]
+                at, end = meta["first"][shard : shard + 2]
+                got = [(len(x), xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63)) for x in read_from(out, at, end - at)]
                 yield pa.record_batch([pa.array(range(at, at + len(got)), pa.int64()), pa.array([shard] * len(got), pa.int32()), pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.int64())], ["slot", "shard", "n_tokens", "token_hash"])
 
-    shards = spark.range(meta["shards"], numPartitions=max(1, min(meta["shards"], 100_000)))
-    return shards.mapInArrow(run, "slot long, shard int, n_tokens int, token_hash long")
+    n = len(meta["first"]) - 1
+    return spark.range(0, n, 1, max(1, min(n, 100_000))).mapInArrow(run, "slot long, shard int, n_tokens int, token_hash long")
 
 
 def materialise(docs: DataFrame) -> DataFrame:
     """slot, shard, n_tokens, token_hash, doc_ids of each record: written to the shared folder, and read back from the shards."""
     spark = docs.sparkSession
     home = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    write_shards(docs, f"{home}/shards").select("slot", "doc_ids").write.parquet(f"{home}/manifest")
-    return read_shards(spark, f"{home}/shards").join(spark.read.parquet(f"{home}/manifest"), "slot", "left")
+    wrote = write_shards(docs, f"{home}/shards", f"{home}/manifest")
+    return read_shards(spark, f"{home}/shards").join(wrote.select("slot", "doc_ids"), "slot", "left")
