@@ -219,3 +219,31 @@ s AS (SELECT split, formula, sum(CASE WHEN block IN (a, b, d) THEN metric ELSE 0
 r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY tr DESC, formula) AS a, row_number() OVER (PARTITION BY split ORDER BY te DESC, formula) AS t, count(*) OVER (PARTITION BY split) AS n FROM s)
 SELECT CAST(split AS INTEGER) AS split, formula, round(tr, 4) AS train_metric, round(te, 4) AS test_metric, CAST(t AS INTEGER) AS test_rank, ln(greatest(1e-9, least(1 - 1e-9, (n - t + 1) / n)) / (1 - greatest(1e-9, least(1 - 1e-9, (n - t + 1) / n)))) <= 0 AS overfit FROM r WHERE a = 1""")
 put("v10_stress", lambda s, d: _round(selection.stress(slice_frame(s, d), FORMULAS, "t", 0.01, True, Sizing(), 0.02), 6), None)
+
+
+def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth-3 combinations without a pair of fewer than 100 gated rows."""
+    import itertools
+
+    pairs = combine.evaluate_pairs(slice_frame(spark, sf_dir), PREDICATES, combine.trade_columns("t"))
+    combos = spark.createDataFrame([(i, list(x)) for i, x in enumerate(itertools.combinations(sorted(FLAGS), 3))], "combo_id long, names array<string>")
+    return combine.without_dead(combos, combine.dead_pairs(pairs, 100)).select(F.array_join("names", " && ").alias("combination"))
+
+
+_FLAG_TABLE = "(VALUES " + ", ".join(f"('{k}')" for k in sorted(FLAGS)) + ") AS t(n)"
+put("n09_subset_prune", _dead, f"""WITH {_SLICE}, pr AS (SELECT * FROM ({_PAIRS}) WHERE gated < 100 AND mask_hits > 0), f AS (SELECT n FROM {_FLAG_TABLE}),
+c AS (SELECT a.n AS a, b.n AS b, d.n AS d FROM f a JOIN f b ON a.n < b.n JOIN f d ON b.n < d.n)
+SELECT a || ' && ' || b || ' && ' || d AS combination FROM c WHERE NOT EXISTS (SELECT 1 FROM pr WHERE (name_a, name_b) IN ((a, b), (a, d), (b, d)))""")
+put("a18_sample_quality", lambda s, d: depth_one(s, d).select("combination", F.when(c("trades") >= 100, "excellent").when(c("trades") >= 50, "good").when(c("trades") >= 30, "fair").otherwise("poor").alias("quality")),
+    f"WITH {_SLICE} SELECT combination, CASE WHEN trades >= 100 THEN 'excellent' WHEN trades >= 50 THEN 'good' WHEN trades >= 30 THEN 'fair' ELSE 'poor' END AS quality FROM ({_ONE})")
+put("a15_percentiles", lambda s, d: _spread(s, d), f"""WITH {_SLICE}, s AS (SELECT array_agg(rr ORDER BY rr) AS r FROM y WHERE rr IS NOT NULL)
+SELECT CAST(len(r) AS BIGINT) AS n, round(list_median(r), 4) AS median_rr, round(r[CAST(floor((len(r) - 1) * 0.05 + 0.5) AS INTEGER) + 1], 4) AS p05_rr, round(r[CAST(floor((len(r) - 1) * 0.95 + 0.5) AS INTEGER) + 1], 4) AS p95_rr FROM s""")
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, median and next-element percentiles of all returns."""
+    from ..operators.metrics import spread
+
+    rr = [r[0] for r in slice_frame(spark, sf_dir).where("not isnan(rr_t)").select("rr_t").collect()]  # trades of one formula
+    m, a, b = spread(__import__("numpy").array(rr))
+    return _round(spark.createDataFrame([(len(rr), m, a, b)], "n long, median_rr double, p05_rr double, p95_rr double"))
