@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import yes
 from ..session import ship_package
 from .catalog import Predicate
-from .metrics import Sizing, core_metrics
+from .metrics import Sizing, capital_path, core_rows
 
 #: bytes of masks and trade columns that are broadcast at most; beyond, evaluate series apart
 MOST_BYTES = 1 << 30
@@ -145,31 +145,52 @@ def allowed(combos: np.ndarray, setup: Setup) -> np.ndarray:
     return ok
 
 
-def select_trades(hits: np.ndarray, exits: np.ndarray, stacking: bool) -> np.ndarray:
-    """The hits that become trades: all when stacking, else in order those that begin at or after the last one's exit bar."""
-    if stacking or not len(hits):
-        return hits
-    nxt = np.where((exits[hits] >= hits) & (exits[hits] >= 0), exits[hits], hits + 1)
-    out, k = [], 0
-    while k < len(hits):
-        out.append(k)
-        k = max(k + 1, int(np.searchsorted(hits, nxt[k])))
-    return hits[out]
-
-
-def score(setup: Setup, combo: np.ndarray, least: int, stacking: bool, sizing: Sizing) -> dict:
-    """Mask hits before the gate, and the metrics of the trades."""
-    words = setup.words[combo[0]]
-    for i in combo[1:]:
-        words = words & setup.words[i]
-    mask_hits = int(np.bitwise_count(words).sum())
-    if mask_hits < least:
-        return {"mask_hits": mask_hits, "trades": 0}
-    hits = np.flatnonzero(np.unpackbits(words.view(np.uint8), count=setup.bars, bitorder="little"))
-    hits = select_trades(hits[setup.gate[hits]], setup.exits, stacking)
-    if len(hits) < least:
-        return {"mask_hits": mask_hits, "trades": len(hits)}
-    return {"mask_hits": mask_hits, "trades": len(hits), "label_hits": int(setup.label[hits].sum()), **core_metrics(setup.reward[hits], sizing, setup.risk[hits])}
+def choose_trades(row: np.ndarray, hit: np.ndarray, rows: int, bars: int, exits: np.ndarray) -> np.ndarray:
+    """Which hits become trades when they may not overlap: in each row the first, then always the first at or after the last one's exit bar. All rows take their next trade at once."""
+    key = row * (bars + 1) + hit
+    at = np.searchsorted(key, np.arange(rows) * (bars + 1))
+    end = np.append(at[1:], len(key))
+    free = row * (bars + 1) + np.minimum(np.where(exits[hit] >= hit, exits[hit], hit + 1), bars)
+    chosen = np.zeros(len(key), bool)
+    live = np.flatnonzero(at < end)
+    cur, end = at[live], end[live]
+    while len(cur):
+        chosen[cur] = True
+        cur = np.maximum(cur + 1, np.searchsorted(key, free[cur]))
+        on = cur < end
+        cur, end = cur[on], end[on]
+    return chosen
+
+
+def score(setup: Setup, combos: np.ndarray, least: int, stacking: bool, sizing: Sizing) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which of the combinations have ``least`` trades, and their metrics: mask hits before the gate, and those of the trades."""
+    words = setup.words[combos[:, 0]]
+    for i in range(1, combos.shape[1]):
+        words &= setup.words[combos[:, i]]
+    mask_hits = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    words &= np.packbits(np.append(setup.gate, np.zeros(words.shape[1] * 64 - setup.bars, bool)), bitorder="little").view(np.uint64)
+    live = np.flatnonzero((mask_hits >= least) & (np.bitwise_count(words).sum(axis=1) >= max(least, 1)))
+    row, hit = np.nonzero(np.unpackbits(words[live].view(np.uint8), axis=1, count=setup.bars, bitorder="little"))
+    if not stacking and len(row):
+        took = choose_trades(row, hit, len(live), setup.bars, setup.exits)
+        row, hit = row[took], hit[took]
+    trades = np.bincount(row, minlength=len(live))
+    enough = trades >= max(least, 1)
+    keep = enough[row]
+    place = np.cumsum(enough) - 1
+    row, hit, live, trades = place[row[keep]], hit[keep], live[enough], trades[enough]
+    n = len(live)
+    first = np.cumsum(trades) - trades
+    rr = np.zeros((n, int(trades.max(initial=1))))
+    rr[row, np.arange(len(row)) - first[row]] = setup.reward[hit]
+    path = None
+    if sizing.contracts:
+        path = np.full((n, rr.shape[1] + 1), sizing.capital)
+        for i in range(n):
+            own = capital_path(rr[i, : trades[i]], sizing, setup.risk[hit[first[i] : first[i] + trades[i]]])
+            path[i, : len(own)], path[i, len(own) :] = own, own[-1]
+    out = {"mask_hits": mask_hits[live], "trades": trades, "label_hits": np.bincount(row, setup.label[hit], n).astype(np.int64), **core_rows(rr, trades, sizing, path)}
+    return live, out
 
 
 RESULT = "combo_id decimal(38,0), depth int, features array<int>, combination string, mask_hits long, trades long, wins long, losses long, label_hits long, win_rate double, total_return double, max_drawdown double, final_capital double, total_return_pct double, cagr_pct double, max_drawdown_pct_equity double, calmar_ratio double"
@@ -196,19 +217,25 @@ def evaluate(spark: SparkSession, setup: Setup, depth: int, least: int = 1, max_
 
         def run(batches: Iterator[pa.RecordBatch], k=k, low=low, base=base) -> Iterator[pa.RecordBatch]:
             s = shared.value
-            live = np.array([int(np.bitwise_count(w).sum()) >= least for w in s.words])
+            live = np.bitwise_count(s.words).sum(axis=1) >= least
+            rows = max(16, 8_000_000 // max(s.bars, 1))
             for b in batches:
-                local = b.column(0).to_numpy() + low
-                combos = unrank(local, len(s.names), k)
-                ok = allowed(combos, s) & live[combos].all(axis=1)
-                rows = []
-                for i, combo in zip(local[ok].tolist(), combos[ok]):
-                    r = score(s, combo, least, stacking, sizing)
-                    if r["trades"] >= least and r.get("max_drawdown", math.inf) <= max_drawdown:
-                        rows.append({"combo_id": decimal.Decimal(base + i), "depth": k, "features": combo.tolist(), "combination": " && ".join(s.names[x] for x in combo), **r})
-                cols = [[r.get(x) for r in rows] for x in names]
-                kinds = [pa.decimal128(38, 0), pa.int32(), pa.list_(pa.int32()), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 8]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                for at in range(0, b.num_rows, rows):
+                    local = b.column(0).slice(at, rows).to_numpy() + low
+                    combos = unrank(local, len(s.names), k)
+                    ok = allowed(combos, s) & live[combos].all(axis=1)
+                    local, combos = local[ok], combos[ok]
+                    if not len(local):
+                        continue
+                    who, m = score(s, combos, least, stacking, sizing)
+                    good = m["max_drawdown"] <= max_drawdown
+                    who, m = who[good], {x: v[good] for x, v in m.items()}
+                    m["combo_id"] = [decimal.Decimal(base + i) for i in local[who].tolist()]
+                    m["depth"] = np.full(len(who), k)
+                    m["features"] = combos[who].tolist()
+                    m["combination"] = [" && ".join(s.names[x] for x in c) for c in m["features"]]
+                    kinds = [pa.decimal128(38, 0), pa.int32(), pa.list_(pa.int32()), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 8]
+                    yield pa.record_batch([pa.array(m[c], t) for c, t in zip(names, kinds)], names)
 
         part = spark.range(0, high - low, 1, partitions or max(1, min(2 * spark.sparkContext.defaultParallelism, -(-(high - low) // 2_000)))).mapInArrow(run, RESULT)
         out = part if out is None else out.unionAll(part)

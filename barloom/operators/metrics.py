@@ -75,6 +75,27 @@ def core_metrics(rr: np.ndarray, s: Sizing, risk: np.ndarray | None = None) -> d
     return {"wins": wins, "losses": int((rr < 0).sum()), "win_rate": wins / n * 100.0 if n else 0.0, "total_return": float(np.cumsum(rr)[-1]) if n else 0.0, "max_drawdown": float(-r_drawdown(rr).min()) if n else 0.0, **_equity(capital_path(rr, s, risk), s)}
 
 
+def core_rows(rr: np.ndarray, trades: np.ndarray, s: Sizing, path: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """core_metrics of many sequences at once: a row each, filled up with zeros; ``path`` is their capital where it isn't the fractional one."""
+    n = len(rr)
+    eq = np.cumsum(rr, axis=1)
+    down = np.maximum(np.maximum.accumulate(eq, axis=1), 0.0) - eq
+    wins = (rr > 0).sum(axis=1)
+    out = {"wins": wins, "losses": (rr < 0).sum(axis=1), "win_rate": wins / np.maximum(trades, 1) * 100.0, "total_return": eq[:, -1] if n else np.zeros(0), "max_drawdown": down.max(axis=1, initial=0.0)}
+    if s.capital <= 0 or s.risk_pct <= 0:
+        return out | dict.fromkeys(("final_capital", "total_return_pct", "cagr_pct", "max_drawdown_pct_equity", "calmar_ratio"), np.zeros(n))
+    if path is None:
+        path = s.capital * np.cumprod(np.concatenate((np.ones((n, 1)), 1.0 + rr * s.risk_pct / 100.0), axis=1), axis=1)
+    peak = np.maximum.accumulate(path, axis=1)
+    worst = ((peak - path) / peak * 100.0).max(axis=1, initial=0.0)
+    growth = path[:, -1] / s.capital
+    gain, years = (growth - 1.0) * 100.0, max(s.years, 1e-9)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        cagr = np.where(np.isfinite(growth) & (growth > 0), (np.maximum(growth, 0.0) ** (1.0 / years) - 1.0) * 100.0, gain)
+        calmar = np.where(worst > 0, cagr / worst, np.where(cagr > 0, np.inf, 0.0))
+    return out | {"final_capital": path[:, -1], "total_return_pct": gain, "cagr_pct": cagr, "max_drawdown_pct_equity": worst, "calmar_ratio": calmar}
+
+
 def streaks(signs: np.ndarray, sign: int) -> np.ndarray:
     """Lengths of the runs of a sign; a 0 ends runs of both."""
     on = np.concatenate(([0], (signs == sign).astype(np.int8), [0]))

@@ -226,6 +226,12 @@ def test_metrics_by_hand():
     s = metrics.Sizing(capital=10_000, risk_pct=1, contracts=True, most=3, margin=4_000)
     assert metrics.capital_path(np.array([1.0, -1.0, 1.0]), s, np.array([20.0, np.nan, 50.0])).tolist() == [10_000, 10_040, 10_040, 10_140]
     assert metrics.core_metrics(np.empty(0), metrics.Sizing())["total_return"] == 0.0
+    rows = np.zeros((2, 7))
+    rows[0], rows[1, :3] = rr, [-1.0, 2.0, 0.5]
+    many = metrics.core_rows(rows, np.array([7, 3]), metrics.Sizing(years=2.0))
+    for i, x in enumerate((rr, rows[1, :3])):
+        for k, v in metrics.core_metrics(x, metrics.Sizing(years=2.0)).items():
+            assert abs(many[k][i] - v) < 1e-9, k
 
 
 def test_catalog_rules():
