@@ -56,13 +56,13 @@ def _out(df: DataFrame, v: Column, flag: bool) -> DataFrame:
     return df.select("series_id", "bar_idx", v.cast("int").alias("v") if flag else F.round(v.cast("double"), 4).alias("v"))
 
 
-def window_query(name: str, v: Column, sql: str, first: dict[str, tuple[Column, str]] | None = None, flag: bool = False) -> None:
-    """A window expression, after columns of a first layer; a flag is 0 or 1."""
+def window_query(name: str, v: Callable[[], Column], sql: str, first: dict[str, tuple[Callable[[], Column], str]] | None = None, flag: bool = False) -> None:
+    """A window expression, after columns of a first layer; a flag is 0 or 1. Columns come as functions: they need a session, the registry doesn't."""
     first = first or {}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = all_bars(spark, sf_dir)
-        return _out(df.withColumns({k: x for k, (x, _) in first.items()}) if first else df, v, flag)
+        return _out(df.withColumns({k: x() for k, (x, _) in first.items()}) if first else df, v(), flag)
 
     inner = f"SELECT *, {', '.join(f'{s} AS {k}' for k, (_, s) in first.items())} FROM b" if first else "SELECT * FROM b"
     put(name, run, f"WITH {BARS}, x AS ({inner}) SELECT series_id, bar_idx, {FLAG(sql) if flag else f'round(CAST({sql} AS DOUBLE), 4)'} AS v FROM x")
@@ -94,57 +94,57 @@ def low(x: str, n: int) -> str:
     return f"CASE WHEN count(*) {w(n)} = {n} THEN min({x}) {w(n)} END"
 
 
-GREEN = (S.yes(c("close") > c("open")), "close > open")
-RED = (S.yes(c("close") < c("open")), "close < open")
-BODY = (F.abs(c("close") - c("open")), "abs(close - open)")
-UPPER = (S.upper_wick(c("open"), c("high"), c("close")), "high - greatest(open, close)")
-LOWER = (S.lower_wick(c("open"), c("low"), c("close")), "least(open, close) - low")
-PREV = (W.lag(c("close")), LAG("close"))
-SMA20, SMA50 = (W.sma(c("close"), 20), sma("close", 20)), (W.sma(c("close"), 50), sma("close", 50))
-STD20 = (W.rolling_std(c("close"), 20), std("close", 20))
-
-window_query("k01_sma", W.sma(c("close"), 20), sma("close", 20))
-window_query("k06_rolling_std", W.rolling_std(c("close"), 20), std("close", 20))
-window_query("k07_rolling_min", W.rolling_min(c("low"), 14), low("low", 14))
-window_query("k08_rolling_cv", W.rolling_cv(c("close"), 20), f"CASE WHEN abs({sma('close', 20)}) < 2.3e-16 THEN 0 ELSE {std('close', 20)} / {sma('close', 20)} END")
-window_query("k09_rolling_bool_sum", W.rolling_true(c("g"), 3), f"CASE WHEN count(*) {w(3)} = 3 THEN sum(CAST(g AS INTEGER)) {w(3)} END", {"g": GREEN})
-window_query("k10_streak", W.streak(c("g"), 2), f"count(*) {w(2)} = 2 AND sum(CAST(g AS INTEGER)) {w(2)} = 2", {"g": GREEN}, True)
-window_query("k11_shift_bool", W.shifted(c("g")), f"lag(g, 1, false) {ALONG}", {"g": GREEN}, True)
-window_query("k12_momentum", W.momentum(c("close"), 14), f"CASE WHEN bar_idx < 14 THEN 0 ELSE close - {LAG('close', 14)} END")
-window_query("k13_roc", W.roc(c("close"), 5), f"CASE WHEN abs({LAG('close', 5)}) >= 2.3e-16 THEN close / {LAG('close', 5)} - 1 END")
-window_query("k14_derivative", W.momentum(c("close"), 1), f"CASE WHEN bar_idx < 1 THEN 0 ELSE close - {LAG('close')} END")
-window_query("k18_bollinger", W.bollinger(c("close"))[1], f"{sma('close', 20)} + 2 * {std('close', 20)}")
-window_query("k19_bollinger_position", S.bollinger_position(c("close"), c("m") - 2 * c("s"), c("m") + 2 * c("s")), "CASE WHEN abs(4 * s) < 2.3e-16 THEN 0.5 ELSE (close - (m - 2 * s)) / ((m + 2 * s) - (m - 2 * s)) END", {"m": SMA20, "s": STD20})
-window_query("k20_extension", W.extension(c("high"), c("low"), 20), f"coalesce(high - {low('low', 20)}, 0)")
-window_query("k22_percentile_rank", W.percentile_rank(c("close")), "(rank() OVER (PARTITION BY series_id ORDER BY close) + (count(*) OVER (PARTITION BY series_id, close) - 1) / 2.0) / count(*) OVER (PARTITION BY series_id)")
-window_query("k24_true_range", W.true_range(), f"CASE WHEN {LAG('close')} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {LAG('close')}), abs(low - {LAG('close')})) END")
-window_query("k27_squeeze", W.squeeze(c("close"), 50, 1.1), f"close < {low('close', 50)} * 1.1", None, True)
-window_query("k28_levels_long", S.stop_level(c("close"), c("low"), c("s"), True, "tight"), "CASE WHEN low < close AND close - s < close THEN greatest(low, close - s) WHEN low < close THEN low WHEN close - s < close THEN close - s END", {"s": STD20})
-window_query("k28_levels_short", S.stop_level(c("close"), c("high"), c("s"), False, "tight"), "CASE WHEN high > close AND close + s > close THEN least(high, close + s) WHEN high > close THEN high WHEN close + s > close THEN close + s END", {"s": STD20})
-window_query("f01_round", F.round(c("close") / 7, 3), "round(close / 7, 3)")
-window_query("f02_arithmetic", F.greatest(F.abs(c("close") - c("open")), c("high") - c("low")) + 1, "greatest(abs(close - open), high - low) + 1")
-window_query("f03_ratio", S.ratio(c("open"), c("close") - c("low")), "CASE WHEN abs(close - low) < 2.3e-16 THEN 0 ELSE open / (close - low) END")
-window_query("f03_deviation", S.deviation(c("close"), c("m")), "CASE WHEN abs(m) < 2.3e-16 THEN 0 ELSE close / m - 1 END", {"m": SMA20})
-window_query("f04_threshold", S.above(c("close"), 100.0), "close > 100", None, True)
-window_query("f05_threshold_compare", S.above(c("close"), c("m") * 1.2), "close > m * 1.2", {"m": SMA20}, True)
-window_query("f06_zscore", S.zscore_beyond(c("close"), c("m"), c("s"), 2.0), "CASE WHEN s = 0 THEN false ELSE abs((close - m) / s) > 2 END", {"m": SMA20, "s": STD20}, True)
-window_query("f07_derivative_threshold", S.above(W.momentum(c("close"), 1), 5.0), f"CASE WHEN bar_idx < 1 THEN 0 ELSE close - {LAG('close')} END > 5", None, True)
-window_query("f08_recovery", W.recovers(c("close"), 50.0), f"{LAG('close')} < 50 AND close > 50", None, True)
-window_query("f09_comparison", W.changes(c("high"), True, 3), f"high > {LAG('high', 3)}", None, True)
-window_query("f10_double_rising", W.double_rising(c("close")), f"close > {LAG('close')} AND {LAG('close')} > {LAG('close', 2)}", None, True)
-window_query("f11_acceleration", W.accelerates(c("d")), f"d > 0 AND d > {LAG('d')}", {"d": (W.momentum(c("close"), 1), f"CASE WHEN bar_idx < 1 THEN 0 ELSE close - {LAG('close')} END")}, True)
-window_query("f12_compare_series", S.clearly_above(c("close"), c("m")), "close - m > 1e-10", {"m": SMA20}, True)
-window_query("f13_cross", W.crosses(c("a"), c("m")), f"{LAG('a')} <= {LAG('m')} AND a > m", {"a": SMA20, "m": SMA50}, True)
-window_query("f14_dual_condition", c("g") & S.above(c("close"), 100.0), "g AND close > 100", {"g": GREEN}, True)
+GREEN = (lambda: S.yes(c("close") > c("open")), "close > open")
+RED = (lambda: S.yes(c("close") < c("open")), "close < open")
+BODY = (lambda: F.abs(c("close") - c("open")), "abs(close - open)")
+UPPER = (lambda: S.upper_wick(c("open"), c("high"), c("close")), "high - greatest(open, close)")
+LOWER = (lambda: S.lower_wick(c("open"), c("low"), c("close")), "least(open, close) - low")
+PREV = (lambda: W.lag(c("close")), LAG("close"))
+SMA20, SMA50 = (lambda: W.sma(c("close"), 20), sma("close", 20)), (lambda: W.sma(c("close"), 50), sma("close", 50))
+STD20 = (lambda: W.rolling_std(c("close"), 20), std("close", 20))
+
+window_query("k01_sma", lambda: W.sma(c("close"), 20), sma("close", 20))
+window_query("k06_rolling_std", lambda: W.rolling_std(c("close"), 20), std("close", 20))
+window_query("k07_rolling_min", lambda: W.rolling_min(c("low"), 14), low("low", 14))
+window_query("k08_rolling_cv", lambda: W.rolling_cv(c("close"), 20), f"CASE WHEN abs({sma('close', 20)}) < 2.3e-16 THEN 0 ELSE {std('close', 20)} / {sma('close', 20)} END")
+window_query("k09_rolling_bool_sum", lambda: W.rolling_true(c("g"), 3), f"CASE WHEN count(*) {w(3)} = 3 THEN sum(CAST(g AS INTEGER)) {w(3)} END", {"g": GREEN})
+window_query("k10_streak", lambda: W.streak(c("g"), 2), f"count(*) {w(2)} = 2 AND sum(CAST(g AS INTEGER)) {w(2)} = 2", {"g": GREEN}, True)
+window_query("k11_shift_bool", lambda: W.shifted(c("g")), f"lag(g, 1, false) {ALONG}", {"g": GREEN}, True)
+window_query("k12_momentum", lambda: W.momentum(c("close"), 14), f"CASE WHEN bar_idx < 14 THEN 0 ELSE close - {LAG('close', 14)} END")
+window_query("k13_roc", lambda: W.roc(c("close"), 5), f"CASE WHEN abs({LAG('close', 5)}) >= 2.3e-16 THEN close / {LAG('close', 5)} - 1 END")
+window_query("k14_derivative", lambda: W.momentum(c("close"), 1), f"CASE WHEN bar_idx < 1 THEN 0 ELSE close - {LAG('close')} END")
+window_query("k18_bollinger", lambda: W.bollinger(c("close"))[1], f"{sma('close', 20)} + 2 * {std('close', 20)}")
+window_query("k19_bollinger_position", lambda: S.bollinger_position(c("close"), c("m") - 2 * c("s"), c("m") + 2 * c("s")), "CASE WHEN abs(4 * s) < 2.3e-16 THEN 0.5 ELSE (close - (m - 2 * s)) / ((m + 2 * s) - (m - 2 * s)) END", {"m": SMA20, "s": STD20})
+window_query("k20_extension", lambda: W.extension(c("high"), c("low"), 20), f"coalesce(high - {low('low', 20)}, 0)")
+window_query("k22_percentile_rank", lambda: W.percentile_rank(c("close")), "(rank() OVER (PARTITION BY series_id ORDER BY close) + (count(*) OVER (PARTITION BY series_id, close) - 1) / 2.0) / count(*) OVER (PARTITION BY series_id)")
+window_query("k24_true_range", lambda: W.true_range(), f"CASE WHEN {LAG('close')} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {LAG('close')}), abs(low - {LAG('close')})) END")
+window_query("k27_squeeze", lambda: W.squeeze(c("close"), 50, 1.1), f"close < {low('close', 50)} * 1.1", None, True)
+window_query("k28_levels_long", lambda: S.stop_level(c("close"), c("low"), c("s"), True, "tight"), "CASE WHEN low < close AND close - s < close THEN greatest(low, close - s) WHEN low < close THEN low WHEN close - s < close THEN close - s END", {"s": STD20})
+window_query("k28_levels_short", lambda: S.stop_level(c("close"), c("high"), c("s"), False, "tight"), "CASE WHEN high > close AND close + s > close THEN least(high, close + s) WHEN high > close THEN high WHEN close + s > close THEN close + s END", {"s": STD20})
+window_query("f01_round", lambda: F.round(c("close") / 7, 3), "round(close / 7, 3)")
+window_query("f02_arithmetic", lambda: F.greatest(F.abs(c("close") - c("open")), c("high") - c("low")) + 1, "greatest(abs(close - open), high - low) + 1")
+window_query("f03_ratio", lambda: S.ratio(c("open"), c("close") - c("low")), "CASE WHEN abs(close - low) < 2.3e-16 THEN 0 ELSE open / (close - low) END")
+window_query("f03_deviation", lambda: S.deviation(c("close"), c("m")), "CASE WHEN abs(m) < 2.3e-16 THEN 0 ELSE close / m - 1 END", {"m": SMA20})
+window_query("f04_threshold", lambda: S.above(c("close"), 100.0), "close > 100", None, True)
+window_query("f05_threshold_compare", lambda: S.above(c("close"), c("m") * 1.2), "close > m * 1.2", {"m": SMA20}, True)
+window_query("f06_zscore", lambda: S.zscore_beyond(c("close"), c("m"), c("s"), 2.0), "CASE WHEN s = 0 THEN false ELSE abs((close - m) / s) > 2 END", {"m": SMA20, "s": STD20}, True)
+window_query("f07_derivative_threshold", lambda: S.above(W.momentum(c("close"), 1), 5.0), f"CASE WHEN bar_idx < 1 THEN 0 ELSE close - {LAG('close')} END > 5", None, True)
+window_query("f08_recovery", lambda: W.recovers(c("close"), 50.0), f"{LAG('close')} < 50 AND close > 50", None, True)
+window_query("f09_comparison", lambda: W.changes(c("high"), True, 3), f"high > {LAG('high', 3)}", None, True)
+window_query("f10_double_rising", lambda: W.double_rising(c("close")), f"close > {LAG('close')} AND {LAG('close')} > {LAG('close', 2)}", None, True)
+window_query("f11_acceleration", lambda: W.accelerates(c("d")), f"d > 0 AND d > {LAG('d')}", {"d": (lambda: W.momentum(c("close"), 1), f"CASE WHEN bar_idx < 1 THEN 0 ELSE close - {LAG('close')} END")}, True)
+window_query("f12_compare_series", lambda: S.clearly_above(c("close"), c("m")), "close - m > 1e-10", {"m": SMA20}, True)
+window_query("f13_cross", lambda: W.crosses(c("a"), c("m")), f"{LAG('a')} <= {LAG('m')} AND a > m", {"a": SMA20, "m": SMA50}, True)
+window_query("f14_dual_condition", lambda: c("g") & S.above(c("close"), 100.0), "g AND close > 100", {"g": GREEN}, True)
 window_query("f15_upper_wick", UPPER[0], UPPER[1])
 window_query("f15_lower_wick", LOWER[0], LOWER[1])
-window_query("f16_alignment", S.chain(c("close"), c("a"), c("m")), "close > a AND a > m", {"a": SMA20, "m": SMA50}, True)
-window_query("f17_hammer", S.yes((c("y") < c("l") * 0.5) & (c("l") > c("u") * 2.0)), "y < l * 0.5 AND l > u * 2", {"y": BODY, "u": UPPER, "l": LOWER}, True)
-window_query("f17_shooting_star", S.yes((c("y") < c("u") * 0.5) & (c("u") > c("l") * 2.0)), "y < u * 0.5 AND u > l * 2", {"y": BODY, "u": UPPER, "l": LOWER}, True)
-window_query("f17_engulfing", S.yes(c("g") & W.shifted(c("r")) & (c("y") > W.lag(c("y")))), f"g AND {LAG('r')} AND y > {LAG('y')}", {"g": GREEN, "r": RED, "y": BODY}, True)
-window_query("f17_large_body", S.yes(c("g") & (c("y") > c("s") * 1.5)), "g AND y > s * 1.5", {"g": GREEN, "y": BODY, "s": STD20}, True)
-window_query("f18_tick_price_floor", S.tick_price(c("close") / 7, 0.25, "floor"), "floor((close / 7) / 0.25) * 0.25")
-window_query("f18_tick_distance_ceil", S.tick_distance(F.abs(c("close") - c("open")), 0.25), "CASE WHEN abs(close - open) < 2.3e-16 THEN 0 ELSE greatest(ceil(abs(close - open) / 0.25), 1) * 0.25 END")
+window_query("f16_alignment", lambda: S.chain(c("close"), c("a"), c("m")), "close > a AND a > m", {"a": SMA20, "m": SMA50}, True)
+window_query("f17_hammer", lambda: S.yes((c("y") < c("l") * 0.5) & (c("l") > c("u") * 2.0)), "y < l * 0.5 AND l > u * 2", {"y": BODY, "u": UPPER, "l": LOWER}, True)
+window_query("f17_shooting_star", lambda: S.yes((c("y") < c("u") * 0.5) & (c("u") > c("l") * 2.0)), "y < u * 0.5 AND u > l * 2", {"y": BODY, "u": UPPER, "l": LOWER}, True)
+window_query("f17_engulfing", lambda: S.yes(c("g") & W.shifted(c("r")) & (c("y") > W.lag(c("y")))), f"g AND {LAG('r')} AND y > {LAG('y')}", {"g": GREEN, "r": RED, "y": BODY}, True)
+window_query("f17_large_body", lambda: S.yes(c("g") & (c("y") > c("s") * 1.5)), "g AND y > s * 1.5", {"g": GREEN, "y": BODY, "s": STD20}, True)
+window_query("f18_tick_price_floor", lambda: S.tick_price(c("close") / 7, 0.25, "floor"), "floor((close / 7) / 0.25) * 0.25")
+window_query("f18_tick_distance_ceil", lambda: S.tick_distance(F.abs(c("close") - c("open")), 0.25), "CASE WHEN abs(close - open) < 2.3e-16 THEN 0 ELSE greatest(ceil(abs(close - open) / 0.25), 1) * 0.25 END")
 
 
 def ema_sql(name: str, source: str, x: str, n: int) -> str:
