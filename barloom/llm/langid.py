@@ -60,7 +60,8 @@ def gram_ranking(text: str | None, top: int = TOP) -> np.ndarray:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    parts = (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200))
+    for b in parts:
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             by.setdefault(lang, []).append(gram_codes(text))
