@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import claim
 
 WINDOW = 8
 COVER = 0.5
@@ -57,7 +58,7 @@ def _code(w: str) -> int:
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Canonical token ids, which of them are slots, and all raw tokens but sentence marks."""
     raw = _TOKEN.findall(text) if text else []
-    if len(_known) > 400_000:
+    if len(_known) > 150_000:
         _known.clear()
     get = _known.get
     x = np.array([get(w) or _code(w) for w in raw], np.uint64)
@@ -188,6 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = sc.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("decontam", _known.clear)
             t = shared.value
             for b in batches:
                 rows = [(i, *x) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in t.leaks(text)]
@@ -207,6 +209,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = sc.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("decontam", _known.clear)
             t = shared.value
             for b in batches:
                 yield b.filter(pa.array([not t.leaks(x) for x in b.column(at).to_pylist()], pa.bool_()))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import claim, own_prefix, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -182,7 +182,7 @@ class Sampler:
             rows.append(i)
             lists.append(c)
             size += len(c)
-            if size >= 400_000:
+            if size >= 150_000:
                 self._encode_rows(rows, lists, keys, out)
                 rows, lists, size = [], [], 0
         if rows:
@@ -260,6 +260,7 @@ def _workers(docs: DataFrame, model: str, alpha: float, seed: int):
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def sampler() -> Sampler:
+        claim("pieces", _made.clear)
         k = (xxhash.xxh64_intdigest(shared.value), alpha, seed)
         if k not in _made:  # it and the chunks it keeps serve all tasks of the worker
             _made.clear()
@@ -273,7 +274,7 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: floa
     """``docs`` without ``text``, and ``tokens``, ``n_tokens``; with ``check`` also ``lossless``, whether decoding the tokens gave the text back."""
     sampler = _workers(docs, model, alpha, seed)
     names = [c for c in docs.columns if c not in ("text", "tokens", "n_tokens", "lossless")]
-    rows = docs.select(*names, F.col("text"), F.col(key).cast("string").alias("_key"))
+    rows = docs.select(*names, F.col("text"), F.col(key).cast("string").alias(f"{own_prefix(docs)}key"))
     schema = with_fields(docs.select(*names).schema, tokens="array<int>", n_tokens="int", **({"lossless": "boolean"} if check else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
