@@ -83,6 +83,38 @@ def test_near_duplicates_on_odd_input(spark):
     assert sorted(r.doc_id for r in omh.keep_one(docs_of(spark, base, near, base, "other text here", base.upper())).collect()) == [0, 3]
 
 
+def test_near_duplicates_recall_at_the_least_similarity(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(150):
+        n = int(rng.integers(5, 200))
+        w = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        v = list(w)
+        for at in rng.choice(n, n // 5, replace=False):
+            v[at] = f"new{i}x{at}"
+        texts += [" ".join(w), " ".join(v)]
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(docs_of(spark, *texts)).collect()}
+    assert all(omh.similar(omh.word_ids(texts[i]), omh.word_ids(texts[i + 1])) for i in range(0, 300, 2))
+    assert sum(got[i + 1] == i for i in range(0, 300, 2)) >= 0.97 * 150
+
+
+def test_a_repeated_kmer_leaves_the_others_alone():
+    once, twice = (omh.labelled_kmers(omh.word_ids(t), 2) for t in ("a b c d e f", "a b c d e f a b"))
+    assert set(once.tolist()) < set(twice.tolist())
+
+
+def test_buckets_are_searched_until_no_pair_is_open(spark, monkeypatch):
+    for tile in (1000, 2):
+        monkeypatch.setattr(omh, "TILE", tile)
+        met = spark.createDataFrame([(1, i, 1) for i in (1, 2, 3, 4, 5, 6)] + [(2, 8, 8), (2, 9, 8)], "bucket long, id long, lead long")
+        top = spark.createDataFrame([(6, 1)], "id long, comp long")
+        words = {i: omh.word_ids("a b c d e f g h i j") for i in (1, 2, 3, 5, 6, 8, 9)} | {4: omh.word_ids("p q r s t u v w x y")}
+        reps = spark.createDataFrame([(i, len(w), bytearray(omh.bag(w))) for i, w in words.items()], "id long, n int, bag binary")
+        done = spark.createDataFrame([(2, 5)], "lead long, id long")
+        got = sorted(tuple(r) for r in omh._across(met, top, reps, done).collect())
+        assert got == [(2, 3), (2, 6), (3, 5), (3, 6), (5, 6)]
+
+
 def test_order_matters():
     words = [f"w{i}" for i in range(80)]
     a, b = omh.word_ids(" ".join(words)), omh.word_ids(" ".join(words[40:] + words[:40]))
