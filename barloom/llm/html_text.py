@@ -1,22 +1,27 @@
 """Main text of web pages by site template removal.
 
-A page is parsed into a tree that forgives missing and crossed tags. Every block element's subtree is hashed (tag, class, text and
-children) and, for each host, the pages with different main text that hold a hash are counted in Spark. A subtree that recurs on
-many pages of its host (at least ``MIN_PAGES`` and ``MIN_SHARE`` of them) is the site's template and is deleted before the
-text is read. Elements that by their tag, role or class are never article text (navigation, forms, scripts, adverts, notices, comments)
-go as well, so single pages of a host come out clean too. Inside an article, headings and paragraphs are the author's and stay even if
-they recur: licence lines and quotations repeat across articles of a site.
+A page is parsed into a tree that forgives missing and crossed tags. The subtrees of its block elements are hashed (tag, class, text and
+children) and, for each host, the pages with different text that hold a hash are counted in Spark. A subtree that recurs on ``MIN_PAGES`` pages or more
+of its host, however large the host is, belongs to the site's template and is deleted; what remains is the main text. There is no choice of one article
+element: text outside of it stays unless it is deleted.
+
+Beside recurrence, elements that by their own tag or role hold no article text (navigation, footers, asides, forms, scripts) go. Class and id
+names are hints only: outside of articles a hinted container goes, within one only if its kind (tag and class) recurs on ``MIN_PAGES`` pages of the host too, and none
+goes that holds more than half of the page's text, if it holds an article or the page has none. Headings, paragraphs, quotations and list items inside an article are the author's: they never go by a class, and
+stay even if they recur, as licence lines and quotations do. An article, and what holds one, is deleted only if it is the smaller part of the text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one newline in page order.
 
 Defined results: null, empty or markup-free html gives its bare text, which is empty for the first two. A null url is a host of its own name. Pages that
-are exact copies count once for a template. Repeated rows give repeated results. Extra columns are ignored.
+are exact copies count once for a template. Repeated rows give repeated results. Extra columns are ignored. Parsing moves forward only, so broken markup of any
+length takes time in proportion.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,119 +33,216 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MIN_PAGES = 5
-MIN_SHARE = 0.02
 #: template hashes (8 bytes each) that are at most broadcast; more are joined to the pages
 BROADCAST = 2_000_000
-# Element names and words of class or id names.
+# Element names, roles and words of class or id names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noscript iframe".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 ROOT = frozenset(("article", "main"))
-DROP = frozenset("""script style noscript template head title nav footer aside form iframe svg math button select textarea object embed canvas audio video dialog menu
-map datalist label input""".split())
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-DROP_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
-sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer share sharing social related newsletter subscribe subscription popup modal overlay comment comments commentlist respond
-disqus widget widgets toolbar pagination pager login signup masthead header""".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+CONTAINER = frozenset("div section article main ul ol dl dir table details header hgroup address center figure fieldset".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+DROP = frozenset("""script style noscript template head title nav footer aside form iframe button select textarea object embed canvas audio video dialog menu
+map datalist input svg""".split())
+DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
+HINTS = frozenset("""ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo cookie cookies consent gdpr notice notices
+sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer share sharing social related newsletter subscribe popup modal overlay comment comments commentlist respond
+disqus widget widgets toolbar pagination pager login signup""".split())
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""["'>]""")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_WORDS = re.compile(r"[^a-z0-9]+")
 _SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select",)}
 _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot"), "option": ("option",)}
+_AROUND_P = ("table", "td", "th", "button", "object", "article", "main", "div", "section", "li", "blockquote", "body")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash", "rooted")
+    __slots__ = ("tag", "attrs", "kids", "hash", "rooted", "size")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids, self.hash, self.rooted = tag, attrs, [], 0, False
+        self.tag, self.attrs, self.kids, self.hash, self.rooted, self.size = tag, attrs, [], 0, False, 0
+
+
+class _Open:
+    """The open elements, innermost last, and the depths at which each tag is open."""
+
+    def __init__(self, top: Node):
+        self.stack, self.at = [top], defaultdict(list)
+        self.at["block"] = []
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.at["block"].append(len(self.stack))
+        self.stack.append(node)
+
+    def _depth(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags, stop=()) -> None:
+        """Close the innermost open element of ``tags``, and all in it, unless an element of ``stop`` stands between."""
+        depth = self._depth(tags)
+        if depth and depth > self._depth(t for t in stop if t not in tags):
+            for node in self.stack[depth:]:
+                self.at[node.tag].pop()
+                if node.tag in BLOCK:
+                    self.at["block"].pop()
+            del self.stack[depth:]
+
+
+def _attributes(source: str) -> dict[str, str]:
+    if not source or source.isspace():
+        return {}
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(source):
+        out.setdefault(name.lower(), a or b or c)
+    return out
 
 
-def _pop_to(stack: list[Node], tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-    """Close the innermost open element of ``tags``, and all in it, unless an element of ``stop`` stands between."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in stop:
-            return
+class _Tags:
+    """Where tags end. Values quoted after = may hold a >; a quote that is never closed is plain, and nothing is searched for that is not ahead."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        self.quotes = True
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at ``at``; -1 if there is none."""
+        if self.last[">"] < at:
+            return -1
+        i = at
+        while self.quotes:
+            m = _STOP.search(self.source, i)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            j = m.start() - 1
+            while self.source[j].isspace():
+                j -= 1
+            if self.source[j] != "=" or self.last[m[0]] <= m.start():
+                i = m.end()  # no value begins here, or none that ends
+                continue
+            i = self.source.index(m[0], m.end()) + 1
+        self.quotes = False  # a quote swallowed the rest: from here on quotes are plain
+        return self.source.find(">", at)
 
 
 def parse(source: str) -> Node:
     """The element tree; texts are strings among ``kids``."""
     top = Node("#", {})
-    stack, at, n = [top], 0, len(source)
-    while at < n:
-        m = _TAG.search(source, at)
-        if not m:
-            stack[-1].kids.append(source[at:])
+    opened, tags, at, n = _Open(top), _Tags(source), 0, len(source)
+    stack = opened.stack
+    text = 0  # where the text that isn't in the tree yet begins
+    while True:
+        i = source.find("<", at)
+        if i < 0 or i + 1 >= n:
             break
-        if m.start() > at:
-            stack[-1].kids.append(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        c = source[i + 1]
+        if c == "!" and source.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            end = n if end < 0 else end + 3
+            name = None
+        elif c in "!?" or (c == "/" and not source[i + 2 : i + 3].isalpha()):
+            end = source.find(">", i) + 1
+            name = None
+            if not end:
+                break
+        else:
+            m = _NAME.match(source, i + 1 + (c == "/"))
+            if not m:
+                at = i + 1
+                continue
+            e = tags.end(m.end())
+            if e < 0:
+                break
+            end, name = e + 1, m
+        if i > text:
+            stack[-1].kids.append(source[text:i])
+        at = text = end
+        if name is None:
             continue
-        tag = name.lower()
-        if m[1] or m[4]:
-            if tag in BLOCK or tag in ROOT:
-                _pop_to(stack, (tag,), ("article", "main", "body") if tag not in ("article", "main", "body", "html") else ())
+        tag = name[0].lower()
+        if c == "/":
+            if tag in ROOT or tag in ("body", "html"):
+                opened.close((tag,))
             else:
-                _pop_to(stack, (tag,), tuple(BLOCK))
+                opened.close((tag,), ("article", "main", "body") if tag in BLOCK else ("block",))
             continue
-        rest = m[3] if m[2] else m[6]
+        rest = source[name.end() : e]
         if tag in CLOSES_P:
-            _pop_to(stack, ("p",), ("table", "td", "th", "button", "object", "article", "main", "div", "section", "li", "blockquote", "body"))
+            opened.close(("p",), _AROUND_P)
         if tag in _SAME:
-            _pop_to(stack, _SAME[tag], _SCOPE[tag])
-        attrs = {a[0].lower(): (a[1] or a[2] or a[3]) for a in _ATTR.findall(rest)} if rest and not rest.isspace() else {}
-        node = Node(tag, attrs)
+            opened.close(_SAME[tag], _SCOPE[tag])
+        node = Node(tag, _attributes(rest))
         stack[-1].kids.append(node)
         if tag in RAW:
-            end = _END[tag].search(source, at)
-            node.kids.append(source[at : end.start() if end else n])
-            at = end.end() if end else n
+            m = _END[tag].search(source, at)
+            node.kids.append(source[at : m.start() if m else n])
+            at = text = m.end() if m else n
         elif tag not in VOID and not rest.endswith("/"):
-            stack.append(node)
+            opened.push(node)
+    if text < n:
+        stack[-1].kids.append(source[text:])
     return top
 
 
 def _seal(top: Node) -> list[Node]:
-    """Hashes of all subtrees, children first, and which of them hold an article; the block elements."""
-    out, todo = [], [(top, False)]
+    """Hashes of all subtrees, children first, how much text they hold and whether an article; the elements that may be templates."""
+    out, todo = [], [(top, False, False, False)]
     while todo:
-        node, ready = todo.pop()
+        node, ready, inside, gone = todo.pop()
         if not ready:
-            todo.append((node, True))
-            todo += [(k, False) for k in node.kids if isinstance(k, Node)]
+            todo.append((node, True, inside, gone))
+            below, gone = inside or node.tag in ROOT, gone or node.tag in DROP
+            todo += [(k, False, below, gone) for k in node.kids if isinstance(k, Node)]
             continue
         h = xxhash.xxh64(f"{node.tag}\x00{node.attrs.get('class', '')}")
         for k in node.kids:
             if isinstance(k, Node):
                 h.update(k.hash.to_bytes(8, "little"))
                 node.rooted |= k.rooted or k.tag in ROOT
+                node.size += k.size
             else:
-                h.update("\x01" + " ".join(k.split()))
+                said = " ".join(k.split())
+                h.update("\x01" + said)
+                node.size += len(said)
         node.hash = h.intdigest()
-        if node.tag in BLOCK:
+        if node.tag in DROP:
+            node.size = 0
+        elif node.size and not gone and (node.tag in CONTAINER or (node.tag in PROSE and not inside)):
             out.append(node)
     return out
 
 
-def _unwanted(node: Node) -> bool:
-    """By its tag, role, class or id the element is never article text."""
-    if node.tag in DROP:
-        return True
+def _kind(node: Node) -> int:
+    """The hash of an element's tag and class alone."""
+    return xxhash.xxh64_intdigest(f"{node.tag}\x01{node.attrs.get('class', '')}\x01{'' if node.attrs.get('class') else node.attrs.get('id', '')}")
+
+
+def _hinted(node: Node) -> bool:
+    """A container whose names or attributes say that it is no article text."""
     a = node.attrs
-    if not a or node.tag in ("html", "body", "article", "main", "#"):
+    if not a or node.tag not in CONTAINER:
         return False
-    if a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+    if "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    words = re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return not DROP_WORDS.isdisjoint(words)
+    return not HINTS.isdisjoint(_WORDS.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+
+
+def _deleted(x: Node, top: Node, inside: bool, templates) -> bool:
+    """Whether an element goes; ``inside``: it stands in an article."""
+    if x.tag in DROP or x.attrs.get("role", "").lower() in DROP_ROLES or (x.tag == "header" and not inside and not x.rooted):
+        return True
+    most, holds = 2 * x.size > top.size, x.rooted or x.tag in ROOT
+    if (x.tag in CONTAINER or (x.tag in PROSE and not inside)) and not (most and holds) and x.hash in templates:
+        return True
+    return not (most and (holds or not top.rooted)) and _hinted(x) and (not inside or _kind(x) in templates)
 
 
 def blocks(top: Node, templates=frozenset()) -> list[str]:
@@ -160,21 +262,15 @@ def blocks(top: Node, templates=frozenset()) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            if inside:
-                run.append(x)
-        else:
-            if not x.rooted or x.tag in ROOT:
-                if _unwanted(x) or (x.tag == "header" and not (inside and top.rooted)):
-                    continue
-                if x.hash in templates and x.tag not in ROOT and not (inside and top.rooted and x.tag in PROSE):
-                    continue
+            run.append(x)
+        elif not _deleted(x, top, inside, templates):
             if x.tag == "br":
                 run.append(" ")
                 continue
-            within = inside or x.tag in ROOT or not top.rooted
             if x.tag in BLOCK:
                 flush()
-                todo.append((None, within))
+                todo.append((None, inside))
+            within = inside or x.tag in ROOT
             todo += [(k, within) for k in reversed(x.kids)]
     flush()
     return out
@@ -192,7 +288,7 @@ def _key(host: str, h: int) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, sub, page: each subtree that a page with this main text holds; sub 0 is the page itself."""
+    """sub, page: each subtree, and each kind of hinted container, that a page of this text holds; sub stands for host and subtree."""
     for b in batches:
         seen = set()
         for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -201,21 +297,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host, top = host_of(url), parse(source)
             nodes = _seal(top)
             page = xxhash.xxh64_intdigest("\n".join(blocks(top))) - (1 << 63)
-            own = _key(host, 0)
-            seen.add((own, own, page))
             for x in nodes:
-                if not x.rooted and x.tag not in ROOT and x.kids:
-                    seen.add((own, _key(host, x.hash), page))
-        cols = list(zip(*seen)) or [[]] * 3
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["host", "sub", "page"])
+                seen.add((_key(host, x.hash), page))
+                if _hinted(x):
+                    seen.add((_key(host, _kind(x)), page))
+        cols = list(zip(*seen)) or [[]] * 2
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["sub", "page"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, sub, n: the subtrees that recur on many pages of their host; written to the shared folder."""
-    seen = pages.select("url", "html").mapInArrow(_count, "host long, sub long, page long").distinct()
-    n = cut(seen.groupBy("host", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES))
-    sizes = n.where("host = sub").select("host", F.col("n").alias("of"))
-    return n.where("host <> sub").join(sizes, "host").where(F.col("n") >= F.col("of") * MIN_SHARE).select("host", "sub", "n")
+    """sub, n: the subtrees that recur on many pages of their host, and how many."""
+    seen = pages.select("url", "html").mapInArrow(_count, "sub long, page long").distinct()
+    return seen.groupBy("sub").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
 
 
 class _Held:
@@ -240,7 +333,7 @@ def main_text(source: str | None, held=frozenset()) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for each page."""
-    found = cut(templates(pages).select("sub").distinct())
+    found = cut(templates(pages).select("sub"))
     schema = "page_id long, url string, text string, n_chars long"
     out = ["page_id", "url", "text", "n_chars"]
     if found.count() <= BROADCAST:
@@ -259,7 +352,9 @@ def extract(pages: DataFrame) -> DataFrame:
             rows = []
             for k, url, source in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if source:
-                    rows += [(k, s) for s in {_key(host_of(url), x.hash) for x in _seal(parse(source))}]
+                    host = host_of(url)
+                    nodes = _seal(parse(source))
+                    rows += [(k, s) for s in {_key(host, x.hash) for x in nodes} | {_key(host, _kind(x)) for x in nodes if _hinted(x)}]
             cols = list(zip(*rows)) or [[]] * 2
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["key", "sub"])
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from barloom.llm import decontam, html_text, langid, licences, line_dedup, neighbours, omh, pieces, shards, toxicity
+from barloom.llm import decontam, langid, licences, line_dedup, neighbours, omh, pieces, shards, toxicity
 from barloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -157,28 +157,6 @@ def test_line_dedup(spark):
     assert line_dedup.clean_documents(odd(spark)).count() == 7
 
 
-def test_html_text(spark):
-    page = """<html><head><title>T</title><script>var x = "</p>";</script></head><body class="has-sidebar"><nav><ul><li>m</li></ul></nav><div class="ad">buy</div>
-    <main><article><h1>Head &amp; &lt;b&gt;</h1><p>One <b>two<br>x</p><p>Three\n  four<p>Five</article></main><div id="comments"><p>c</p></div><aside>s</aside><footer>f</footer></body></html>"""
-    assert html_text.main_text(page) == "Head & <b>\nOne two x\nThree four\nFive"
-    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == ""
-    assert html_text.main_text("a < b > c") == "a < b > c"
-    assert html_text.main_text("<div>" * 20_000 + "deep") == "deep"
-    rows = [(i, f"http://h.org/{i}", f"<body><div class=x>Welcome to our site</div><div>text number {i}</div><p>All rights</p></body>") for i in range(20)]
-    rows += [(50, None, None), (51, "http://h.org/e", ""), (52, "bad url", "<p>x</p>"), (52, "bad url", "<p>x</p>")]
-    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3].text == "text number 3" and got[3].n_chars == 13
-    assert got[50].text == got[51].text == "" and got[52].text == "x" and got[50].n_chars == 0
-    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_html_joined_path_agrees(spark, monkeypatch):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    a = sorted((r.page_id, r.text) for r in html_text.extract(pages).collect())
-    monkeypatch.setattr(html_text, "BROADCAST", -1)
-    assert a == sorted((r.page_id, r.text) for r in html_text.extract(pages).collect())
-
-
 def test_licences(spark):
     s = licences.Scanner()
     mit = licences.NOTICES["MIT-text"]
