@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from barloom.llm import decontam, langid, licences, line_dedup, neighbours, omh, pieces, shards, toxicity
-from barloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, class_id string"
@@ -25,109 +24,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def brute_edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_edit_distance_is_exact():
-    rng = np.random.default_rng(1)
-    for _ in range(400):
-        a = rng.integers(1, 6, rng.integers(0, 30)).astype(np.uint64)
-        b = np.array([x for x in a if rng.random() > 0.15] + rng.integers(1, 6, rng.integers(0, 5)).tolist(), np.uint64)
-        limit, d = int(rng.integers(0, 14)), brute_edit(a.tolist(), b.tolist())
-        assert omh.edit_distance(a, b, limit) == min(d, limit + 1)
-        if len(a) and len(b):
-            assert omh._edit_rows(a, b, limit) == min(d, limit + 1)
-            assert omh.similar(a, b) == (d <= int(np.floor(0.2 * max(len(a), len(b)) + 1e-9)))
-
-
-def test_near_duplicates_find_all_similar_pairs(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    got = {r.doc_id: r.class_id for r in omh.near_duplicates(rows).collect()}
-    data = [(r.doc_id, omh.word_ids(r.text)) for r in rows.collect()]
-    assert sorted(got) == sorted(i for i, _ in data)
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, w.tolist()) for i, w in data)}
-    up = {i: i for i, _ in data}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for n, (i, a) in enumerate(data):
-        for j, b in data[n + 1 :]:
-            if not len(a) or not len(b):
-                continue
-            jaccard = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-            if jaccard >= 0.8:
-                assert got[i] == got[j]
-            if omh.similar(a, b):
-                up[find(j)] = find(i)
-    for i in got:  # nothing is joined that no chain of similar pairs joins
-        assert find(i) == find(got[i])
-
-
-def test_near_duplicates_on_odd_input(spark):
-    got = sorted((r.doc_id, r.class_id) for r in omh.near_duplicates(odd(spark)).collect())
-    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
-    assert omh.near_duplicates(empty(spark)).count() == 0
-    assert omh.keep_one(odd(spark)).columns == odd(spark).columns
-    base = " ".join(f"w{i}" for i in range(60))
-    near = base.replace("w30", "zz")
-    assert sorted(r.doc_id for r in omh.keep_one(docs_of(spark, base, near, base, "other text here", base.upper())).collect()) == [0, 3]
-
-
-def test_near_duplicates_recall_at_the_least_similarity(spark):
-    rng = np.random.default_rng(8)
-    texts = []
-    for i in range(150):
-        n = int(rng.integers(5, 200))
-        w = [f"w{x}" for x in rng.integers(0, 5000, n)]
-        v = list(w)
-        for at in rng.choice(n, n // 5, replace=False):
-            v[at] = f"new{i}x{at}"
-        texts += [" ".join(w), " ".join(v)]
-    got = {r.doc_id: r.class_id for r in omh.near_duplicates(docs_of(spark, *texts)).collect()}
-    assert all(omh.similar(omh.word_ids(texts[i]), omh.word_ids(texts[i + 1])) for i in range(0, 300, 2))
-    assert sum(got[i + 1] == i for i in range(0, 300, 2)) >= 0.97 * 150
-
-
-def test_a_repeated_kmer_leaves_the_others_alone():
-    once, twice = (omh.labelled_kmers(omh.word_ids(t), 2) for t in ("a b c d e f", "a b c d e f a b"))
-    assert set(once.tolist()) < set(twice.tolist())
-
-
-def test_buckets_are_searched_until_no_pair_is_open(spark, monkeypatch):
-    for tile in (1000, 2):
-        monkeypatch.setattr(omh, "TILE", tile)
-        met = spark.createDataFrame([(1, i, 1) for i in (1, 2, 3, 4, 5, 6)] + [(2, 8, 8), (2, 9, 8)], "bucket long, id long, lead long")
-        top = spark.createDataFrame([(6, 1)], "id long, comp long")
-        words = {i: omh.word_ids("a b c d e f g h i j") for i in (1, 2, 3, 5, 6, 8, 9)} | {4: omh.word_ids("p q r s t u v w x y")}
-        reps = spark.createDataFrame([(i, len(w), bytearray(omh.bag(w))) for i, w in words.items()], "id long, n int, bag binary")
-        done = spark.createDataFrame([(2, 5)], "lead long, id long")
-        got = sorted(tuple(r) for r in omh._across(met, top, reps, done).collect())
-        assert got == [(2, 3), (2, 6), (3, 5), (3, 6), (5, 6)]
-
-
-def test_order_matters():
-    words = [f"w{i}" for i in range(80)]
-    a, b = omh.word_ids(" ".join(words)), omh.word_ids(" ".join(words[40:] + words[:40]))
-    assert not omh.similar(a, b)
-    assert (omh.sketch(a) == omh.sketch(b)).mean() < 0.8
-
-
-def test_components(spark):
-    links = spark.createDataFrame([(i + 1, i) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)], "u long, v long")
-    got = {r.u: r.v for r in components(links).collect()}
-    assert got == {**{i: 1 for i in range(2, 41)}, 101: 100, 102: 100}
-
-
 def brute_lines(docs):
     seen, out = set(), []
     for i, t in docs:
