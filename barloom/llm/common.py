@@ -7,13 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, with_fields
 
 
-__all__ = ["Tables", "claim", "crc_mod", "cut", "own_prefix", "read", "shared_dir", "text_key", "with_fields"]
+__all__ = ["Tables", "claim", "crc_mod", "cut", "marks", "own_prefix", "read", "shared_dir", "text_key", "with_fields"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,10 +24,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one is made only where the session names none and runs on one machine (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barloom-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -57,9 +61,12 @@ class Tables:
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """``df``, written and read again."""
+        """``df``, written and read again. Now and then what no plan refers to any more is collected, so that Spark deletes the shuffles behind it."""
         self.n += 1
         df.write.parquet(f"{self.home}/{self.n}")
+        if self.n % 6 == 0:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.home}/{self.n}")
 
     def __exit__(self, *_: object) -> None:
@@ -68,6 +75,17 @@ class Tables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marks(ids: DataFrame, bits: int = 26) -> tuple[int, Broadcast]:
+    """``bits``, and a broadcast bitmap of 2 ** bits places in which the highest ``bits`` of each ``id`` (a hash, unsigned) are marked: 8 MB for any number of rows."""
+    place = (F.shiftrightunsigned("id", 64 - bits) + 1).alias("x")
+    parts = ids.select(place).groupBy(F.bitmap_bucket_number("x").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in parts.toLocalIterator():
+        got = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["part"] - 1) * len(got) : r["part"] * len(got)] = got
+    return bits, ids.sparkSession.sparkContext.broadcast(out)
+
+
 _held: tuple[str, Callable[[], None]] | None = None
 
 
