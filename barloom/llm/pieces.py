@@ -39,6 +39,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _key_hash(key: object) -> int:
+    """A null key differs from any text."""
+    return xxhash.xxh64_intdigest(b"", 1) if key is None else xxhash.xxh64_intdigest(str(key))
+
+
 class Sampler:
     """Pieces of a model file's bytes; ``encode`` and ``decode`` lists of texts."""
 
@@ -142,8 +147,11 @@ class Sampler:
             whole = np.add.reduceat(x, at)
             total[by_place[lo:hi] + 1] = top + np.log(whole)
             share[a:b] = x / np.repeat(whole, counts[lo:hi])
-        cum = np.cumsum(share)
-        cum -= np.repeat(np.concatenate(([0.0], cum))[first[:-1]], counts)
+        cum, so_far = np.empty(len(share)), np.zeros(n)  # summed within each place alone, so a chunk's sums do not depend on what else is in the batch
+        for j in range(int(counts.max())):
+            has = np.flatnonzero(counts > j)
+            so_far[has] += share[first[has] + j]
+            cum[first[has] + j] = so_far[has]
         cum[first[1:] - 1] = 2.0
         entries, rows, n0 = len(self.cum), len(self.first), len(self.start)
         self.start = np.concatenate((self.start, (starts + len(self.row)).astype(np.int32)))
@@ -207,7 +215,7 @@ class Sampler:
         at = self.at
         ids = np.fromiter((at[c] for x in lists for c in x), np.int64)
         per = np.array([len(x) for x in lists])
-        seeds = np.array([xxhash.xxh64_intdigest(str(keys[i])) for i in rows], np.uint64)
+        seeds = np.array([_key_hash(keys[i]) for i in rows], np.uint64)
         nth = np.arange(len(ids)) - np.repeat(np.cumsum(per) - per, per)
         seed = _mix(np.repeat(_mix(seeds ^ self.seed), per) + nth.astype(np.uint64) * _ODD)
         place, start = self.length[ids], self.start[ids]
