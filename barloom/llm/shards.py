@@ -1,17 +1,16 @@
 """Training-order materialisation of token ids as binary shards.
 
-Texts become byte-pair token ids and are packed, each followed by an end mark, into sequences of ``LENGTH`` tokens, input partition by
-input partition; only the last sequence of a partition is padded. A text has no more tokens than bytes, so sizes alone give each input partition a range of
-numbers for its sequences, with some left over. A keyed Feistel network over the next even number of bits, walked until it falls below the end M of all
-ranges, permutes 0 .. M - 1: sequence i gets the place permute(i). Places are dealt to shards by ranges, sorted, and written with a fixed
-stride. Places that no sequence has are closed up: a sequence's global slot is its rank, the first slot of its shard and its number there, so slot s stands at byte
-(s - first) * stride: a reader goes through the slots in order and resumes at any of them by arithmetic.
-
-Texts are tokenised once and nothing but the sequences is shuffled, once. What the driver holds is a number for each input partition and each
-shard. A shard is written under a name of its own and renamed, so a task that runs again, or twice, leaves one whole file.
-
-Defined results: a null text gives no tokens and no end mark, an empty one its end mark. Rows of equal doc_id follow each other like any others. Extra columns are ignored. An empty table
-gives no shard. The permutation depends on the key and M only; which tokens a sequence holds depends on how the input is cut into partitions.
+Documents are dealt by a hash of doc_id and text into buckets, whose number follows from the bytes of all texts; in a bucket they are ordered by doc_id and text hash, tokenised, and packed,
+each followed by an end mark, into sequences of ``LENGTH`` tokens; only the last sequence of a bucket is padded. A first pass counts the tokens of each bucket, which numbers all sequences
+0 .. n - 1 by a prefix sum over buckets. A keyed Feistel network over the next even number of bits, walked until it falls below n,
+permutes these numbers: sequence i has the global slot permute(i). Slots are dealt to shards by ranges of ``PER_SHARD``, sorted, and written with a fixed stride, so slot s stands in shard s // PER_SHARD at byte
+(s % PER_SHARD) * stride: a reader goes through the slots in order and resumes at any of them by arithmetic. Neither sequences nor slots depend on how the input is cut into files or partitions.
+
+Texts cross the network once, compressed, and sequences once. What the driver holds is a number for each bucket (``BUCKET`` bytes of text) and a name for each
+shard. A task writes a shard under a name of its own, which the manifest records when the task is committed; a task that runs again, or twice, leaves a file that no manifest names, and such files are deleted at the end.
+
+Defined results: a null text gives no tokens and no end mark, an empty one its end mark. Rows of equal doc_id follow each other by text hash if they meet in a bucket. Extra columns are ignored. An empty table
+gives no shard.
 """
 
 from __future__ import annotations
@@ -19,14 +18,13 @@ from __future__ import annotations
 import base64
 import json
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +36,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = 50_256
 PAD = 65_535
 LENGTH = 1_024
-#: sequences of a shard, about, for texts of two and a half bytes a token
+#: sequences of a shard
 PER_SHARD = 4_096
+#: bytes of text in a bucket, about
+BUCKET = 32_000_000
 KEY = 20240917
 ROUNDS = 6
 
@@ -112,59 +112,75 @@ def tokens_of(ranks: bytes) -> Tokens:
     return _made[k]
 
 
-def _packed(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[tuple[list[int], bytes]]:
-    """(doc_ids, bytes) of each sequence of a partition: the documents with a token in it, in order."""
-    stride, end = 2 * LENGTH, np.uint16(END).tobytes()
-    held, docs = bytearray(), []
-    for b in batches:
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if text is None:
-                continue
-            held += tokens.encode(text) + end
-            docs.append(i)
-            at = 0
-            while len(held) - at >= stride:
-                yield docs, bytes(held[at : at + stride])
-                at += stride
-                docs = [i] if len(held) > at else []
-            if at:
-                del held[:at]
+def _packed(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, list[int], bytes]]:
+    """(bucket, number in it, doc_ids, bytes) of each sequence; ``rows``: bucket, doc_id, bytes of tokens, by bucket. The documents with a token in it, in order."""
+    stride = 2 * LENGTH
+    held, docs, own, n = bytearray(), [], None, 0
+    for bucket, i, tokens in rows:
+        if bucket != own:
+            if held:
+                yield own, n, docs, bytes(held)
+            held, docs, own, n = bytearray(), [], bucket, 0
+        held += tokens
+        docs.append(i)
+        at = 0
+        while len(held) - at >= stride:
+            yield own, n, docs, bytes(held[at : at + stride])
+            n, at = n + 1, at + stride
+            docs = [i] if len(held) > at else []
+        if at:
+            del held[:at]
     if held:
-        yield docs, bytes(held)
+        yield own, n, docs, bytes(held)
 
 
 def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY) -> tuple[DataFrame, int]:
-    """(place, doc_ids, n_tokens, tokens) of all sequences, unsorted, and the number of places."""
+    """(slot, doc_ids, n_tokens, tokens) of all sequences, unsorted, and their number."""
     with open(ranks, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select("doc_id", "text")
-    sizes = rows.where("text is not null").groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text") + F.lit(1).cast("long")).alias("n")).collect()
-    most = {r["part"]: -(-r["n"] // LENGTH) for r in sizes}
-    base, places = {}, 0
-    for part in sorted(most):
-        base[part] = places
-        places += most[part]
+    end = np.uint16(END).tobytes()
+    rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("k"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    buckets = -(-size // BUCKET)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "k"), F.lit(max(buckets, 1))).cast("int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokens_of(shared.value)
+        for b in batches:
+            n = [len(t.encode(x)) // 2 + 1 for x in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    counted = rows.select("bucket", "text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    base, total = np.zeros(buckets, np.int64), 0
+    for r in sorted(counted):
+        base[r["bucket"]] = total
+        total += -(-r["n"] // LENGTH)
+    starts = docs.sparkSession.sparkContext.broadcast(base)
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.record_batch([*b.columns[:3], pa.array([z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column(3).to_pylist()], pa.binary())], ["bucket", "doc_id", "k", "z"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        order, t, done, held = Permutation(places, key), tokens_of(shared.value), 0, []
+        order, t, z = Permutation(total, key), tokens_of(shared.value), zstandard.ZstdDecompressor()
+        rows = ((bucket, i, t.encode(z.decompress(x).decode("utf-8", "surrogatepass")) + end) for b in batches for bucket, i, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 3))))
+        held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            at = order.slot(np.arange(base[part] + done - len(held), base[part] + done))
-            return pa.record_batch([pa.array(at), pa.array([x[0] for x in held], pa.list_(pa.int64())), pa.array([len(x[1]) // 2 for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], ["place", "doc_ids", "n_tokens", "tokens"])
+            slot = order.slot(starts.value[[x[0] for x in held]] + [x[1] for x in held])
+            return pa.record_batch([pa.array(slot), pa.array([x[2] for x in held], pa.list_(pa.int64())), pa.array([len(x[3]) // 2 for x in held], pa.int32()), pa.array([x[3] for x in held], pa.binary())], ["slot", "doc_ids", "n_tokens", "tokens"])
 
-        for x in _packed(batches, t):
+        for x in _packed(rows):
             held.append(x)
-            done += 1
-            if done > most.get(part, 0):
-                raise RuntimeError(f"partition {part} has more sequences than its size allows; its input changed between the passes")
             if len(held) == 512:
                 yield flush()
                 held = []
         if held:
             yield flush()
 
-    return rows.mapInArrow(make, "place long, doc_ids array<long>, n_tokens int, tokens binary"), places
+    dealt = rows.select("bucket", "doc_id", "k", "text").mapInArrow(squeeze, "bucket int, doc_id long, k long, z binary").repartitionById(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "doc_id", "k")
+    return dealt.mapInArrow(make, "slot long, doc_ids array<long>, n_tokens int, tokens binary"), total
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -172,40 +188,42 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, out: str, manifest: str, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write all sequences of ``docs`` as ``out``/shard-NNNNNNNN.bin, and meta.json; gives slot, doc_ids, n_tokens of what was written, kept as Parquet in ``manifest``."""
+    """Write all sequences of ``docs`` into ``out`` as shard-NNNNNNNN-*.bin, and meta.json; gives slot, doc_ids, n_tokens, file of what was written, kept as Parquet in ``manifest``."""
     spark = docs.sparkSession
-    got, places = sequences(docs, ranks, key)
-    shards = max(1, -(-places * 2 // (5 * per_shard)))
+    got, total = sequences(docs, ranks, key)
+    shards = max(1, -(-total // per_shard))
     fs, top = _open(out)
     fs.create_dir(top, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(out)
-        f, tmp, shard, n = None, "", TaskContext.get().partitionId(), 0
+        f, own, name = None, None, None
         for b in batches:
-            if f is None and b.num_rows:
-                tmp = f"{top}/_{shard:08d}-{uuid.uuid4().hex}"
-                f = fs.open_output_stream(tmp)
-            for x in b.column(3).to_pylist():
+            names = []
+            for shard, x in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
+                if shard != own:
+                    if f is not None:
+                        f.close()
+                    own, name = shard, f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
+                    f = fs.open_output_stream(f"{top}/{name}")
                 f.write(x if len(x) == 2 * LENGTH else x + np.uint16(PAD).tobytes() * (LENGTH - len(x) // 2))
-            yield pa.record_batch([pa.array([shard] * b.num_rows, pa.int32()), pa.array(range(n, n + b.num_rows), pa.int64()), b.column(1), b.column(2)], ["shard", "rank", "doc_ids", "n_tokens"])
-            n += b.num_rows
+                names.append(name)
+            yield pa.record_batch([*b.columns[:4], pa.array(names, pa.string())], ["shard", "slot", "doc_ids", "n_tokens", "file"])
         if f is not None:
             f.close()
-            fs.move(tmp, f"{top}/shard-{shard:08d}.bin")
-
-    at = F.floor(F.col("place") * F.lit(shards).cast("decimal(20,0)") / F.lit(max(places, 1))).cast("int")
-    dealt = got.repartitionById(shards, at).sortWithinPartitions("place")
-    dealt.mapInArrow(write, "shard int, rank long, doc_ids array<long>, n_tokens int").write.parquet(manifest)
-    wrote = spark.read.schema("shard int, rank long, doc_ids array<long>, n_tokens int").parquet(manifest)
-    counts = {r["shard"]: r["n"] for r in wrote.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    first = [0]
-    for k in range(shards):
-        first.append(first[-1] + counts.get(k, 0))
+
+    dealt = got.select(F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), "slot", "doc_ids", "n_tokens", "tokens").repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
+    schema = "shard int, slot long, doc_ids array<long>, n_tokens int, file string"
+    dealt.mapInArrow(write, schema).write.parquet(manifest)
+    wrote = spark.read.schema(schema).parquet(manifest)
+    files = {r["shard"]: r["file"] for r in wrote.groupBy("shard").agg(F.max("file").alias("file")).collect()}
+    keep = set(files.values())
+    for x in fs.get_file_info(pafs.FileSelector(top)):
+        if x.base_name.startswith("shard-") and x.base_name not in keep:
+            fs.delete_file(x.path)
     with fs.open_output_stream(f"{top}/meta.json") as f:
-        f.write(json.dumps({"sequences": first[-1], "length": LENGTH, "stride": 2 * LENGTH, "first": first, "end": END, "pad": PAD, "key": key}).encode())
-    starts = spark.createDataFrame(list(enumerate(first[:-1])), "shard int, start long")
-    return wrote.join(F.broadcast(starts), "shard").select((F.col("start") + F.col("rank")).alias("slot"), "doc_ids", "n_tokens")  # starts: two numbers for each shard
+        f.write(json.dumps({"sequences": total, "length": LENGTH, "stride": 2 * LENGTH, "per_shard": per_shard, "files": [files[k] for k in sorted(files)], "end": END, "pad": PAD, "key": key}).encode())
+    return wrote.select("slot", "doc_ids", "n_tokens", "file")
 
 
 def read_from(out: str, slot: int, count: int) -> Iterator[np.ndarray]:
@@ -213,12 +231,11 @@ def read_from(out: str, slot: int, count: int) -> Iterator[np.ndarray]:
     fs, top = _open(out)
     with fs.open_input_stream(f"{top}/meta.json") as f:
         meta = json.loads(f.read())
-    stride, first, stop = meta["stride"], meta["first"], min(slot + count, meta["sequences"])
+    stride, per_shard, stop = meta["stride"], meta["per_shard"], min(slot + count, meta["sequences"])
     while slot < stop:
-        shard = bisect_right(first, slot) - 1
-        with fs.open_input_file(f"{top}/shard-{shard:08d}.bin") as f:
-            f.seek((slot - first[shard]) * stride)
-            for _ in range(min(stop, first[shard + 1]) - slot):
+        with fs.open_input_file(f"{top}/{meta['files'][slot // per_shard]}") as f:
+            f.seek(slot % per_shard * stride)
+            for _ in range(min(stop, (slot // per_shard + 1) * per_shard) - slot):
                 x = np.frombuffer(f.read(stride), np.uint16)
                 yield x[x != PAD]
                 slot += 1
@@ -229,15 +246,16 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     fs, top = _open(out)
     with fs.open_input_stream(f"{top}/meta.json") as f:
         meta = json.loads(f.read())
+    per_shard = meta["per_shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column(0).to_pylist():
-                at, end = meta["first"][shard : shard + 2]
-                got = [(len(x), xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63)) for x in read_from(out, at, end - at)]
+                at = shard * per_shard
+                got = [(len(x), xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63)) for x in read_from(out, at, per_shard)]
                 yield pa.record_batch([pa.array(range(at, at + len(got)), pa.int64()), pa.array([shard] * len(got), pa.int32()), pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.int64())], ["slot", "shard", "n_tokens", "token_hash"])
 
-    n = len(meta["first"]) - 1
+    n = len(meta["files"])
     return spark.range(0, n, 1, max(1, min(n, 100_000))).mapInArrow(run, "slot long, shard int, n_tokens int, token_hash long")
 
 

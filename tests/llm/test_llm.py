@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from barloom.llm import decontam, langid, licences, line_dedup, neighbours, omh, pieces, shards, toxicity
+from barloom.llm import decontam, langid, licences, line_dedup, omh, pieces, shards
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, class_id string"
@@ -53,28 +53,6 @@ def test_line_dedup(spark):
     assert line_dedup.clean_documents(odd(spark)).count() == 7
 
 
-def test_licences(spark):
-    s = licences.Scanner()
-    mit = licences.NOTICES["MIT-text"]
-    got = {x[0]: x for x in s.scan("intro. " + mit.replace("\n", " ") + " end. " + mit.upper())}
-    assert got["MIT-text"][1] == 2 and got["MIT-text"][2] == 1.0
-    assert s.scan("Released under the MIT License.")[0][:3] == ("MIT", 1, 1.0)
-    assert s.scan("the license of the work") == [] and s.scan(None) == [] and s.scan("") == []
-    text, t = "a b x c d".split(), "a b c d".split()
-    assert licences.patience(text, t) == [(0, 0), (1, 1), (3, 2), (4, 3)]
-    assert licences.scan(odd(spark)).count() == 0 and licences.scan(empty(spark)).count() == 0
-    words = (licences.words_of(mit) * 40)[:4000]
-    assert max(x[1] for x in s.scan(" ".join(words)) if x[0] == "MIT-text") >= 20
-
-
-def test_patience_is_a_common_subsequence():
-    rng = np.random.default_rng(3)
-    for _ in range(100):
-        a, b = ([str(x) for x in rng.integers(0, 12, rng.integers(1, 25))] for _ in range(2))
-        p = licences.patience(a, b)
-        assert all(a[i] == b[j] for i, j in p) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:]))
-
-
 def test_language_id(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predict_documents(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -88,66 +66,6 @@ def test_language_id(spark):
     assert sum(counts.values()) == 4 + 6 + 4 and langid.gram_codes("!! 12").size == 0
 
 
-def test_decontamination(spark):
-    items = spark.createDataFrame([(1, "Anna paid 3 dollars for 3 apples and then walked home to meet her brother Tom near the bridge."), (2, None), (3, ""), (4, "short item only")], "item_id long, text string")
-    d = docs_of(
-        spark, "Intro text. Anna paid 3 dollars for 3 apples and then walked home to meet her brother Tom near the bridge. End.",
-        "Anna paid 7 dollars for 7 apples and then walked home to meet her brother Max near the bridge.", "Anna paid 7 dollars for 8 apples.", "nothing here", "this is a short item only, yes", None)
-    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(d, items).collect()}
-    assert set(got) == {(0, 1), (1, 1), (4, 4)}
-    assert got[0, 1].n_changed == 0 and got[1, 1].n_changed == 4 - 1 or got[1, 1].n_changed > 0
-    assert sorted(r.doc_id for r in decontam.keep_clean(d, items).collect()) == [2, 3, 5]
-    assert decontam.leaks(odd(spark), items).count() == 0 and decontam.leaks(empty(spark), items).count() == 0
-    assert decontam.leaks(d, items.limit(0)).count() == 0 and decontam.keep_clean(d, items.limit(0)).count() == 6
-
-
-def test_inconsistent_slots_count_only_exact_windows():
-    t = decontam.Table([(1, "there are 5 cats and 5 dogs and 5 birds in the big old house")])
-    assert t.leaks("there are 9 cats and 9 dogs and 9 birds in the big old house")
-    assert not t.leaks("there are 1 cats and 2 dogs and 3 birds in the big old house")
-
-
-def test_decontamination_against_brute_force(spark):
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = set()
-    for i, t in bench:
-        ids = decontam.canonical(t)[0].tolist()
-        grams = [tuple(ids[k : k + 8]) for k in range(len(ids) - 7)]
-        for d, text in rows:
-            w = decontam.canonical(text)[0].tolist()
-            have = {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
-            if sum(g in have for g in grams) >= 0.5 * len(grams):
-                want.add((d, i))
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want)
-
-
-def test_neighbours(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = collections.defaultdict(list)
-    for r in neighbours.nearest(rows).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    data = {r.vec_id: np.array(r.embedding, np.float64) for r in rows.collect()}
-    ids, v = np.array(list(data)), np.stack(list(data.values()))
-    hit = total = 0
-    for q in [i for i in data if i % 50 == 0]:
-        cos = (v * data[q]).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((data[q] ** 2).sum()))
-        best = [i for _, i in sorted((-s, i) for s, i in zip(cos.tolist(), ids.tolist()) if i != q)[:5]]
-        hit += len({i for i, _ in got[q]} & set(best))
-        total += 5
-        assert [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True) and len(got[q]) == 5
-    assert hit / total >= 0.9
-
-
-def test_neighbours_on_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (50, [2.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 1.0]), (100, [0.0, float("inf")]), (9, [1.0])]
-    got = [tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 50, 1.0), (50, 1, 0, 1.0), (50, 2, 2, 1.0), (50, 3, 3, 1.0)]
-    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert abs(neighbours.chi_square(8.0) - 0.5665298796332909) < 1e-12
-
-
 TEXTS = [None, "", " ", "a", "hello world", "  two  spaces ", "new\nline\ttab", "日本語 テキスト", "▁ literal ▁▁", "emoji 👍🏽", "x" * 5000, "naïve ́ café", "tr  "]
 
 
@@ -196,55 +114,6 @@ def test_permutation():
     assert shards.Permutation(1000, 1).slot(np.arange(1000)).tolist() != shards.Permutation(1000, 2).slot(np.arange(1000)).tolist()
 
 
-def test_shards(spark, tmp_path):
-    rows = spark.read.parquet(f"{SF}/documents.parquet")
-    out = str(tmp_path / "o")
-    manifest = {r.slot: r for r in shards.write_shards(rows, out, str(tmp_path / "m"), per_shard=16).collect()}
-    seqs = list(shards.read_from(out, 0, 10**9))
-    assert sorted(manifest) == list(range(len(seqs))) and [len(x) for x in seqs] == [manifest[i].n_tokens for i in range(len(seqs))]
-    assert [x.tolist() for x in shards.read_from(out, 13, 9)] == [x.tolist() for x in seqs[13:22]]
-    # sequences in the order of their numbers are the packed stream of each partition
-    places = -(-sum(len(r.text.encode()) + 1 for r in rows.collect() if r.text is not None) // shards.LENGTH)
-    assert rows.rdd.getNumPartitions() == 1
-    at = shards.Permutation(places).slot(np.arange(len(seqs)))
-    stream = np.concatenate([seqs[k] for k in np.argsort(np.argsort(at)).tolist()])
-    t = shards.Tokens(open(shards.RANKS, "rb").read())
-    texts = [t.decode(x[:-1]) for x in np.split(stream, np.flatnonzero(stream == shards.END) + 1) if len(x)]
-    assert texts == [r.text for r in rows.collect() if r.text is not None]
-    assert {i for r in manifest.values() for i in r.doc_ids} == {r.doc_id for r in rows.collect() if r.text is not None}
-    assert shards.write_shards(empty(spark), str(tmp_path / "e"), str(tmp_path / "em")).count() == 0 and list(shards.read_from(str(tmp_path / "e"), 0, 5)) == []
-    assert shards.write_shards(odd(spark), str(tmp_path / "odd"), str(tmp_path / "om")).count() > 0
-
-
-def test_toxicity(spark):
-    rng = np.random.default_rng(5)
-    vocab, bad = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["nastyone", "nastytwo", "vileword"]
-    rows, labels = [], []
-    for i in range(900):
-        w = rng.choice(vocab, rng.integers(20, 120)).tolist()
-        toxic = i % 6 == 0
-        if toxic:
-            for _ in range(3):
-                w[rng.integers(0, len(w))] = bad[rng.integers(0, 3)]
-        rows.append((i, " ".join(w)))
-        labels.append((i, int(toxic)))
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = toxicity.score_documents(d, spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
-    want = dict(labels)
-    assert np.mean([r.predicted == want[r.doc_id] for r in got]) > 0.97 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in toxicity.score_documents(odd(spark), none).collect()} == {0.0}
-    assert toxicity.score_documents(empty(spark), none).count() == 0
-
-
-def test_op10_ignores_held_out_labels(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    a = {r.doc_id: r.score for r in toxicity.score_documents(d, lab).collect()}
-    flipped = lab.selectExpr("doc_id", "IF(crc32(cast(doc_id as string)) % 3 = 1, 1 - toxic, toxic) AS toxic")
-    assert a == {r.doc_id: r.score for r in toxicity.score_documents(d, flipped).collect()}
-
-
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline as p
 
