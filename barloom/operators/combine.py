@@ -8,6 +8,7 @@ as packed words, and broadcast after a check of its size. Combinations, which gr
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,15 +40,25 @@ def locate(offset: int, n: int, depth: int) -> tuple[int, int]:
     raise IndexError("beyond the last combination")
 
 
-def unrank(numbers: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The combinations of k of n with these lexicographic numbers, a row each; all at once, by binary search in the counts of what begins with each element."""
+#: a range whose numbers stay below this is unranked with 64-bit integers
+EXACT = 1 << 62
+
+
+def _below(n: int, k: int) -> list[int]:
+    """For each x of 0 .. n, how many combinations of k of n begin below x."""
+    return [math.comb(n, k) - math.comb(n - x, k) for x in range(n + 1)]
+
+
+def unrank(numbers: np.ndarray | list[int], n: int, k: int) -> np.ndarray:
+    """The combinations of k of n with these lexicographic numbers, a row each; all at once, by binary search in the counts of what begins with each element.
+    Where the counts exceed 64 bits, one at a time with integers of any size."""
+    if math.comb(n, k) > EXACT:
+        return np.array([_unrank_one(int(x), n, k) for x in numbers], np.int64).reshape(-1, k)
     rest = np.asarray(numbers, np.int64).copy()
     out = np.empty((len(rest), k), np.int64)
     low = np.zeros(len(rest), np.int64)
     for i in range(k):
-        left = k - i - 1
-        # ways that begin below x among 0 .. n-1: C(n, left+1) - C(n-x, left+1)
-        table = np.array([math.comb(n, left + 1) - math.comb(n - x, left + 1) for x in range(n + 1)], np.float64 if math.comb(n, left + 1) > 2**62 else np.int64)
+        table = np.array(_below(n, k - i), np.int64)
         want = rest + table[low]
         x = np.searchsorted(table, want, side="right") - 1
         out[:, i] = x
@@ -56,6 +67,57 @@ def unrank(numbers: np.ndarray, n: int, k: int) -> np.ndarray:
     return out
 
 
+def _unrank_one(number: int, n: int, k: int) -> list[int]:
+    out, low = [], 0
+    for i in range(k):
+        table = _below(n, k - i)
+        want = number + table[low]
+        x = bisect_right(table, want) - 1
+        out.append(x)
+        number, low = want - table[x], x + 1
+    return out
+
+
+def ranges(low: int, high: int, n: int, k: int, before: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], int, int, int]]:
+    """The numbers low .. high - 1 of the combinations of k of n as ranges whose counts stay within 64 bits: (first elements, low and high among the combinations that go on, the first number of all).
+    What goes on after first elements p is chosen of the n - p[-1] - 1 elements behind the last."""
+    m = n - before[-1] - 1 if before else n
+    left = k - len(before)
+    size = math.comb(m, left)
+    if size <= EXACT or left <= 1:
+        if low < high:
+            yield before, low, high, 0
+        return
+    first, table = n - m, _below(m, left)
+    x = max(0, bisect_right(table, low) - 1)
+    while x < m and table[x] < high:
+        a, b = max(low - table[x], 0), min(high, table[x + 1]) - table[x]
+        if a < b:
+            for p, lo, hi, base in ranges(a, b, n, k, (*before, first + x)):
+                yield p, lo, hi, base + table[x]
+        x += 1
+
+
+def combinations(spark: SparkSession, n: int, k: int, low: int, high: int) -> DataFrame:
+    """number, combination (its elements, joined by spaces) of the combinations of k of n numbered low .. high - 1, unranked where they are."""
+    ship_package(spark)
+    out = None
+    for first, lo, hi, base in ranges(low, high, n, k):
+        behind = first[-1] + 1 if first else 0
+
+        def run(batches: Iterator[pa.RecordBatch], first=first, lo=lo, base=base, behind=behind) -> Iterator[pa.RecordBatch]:
+            import decimal
+
+            for b in batches:
+                local = b.column(0).to_numpy() + lo
+                rest = unrank(local, n - behind, k - len(first)) + behind
+                yield pa.record_batch([pa.array([decimal.Decimal(base + i) for i in local.tolist()], pa.decimal128(38, 0)), pa.array([" ".join(map(str, [*first, *r])) for r in rest.tolist()])], ["number", "combination"])
+
+        part = spark.range(0, hi - lo).mapInArrow(run, "number decimal(38,0), combination string")
+        out = part if out is None else out.unionAll(part)
+    return out if out is not None else spark.createDataFrame([], "number decimal(38,0), combination string")
+
+
 def rank(combination: list[int], n: int) -> int:
     """The lexicographic number of a combination."""
     k, out, before = len(combination), 0, -1
@@ -196,12 +258,42 @@ def score(setup: Setup, combos: np.ndarray, least: int, stacking: bool, sizing:
 RESULT = "combo_id decimal(38,0), depth int, features array<int>, combination string, mask_hits long, trades long, wins long, losses long, label_hits long, win_rate double, total_return double, max_drawdown double, final_capital double, total_return_pct double, cagr_pct double, max_drawdown_pct_equity double, calmar_ratio double"
 
 
+def _range(spark: SparkSession, shared, names: list[str], first: tuple[int, ...], k: int, low: int, high: int, base: int, least: int, max_drawdown: float, stacking: bool, sizing: Sizing, partitions: int | None) -> DataFrame:
+    """Score the combinations of depth k that begin with ``first`` and go on with those numbered low .. high - 1, whose global numbers are ``base`` and these."""
+    import decimal
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        live = np.bitwise_count(s.words).sum(axis=1) >= least
+        rows = max(16, 8_000_000 // max(s.bars, 1))
+        behind = first[-1] + 1 if first else 0
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                local = b.column(0).slice(at, rows).to_numpy() + low
+                combos = unrank(local, len(s.names) - behind, k - len(first)) + behind
+                if first:
+                    combos = np.concatenate((np.tile(np.array(first, np.int64), (len(combos), 1)), combos), axis=1)
+                ok = allowed(combos, s) & live[combos].all(axis=1)
+                local, combos = local[ok], combos[ok]
+                if not len(local):
+                    continue
+                who, m = score(s, combos, least, stacking, sizing)
+                good = m["max_drawdown"] <= max_drawdown
+                who, m = who[good], {x: v[good] for x, v in m.items()}
+                m["combo_id"] = [decimal.Decimal(base + i) for i in local[who].tolist()]
+                m["depth"] = np.full(len(who), k)
+                m["features"] = combos[who].tolist()
+                m["combination"] = [" && ".join(s.names[x] for x in c) for c in m["features"]]
+                kinds = [pa.decimal128(38, 0), pa.int32(), pa.list_(pa.int32()), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 8]
+                yield pa.record_batch([pa.array(m[c], t) for c, t in zip(names, kinds)], names)
+
+    return spark.range(0, high - low, 1, partitions or max(1, min(2 * spark.sparkContext.defaultParallelism, -(-(high - low) // 2_000)))).mapInArrow(run, RESULT)
+
+
 def evaluate(spark: SparkSession, setup: Setup, depth: int, least: int = 1, max_drawdown: float = math.inf, stacking: bool = False, sizing: Sizing | None = None, start: int = 0, stop: int | None = None, partitions: int | None = None) -> DataFrame:
     """Score the combinations numbered ``start`` to ``stop``: those with ``least`` trades and a drawdown within the cap, under their true global numbers.
 
-    A depth is one range; numbers of any size are split on the driver, so a range counts from 0 within 64 bits."""
-    import decimal
-
+    A depth is one range, or where its numbers exceed 64 bits a range for each of some first elements; a range counts from 0."""
     ship_package(spark)
     n, sizing = len(setup.names), sizing or Sizing()
     shared = spark.sparkContext.broadcast(setup)
@@ -215,30 +307,9 @@ def evaluate(spark: SparkSession, setup: Setup, depth: int, least: int = 1, max_
         if low >= high:
             continue
 
-        def run(batches: Iterator[pa.RecordBatch], k=k, low=low, base=base) -> Iterator[pa.RecordBatch]:
-            s = shared.value
-            live = np.bitwise_count(s.words).sum(axis=1) >= least
-            rows = max(16, 8_000_000 // max(s.bars, 1))
-            for b in batches:
-                for at in range(0, b.num_rows, rows):
-                    local = b.column(0).slice(at, rows).to_numpy() + low
-                    combos = unrank(local, len(s.names), k)
-                    ok = allowed(combos, s) & live[combos].all(axis=1)
-                    local, combos = local[ok], combos[ok]
-                    if not len(local):
-                        continue
-                    who, m = score(s, combos, least, stacking, sizing)
-                    good = m["max_drawdown"] <= max_drawdown
-                    who, m = who[good], {x: v[good] for x, v in m.items()}
-                    m["combo_id"] = [decimal.Decimal(base + i) for i in local[who].tolist()]
-                    m["depth"] = np.full(len(who), k)
-                    m["features"] = combos[who].tolist()
-                    m["combination"] = [" && ".join(s.names[x] for x in c) for c in m["features"]]
-                    kinds = [pa.decimal128(38, 0), pa.int32(), pa.list_(pa.int32()), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 8]
-                    yield pa.record_batch([pa.array(m[c], t) for c, t in zip(names, kinds)], names)
-
-        part = spark.range(0, high - low, 1, partitions or max(1, min(2 * spark.sparkContext.defaultParallelism, -(-(high - low) // 2_000)))).mapInArrow(run, RESULT)
-        out = part if out is None else out.unionAll(part)
+        for first, lo, hi, offset in ranges(low, high, n, k):
+            part = _range(spark, shared, names, first, k, lo, hi, base + offset, least, max_drawdown, stacking, sizing, partitions)
+            out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], RESULT) if out is None else out
 
 

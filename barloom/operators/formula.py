@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import yes
 from ..functions.window import whole
 from .combine import trade_columns
-from .metrics import Sizing, full_metrics
+from .metrics import Sizing, capital_path, full_metrics
 
 #: The order in which operators are looked for.
 OPERATORS = ("<=", ">=", "==", "!=", "<", ">", "=")
@@ -34,14 +34,14 @@ class Formula:
 
 
 def parse(text: str, rank: int = 1) -> Formula:
-    """Clauses joined by &&; without an operator a clause is a flag. There is no OR and no parenthesis."""
+    """Clauses joined by &&; without an operator a clause is a flag, and an empty clause is passed over. There is no OR and no parenthesis."""
     if "||" in text or "(" in text or ")" in text:
         raise ValueError(f"only && joins clauses: {text}")
     out = []
     for part in text.split("&&"):
         part = part.strip()
         if not part:
-            raise ValueError(f"empty clause in: {text}")
+            continue
         op = next((o for o in OPERATORS if o in part), "")
         if not op:
             out.append(Clause(part))
@@ -50,6 +50,8 @@ def parse(text: str, rank: int = 1) -> Formula:
         if not left or not right:
             raise ValueError(f"incomplete clause: {part}")
         out.append(Clause(left, "==" if op == "=" else op, right))
+    if not out:
+        raise ValueError(f"no clause in: {text}")
     return Formula(rank, " && ".join(f"{c.left}{c.op}{c.right}" for c in out), tuple(out))
 
 
@@ -108,46 +110,88 @@ profit_factor double, avg_winning_rr double, avg_losing_rr double, win_loss_rati
 max_consecutive_losses long, avg_loss_streak double, median_rr double, p05_rr double, p95_rr double, sample_quality string, total_return_dollar double, max_drawdown_dollar double, expectancy_dollar double, sharpe_equity double, sortino_equity double""".replace("\n", " ")
 
 
-def hits(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, **options) -> DataFrame:
-    """A row for each bar and formula that it meets, with the trade columns: one pass over the bars for all formulas."""
+def hits(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, keep: list[str] | None = None, **options) -> DataFrame:
+    """A row for each bar and formula that it meets, with the trade columns and those of ``keep``: one pass over the bars for all formulas."""
     cols = trade_columns(target, cost, **options)
     met = F.array_compact(F.array(*[F.when(condition(f, df.columns), F.lit(i)) for i, f in enumerate(formulas)]))
-    return df.select("series_id", "bar_idx", "ts", *[c.alias(k) for k, c in cols.items()], F.explode(met).alias("formula_id"))
+    return df.select("series_id", "bar_idx", "ts", *(keep or []), *[c.alias(k) for k, c in cols.items()], F.explode(met).alias("formula_id"))
 
 
-def evaluate_window(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, stacking: bool = False, sizing: Sizing | None = None, **options) -> DataFrame:
-    """Full metrics of each formula in a window: rank, formula, mask_hits, trades, label_hits, density, recall and METRICS. A formula without a hit has zeros."""
-    spark, sizing = df.sparkSession, sizing or Sizing()
-    n = F.lit(df.count())
+def trades_of(met: DataFrame, keys: list[str], stacking: bool) -> DataFrame:
+    """The hits that become trades: all that pass the gate if they may overlap, else for each of ``keys`` and each series the first, then always the first at or after the last one's exit."""
+    rows = met.where("_gate").drop("_gate")
+    if stacking:
+        return rows
+
+    def choose(table: pa.Table) -> pa.Table:
+        t = table.sort_by("bar_idx")
+        bars = t.column("bar_idx").to_numpy()
+        exits = t.column("_exit").fill_null(-1).to_numpy()
+        then = np.searchsorted(bars, np.where(exits >= bars, exits, bars + 1)).tolist()
+        took, i = [], 0
+        while i < len(then):
+            took.append(i)
+            i = max(then[i], i + 1)
+        return t.take(took)
+
+    return rows.groupBy(*keys, "series_id").applyInArrow(choose, rows.schema)
+
+
+def _scored(trades: DataFrame, keys: list[str], sizing: Sizing | list[Sizing]) -> DataFrame:
+    """keys, trades, label_hits and METRICS; trades count in the order of their series and bars. A list of sizings goes by the key ``scenario``."""
     kinds = dict(x.split() for x in METRICS.split(", "))
-    names = ["formula_id", "mask_hits", "trades", "label_hits", *kinds]
+    own = {f.name: f.dataType.simpleString() for f in trades.select(*keys).schema}
+    arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64()}
+    types = {**{k: arrow[t] for k, t in own.items()}, "trades": pa.int64(), "label_hits": pa.int64(), **{k: arrow[t] for k, t in kinds.items()}}
 
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by([("series_id", "ascending"), ("bar_idx", "ascending")])
-        gate = np.array(t.column("_gate").to_pylist(), bool)
-        bars = t.column("bar_idx").to_numpy()
-        exits = np.array([-1 if x is None else x for x in t.column("_exit").to_pylist()], np.int64)
-        rr = np.array([np.nan if x is None else x for x in t.column("_reward").to_pylist()], np.float64)
-        risk = np.array([np.nan if x is None else x for x in t.column("_risk").to_pylist()], np.float64)
-        label = np.array(t.column("_label").to_pylist(), bool)
-        at = np.flatnonzero(gate)
-        if not stacking and len(at):
-            free, took = -1, []
-            for i in at.tolist():
-                if bars[i] >= free:
-                    took.append(i)
-                    free = exits[i] if exits[i] >= bars[i] else bars[i] + 1
-            at = np.array(took, np.int64)
-        m = full_metrics(rr[at], sizing, risk[at])
-        row = {"formula_id": t.column("formula_id")[0].as_py(), "mask_hits": len(gate), "trades": len(at), "label_hits": int(label[at].sum()), **m}
-        return pa.table({k: pa.array([row[k]], pa.string() if kinds.get(k) == "string" else pa.float64() if kinds.get(k) == "double" else pa.int32() if k == "formula_id" else pa.int64()) for k in names})
-
-    schema = "formula_id int, mask_hits long, trades long, label_hits long, " + METRICS
-    scored = hits(df, formulas, target, cost, **options).drop("ts").groupBy("formula_id").applyInArrow(run, schema)
-    base = spark.createDataFrame([(i, f.rank, f.expression) for i, f in enumerate(formulas)], "formula_id int, source_rank int, formula string")
+        number = lambda c: t.column(c).fill_null(np.nan).to_numpy()
+        row = {k: t.column(k)[0].as_py() for k in keys}
+        m = full_metrics(number("_reward"), sizing if isinstance(sizing, Sizing) else sizing[row["scenario"]], number("_risk"))
+        row |= {"trades": t.num_rows, "label_hits": int(np.count_nonzero(t.column("_label").to_numpy())), **m}
+        return pa.table({k: pa.array([row[k]], kind) for k, kind in types.items()})
+
+    schema = ", ".join([*[f"{k} {t}" for k, t in own.items()], "trades long", "label_hits long"]) + ", " + METRICS
+    return trades.groupBy(*keys).applyInArrow(run, schema)
+
+
+def evaluate_groups(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, stacking: bool = False, sizing: Sizing | None = None, by: dict[str, Column] | None = None, **options) -> DataFrame:
+    """Full metrics of each formula in each group of bars that ``by`` makes (all bars are one without it), in one pass: source_rank, formula, the columns of ``by``, mask_hits, trades, label_hits, METRICS, bars, density_per_1000, recall_pct.
+    A formula without a hit in a group has zeros there."""
+    by = by or {}
+    df = df.withColumns(by)
+    met = hits(df, formulas, target, cost, keep=[*by], **options).drop("ts")
+    keys = ["formula_id", *by]
+    scored = _scored(trades_of(met, keys, stacking), keys, sizing or Sizing()).join(met.groupBy(*keys).agg(F.count("*").alias("mask_hits")), keys, "full")
+    named = F.array(*[F.struct(F.lit(i).alias("formula_id"), F.lit(f.rank).alias("source_rank"), F.lit(f.expression).alias("formula")) for i, f in enumerate(formulas)])
+    bars = df.groupBy(*by).agg(F.count("*").alias("bars"))
+    base = bars.select(*by, "bars", F.explode(named).alias("f")).select(*by, "bars", "f.*")
+    kinds = dict(x.split() for x in METRICS.split(", "))
     fill = {k: "poor" if t == "string" else 0 for k, t in kinds.items()}
-    out = base.join(scored, "formula_id", "left").na.fill({**fill, "mask_hits": 0, "trades": 0, "label_hits": 0})
-    return out.withColumns({"bars": n.cast("long"), "density_per_1000": F.when(n > 0, F.col("trades") * 1000.0 / n).otherwise(0.0), "recall_pct": F.when(n > 0, F.col("mask_hits") * 100.0 / n).otherwise(0.0)}).drop("formula_id")
+    out = base.join(scored, keys, "left").na.fill({**fill, "mask_hits": 0, "trades": 0, "label_hits": 0})
+    n = F.col("bars")
+    out = out.withColumns({"density_per_1000": F.when(n > 0, F.col("trades") * 1000.0 / n).otherwise(0.0), "recall_pct": F.when(n > 0, F.col("mask_hits") * 100.0 / n).otherwise(0.0)})
+    return out.select("source_rank", "formula", *by, "mask_hits", "trades", "label_hits", *kinds, "bars", "density_per_1000", "recall_pct")
+
+
+def evaluate_window(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, stacking: bool = False, sizing: Sizing | None = None, **options) -> DataFrame:
+    """Full metrics of each formula over all bars of a window."""
+    return evaluate_groups(df, formulas, target, cost, stacking, sizing, **options)
+
+
+def evaluate_scenarios(df: DataFrame, formulas: list[Formula], target: str, scenarios: list[tuple[str, float, Sizing]], stacking: bool = False) -> DataFrame:
+    """The same under several costs and sizings (name, cost, sizing), over trades that are chosen once: scenario, formula, trades and METRICS."""
+    met = hits(df, formulas, target).drop("ts")
+    costs = F.array(*[F.struct(F.lit(i).alias("scenario"), F.lit(float(c)).alias("cost")) for i, (_, c, _) in enumerate(scenarios)])
+    spread = trades_of(met, ["formula_id"], stacking).withColumn("_s", F.explode(costs)).withColumns({"scenario": F.col("_s.scenario"), "_reward": F.col("_reward") - F.col("_s.cost")}).drop("_s")
+    scored = _scored(spread, ["scenario", "formula_id"], [z for _, _, z in scenarios])
+    named = [(k, name, i, f.rank, f.expression) for k, (name, _, _) in enumerate(scenarios) for i, f in enumerate(formulas)]
+    base = df.sparkSession.createDataFrame(named, "id int, scenario_name string, formula_id int, source_rank int, formula string").withColumnRenamed("id", "scenario")
+    kinds = dict(x.split() for x in METRICS.split(", "))
+    fill = {k: "poor" if t == "string" else 0 for k, t in kinds.items()}
+    out = base.join(scored, ["scenario", "formula_id"], "left").na.fill({**fill, "trades": 0, "label_hits": 0})
+    return out.drop("scenario", "formula_id").withColumnRenamed("scenario_name", "scenario")
 
 
 def rank_window(results: DataFrame, by: str, ties: str) -> DataFrame:
@@ -157,12 +201,7 @@ def rank_window(results: DataFrame, by: str, ties: str) -> DataFrame:
 
 def by_year(df: DataFrame, formulas: list[Formula], target: str, **options) -> DataFrame:
     """Full metrics for each formula and calendar year."""
-    years = [r[0] for r in df.select(F.year("ts")).distinct().orderBy(F.year("ts")).collect()]
-    out = None
-    for y in years:
-        part = evaluate_window(df.where(F.year("ts") == y), formulas, target, **options).withColumn("year", F.lit(y))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return evaluate_groups(df, formulas, target, by={"year": F.year("ts")}, **options)
 
 
 def frs(yearly: DataFrame, least: int = 30, alpha: float = 2.0, beta: float = 2.0, gamma: float = 1.0, delta: float = 1.0) -> DataFrame:
@@ -192,24 +231,15 @@ def buy_and_hold(df: DataFrame) -> DataFrame:
 
 
 def equity_curve(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, stacking: bool = False, sizing: Sizing | None = None) -> DataFrame:
-    """formula_id, trade_no, series_id, bar_idx, rr, equity_r, capital: a row for each trade of each formula."""
-    from .metrics import capital_path
-
+    """formula_id, trade_no, series_id, bar_idx, rr, equity_r, capital: a row for each trade of each formula, in the order of series and bars."""
     sizing = sizing or Sizing()
 
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by([("series_id", "ascending"), ("bar_idx", "ascending")])
-        gate, bars = np.array(t.column("_gate").to_pylist(), bool), t.column("bar_idx").to_numpy()
-        exits = np.array([-1 if x is None else x for x in t.column("_exit").to_pylist()], np.int64)
-        free, took = -1, []
-        for i in np.flatnonzero(gate).tolist():
-            if stacking or bars[i] >= free:
-                took.append(i)
-                free = exits[i] if exits[i] >= bars[i] else bars[i] + 1
-        got = t.take(took)
-        rr = np.array(got.column("_reward").to_pylist(), np.float64)
-        return pa.table({"formula_id": got.column("formula_id"), "trade_no": pa.array(np.arange(len(took)), pa.int64()), "series_id": got.column("series_id"), "bar_idx": got.column("bar_idx"), "rr": pa.array(rr), "equity_r": pa.array(np.cumsum(rr)), "capital": pa.array(capital_path(rr, sizing)[1:])})
-
-    return hits(df, formulas, target, cost).drop("ts").groupBy("formula_id").applyInArrow(run, "formula_id int, trade_no long, series_id string, bar_idx long, rr double, equity_r double, capital double")
-
+        number = lambda c: t.column(c).fill_null(np.nan).to_numpy()
+        rr = number("_reward")
+        no = pa.array(np.arange(t.num_rows), pa.int64())
+        return pa.table({"formula_id": t.column("formula_id"), "trade_no": no, "series_id": t.column("series_id"), "bar_idx": t.column("bar_idx"), "rr": pa.array(rr), "equity_r": pa.array(np.cumsum(rr)), "capital": pa.array(capital_path(rr, sizing, number("_risk"))[1:])})
 
+    met = hits(df, formulas, target, cost).drop("ts")
+    return trades_of(met, ["formula_id"], stacking).groupBy("formula_id").applyInArrow(run, "formula_id int, trade_no long, series_id string, bar_idx long, rr double, equity_r double, capital double")

@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,20 @@ def quality(n: int) -> str:
     return "excellent" if n >= 100 else "good" if n >= 50 else "fair" if n >= 30 else "poor"
 
 
+def quality_column(n: Column) -> Column:
+    """The same of a column of counts."""
+    return F.when(n >= 100, "excellent").when(n >= 50, "good").when(n >= 30, "fair").otherwise("poor")
+
+
+def spread_of(df: DataFrame, value: str) -> DataFrame:
+    """n, median_rr, p05_rr, p95_rr of a column, as ``spread`` gives them."""
+    n = df.count()
+    if not n:
+        return df.sparkSession.createDataFrame([(0, 0.0, 0.0, 0.0)], "n long, median_rr double, p05_rr double, p95_rr double")
+    element = lambda share: F.expr(f"percentile_disc({(math.floor((n - 1) * share + 0.5) + 0.5) / n!r}) WITHIN GROUP (ORDER BY `{value}`)")
+    return df.agg(F.count("*").alias("n"), F.median(value).alias("median_rr"), element(0.05).alias("p05_rr"), element(0.95).alias("p95_rr"))
+
+
 def full_metrics(rr: np.ndarray, s: Sizing, risk: np.ndarray | None = None) -> dict[str, float | str]:
     """Core metrics and everything that only reports show."""
     out: dict[str, float | str] = dict(core_metrics(rr, s, risk))

@@ -10,7 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .formula import Formula, evaluate_window
+from .formula import Formula, evaluate_scenarios
 from .metrics import Sizing
 
 
@@ -56,8 +56,8 @@ def decide(pre: DataFrame, post: DataFrame, policy: Policy = Policy(), mode: str
     ]
     if v.max_drawdown_r is not None:
         gates += [_gate(c("pre_max_drawdown") > v.max_drawdown_r, "pre_drawdown_above_limit"), _gate(c("post_max_drawdown") > v.max_drawdown_r, "post_drawdown_above_limit")]
-    if v.min_pre_frs is not None and "frs" in pre.columns:
-        gates.append(_gate(F.coalesce("pre_frs", F.lit(0.0)) <= v.min_pre_frs, "pre_frs_below_floor"))
+    if v.min_pre_frs is not None:  # a missing score counts as 0
+        gates.append(_gate((F.coalesce("pre_frs", F.lit(0.0)) if "frs" in pre.columns else F.lit(0.0)) <= v.min_pre_frs, "pre_frs_below_floor"))
     if v.max_return_degradation is not None:
         gates.append(_gate(there & F.coalesce(ratio < v.max_return_degradation, c("pre_total_return") > 0), "return_degradation_above_limit"))
     if v.max_single_trade_contribution is not None:
@@ -174,8 +174,5 @@ def stress(post: DataFrame, formulas: list[Formula], target: str, cost: float, s
         scenarios += [("one_tick_worse", cost + tick_cost_r, sizing), ("two_ticks_worse", cost + 2 * tick_cost_r, sizing)]
     if sizing.contracts and sizing.most:
         scenarios.append(("half_contracts", cost, replace(sizing, most=max(1, sizing.most // 2))))
-    out = None
-    for name, c, s in scenarios:
-        part = evaluate_window(post, formulas, target, c, stacking, s).select(F.lit(name).alias("scenario"), "formula", "trades", "total_return", "expectancy", "max_drawdown")
-        out = part if out is None else out.unionByName(part)
+    out = evaluate_scenarios(post, formulas, target, scenarios, stacking).select("scenario", "formula", "trades", "total_return", "expectancy", "max_drawdown")
     return out.withColumn("passed", (F.col("total_return") > min_total_r) & (F.col("expectancy") > min_expectancy))

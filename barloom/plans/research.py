@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import recurrence as R
 from ..functions import window as W
 from ..functions.scalar import yes
-from ..operators import backtest, catalog, combine, formula, selection, store, targets
+from ..operators import backtest, catalog, combine, formula, metrics, selection, store, targets
 from ..operators.features import features
 from ..operators.metrics import Sizing
 from ..sources import bars as B
@@ -133,6 +133,19 @@ def slice_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"prev_green": W.shifted(c("is_green")), "rr_t": F.when(c("_r").isNull(), F.lit(float("nan"))).otherwise(F.round("_r", 6)), "t": yes(c("_r") > 0), "t_eligible": c("_r").isNotNull()}).drop("_r")
 
 
+def held_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all kinds of bars, with trades that last three bars, so that they overlap; a series each."""
+    df = all_bars(spark, sf_dir)
+    green = yes(c("close") > c("open"))
+    nxt, span = F.lead(c("close") - c("open")).over(W.along()), W.sma(c("high") - c("low"), 14)
+    df = df.withColumns({"is_green": green, "higher_high": W.changes(c("high")), "higher_low": W.changes(c("low")), "above_sma": yes(c("close") > W.sma(c("close"), 20)), "_r": F.when(span > 0, nxt / span), "t_exit_i": c("bar_idx") + 3})
+    return df.withColumns({"prev_green": W.shifted(c("is_green")), "rr_t": F.when(c("_r").isNull(), F.lit(float("nan"))).otherwise(F.round("_r", 6)), "t": yes(c("_r") > 0), "t_eligible": c("_r").isNotNull()}).drop("_r")
+
+
+def held_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_frame(spark, sf_dir).where("series_id = 'events'")
+
+
 _SLICE = f"""{HOUR}, x AS (SELECT *, {', '.join(f'{s} AS {k}' for k, s in FLAGS.items())}, lead(close - open) {ALONG} AS nxt, CASE WHEN count(*) {w(14)} = 14 THEN avg(high - low) {w(14)} END AS span FROM b),
 y AS (SELECT *, round(CASE WHEN span > 0 THEN nxt / span END, 6) AS rr FROM x)"""
 PREDICATES = [catalog.Predicate(k, k) for k in sorted(FLAGS)]
@@ -147,6 +160,51 @@ def depth_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.orderBy(F.desc("total_return"), "combination").limit(20)
 
 
+#: the same, over all bars or the hourly ones, for trades that may not overlap
+_HELD = _SLICE.replace(HOUR, BARS)
+_HELD_ONE = _SLICE
+
+
+def took_sql(frame: str, hits: list[tuple[str, str]], stacking: bool = False, days: bool = False) -> str:
+    """CTEs that end with tk (combination, series_id, bar_idx, rr): the trades of named conditions over a frame y; not overlapping, for three bars each."""
+    p = " UNION ALL ".join(f"SELECT '{n}' AS combination, series_id, bar_idx, rr{', ts' if days else ''} FROM y WHERE {x}" for n, x in hits)
+    more = "year(ts)" if days else "0"
+    head = f"{frame}, p AS ({p}), pt AS (SELECT combination, series_id, bar_idx, rr, {more} AS grp FROM p WHERE rr IS NOT NULL)"
+    if stacking:
+        return f"{head}, tk AS (SELECT * FROM pt)"
+    return f"""{head}, ch(combination, series_id, grp, bar_idx) AS (SELECT combination, series_id, grp, min(bar_idx) FROM pt GROUP BY 1, 2, 3
+  UNION ALL SELECT ch.combination, ch.series_id, ch.grp, min(pt.bar_idx) FROM ch JOIN pt ON pt.combination = ch.combination AND pt.series_id = ch.series_id AND pt.grp = ch.grp AND pt.bar_idx >= ch.bar_idx + 3 GROUP BY 1, 2, 3),
+tk AS (SELECT pt.* FROM ch JOIN pt ON pt.combination = ch.combination AND pt.series_id = ch.series_id AND pt.grp = ch.grp AND pt.bar_idx = ch.bar_idx)"""
+
+
+def metrics_sql(source: str = "tk", keys: str = "combination", years: str = "1.0") -> str:
+    """CTEs over trades (keys, series_id, bar_idx, rr) that end with mt: keys and all metrics of a capital of 100,000 at 1 % risk."""
+    part, order = f"PARTITION BY {keys}", "ORDER BY series_id, bar_idx"
+    k = [x.strip() for x in keys.split(",")]
+    same = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in k)
+    return f"""m1 AS (SELECT *, row_number() OVER ({part} {order}) AS i, sum(rr) OVER ({part} {order}) AS eq, 100000 * exp(sum(ln(1 + rr / 100)) OVER ({part} {order})) AS cap, sign(rr) AS sg FROM {source}),
+m2 AS (SELECT *, greatest(max(eq) OVER ({part} ORDER BY i), 0) AS peak, greatest(max(cap) OVER ({part} ORDER BY i), 100000) AS top, coalesce(lag(cap) OVER ({part} ORDER BY i), 100000) AS was, i - row_number() OVER ({part}, sg ORDER BY i) AS run FROM m1),
+st AS (SELECT {keys}, sg, run, count(*) AS n FROM m2 WHERE sg <> 0 GROUP BY {keys}, sg, run),
+ss AS (SELECT {keys}, coalesce(max(n) FILTER (sg > 0), 0) AS max_consecutive_wins, coalesce(avg(n) FILTER (sg > 0), 0) AS avg_win_streak, coalesce(max(n) FILTER (sg < 0), 0) AS max_consecutive_losses, coalesce(avg(n) FILTER (sg < 0), 0) AS avg_loss_streak FROM st GROUP BY {keys}),
+m3 AS (SELECT {keys}, count(*) AS trades, count(*) FILTER (rr > 0) AS wins, count(*) FILTER (rr < 0) AS losses, sum(rr) AS total_return, max(peak - eq) AS max_drawdown, arg_max(cap, i) AS final_capital, max((top - cap) / top * 100) AS max_drawdown_pct_equity,
+  sum(rr) FILTER (rr > 0) AS won, -sum(rr) FILTER (rr < 0) AS lost, avg(rr) FILTER (rr > 0) AS aw, -avg(rr) FILTER (rr < 0) AS al, greatest(max(rr), 0) AS largest_win, greatest(-min(rr), 0) AS largest_loss,
+  sqrt(sum(CASE WHEN peak >= 2.220446049250313e-16 THEN power((eq - peak) / (peak + 2.220446049250313e-16) * 100, 2) ELSE 0 END) / count(*)) AS ulcer_index, avg(eq - peak) AS pain, list_sort(list(rr)) AS r, max(top - cap) AS max_drawdown_dollar,
+  avg(cap / was - 1) AS mean_ret, avg(power(cap / was - 1, 2)) AS sq_ret, sqrt(avg(power(cap / was - 1, 2)) FILTER (cap < was)) AS down FROM m2 GROUP BY {keys}),
+m4 AS (SELECT *, (final_capital / 100000 - 1) * 100 AS total_return_pct, (power(final_capital / 100000, 1 / {years}) - 1) * 100 AS cagr_pct, sqrt(greatest(sq_ret - mean_ret * mean_ret, 0)) AS sd, sqrt(trades / {years}) AS scale FROM m3),
+mt AS (SELECT {', '.join(f'm4.{x}' for x in k)}, trades, wins, losses, wins * 100.0 / trades AS win_rate, total_return, max_drawdown, final_capital, total_return_pct, cagr_pct, max_drawdown_pct_equity, CASE WHEN max_drawdown_pct_equity > 0 THEN cagr_pct / max_drawdown_pct_equity WHEN cagr_pct > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS calmar_ratio,
+  total_return / trades AS expectancy, CASE WHEN lost > 0 THEN coalesce(won, 0) / lost WHEN won > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS profit_factor, coalesce(aw, 0) AS avg_winning_rr, coalesce(-al, 0) AS avg_losing_rr, CASE WHEN al > 0 THEN coalesce(aw, 0) / al WHEN aw > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS win_loss_ratio,
+  largest_win, largest_loss, ulcer_index, CASE WHEN pain < 0 THEN total_return / abs(pain) ELSE 0 END AS pain_ratio, ss.* EXCLUDE ({keys}), list_median(r) AS median_rr, r[CAST(floor((trades - 1) * 0.05 + 0.5) AS INTEGER) + 1] AS p05_rr, r[CAST(floor((trades - 1) * 0.95 + 0.5) AS INTEGER) + 1] AS p95_rr,
+  CASE WHEN trades >= 100 THEN 'excellent' WHEN trades >= 50 THEN 'good' WHEN trades >= 30 THEN 'fair' ELSE 'poor' END AS sample_quality, final_capital - 100000 AS total_return_dollar, max_drawdown_dollar, (final_capital - 100000) / trades AS expectancy_dollar,
+  CASE WHEN sd > 0 THEN mean_ret / sd * scale ELSE 0 END AS sharpe_equity, CASE WHEN down > 0 THEN mean_ret / down * scale WHEN mean_ret > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS sortino_equity FROM m4 LEFT JOIN ss ON {same('ss', 'm4')})"""
+
+
+METRIC_KINDS = dict(x.split() for x in formula.METRICS.split(", "))
+
+
+def rounded_sql(digits: int = 4) -> str:
+    return ", ".join(f"CAST({k} AS BIGINT) AS {k}" if t == "long" else f"round({k}, {digits}) AS {k}" if t == "double" else k for k, t in METRIC_KINDS.items())
+
+
 _ONE = " UNION ALL ".join(f"SELECT '{k}' AS combination, CAST(count(*) AS BIGINT) AS mask_hits, CAST(count(rr) AS BIGINT) AS trades, round(sum(rr), 4) AS total_return, round(avg(CASE WHEN rr > 0 THEN 1.0 WHEN rr IS NOT NULL THEN 0.0 END) * 100, 4) AS win_rate FROM y WHERE {k}" for k in FLAGS)
 put("flagship_depth1", depth_one, f"WITH {_SLICE} SELECT * FROM ({_ONE}) ORDER BY total_return DESC, combination LIMIT 20")
 put("c13_support", lambda s, d: s.createDataFrame([(k, a, g) for k, (a, g, _) in catalog.supports(slice_frame(s, d), PREDICATES, c("t_eligible")).items()], "name string, hits long, gated long"),
@@ -172,8 +230,25 @@ e AS (SELECT combination, bar_idx, rr, sum(rr) OVER (PARTITION BY combination OR
 f AS (SELECT *, eq - greatest(max(eq) OVER (PARTITION BY combination ORDER BY bar_idx), 0) AS dd FROM e),
 h AS (SELECT combination, count(*) AS mask_hits FROM p GROUP BY 1)
 SELECT h.combination, mask_hits, count(*) AS trades, CAST(count(*) FILTER (rr > 0) AS BIGINT) AS wins, CAST(count(*) FILTER (rr < 0) AS BIGINT) AS losses, round(sum(rr), 4) AS total_return, round(abs(min(dd)), 4) AS max_drawdown FROM f JOIN h ON h.combination = f.combination GROUP BY h.combination, mask_hits""")
-put("a09_evaluate_no_stacking", lambda s, d: _round(_evaluated(s, d, 3, False), 6), None)
-put("n03_unrank", lambda s, d: s.createDataFrame([(i, x.tolist()) for i, x in enumerate(combine.unrank(__import__("numpy").arange(120), 10, 3))], "n long, combination array<int>"), None)
+
+
+CORE = ["wins", "losses", "win_rate", "total_return", "max_drawdown", "final_capital", "total_return_pct", "cagr_pct", "max_drawdown_pct_equity", "calmar_ratio"]
+
+
+def _core_sql(depth: int, stacking: bool) -> str:
+    core = ", ".join(f"CAST({k} AS BIGINT) AS {k}" if k in ("wins", "losses") else f"round({k}, 4) AS {k}" for k in CORE)
+    return f"WITH RECURSIVE {took_sql(_HELD_ONE, _combos_sql(depth), stacking)}, {metrics_sql()}, h AS (SELECT combination, count(*) AS mask_hits FROM p GROUP BY 1) SELECT mt.combination, CAST(mask_hits AS BIGINT) AS mask_hits, CAST(trades AS BIGINT) AS trades, {core} FROM mt JOIN h ON h.combination = mt.combination"
+
+
+def _core(spark: SparkSession, sf_dir: str, stacking: bool) -> DataFrame:
+    setup = combine.prepare(held_one(spark, sf_dir), PREDICATES, combine.trade_columns("t"))
+    return _round(combine.evaluate(spark, setup, 3, 1, stacking=stacking).select("combination", "mask_hits", "trades", *CORE))
+
+
+put("a09_evaluate_no_stacking", lambda s, d: _core(s, d, False), _core_sql(3, False))
+put("a12_equity_metrics", lambda s, d: _core(s, d, True), _core_sql(3, True))
+put("n03_unrank", lambda s, d: combine.combinations(s, 12, 4, 100, 400).select(c("number").cast("long").alias("number"), "combination"), """WITH i(x) AS (SELECT unnest(range(12))), q AS (SELECT a.x AS a, b.x AS b, c.x AS c, d.x AS d, row_number() OVER (ORDER BY a.x, b.x, c.x, d.x) - 1 AS number FROM i a JOIN i b ON b.x > a.x JOIN i c ON c.x > b.x JOIN i d ON d.x > c.x)
+SELECT CAST(number AS BIGINT) AS number, a || ' ' || b || ' ' || c || ' ' || d AS combination FROM q WHERE number >= 100 AND number < 400""")
 put("n01_count", lambda s, d: s.createDataFrame([(k, combine.total(10, k)) for k in range(1, 6)], "depth int, n long"), "WITH RECURSIVE f(k, b) AS (SELECT 1, 10 UNION ALL SELECT k + 1, b * (10 - k) // (k + 1) FROM f WHERE k < 5) SELECT k AS depth, CAST(sum(b) OVER (ORDER BY k) AS BIGINT) AS n FROM f")
 put("q01_top_results", lambda s, d: _round(store.top_results(_evaluated(s, d, 2, True), 5, 10, rank_by="total_return").select("combination", "trades", "total_return")),
     f"WITH {_SLICE}, p AS (" + " UNION ALL ".join(f"SELECT '{n}' AS combination, count(rr) AS trades, sum(rr) AS t FROM y WHERE {x}" for n, x in _combos_sql(2)) + ") SELECT combination, trades, round(t, 4) AS total_return FROM p WHERE trades >= 10 ORDER BY t DESC, combination LIMIT 5")
@@ -182,8 +257,36 @@ put("q01_top_results", lambda s, d: _round(store.top_results(_evaluated(s, d, 2,
 FORMULAS = formula.parse_lines("Rank 1: is_green && higher_high\nRank 2: higher_low && close>open\nclose>100.5 && open<=90\n# none\nRank 9: above_sma")
 put("x02_hits", lambda s, d: formula.hits(slice_frame(s, d), FORMULAS, "t").groupBy("formula_id").agg(F.count("*").alias("hits"), F.count_if("_gate").alias("gated")),
     f"WITH {_SLICE} " + " UNION ALL ".join(f"SELECT {i} AS formula_id, count(*) AS hits, count(rr) AS gated FROM y WHERE {x}" for i, x in enumerate(("is_green AND higher_high", "higher_low AND close > open", "close > 100.5 AND open <= 90", "above_sma"))))
-put("x07_evaluate_window", lambda s, d: _round(formula.evaluate_window(slice_frame(s, d), FORMULAS, "t"), 6), None)
-put("x09_by_year_frs", lambda s, d: _round(formula.frs(formula.by_year(slice_frame(s, d).withColumn("ts", F.date_add(F.to_date("ts"), (c("bar_idx") % 900).cast("int")).cast("timestamp")), FORMULAS, "t"))), None)
+_CONDITIONS = [("is_green && higher_high", "is_green AND higher_high"), ("higher_low && close>open", "higher_low AND close > open"), ("close>100.5 && open<=90", "close > 100.5 AND open <= 90"), ("above_sma", "above_sma")]
+
+
+def _full_sql(frame: str, stacking: bool = False) -> str:
+    zero = ", ".join("CAST(0 AS BIGINT)" if t == "long" else "0.0" if t == "double" else "'poor'" for t in METRIC_KINDS.values())
+    names = "(VALUES " + ", ".join(f"('{n}')" for n, _ in _CONDITIONS) + ") AS v(formula)"
+    filled = ", ".join(f"coalesce(q.{k}, {z}) AS {k}" for k, z in zip(METRIC_KINDS, zero.split(", ")))
+    return f"""WITH RECURSIVE {took_sql(frame, _CONDITIONS, stacking)}, {metrics_sql()}, h AS (SELECT combination, count(*) AS n FROM p GROUP BY 1), q AS (SELECT combination, CAST(trades AS BIGINT) AS trades, {rounded_sql()} FROM mt)
+SELECT v.formula, CAST(coalesce(h.n, 0) AS BIGINT) AS mask_hits, coalesce(q.trades, 0) AS trades, {filled} FROM {names} LEFT JOIN q ON q.combination = v.formula LEFT JOIN h ON h.combination = v.formula"""
+
+
+put("x07_evaluate_window", lambda s, d: _round(formula.evaluate_window(held_one(s, d), FORMULAS, "t").select("formula", "mask_hits", "trades", *METRIC_KINDS)), _full_sql(_HELD_ONE))
+put("x07_many_series", lambda s, d: _round(formula.evaluate_window(held_frame(s, d), FORMULAS, "t").select("formula", "mask_hits", "trades", *METRIC_KINDS)), _full_sql(_HELD))
+
+
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_frame(spark, sf_dir).where("series_id = 'orders'")
+
+
+_YEARS = _HELD.replace("FROM b), y AS", "FROM b WHERE series_id = 'orders'), y AS").replace("FROM b),\ny AS", "FROM b WHERE series_id = 'orders'),\ny AS")
+_YEARLY = f"""{took_sql(_YEARS, [c_ for c_ in _CONDITIONS if c_[0] != 'close>100.5 && open<=90'], days=True)}, {metrics_sql(keys='combination, grp')}"""
+SOME = [f for f in FORMULAS if "100.5" not in f.expression]
+put("x09_by_year", lambda s, d: _round(formula.by_year(_years(s, d), SOME, "t").where("trades > 0").select("formula", "year", "trades", *METRIC_KINDS), 6), f"WITH RECURSIVE {_YEARLY} SELECT combination AS formula, CAST(grp AS INTEGER) AS year, CAST(trades AS BIGINT) AS trades, {rounded_sql(6)} FROM mt")
+put("x09_by_year_frs", lambda s, d: _round(formula.frs(formula.by_year(_years(s, d), SOME, "t")).select("formula", "k", "p", "c", "dd_max", "r_median", "n_med", "tail_penalty", "stability", "trade_score", "frs")), f"""WITH RECURSIVE {_YEARLY}, all_years AS (SELECT DISTINCT year(ts) AS grp FROM y),
+w AS (SELECT n.formula AS combination, a.grp, coalesce(mt.total_return, 0) AS r, coalesce(mt.max_drawdown, 0) AS dd, coalesce(mt.trades, 0) AS n FROM (SELECT unnest([{', '.join(f"'{x}'" for x, _ in _CONDITIONS if x != 'close>100.5 && open<=90')}]) AS formula) n CROSS JOIN all_years a LEFT JOIN mt ON mt.combination = n.formula AND mt.grp = a.grp),
+g AS (SELECT combination, count(*) AS k, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS p, median(r / (dd + 1e-9)) AS c, max(dd) AS dd_max, median(dd) AS dd_median, median(r) AS r_median, median(n) AS n_med FROM w GROUP BY 1),
+d AS (SELECT w.combination, median(abs(w.r - g.r_median)) AS mad FROM w JOIN g ON g.combination = w.combination GROUP BY 1),
+f AS (SELECT g.*, 1 / (1 + dd_max / (dd_median + 1e-9)) AS tail_penalty, 1 / (1 + mad / (abs(r_median) + 1e-9)) AS stability, least(n_med / 30, 1) AS trade_score FROM g JOIN d ON d.combination = g.combination)
+SELECT combination AS formula, CAST(k AS BIGINT) AS k, round(p, 4) AS p, round(c, 4) AS c, round(dd_max, 4) AS dd_max, round(r_median, 4) AS r_median, round(n_med, 4) AS n_med, round(tail_penalty, 4) AS tail_penalty, round(stability, 4) AS stability, round(trade_score, 4) AS trade_score,
+round(power(p, 2) * greatest(c, 0) * power(tail_penalty, 2) * stability * trade_score, 4) AS frs FROM f""")
 put("x12_buy_and_hold", lambda s, d: _round(formula.buy_and_hold(all_bars(s, d)).select("series_id", "total_return_pct", "max_drawdown_pct")), f"""WITH {BARS}, p AS (SELECT *, max(close) {ALONG} AS peak FROM b)
 SELECT series_id, round((arg_max(close, bar_idx) / arg_min(close, bar_idx) - 1) * 100, 4) AS total_return_pct, round(max((peak - close) / peak * 100), 4) AS max_drawdown_pct FROM p GROUP BY 1""")
 put("x13_equity_curve", lambda s, d: _round(formula.equity_curve(slice_frame(s, d), FORMULAS[:1], "t", stacking=True).select("trade_no", "bar_idx", "rr", "equity_r"), 3), f"""WITH {_SLICE}, p AS (SELECT bar_idx, rr FROM y WHERE is_green AND higher_high AND rr IS NOT NULL)
@@ -207,18 +310,21 @@ x AS (SELECT CAST((SELECT count(*) FROM range(1, 8) t(i) WHERE date_diff('day',
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = slice_frame(spark, sf_dir).withColumn("block", F.floor(c("bar_idx") / 120).cast("int"))
+    df = slice_frame(spark, sf_dir).withColumn("block", F.floor(c("bar_idx") * 6 / F.count("*").over(W.whole())).cast("int"))
     cols = combine.trade_columns("t")
     d = df.select("block", *[v.alias(k) for k, v in cols.items()], F.explode(F.array_compact(F.array(*[F.when(p.column(), F.lit(p.name)) for p in PREDICATES]))).alias("formula"))
-    return d.groupBy("formula", "block").agg(F.sum(F.when(c("_gate"), c("_reward")).otherwise(0.0)).alias("metric")).where("block < 6")
+    return d.groupBy("formula", "block").agg(F.sum(F.when(c("_gate"), c("_reward")).otherwise(0.0)).alias("metric"))
 
 
-put("v06_overfitting", lambda s, d: _round(selection.backtest_overfitting(_blocks(s, d), 6).select("split", "formula", "train_metric", "test_metric", "test_rank", "overfit")), f"""WITH {_SLICE}, g AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS formula, bar_idx // 120 AS block, sum(coalesce(rr, 0)) AS metric FROM y WHERE {k} AND bar_idx < 720 GROUP BY 2" for k in FLAGS) + """),
+put("v06_overfitting", lambda s, d: _round(selection.backtest_overfitting(_blocks(s, d), 6).select("split", "formula", "train_metric", "test_metric", "test_rank", "overfit")), f"""WITH {_SLICE}, g AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS formula, CAST(floor(bar_idx * 6 / bars) AS BIGINT) AS block, sum(coalesce(rr, 0)) AS metric FROM (SELECT *, count(*) OVER () AS bars FROM y) WHERE {k} GROUP BY 2" for k in FLAGS) + """),
 i(x) AS (SELECT unnest(range(6))), c3 AS (SELECT a.x AS a, b.x AS b, d.x AS d, row_number() OVER (ORDER BY a.x, b.x, d.x) - 1 AS split FROM i a JOIN i b ON a.x < b.x JOIN i d ON b.x < d.x),
 s AS (SELECT split, formula, sum(CASE WHEN block IN (a, b, d) THEN metric ELSE 0 END) AS tr, sum(CASE WHEN block NOT IN (a, b, d) THEN metric ELSE 0 END) AS te FROM g, c3 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY tr DESC, formula) AS a, row_number() OVER (PARTITION BY split ORDER BY te DESC, formula) AS t, count(*) OVER (PARTITION BY split) AS n FROM s)
 SELECT CAST(split AS INTEGER) AS split, formula, round(tr, 4) AS train_metric, round(te, 4) AS test_metric, CAST(t AS INTEGER) AS test_rank, ln(greatest(1e-9, least(1 - 1e-9, (n - t + 1) / n)) / (1 - greatest(1e-9, least(1 - 1e-9, (n - t + 1) / n)))) <= 0 AS overfit FROM r WHERE a = 1""")
-put("v10_stress", lambda s, d: _round(selection.stress(slice_frame(s, d), FORMULAS, "t", 0.01, True, Sizing(), 0.02), 6), None)
+_SCENARIOS = [("baseline", 0.01), ("cost_1_5x", 0.015), ("cost_2x", 0.02), ("one_tick_worse", 0.03), ("two_ticks_worse", 0.05)]
+put("v10_stress", lambda s, d: _round(selection.stress(held_one(s, d), SOME, "t", 0.01, False, Sizing(), 0.02), 6), f"""WITH RECURSIVE {took_sql(_HELD_ONE, [x for x in _CONDITIONS if x[0] != 'close>100.5 && open<=90'])}, sc(scenario, cost) AS (VALUES {', '.join(f"('{n}', {v})" for n, v in _SCENARIOS)}),
+tc AS (SELECT combination, scenario, series_id, bar_idx, rr - cost AS rr FROM tk CROSS JOIN sc), {metrics_sql('tc', 'combination, scenario')}
+SELECT scenario, combination AS formula, CAST(trades AS BIGINT) AS trades, round(total_return, 6) AS total_return, round(expectancy, 6) AS expectancy, round(max_drawdown, 6) AS max_drawdown, total_return > 0 AND expectancy > 0 AS passed FROM mt""")
 
 
 def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +340,7 @@ _FLAG_TABLE = "(VALUES " + ", ".join(f"('{k}')" for k in sorted(FLAGS)) + ") AS
 put("n09_subset_prune", _dead, f"""WITH {_SLICE}, pr AS (SELECT * FROM ({_PAIRS}) WHERE gated < 100 AND mask_hits > 0), f AS (SELECT n FROM {_FLAG_TABLE}),
 c AS (SELECT a.n AS a, b.n AS b, d.n AS d FROM f a JOIN f b ON a.n < b.n JOIN f d ON b.n < d.n)
 SELECT a || ' && ' || b || ' && ' || d AS combination FROM c WHERE NOT EXISTS (SELECT 1 FROM pr WHERE (name_a, name_b) IN ((a, b), (a, d), (b, d)))""")
-put("a18_sample_quality", lambda s, d: depth_one(s, d).select("combination", F.when(c("trades") >= 100, "excellent").when(c("trades") >= 50, "good").when(c("trades") >= 30, "fair").otherwise("poor").alias("quality")),
+put("a18_sample_quality", lambda s, d: depth_one(s, d).select("combination", metrics.quality_column(c("trades")).alias("quality")),
     f"WITH {_SLICE} SELECT combination, CASE WHEN trades >= 100 THEN 'excellent' WHEN trades >= 50 THEN 'good' WHEN trades >= 30 THEN 'fair' ELSE 'poor' END AS quality FROM ({_ONE})")
 put("a15_percentiles", lambda s, d: _spread(s, d), f"""WITH {_SLICE}, s AS (SELECT array_agg(rr ORDER BY rr) AS r FROM y WHERE rr IS NOT NULL)
 SELECT CAST(len(r) AS BIGINT) AS n, round(list_median(r), 4) AS median_rr, round(r[CAST(floor((len(r) - 1) * 0.05 + 0.5) AS INTEGER) + 1], 4) AS p05_rr, round(r[CAST(floor((len(r) - 1) * 0.95 + 0.5) AS INTEGER) + 1], 4) AS p95_rr FROM s""")
@@ -242,8 +348,4 @@ SELECT CAST(len(r) AS BIGINT) AS n, round(list_median(r), 4) AS median_rr, round
 
 def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, median and next-element percentiles of all returns."""
-    from ..operators.metrics import spread
-
-    rr = [r[0] for r in slice_frame(spark, sf_dir).where("not isnan(rr_t)").select("rr_t").collect()]  # trades of one formula
-    m, a, b = spread(__import__("numpy").array(rr))
-    return _round(spark.createDataFrame([(len(rr), m, a, b)], "n long, median_rr double, p05_rr double, p95_rr double"))
+    return _round(metrics.spread_of(slice_frame(spark, sf_dir).where("not isnan(rr_t)"), "rr_t"))
