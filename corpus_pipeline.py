@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontam, langid, line_dedup, omh, pieces
-from barloom.llm.common import read, shared_dir
+from barloom.llm.common import delete, read, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over its predecessor's table; the tables before that are deleted when they have been read."""
     docs, home = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
         out.write.parquet(f"{home}/{k}-{name}")
+        if k:
+            delete(spark, f"{home}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.parquet(f"{home}/{k}-{name}")
     return docs
