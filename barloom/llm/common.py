@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package, with_fields
 
 
-__all__ = ["Tables", "claim", "crc_mod", "cut", "marks", "own_prefix", "read", "shared_dir", "text_key", "with_fields"]
+__all__ = ["Tables", "claim", "crc_mod", "cut", "delete", "marks", "own_prefix", "read", "shared_dir", "text_key", "with_fields"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,9 +70,13 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(f"{self.home}/{self.n}")
 
     def __exit__(self, *_: object) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.home)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.home)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def marks(ids: DataFrame, bits: int = 26) -> tuple[int, Broadcast]:

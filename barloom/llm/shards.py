@@ -38,6 +38,8 @@ PAD = 65_535
 LENGTH = 1_024
 #: sequences of a shard
 PER_SHARD = 4_096
+#: sequences that a task packs before it sends them on
+LOT = 4_096
 #: bytes of text in a bucket, about
 BUCKET = 32_000_000
 KEY = 20240917
@@ -134,8 +136,8 @@ def _packed(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int,
         yield own, n, docs, bytes(held)
 
 
-def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY) -> tuple[DataFrame, int]:
-    """(slot, doc_ids, n_tokens, tokens) of all sequences, unsorted, and their number."""
+def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> tuple[DataFrame, int]:
+    """All sequences, in lots of one shard each (shard, slots, doc_ids, n_tokens, tokens: all of the lot, compressed), and their number."""
     with open(ranks, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.uint16(END).tobytes()
@@ -158,29 +160,38 @@ def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY) -> tuple[Data
     starts = docs.sparkSession.sparkContext.broadcast(base)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=5)
         for b in batches:
-            yield pa.record_batch([*b.columns[:3], pa.array([z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column(3).to_pylist()], pa.binary())], ["bucket", "doc_id", "k", "z"])
+            yield pa.record_batch([*b.columns[:3], pa.array([z.compress(x.encode()) for x in b.column(3).to_pylist()], pa.binary())], ["bucket", "doc_id", "k", "z"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, t, z = Permutation(total, key), tokens_of(shared.value), zstandard.ZstdDecompressor()
-        rows = ((bucket, i, t.encode(z.decompress(x).decode("utf-8", "surrogatepass")) + end) for b in batches for bucket, i, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 3))))
+        rows = ((bucket, i, t.encode(z.decompress(x).decode()) + end) for b in batches for bucket, i, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 3))))
         held: list[tuple] = []
 
+        squeeze = zstandard.ZstdCompressor(level=3)
+
         def flush() -> pa.RecordBatch:
             slot = order.slot(starts.value[[x[0] for x in held]] + [x[1] for x in held])
-            return pa.record_batch([pa.array(slot), pa.array([x[2] for x in held], pa.list_(pa.int64())), pa.array([len(x[3]) // 2 for x in held], pa.int32()), pa.array([x[3] for x in held], pa.binary())], ["slot", "doc_ids", "n_tokens", "tokens"])
+            shard = slot // per_shard
+            at = np.argsort(shard, kind="stable")
+            lots = np.split(at, np.flatnonzero(np.diff(shard[at])) + 1)
+            columns = [
+                pa.array([int(shard[x[0]]) for x in lots], pa.int32()), pa.array([slot[x].tolist() for x in lots], pa.list_(pa.int64())), pa.array([[held[i][2] for i in x] for x in lots], pa.list_(pa.list_(pa.int64()))),
+                pa.array([[len(held[i][3]) // 2 for i in x] for x in lots], pa.list_(pa.int32())), pa.array([squeeze.compress(b"".join(held[i][3] for i in x)) for x in lots], pa.binary()),
+            ]
+            return pa.record_batch(columns, ["shard", "slots", "doc_ids", "n_tokens", "tokens"])
 
         for x in _packed(rows):
             held.append(x)
-            if len(held) == 512:
+            if len(held) == LOT:
                 yield flush()
                 held = []
         if held:
             yield flush()
 
     dealt = rows.select("bucket", "doc_id", "k", "text").mapInArrow(squeeze, "bucket int, doc_id long, k long, z binary").repartitionById(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "doc_id", "k")
-    return dealt.mapInArrow(make, "slot long, doc_ids array<long>, n_tokens int, tokens binary"), total
+    return dealt.mapInArrow(make, "shard int, slots array<long>, doc_ids array<array<long>>, n_tokens array<int>, tokens binary"), total
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -190,29 +201,39 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 def write_shards(docs: DataFrame, out: str, manifest: str, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
     """Write all sequences of ``docs`` into ``out`` as shard-NNNNNNNN-*.bin, and meta.json; gives slot, doc_ids, n_tokens, file of what was written, kept as Parquet in ``manifest``."""
     spark = docs.sparkSession
-    got, total = sequences(docs, ranks, key)
+    got, total = sequences(docs, ranks, key, per_shard)
     shards = max(1, -(-total // per_shard))
     fs, top = _open(out)
     fs.create_dir(top, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by shard: one shard's sequences, ``per_shard`` at most, are held at a time."""
         fs, top = _open(out)
-        f, own, name = None, None, None
+        z = zstandard.ZstdDecompressor()
+
+        def one(shard: int, rows: list[tuple[int, list[int], bytes]]) -> pa.RecordBatch:
+            name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
+            rows.sort(key=lambda x: x[0])
+            with fs.open_output_stream(f"{top}/{name}") as f:
+                for _, _, x in rows:
+                    f.write(x if len(x) == 2 * LENGTH else x + np.uint16(PAD).tobytes() * (LENGTH - len(x) // 2))
+            columns = [pa.array([shard] * len(rows), pa.int32()), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.list_(pa.int64())), pa.array([len(x[2]) // 2 for x in rows], pa.int32()), pa.array([name] * len(rows), pa.string())]
+            return pa.record_batch(columns, ["shard", "slot", "doc_ids", "n_tokens", "file"])
+
+        own, rows = None, []
         for b in batches:
-            names = []
-            for shard, x in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
+            for shard, slots, docs, n, tokens in zip(*(b.column(c).to_pylist() for c in range(5))):
                 if shard != own:
-                    if f is not None:
-                        f.close()
-                    own, name = shard, f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
-                    f = fs.open_output_stream(f"{top}/{name}")
-                f.write(x if len(x) == 2 * LENGTH else x + np.uint16(PAD).tobytes() * (LENGTH - len(x) // 2))
-                names.append(name)
-            yield pa.record_batch([*b.columns[:4], pa.array(names, pa.string())], ["shard", "slot", "doc_ids", "n_tokens", "file"])
-        if f is not None:
-            f.close()
-
-    dealt = got.select(F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), "slot", "doc_ids", "n_tokens", "tokens").repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
+                    if rows:
+                        yield one(own, rows)
+                    own, rows = shard, []
+                ends = 2 * np.cumsum([0, *n])
+                tokens = z.decompress(tokens)
+                rows += [(s, d, tokens[a:e]) for s, d, a, e in zip(slots, docs, ends[:-1].tolist(), ends[1:].tolist())]
+        if rows:
+            yield one(own, rows)
+
+    dealt = got.repartitionById(shards, "shard").sortWithinPartitions("shard")
     schema = "shard int, slot long, doc_ids array<long>, n_tokens int, file string"
     dealt.mapInArrow(write, schema).write.parquet(manifest)
     wrote = spark.read.schema(schema).parquet(manifest)
