@@ -82,6 +82,8 @@ def kalman(x: np.ndarray, process: float, noise: float) -> tuple[np.ndarray, np.
     v = np.where(fine, x, 0.0)
     first = float(x[np.argmax(fine)]) if fine.any() else 0.0
     level = affine_scan(1.0 - gain, gain * v, first)
+    if fine.any():
+        level[: int(np.argmax(fine)) + 1] = first  # exactly, not to within rounding
     before = np.concatenate(([first], level[:-1]))
     return level, np.where(fine, v - before, 0.0)
 
