@@ -155,8 +155,11 @@ def eval_formulas(a: argparse.Namespace, spark: SparkSession) -> None:
         pre, post = formula.purge(pre, a.target), formula.purge(post, a.target)
     got = []
     for w in (pre, post):
-        r = formula.evaluate_window(w, formulas, a.target, a.cost_r, a.stacking, _sizing(a, w))
-        got.append(formula.rank_window(r, "calmar_ratio", "source_rank").withColumnRenamed("window_rank", "rank"))
+        sizing = _sizing(a, w)
+        r = formula.evaluate_window(w, formulas, a.target, a.cost_r, a.stacking, sizing)
+        scores = formula.frs(formula.by_year(w, formulas, a.target, cost=a.cost_r, stacking=a.stacking, sizing=sizing)).select("formula", "frs")
+        r = r.join(scores, "formula", "left").na.fill({"frs": 0.0})
+        got.append(formula.rank_window(r, "frs", "source_rank").withColumnRenamed("window_rank", "rank").cache())  # a row for each formula
     chosen = selection.decide(got[0], got[1], selection.PRESETS[a.preset], a.mode)
     for name, d in (("pre", got[0]), ("post", got[1]), ("selection", chosen)):
         if a.out:

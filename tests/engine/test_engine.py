@@ -269,8 +269,8 @@ def test_formula_fixture(spark, side, stacking, purged, want):
 
 def test_formula_grammar():
     f = formula.parse_lines("# c\n\nRank 7: a>=1 && flag\nb != 2\n")
-    assert [(x.rank, x.expression) for x in f] == [(7, "a>=1 && flag"), (2, "b!=2")]
-    for bad in ("", "a && ", "a > ", "(a)", "a || b"):
+    assert [(x.rank, x.expression) for x in f] == [(7, "a>=1 && flag"), (2, "b!=2")] and formula.parse("a && ").expression == "a"
+    for bad in ("", " && ", "a > ", "(a)", "a || b"):
         with pytest.raises(ValueError):
             formula.parse_lines(bad) if not bad else formula.parse(bad)
 
@@ -287,6 +287,8 @@ def test_selection(spark):
     cols = "formula string, rank int, trades long, total_return double, expectancy double, max_drawdown double, largest_win double, density_per_1000 double"
     pre = spark.createDataFrame([("a", 1, 50, 5.0, 0.1, 2.0, 1.0, 9.0), ("b", 2, 200, 9.0, 0.2, 2.0, 1.0, 9.0), ("c", 3, 200, 8.0, 0.2, 2.0, 1.0, 9.0), ("d", 4, 200, 8.0, 0.2, 2.0, 1.0, 9.0)], cols)
     post = spark.createDataFrame([("a", 1, 40, 5.0, 0.1, 2.0, 1.0, 9.0), ("b", 3, 40, 4.0, 0.1, 2.0, 1.0, 9.0), ("c", 2, 60, 4.0, 0.1, 2.0, 1.0, 9.0)], cols)
+    assert {r.status for r in selection.decide(pre, post).collect()} == {"rejected", "missing_post_result"}  # a missing score counts as 0
+    pre = pre.selectExpr("*", "0.5 AS frs")
     got = {r.formula: r for r in selection.decide(pre, post).collect()}
     assert got["a"].status == "rejected" and got["a"].reasons == ["pre_trades_below_floor"] and got["b"].status == "selected" and got["b"].warnings and got["c"].status == "passed" and got["d"].status == "missing_post_result"
     got = {r.formula: r.status for r in selection.decide(pre, post, mode="validation-rank").collect()}
