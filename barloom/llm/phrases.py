@@ -33,7 +33,7 @@ TOP = 2_000
 SHARE = 50
 SCALE = 1_000_000
 #: bytes of text whose graph is built at once
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
