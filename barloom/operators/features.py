@@ -1,7 +1,8 @@
 """The feature frame: about 190 columns derived from bars.
 
-One grouped pass makes the recurrences; all else is row-local expressions and windows over the same partitioning, in layers that depend on each
-other. Where two blocks define a flag the later one counts, as the order of blocks is candle, trend, volatility, oscillators, bands, trend state,
+Recurrences come first (see ``functions.chain``); all else is row-local expressions and windows over the same partitioning, in layers that depend on each
+other. A series of more than ``PART`` bars is cut into segments, each with the ``HALO`` bars before it, and windows run along segments; the few values of a whole series (ranks, a quantile, what is never defined) are
+aggregates that are joined back, so no task holds a series. Where two blocks define a flag the later one counts, as the order of blocks is candle, trend, volatility, oscillators, bands, trend state,
 Kalman regime, final pass. Undefined numbers are NULL, undefined flags false.
 """
 
@@ -9,13 +10,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import window as W
+from ..functions.chain import PART, longest
 from ..functions.recurrence import recurrences
 from ..functions.scalar import EPS, SMALL, above, below, bollinger_position, chain, clearly_above, clearly_below, deviation, ratio, upper_wick, lower_wick, yes, zscore_beyond
+from ..session import beside, settle
 from ..sources.bars import check_prices
+from . import order
 
 # The searchable flags, the continuous features and the columns of pairwise predicates.
 BOOLEANS = """is_tribar is_tribar_green is_tribar_red is_tribar_hl is_tribar_hl_green is_tribar_hl_red consecutive_green_2 consecutive_green_3 consecutive_red_2
@@ -38,11 +44,23 @@ PAIRED = """9ema 20ema 50ema 200sma atr_c2c atr_c2c_mean50 bb_std kf_atr kf_atr_
 c = F.col
 
 
-def _base(bars: DataFrame) -> DataFrame:
-    """Row-local measures, and windows over prices and recurrences."""
+def _whole(df: DataFrame) -> DataFrame:
+    """What belongs to a whole series: whether a range was ever flat, ranks and a quantile."""
+    return df.withColumns({
+        "_flat": F.max(_FLAT()).over(W.whole()), "_q80": F.percentile("trend_strength", 0.8).over(W.whole()),
+        **{name: W.percentile_rank(c(x)) for name, x in _RANKED.items()},
+    })
+
+
+_RANKED = {"_r14": "rsi_14", "_r5": "roc_5", "_r10": "roc_10"}
+_FLAT = lambda: (c("_hi14") == c("_lo14")).cast("int")
+
+
+def _base(df: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Row-local measures, and windows over prices and recurrences; ``whole`` adds what belongs to a whole series."""
     o, h, low, cl = c("open"), c("high"), c("low"), c("close")
     mid, upper, lower, std = W.bollinger(cl)
-    df = recurrences(bars).withColumnsRenamed({"ema9": "9ema", "ema20": "20ema", "ema50": "50ema"})
+    df = df.withColumnsRenamed({"ema9": "9ema", "ema20": "20ema", "ema50": "50ema"})
     df = df.withColumns({
         "_abs": F.abs(cl - o), "_uw": upper_wick(o, h, cl), "_lw": lower_wick(o, low, cl), "_range": h - low, "_top": F.greatest(o, cl), "_bottom": F.least(o, cl),
         "is_green": yes(cl > o), "is_red": yes(cl < o), "wicks_diff": F.when(cl > o, o - low).otherwise(h - o),
@@ -60,15 +78,15 @@ def _base(bars: DataFrame) -> DataFrame:
         "atr_pct_mean50": W.sma(c("atr"), 50), "atr_c2c_mean50": W.sma(c("atr_c2c"), 50), "ext_sma14": W.sma(c("ext"), 14), "adx_sma": W.sma(c("adx"), 14),
         "_kf_momentum": W.momentum(c("kf_smooth"), 1), "_kf_slope5": W.momentum(c("kf_smooth"), 5) / 5.0, "_adx_slope": W.momentum(c("kf_adx"), 1), "kf_adx_momentum_5": W.momentum(c("kf_adx"), 5),
         "kf_atr_momentum_5": W.momentum(c("kf_atr"), 5), "kf_atr_c2c_momentum_5": W.momentum(c("kf_atr_c2c"), 5), "kf_trend_momentum": W.momentum(c("kf_trend"), 5), "macd_hist_delta_1": W.momentum(c("macd_hist"), 1),
-        "bb_position": bollinger_position(cl, c("_lower"), c("_upper")), "_flat": F.max((c("_hi14") == c("_lo14")).cast("int")).over(W.whole()),
+        "bb_position": bollinger_position(cl, c("_lower"), c("_upper")),
         "trend_strength": F.when(F.abs(c("200sma")) >= EPS, c("adx") / 100.0 * 0.4 + F.abs(F.try_divide(cl, c("200sma")) - 1.0) * 10.0 * 0.6),
-        "_r14": W.percentile_rank(c("rsi_14")), "_r5": W.percentile_rank(c("roc_5")), "_r10": W.percentile_rank(c("roc_10")),
     })
+    df = whole(df)
     span = c("_hi14") - c("_lo14") + F.when(c("_flat") == 1, SMALL_RANGE).otherwise(0.0)
     raw = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.try_divide(cl - c("_lo14"), F.when(F.abs(span) < SMALL_RANGE, span + SMALL_RANGE).otherwise(span)) * 100.0))
     df = df.withColumns({
         "body_vs_max_wick_ratio": ratio(c("_abs"), c("_wick"), SMALL), "momentum_score": (c("_r14") + c("_r5") + c("_r10")) / 3.0, "_raw_k": F.when(span.isNotNull(), raw),
-        "kf_trend_volatility_ratio": ratio(c("kf_adx"), c("kf_atr_pct") * 100.0 + SMALL, SMALL), "_q80": F.percentile("trend_strength", 0.8).over(W.whole()),
+        "kf_trend_volatility_ratio": ratio(c("kf_adx"), c("kf_atr_pct") * 100.0 + SMALL, SMALL),
         "_body20": W.sma(c("body_size_pct"), 20), "_atr20": W.sma(c("atr"), 20), "_katr20": W.sma(c("kf_atr"), 20), "_katr_sd": W.rolling_std(c("kf_atr"), 20), "_kc2c20": W.sma(c("kf_atr_c2c"), 20),
         "_kc2c_sd": W.rolling_std(c("kf_atr_c2c"), 20), "_atr_inn_sd": W.rolling_std(c("kf_atr_innovation"), 20), "_c2c_inn_sd": W.rolling_std(c("kf_atr_c2c_innovation"), 20),
         "_inn20": W.sma(c("kf_innovation_abs"), 20), "_inn_sd": W.rolling_std(c("kf_innovation"), 20), "_adx_inn20": W.sma(c("kf_adx_innovation_abs"), 20), "_bb20": W.sma(c("bb_std"), 20),
@@ -149,17 +167,68 @@ def _flags(df: DataFrame) -> DataFrame:
     })
 
 
-def features(bars: DataFrame, trim: bool = True) -> DataFrame:
-    """The feature frame of bars whose prices are all present; ``trim`` drops warm-up rows and numbers the rest anew."""
-    df = _flags(_base(check_prices(bars)))
-    df = df.drop(*[x for x in df.columns if x.startswith("_")], "ema200", "kf_adx_innovation")
-    return trimmed(df) if trim else df
+#: bars before a segment that its windows look back on: the longest reach is 200
+HALO = 256
+
+
+def _segments(df: DataFrame, size: int) -> DataFrame:
+    """Rows with ``_pos`` by segment: ``series_id`` becomes a struct of series and segment, and a row also goes to the segments that it stands at most HALO bars before."""
+    at = F.floor(c("_pos") / size).cast("long")
+    out = df.withColumn("_seg", F.explode(F.sequence(at, F.floor((c("_pos") + HALO) / size).cast("long")))).withColumn("_own", at == c("_seg"))
+    return out.withColumn("series_id", F.struct("series_id", "_seg"))
+
+
+def _by_series(size: int) -> Callable[[DataFrame], DataFrame]:
+    """``_whole`` of rows by segment, through aggregates of the rows that a segment owns."""
+
+    def whole(df: DataFrame) -> DataFrame:
+        df = settle(df)
+        own = df.where("_own").withColumn("series_id", c("series_id.series_id"))
+        one = own.groupBy("series_id").agg(F.max(_FLAT()).alias("_flat"))
+        few = order.quantiles(own, "trend_strength", {"_q80": 0.8})
+        for table in (one, few):
+            df = beside(df, table, {"series_id.series_id": "series_id"}, "left")
+        for name, x in _RANKED.items():
+            df = beside(df, order.ranks(own, x, name), {"series_id.series_id": "series_id", x: "value"}, "left")
+        return df
+
+    return whole
+
+
+def features(bars: DataFrame, trim: bool = True, part: int | None = None) -> DataFrame:
+    """The feature frame of bars whose prices are all present; ``trim`` drops warm-up rows and numbers the rest anew. Series of more than ``part`` bars are cut into segments."""
+    size, bars = part or PART, check_prices(bars)
+    long = longest(bars) > size
+    df = recurrences(bars, size)
+    df = _flags(_base(_segments(df, size), _by_series(size)) if long else _base(df, _whole))
+    if long:
+        df = df.where("_own").withColumn("series_id", c("series_id.series_id"))
+    seg = ["_seg"] if long and trim else []
+    df = df.drop(*[x for x in df.columns if x.startswith("_") and x not in seg], "ema200", "kf_adx_innovation")
+    return _trimmed_segments(settle(df)) if seg else trimmed(df) if trim else df
+
+
+def _core(df: DataFrame) -> list[str]:
+    return [x for x in sorted({*CONTINUOUS, *ANCHORS, *PAIRED}) if x in df.columns]
 
 
 def trimmed(df: DataFrame) -> DataFrame:
     """Rows on which every core number is defined; a column that its series never defines does not count."""
-    core = [x for x in sorted({*CONTINUOUS, *ANCHORS, *PAIRED}) if x in df.columns]
+    core = _core(df)
     dead = df.withColumns({f"_n{i}": F.count(c(x)).over(W.whole()) for i, x in enumerate(core)})
     keep = reduce(lambda a, b: a & b, [c(x).isNotNull() | (c(f"_n{i}") == 0) for i, x in enumerate(core)])
     kept = dead.where(keep).drop(*[f"_n{i}" for i in range(len(core))])
     return kept.withColumn("bar_idx", (F.row_number().over(Window.partitionBy("series_id").orderBy("bar_idx")) - 1).cast("long"))
+
+
+def _trimmed_segments(df: DataFrame) -> DataFrame:
+    """The same of rows by segment (``_seg``): counts of a series are joined back, and a row's number is that of its segment's first row and its place there."""
+    core = _core(df)
+    counts = df.groupBy("series_id").agg(*[F.count(c(x)).alias(f"_n{i}") for i, x in enumerate(core)])
+    keep = reduce(lambda a, b: a & b, [c(x).isNotNull() | (c(f"_n{i}") == 0) for i, x in enumerate(core)])
+    kept = beside(df, counts, {"series_id": "series_id"}).where(keep).drop(*[f"_n{i}" for i in range(len(core))])
+    sums = kept.groupBy("series_id", "_seg").agg(F.count("*").alias("_k"))
+    sums = sums.select("series_id", "_seg", (F.sum("_k").over(Window.partitionBy("series_id").orderBy("_seg")) - c("_k")).alias("_off"))  # a row for each segment
+    place = F.row_number().over(Window.partitionBy("series_id", "_seg").orderBy("bar_idx")) - 1
+    out = beside(kept, sums, {"series_id": "series_id", "_seg": "_seg"}).withColumn("bar_idx", (c("_off") + place).cast("long"))
+    return out.drop("_off", "_seg")

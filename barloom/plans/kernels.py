@@ -68,11 +68,19 @@ def window_query(name: str, v: Callable[[], Column], sql: str, first: dict[str,
     put(name, run, f"WITH {BARS}, x AS ({inner}) SELECT series_id, bar_idx, {FLAG(sql) if flag else f'round(CAST({sql} AS DOUBLE), 4)'} AS v FROM x")
 
 
-def fold_query(name: str, kernel, inputs: tuple[str, ...], sql: str) -> None:
-    """A recurrence, one grouped pass; ``sql`` is a list of CTEs over b that ends with one named r (series_id, bar_idx, v)."""
+#: bars of a part: few enough for the longest series of the test data to have several
+FOLD_PART = 500
+
+
+def fold_query(name: str, kernel, inputs: tuple[str, ...], sql: str, which: int | None = None) -> None:
+    """A recurrence along series that span several parts (``which`` of its results); ``sql`` is a list of CTEs over b that ends with one named r (series_id, bar_idx, v)."""
+
+    def make(*a):
+        v = yield from kernel(*a)
+        return {"v": v if which is None else v[which]}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = R.along_series(all_bars(spark, sf_dir), lambda *a: {"v": kernel(*a)}, inputs, v="double")
+        df = R.along_parts(all_bars(spark, sf_dir), make, inputs, FOLD_PART, v="double")
         return df.select("series_id", "bar_idx", F.round("v", 4).alias("v"))
 
     put(name, run, f"WITH RECURSIVE {BARS}, {sql} SELECT b.series_id, b.bar_idx, round(r.v, 4) AS v FROM b LEFT JOIN r ON r.series_id = b.series_id AND r.bar_idx = b.bar_idx")
@@ -177,21 +185,21 @@ ATR14 = rma_sql("a14", "src", {"v": "tr"}, 14)
 R_ = lambda x, v="v": f"r AS (SELECT series_id, i AS bar_idx, {v} AS v FROM {x})"
 OHLC, HLC = ("open", "high", "low", "close"), ("high", "low", "close")
 
-fold_query("k03_ema", lambda x: R.ema(x, 9), ("close",), f"{SRC}, {ema_sql('e', 'src', 'close', 9)}, {R_('e')}")
-fold_query("k04_rma", lambda x: R.rma(x, 14), ("close",), f"{SRC}, {rma_sql('a', 'src', {'v': 'close'}, 14)}, {R_('a')}")
-fold_query("k05_kalman", lambda x: R.kalman(x, 0.01, 0.1)[0], ("close",), f"{SRC}, {kalman_sql('k', 'src', 'close', 0.01, 0.1)}, {R_('k')}")
-fold_query("k05_kalman_innovation", lambda x: R.kalman(x, 0.01, 0.1)[1], ("close",), f"{SRC}, {kalman_sql('k', 'src', 'close', 0.01, 0.1)}, {R_('k', 'innovation')}")
-fold_query("k15_rsi", lambda x: R.rsi(x, 14), ("close",), f"""{SRC}, gl AS (SELECT series_id, i, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM src WHERE i > 0), {rma_sql('a', 'gl', {'g': 'g', 'l': 'l'}, 14)},
+fold_query("k03_ema", lambda x: R.ema_of(x, 9), ("close",), f"{SRC}, {ema_sql('e', 'src', 'close', 9)}, {R_('e')}")
+fold_query("k04_rma", lambda x: R.rma_of(x, 14), ("close",), f"{SRC}, {rma_sql('a', 'src', {'v': 'close'}, 14)}, {R_('a')}")
+fold_query("k05_kalman", lambda x: R.kalman_of(x, 0.01, 0.1), ("close",), f"{SRC}, {kalman_sql('k', 'src', 'close', 0.01, 0.1)}, {R_('k')}", 0)
+fold_query("k05_kalman_innovation", lambda x: R.kalman_of(x, 0.01, 0.1), ("close",), f"{SRC}, {kalman_sql('k', 'src', 'close', 0.01, 0.1)}, {R_('k', 'innovation')}", 1)
+fold_query("k15_rsi", lambda x: R.rsi_of(x, 14), ("close",), f"""{SRC}, gl AS (SELECT series_id, i, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM src WHERE i > 0), {rma_sql('a', 'gl', {'g': 'g', 'l': 'l'}, 14)},
 {R_('a', 'CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END')}""")
 _MACD = f"""{SRC}, {ema_sql('e12', 'src', 'close', 12)}, {ema_sql('e26', 'src', 'close', 26)}, line AS (SELECT s.series_id, s.i, f.v - s.v AS m FROM e26 s JOIN e12 f ON f.series_id = s.series_id AND f.i = s.i)"""
-fold_query("k16_macd", lambda x: R.macd(x)[0], ("close",), f"{_MACD}, {R_('line', 'm')}")
-fold_query("k16_macd_signal", lambda x: R.macd(x)[1], ("close",), f"{_MACD}, sl AS (SELECT series_id, i - 25 AS i, m FROM line), {ema_sql('sg', 'sl', 'm', 9)}, r AS (SELECT series_id, i + 25 AS bar_idx, v FROM sg)")
-fold_query("k24_atr", lambda h, l, x: R.atr(h, l, x), HLC, f"{SRC}, {ATR14}, {R_('a14')}")  # noqa: E741
-fold_query("k25_atr_close", lambda x: R.atr_close(x), ("close",), f"""{SRC}, ch AS (SELECT series_id, i, abs(d) AS d FROM src),
+fold_query("k16_macd", lambda x: R.macd_of(x), ("close",), f"{_MACD}, {R_('line', 'm')}", 0)
+fold_query("k16_macd_signal", lambda x: R.macd_of(x), ("close",), f"{_MACD}, sl AS (SELECT series_id, i - 25 AS i, m FROM line), {ema_sql('sg', 'sl', 'm', 9)}, r AS (SELECT series_id, i + 25 AS bar_idx, v FROM sg)", 1)
+fold_query("k24_atr", lambda h, l, x: R.atr_of(h, l, x), HLC, f"{SRC}, {ATR14}, {R_('a14')}")  # noqa: E741
+fold_query("k25_atr_close", lambda x: R.atr_close_of(x), ("close",), f"""{SRC}, ch AS (SELECT series_id, i, abs(d) AS d FROM src),
 seed AS (SELECT series_id, i, avg(d) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS v FROM ch),
 c(series_id, i, v) AS (SELECT series_id, i, v FROM seed WHERE i = 13 UNION ALL SELECT s.series_id, s.i, 2 / 15.0 * s.d + 13 / 15.0 * p.v FROM c p JOIN ch s ON s.series_id = p.series_id AND s.i = p.i + 1),
 r AS (SELECT series_id, i AS bar_idx, v FROM seed WHERE i < 13 UNION ALL SELECT series_id, i, v FROM c)""")
-fold_query("k26_adx", lambda h, l, x: R.adx(h, l, x), HLC, f"""{SRC}, dm AS (SELECT series_id, i, CASE WHEN i = 0 THEN 0 ELSE tr END AS t, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m FROM src),
+fold_query("k26_adx", lambda h, l, x: R.adx_of(h, l, x), HLC, f"""{SRC}, dm AS (SELECT series_id, i, CASE WHEN i = 0 THEN 0 ELSE tr END AS t, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m FROM src),
 {rma_sql('a', 'dm', {'t': 't', 'p': 'p', 'm': 'm'}, 14)}, di AS (SELECT series_id, i, CASE WHEN abs(t) < 2.3e-16 THEN 0 ELSE p / t * 100 END AS p, CASE WHEN abs(t) < 2.3e-16 THEN 0 ELSE m / t * 100 END AS m FROM a),
 dx AS (SELECT series_id, i, CASE WHEN abs(p + m) < 2.3e-16 THEN 0 ELSE abs(p - m) / (p + m) * 100 END AS x FROM di), {rma_sql('ax', 'dx', {'v': 'x'}, 14)}, {R_('ax')}""")  # noqa: E741
 
