@@ -1,7 +1,7 @@
 """Targets: what a trade opened at each bar would have earned.
 
 A barrier target looks forward from its bar to the first bar that touches stop or take-profit. All bars of a series look one bar further at a time, as arrays, and those
-that are resolved drop out, so the work is the sum of the holding times. Results are ``long``/``short`` labels, returns in multiples of risk, and exit bars.
+that are resolved drop out, so the work is the sum of the holding times; of long series each part does so, and ``barriers`` finds the part that ends what it leaves open. Results are ``long``/``short`` labels, returns in multiples of risk, and exit bars.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import window as W
+from ..functions.chain import PART, longest
 from ..functions.recurrence import along_series, atr
 from ..functions.scalar import EPS, SMALL, tick_distance, yes
+from . import barriers
 
 
 @dataclass(frozen=True)
@@ -55,18 +57,25 @@ def _stops(entry: np.ndarray, extreme: np.ndarray, span: np.ndarray, mode: str)
     return np.fmax(np.where(extreme < entry, extreme, np.nan), np.where(by_atr < entry, by_atr, np.nan))
 
 
-def resolve(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, span: np.ndarray, spec: Barrier, long: bool, tick: float | None = None, cutoff: int | None = None) -> dict[str, np.ndarray]:
-    """hit, rr, exit and risk of the trades of one side. Shorts are longs on negated prices.
+def outcome(o: np.ndarray, h: np.ndarray, low: np.ndarray, s: np.ndarray, t: np.ndarray, e: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a bar ends a trade with stop s, take-profit t, entry e and risk r; its return, and whether it won. A gap through a barrier fills at the open, then the stop counts before the take-profit."""
+    gap_s, gap_t, got_s, got_t = o <= s, o >= t, low <= s, h >= t
+    x = np.where(gap_s | gap_t, (o - e) / r, np.where(got_s, -1.0, (t - e) / r))
+    return gap_s | gap_t | got_s | got_t, x, ~gap_s & (gap_t | (~got_s & got_t))
+
+
+def resolve_part(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, span: np.ndarray, spec: Barrier, long: bool, tick: float | None, offset: int, total: int, cutoff: int | None) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """hit, rr, exit and risk of the trades that open in a part of a series of ``total`` bars and end there, and what is known of those that don't: at, stop, take, entry, risk (in prices that are negated for shorts).
 
-    A gap through a barrier fills at the open, then the stop counts before the take-profit. With a cutoff bar, trades opened
-    before it that neither barrier ends are closed at its close, and later ones see the whole series."""
+    With a cutoff bar, trades opened before it that neither barrier ends are closed at its close, and later ones see the whole series."""
     if not long:
         o, h, low, c = -o, -low, -h, -c
     n = len(o)
     hit, rr, out, risk_of = np.zeros(n, bool), np.full(n, np.nan), np.full(n, -1, np.int64), np.full(n, np.nan)
     needs = spec.stop != "bar" or not spec.by_risk
-    at = np.arange(n)
-    end = np.full(n, n - 1) if cutoff is None else np.where(at <= min(cutoff, n - 1), min(cutoff, n - 1), n - 1)
+    at = offset + np.arange(n)
+    last = total - 1 if cutoff is None else min(cutoff, total - 1)
+    end = np.where(at <= last, last, total - 1)
     with np.errstate(invalid="ignore"):
         ok = (at < end) & np.isfinite(o) & np.isfinite(c) & np.isfinite(h) & np.isfinite(low) & (np.isfinite(span) if needs else True) & (c - o > EPS)
         stop = _stops(c, low, span, spec.stop)
@@ -80,34 +89,37 @@ def resolve(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, span:
         ok &= np.isfinite(take)
         if spec.least_rr is not None:
             ok &= (take - c) / risk > spec.least_rr
-        live, step = np.flatnonzero(ok), 1
+        seen = np.isfinite(h) & np.isfinite(low)
+        live, step, left = np.flatnonzero(ok), 1, []
         while len(live):
             j = live + step
-            inside = j <= end[live]
+            inside = offset + j <= end[live]
             if cutoff is not None:
                 late = live[~inside]
-                late = late[late <= cutoff]
-                x = (c[end[late]] - c[late]) / risk[late]
+                late = late[at[late] <= cutoff]
+                x = (c[end[late] - offset] - c[late]) / risk[late]
                 done = late[np.isfinite(x)]
                 rr[done], out[done] = x[np.isfinite(x)], end[done]
-            live, j = live[inside], j[inside]
-            seen = np.isfinite(h[j]) & np.isfinite(low[j])
-            s, t, e, r = stop[live], take[live], c[live], risk[live]
-            gap_s, gap_t = seen & (o[j] <= s), seen & (o[j] >= t)
-            got_s, got_t = seen & (low[j] <= s), seen & (h[j] >= t)
-            x = np.where(gap_s | gap_t, (o[j] - e) / r, np.where(got_s, -1.0, (t - e) / r))
-            win = ~gap_s & (gap_t | (~got_s & got_t))
-            over = gap_s | gap_t | got_s | got_t
+            left.append(live[inside & (j >= n)])
+            live, j = live[inside & (j < n)], j[inside & (j < n)]
+            over, x, win = outcome(o[j], h[j], low[j], stop[live], take[live], c[live], risk[live])
+            over &= seen[j]
             who = live[over]
-            rr[who], hit[who], out[who] = x[over], win[over], j[over]
+            rr[who], hit[who], out[who] = x[over], win[over], offset + j[over]
             live = live[~over]
             step += 1
     risk_of[np.isfinite(rr)] = risk[np.isfinite(rr)]
-    return {"hit": hit, "rr": rr, "exit": out, "risk": risk_of}
+    i = np.sort(np.concatenate(left)).astype(np.int64) if left else np.zeros(0, np.int64)
+    return {"hit": hit, "rr": rr, "exit": out, "risk": risk_of}, {"at": i, "stop": stop[i], "take": take[i], "entry": c[i], "risk": risk[i]}
+
+
+def resolve(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, span: np.ndarray, spec: Barrier, long: bool, tick: float | None = None, cutoff: int | None = None) -> dict[str, np.ndarray]:
+    """hit, rr, exit and risk of the trades of one side over a whole series."""
+    return resolve_part(o, h, low, c, span, spec, long, tick, 0, len(o), cutoff)[0]
 
 
-def barrier_target(bars: DataFrame, name: str, direction: str = "both", tick: float | None = None, date_end: str | None = None) -> DataFrame:
-    """Attach a barrier target to bars with ``atr``: name_long / name_short labels, rr_*, exit_i_*, risk_*; NULL where no trade is resolved."""
+def barrier_target(bars: DataFrame, name: str, direction: str = "both", tick: float | None = None, date_end: str | None = None, part: int | None = None) -> DataFrame:
+    """Attach a barrier target to bars with ``atr``: name_long / name_short labels, rr_*, exit_i_*, risk_*; NULL where no trade is resolved. Series of more than ``part`` bars are resolved in parts (see ``barriers``)."""
     spec = BARRIERS[name]
     if direction == "both" and not spec.both:
         raise ValueError(f"{name} takes one direction, long or short")
@@ -125,7 +137,10 @@ def barrier_target(bars: DataFrame, name: str, direction: str = "both", tick: fl
 
     kinds = {k: t for side in SIDES for k, t in ((f"{name}_{side}", "boolean"), (f"rr_{name}_{side}", "double"), (f"{name}_exit_i_{side}", "long"), (f"{name}_risk_{side}", "double"))}
     held = bars.withColumn("_in", F.lit(0.0) if date_end is None else (F.to_date("ts") <= F.lit(date_end).cast("date")).cast("double"))
-    out = along_series(held, kernel, ("open", "high", "low", "close", "atr", "_in"), **kinds).drop("_in")
+    if longest(bars) <= (part or PART):
+        out = along_series(held, kernel, ("open", "high", "low", "close", "atr", "_in"), **kinds).drop("_in")
+    else:
+        out = barriers.in_parts(held, name, spec, SIDES if direction == "both" else (direction,), tick, part or PART, kinds).drop("_in")
     return canonical(out, name, "short" if direction == "short" else "long")
 
 
