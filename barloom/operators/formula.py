@@ -14,6 +14,7 @@ from ..functions.scalar import yes
 from ..functions.window import whole
 from .combine import trade_columns
 from .metrics import Sizing, capital_path, full_metrics
+from .trades import choose, composes, scored
 
 #: The order in which operators are looked for.
 OPERATORS = ("<=", ">=", "==", "!=", "<", ">", "=")
@@ -123,24 +124,15 @@ def trades_of(met: DataFrame, keys: list[str], stacking: bool) -> DataFrame:
     if stacking:
         return rows
 
-    def choose(table: pa.Table) -> pa.Table:
-        t = table.sort_by("bar_idx")
-        bars = t.column("bar_idx").to_numpy()
-        exits = t.column("_exit").fill_null(-1).to_numpy()
-        then = np.searchsorted(bars, np.where(exits >= bars, exits, bars + 1)).tolist()
-        took, i = [], 0
-        while i < len(then):
-            took.append(i)
-            i = max(then[i], i + 1)
-        return t.take(took)
+    return choose(rows, keys)
 
-    return rows.groupBy(*keys, "series_id").applyInArrow(choose, rows.schema)
 
-
-def _scored(trades: DataFrame, keys: list[str], sizing: Sizing | list[Sizing]) -> DataFrame:
+def _scored(rows: DataFrame, keys: list[str], sizing: Sizing | list[Sizing]) -> DataFrame:
     """keys, trades, label_hits and METRICS; trades count in the order of their series and bars. A list of sizings goes by the key ``scenario``."""
+    if composes(sizing):
+        return scored(rows, keys, sizing)
     kinds = dict(x.split() for x in METRICS.split(", "))
-    own = {f.name: f.dataType.simpleString() for f in trades.select(*keys).schema}
+    own = {f.name: f.dataType.simpleString() for f in rows.select(*keys).schema}
     arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64()}
     types = {**{k: arrow[t] for k, t in own.items()}, "trades": pa.int64(), "label_hits": pa.int64(), **{k: arrow[t] for k, t in kinds.items()}}
 
@@ -153,7 +145,7 @@ def _scored(trades: DataFrame, keys: list[str], sizing: Sizing | list[Sizing]) -
         return pa.table({k: pa.array([row[k]], kind) for k, kind in types.items()})
 
     schema = ", ".join([*[f"{k} {t}" for k, t in own.items()], "trades long", "label_hits long"]) + ", " + METRICS
-    return trades.groupBy(*keys).applyInArrow(run, schema)
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def evaluate_groups(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, stacking: bool = False, sizing: Sizing | None = None, by: dict[str, Column] | None = None, **options) -> DataFrame:

@@ -72,7 +72,7 @@ def window_query(name: str, v: Callable[[], Column], sql: str, first: dict[str,
 FOLD_PART = 500
 
 
-def fold_query(name: str, kernel, inputs: tuple[str, ...], sql: str, which: int | None = None) -> None:
+def fold_query(name: str, kernel, inputs: tuple[str, ...], sql: str, which: int | None = None, part: int | None = FOLD_PART) -> None:
     """A recurrence along series that span several parts (``which`` of its results); ``sql`` is a list of CTEs over b that ends with one named r (series_id, bar_idx, v)."""
 
     def make(*a):
@@ -80,7 +80,7 @@ def fold_query(name: str, kernel, inputs: tuple[str, ...], sql: str, which: int
         return {"v": v if which is None else v[which]}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = R.along_parts(all_bars(spark, sf_dir), make, inputs, FOLD_PART, v="double")
+        df = R.along_parts(all_bars(spark, sf_dir), make, inputs, part, v="double")
         return df.select("series_id", "bar_idx", F.round("v", 4).alias("v"))
 
     put(name, run, f"WITH RECURSIVE {BARS}, {sql} SELECT b.series_id, b.bar_idx, round(r.v, 4) AS v FROM b LEFT JOIN r ON r.series_id = b.series_id AND r.bar_idx = b.bar_idx")
@@ -201,7 +201,7 @@ c(series_id, i, v) AS (SELECT series_id, i, v FROM seed WHERE i = 13 UNION ALL S
 r AS (SELECT series_id, i AS bar_idx, v FROM seed WHERE i < 13 UNION ALL SELECT series_id, i, v FROM c)""")
 fold_query("k26_adx", lambda h, l, x: R.adx_of(h, l, x), HLC, f"""{SRC}, dm AS (SELECT series_id, i, CASE WHEN i = 0 THEN 0 ELSE tr END AS t, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m FROM src),
 {rma_sql('a', 'dm', {'t': 't', 'p': 'p', 'm': 'm'}, 14)}, di AS (SELECT series_id, i, CASE WHEN abs(t) < 2.3e-16 THEN 0 ELSE p / t * 100 END AS p, CASE WHEN abs(t) < 2.3e-16 THEN 0 ELSE m / t * 100 END AS m FROM a),
-dx AS (SELECT series_id, i, CASE WHEN abs(p + m) < 2.3e-16 THEN 0 ELSE abs(p - m) / (p + m) * 100 END AS x FROM di), {rma_sql('ax', 'dx', {'v': 'x'}, 14)}, {R_('ax')}""")  # noqa: E741
+dx AS (SELECT series_id, i, CASE WHEN abs(p + m) < 2.3e-16 THEN 0 ELSE abs(p - m) / (p + m) * 100 END AS x FROM di), {rma_sql('ax', 'dx', {'v': 'x'}, 14)}, {R_('ax')}""", part=None)  # noqa: E741
 
 
 def stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:

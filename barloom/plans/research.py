@@ -12,7 +12,7 @@ from ..operators import backtest, catalog, combine, formula, metrics, selection,
 from ..operators.features import features
 from ..operators.metrics import Sizing
 from ..sources import bars as B
-from .kernels import ALONG, ATR14, BARS, FLAG, HOUR, SRC, all_bars, put, w
+from .kernels import ALONG, ATR14, BARS, FLAG, FOLD_PART, HOUR, SRC, all_bars, put, w
 
 c = F.col
 T = "2x_atr_tp_atr_stop"
@@ -30,7 +30,10 @@ put("s05_embargo", lambda s, d: B.embargo(all_bars(s, d), 10).select("series_id"
 
 
 def atr_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.along_series(all_bars(spark, sf_dir), lambda h, low, x: {"atr": R.atr(h, low, x)}, ("high", "low", "close"), atr="double")
+    def make(h, low, x):
+        return {"atr": (yield from R.atr_of(h, low, x))}
+
+    return R.along_parts(all_bars(spark, sf_dir), make, ("high", "low", "close"), atr="double")
 
 
 def hour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,8 @@ def _barrier(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, out = atr_bars(spark, sf_dir), None
         for side in targets.SIDES:
-            t = targets.barrier_target(df, name, side, tick=0.25)
+            # those with bar stops run in parts that the longest series has several of, those with ATR stops in parts of the usual size
+            t = targets.barrier_target(df, name, side, tick=0.25, part=FOLD_PART if name.startswith("highlow") else None)
             t = t.where(c(f"`rr_{name}_{side}`").isNotNull()).select("series_id", "bar_idx", F.lit(side).alias("side"), c(f"`{name}_exit_i_{side}`").alias("exit_i"), c(f"`{name}_{side}`").cast("int").alias("hit"), F.round(f"`rr_{name}_{side}`", 4).alias("rr"), F.round(f"`{name}_risk_{side}`", 4).alias("risk"))
             out = t if out is None else out.unionByName(t)
         return out
