@@ -207,11 +207,11 @@ def allowed(combos: np.ndarray, setup: Setup) -> np.ndarray:
     return ok
 
 
-def choose_trades(row: np.ndarray, hit: np.ndarray, rows: int, bars: int, exits: np.ndarray) -> np.ndarray:
-    """Which hits become trades when they may not overlap: in each row the first, then always the first at or after the last one's exit bar. All rows take their next trade at once."""
+def choose_trades(row: np.ndarray, hit: np.ndarray, rows: int, bars: int, exits: np.ndarray, begin: np.ndarray | int = 0) -> np.ndarray:
+    """Which hits become trades when they may not overlap: in each row the first (from the bar ``begin`` on), then always the first at or after the last one's exit bar. All rows take their next trade at once."""
     key = row * (bars + 1) + hit
-    at = np.searchsorted(key, np.arange(rows) * (bars + 1))
-    end = np.append(at[1:], len(key))
+    at = np.searchsorted(key, np.arange(rows) * (bars + 1) + begin)
+    end = np.searchsorted(key, (np.arange(rows) + 1) * (bars + 1))
     free = row * (bars + 1) + np.minimum(np.where(exits[hit] >= hit, exits[hit], hit + 1), bars)
     chosen = np.zeros(len(key), bool)
     live = np.flatnonzero(at < end)

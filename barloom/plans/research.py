@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import recurrence as R
 from ..functions import window as W
 from ..functions.scalar import yes
-from ..operators import backtest, catalog, combine, formula, metrics, selection, store, targets
+from ..operators import backtest, bitmaps, catalog, combine, formula, metrics, selection, store, targets
 from ..operators.features import features
 from ..operators.metrics import Sizing
 from ..sources import bars as B
@@ -239,9 +239,19 @@ SELECT h.combination, mask_hits, count(*) AS trades, CAST(count(*) FILTER (rr >
 CORE = ["wins", "losses", "win_rate", "total_return", "max_drawdown", "final_capital", "total_return_pct", "cagr_pct", "max_drawdown_pct_equity", "calmar_ratio"]
 
 
-def _core_sql(depth: int, stacking: bool) -> str:
+def _core_sql(depth: int, stacking: bool, frame: str = _HELD_ONE) -> str:
     core = ", ".join(f"CAST({k} AS BIGINT) AS {k}" if k in ("wins", "losses") else f"round({k}, 4) AS {k}" for k in CORE)
-    return f"WITH RECURSIVE {took_sql(_HELD_ONE, _combos_sql(depth), stacking)}, {metrics_sql()}, h AS (SELECT combination, count(*) AS mask_hits FROM p GROUP BY 1) SELECT mt.combination, CAST(mask_hits AS BIGINT) AS mask_hits, CAST(trades AS BIGINT) AS trades, {core} FROM mt JOIN h ON h.combination = mt.combination"
+    return f"WITH RECURSIVE {took_sql(frame, _combos_sql(depth), stacking)}, {metrics_sql()}, h AS (SELECT combination, count(*) AS mask_hits FROM p GROUP BY 1) SELECT mt.combination, CAST(mask_hits AS BIGINT) AS mask_hits, CAST(trades AS BIGINT) AS trades, {core} FROM mt JOIN h ON h.combination = mt.combination"
+
+
+def _by_blocks(spark: SparkSession, sf_dir: str, stacking: bool) -> DataFrame:
+    """All series, their masks in blocks that the longest has several of."""
+    out = bitmaps.evaluate(held_frame(spark, sf_dir), PREDICATES, combine.trade_columns("t"), 3, 1, stacking=stacking, size=FOLD_PART, lane=10)
+    return _round(out.select("combination", "mask_hits", "trades", *CORE))
+
+
+put("a02_masks_in_blocks", lambda s, d: _by_blocks(s, d, False), _core_sql(3, False, _HELD))
+put("a06_masks_in_blocks_stacking", lambda s, d: _by_blocks(s, d, True), _core_sql(3, True, _HELD))
 
 
 def _core(spark: SparkSession, sf_dir: str, stacking: bool) -> DataFrame:
