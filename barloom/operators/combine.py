@@ -158,6 +158,11 @@ def trade_columns(target: str, cost: float = 0.0, reward: str | None = None, cos
     return {"_reward": net, "_gate": yes(F.col(f"`{target}_eligible`")) & net.isNotNull(), "_label": yes(F.col(f"`{target}`")), "_exit": F.col(f"`{target}_exit_i`").cast("long"), "_risk": risk_dollar if risk_dollar is not None else F.lit(None).cast("double")}
 
 
+def fits(df: DataFrame, predicates: list[Predicate]) -> bool:
+    """Whether ``prepare`` takes these bars: one series, within its bound."""
+    return df.select("series_id").distinct().limit(2).count() <= 1 and df.count() * (len(predicates) / 8 + 40) <= MOST_BYTES
+
+
 def prepare(df: DataFrame, predicates: list[Predicate], columns: dict[str, Column], required: list[str] | None = None) -> Setup:
     """Bring masks and trade columns of one series together. Masks are packed on the executors, 64 bars to a word; the size is checked first."""
     if df.select("series_id").distinct().limit(2).count() > 1:

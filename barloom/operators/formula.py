@@ -14,7 +14,7 @@ from ..functions.scalar import yes
 from ..functions.window import whole
 from .combine import trade_columns
 from .metrics import Sizing, capital_path, full_metrics
-from .trades import choose, composes, scored
+from .trades import choose, composes, following, reached, scored
 
 #: The order in which operators are looked for.
 OPERATORS = ("<=", ">=", "==", "!=", "<", ">", "=")
@@ -118,19 +118,34 @@ def hits(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0,
     return df.select("series_id", "bar_idx", "ts", *(keep or []), *[c.alias(k) for k, c in cols.items()], F.explode(met).alias("formula_id"))
 
 
-def trades_of(met: DataFrame, keys: list[str], stacking: bool) -> DataFrame:
-    """The hits that become trades: all that pass the gate if they may overlap, else for each of ``keys`` and each series the first, then always the first at or after the last one's exit."""
+#: bars of all series up to which the trades of a formula are one group, for there can be no more of them
+MOST_BARS = 1_000_000
+
+
+def large(df: DataFrame, part: int | None = None) -> bool:
+    """Whether the trades of a formula are dealt out by parts of the bars; ``part`` sets the size from which on they are."""
+    return df.count() > (part or MOST_BARS)
+
+
+def trades_of(met: DataFrame, keys: list[str], stacking: bool, part: int | None = None, parted: bool = False) -> DataFrame:
+    """The hits that become trades: all that pass the gate if they may overlap, else for each of ``keys`` and each series the first, then always the first at or after the last one's exit. ``parted``: over parts of ``part`` bars."""
     rows = met.where("_gate").drop("_gate")
     if stacking:
         return rows
+    if parted:
+        return choose(rows, keys, part)
+
+    def one(table: pa.Table) -> pa.Table:
+        t = table.sort_by("bar_idx")
+        return t.take(reached(following(t)[2], 0))
 
-    return choose(rows, keys)
+    return rows.groupBy(*keys, "series_id").applyInArrow(one, rows.schema)
 
 
-def _scored(rows: DataFrame, keys: list[str], sizing: Sizing | list[Sizing]) -> DataFrame:
-    """keys, trades, label_hits and METRICS; trades count in the order of their series and bars. A list of sizings goes by the key ``scenario``."""
-    if composes(sizing):
-        return scored(rows, keys, sizing)
+def score_trades(rows: DataFrame, keys: list[str], sizing: Sizing | list[Sizing], part: int | None = None, parted: bool = False) -> DataFrame:
+    """keys, trades, label_hits and METRICS; trades count in the order of their series and bars. A list of sizings goes by the key ``scenario``. ``parted``: merged from parts of ``part`` bars; sizing in contracts does not merge."""
+    if parted and composes(sizing):
+        return scored(rows, keys, sizing, part)
     kinds = dict(x.split() for x in METRICS.split(", "))
     own = {f.name: f.dataType.simpleString() for f in rows.select(*keys).schema}
     arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64()}
@@ -148,20 +163,20 @@ def _scored(rows: DataFrame, keys: list[str], sizing: Sizing | list[Sizing]) ->
     return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
-def evaluate_groups(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, stacking: bool = False, sizing: Sizing | None = None, by: dict[str, Column] | None = None, **options) -> DataFrame:
+def evaluate_groups(df: DataFrame, formulas: list[Formula], target: str, cost: float = 0.0, stacking: bool = False, sizing: Sizing | None = None, by: dict[str, Column] | None = None, part: int | None = None, **options) -> DataFrame:
     """Full metrics of each formula in each group of bars that ``by`` makes (all bars are one without it), in one pass: source_rank, formula, the columns of ``by``, mask_hits, trades, label_hits, METRICS, bars, density_per_1000, recall_pct.
     A formula without a hit in a group has zeros there."""
     by = by or {}
     df = df.withColumns(by)
     met = hits(df, formulas, target, cost, keep=[*by], **options).drop("ts")
-    keys = ["formula_id", *by]
-    scored = _scored(trades_of(met, keys, stacking), keys, sizing or Sizing()).join(met.groupBy(*keys).agg(F.count("*").alias("mask_hits")), keys, "full")
+    keys, parted = ["formula_id", *by], large(df, part)
+    scores = score_trades(trades_of(met, keys, stacking, part, parted), keys, sizing or Sizing(), part, parted).join(met.groupBy(*keys).agg(F.count("*").alias("mask_hits")), keys, "full")
     named = F.array(*[F.struct(F.lit(i).alias("formula_id"), F.lit(f.rank).alias("source_rank"), F.lit(f.expression).alias("formula")) for i, f in enumerate(formulas)])
     bars = df.groupBy(*by).agg(F.count("*").alias("bars"))
     base = bars.select(*by, "bars", F.explode(named).alias("f")).select(*by, "bars", "f.*")
     kinds = dict(x.split() for x in METRICS.split(", "))
     fill = {k: "poor" if t == "string" else 0 for k, t in kinds.items()}
-    out = base.join(scored, keys, "left").na.fill({**fill, "mask_hits": 0, "trades": 0, "label_hits": 0})
+    out = base.join(scores, keys, "left").na.fill({**fill, "mask_hits": 0, "trades": 0, "label_hits": 0})
     n = F.col("bars")
     out = out.withColumns({"density_per_1000": F.when(n > 0, F.col("trades") * 1000.0 / n).otherwise(0.0), "recall_pct": F.when(n > 0, F.col("mask_hits") * 100.0 / n).otherwise(0.0)})
     return out.select("source_rank", "formula", *by, "mask_hits", "trades", "label_hits", *kinds, "bars", "density_per_1000", "recall_pct")
@@ -176,13 +191,14 @@ def evaluate_scenarios(df: DataFrame, formulas: list[Formula], target: str, scen
     """The same under several costs and sizings (name, cost, sizing), over trades that are chosen once: scenario, formula, trades and METRICS."""
     met = hits(df, formulas, target).drop("ts")
     costs = F.array(*[F.struct(F.lit(i).alias("scenario"), F.lit(float(c)).alias("cost")) for i, (_, c, _) in enumerate(scenarios)])
-    spread = trades_of(met, ["formula_id"], stacking).withColumn("_s", F.explode(costs)).withColumns({"scenario": F.col("_s.scenario"), "_reward": F.col("_reward") - F.col("_s.cost")}).drop("_s")
-    scored = _scored(spread, ["scenario", "formula_id"], [z for _, _, z in scenarios])
+    parted = large(df)
+    spread = trades_of(met, ["formula_id"], stacking, parted=parted).withColumn("_s", F.explode(costs)).withColumns({"scenario": F.col("_s.scenario"), "_reward": F.col("_reward") - F.col("_s.cost")}).drop("_s")
+    scores = score_trades(spread, ["scenario", "formula_id"], [z for _, _, z in scenarios], parted=parted)
     named = [(k, name, i, f.rank, f.expression) for k, (name, _, _) in enumerate(scenarios) for i, f in enumerate(formulas)]
     base = df.sparkSession.createDataFrame(named, "id int, scenario_name string, formula_id int, source_rank int, formula string").withColumnRenamed("id", "scenario")
     kinds = dict(x.split() for x in METRICS.split(", "))
     fill = {k: "poor" if t == "string" else 0 for k, t in kinds.items()}
-    out = base.join(scored, ["scenario", "formula_id"], "left").na.fill({**fill, "trades": 0, "label_hits": 0})
+    out = base.join(scores, ["scenario", "formula_id"], "left").na.fill({**fill, "trades": 0, "label_hits": 0})
     return out.drop("scenario", "formula_id").withColumnRenamed("scenario_name", "scenario")
 
 
@@ -234,4 +250,4 @@ def equity_curve(df: DataFrame, formulas: list[Formula], target: str, cost: floa
         return pa.table({"formula_id": t.column("formula_id"), "trade_no": no, "series_id": t.column("series_id"), "bar_idx": t.column("bar_idx"), "rr": pa.array(rr), "equity_r": pa.array(np.cumsum(rr)), "capital": pa.array(capital_path(rr, sizing, number("_risk"))[1:])})
 
     met = hits(df, formulas, target, cost).drop("ts")
-    return trades_of(met, ["formula_id"], stacking).groupBy("formula_id").applyInArrow(run, "formula_id int, trade_no long, series_id string, bar_idx long, rr double, equity_r double, capital double")
+    return trades_of(met, ["formula_id"], stacking, parted=large(df)).groupBy("formula_id").applyInArrow(run, "formula_id int, trade_no long, series_id string, bar_idx long, rr double, equity_r double, capital double")

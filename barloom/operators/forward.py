@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import formula, protocol, selection
 from .metrics import Sizing
 
@@ -35,6 +35,8 @@ class Plan:
     pbo_blocks: int = 8
     trials: int | None = None
     tick_cost_r: float | None = None
+    #: trades that ``evaluate`` took out because they end in another window
+    purged: int = 0
     #: columns of dollar costs and dollar risk of each trade, for sizing in contracts
     options: dict[str, Column] = field(default_factory=dict)
 
@@ -62,7 +64,7 @@ def evaluate(df: DataFrame, formulas: list[formula.Formula], plan: Plan, sizing:
     missing = [c for c in (plan.target, f"rr_{plan.target}", f"{plan.target}_eligible", f"{plan.target}_exit_i", "ts", "bar_idx", "series_id") if c not in df.columns]
     if missing:
         raise ValueError(f"the data lack columns: {', '.join(missing)}")
-    pre, post, _ = windows(df, plan)
+    pre, post, plan.purged = windows(df, plan)
     common = {"cost": plan.cost, "stacking": plan.stacking, **plan.options}
     scopes = {"window": {"pre": pre, "post": post}, "pre": {"pre": pre}, "post": {"post": post}, "all": {"all": df}}[plan.frs_scope] if plan.frs else {}
     # what follows is small (rows for formulas, years or splits) and read several times
@@ -104,38 +106,44 @@ def verdict(tables: dict[str, DataFrame], formulas: list[formula.Formula], plan:
         psr, dsr = selection.probabilistic_sharpe(rr), selection.deflated_sharpe(rr, trials)
     stressed = [r.scenario for r in tables["stress"].where((F.col("formula") == chosen) & ~F.col("passed")).select("scenario").collect()] if chosen else []
     return {
-        "selected": chosen, "status": "selected" if chosen else "no_selection", "pbo": pbo, "psr": psr, "dsr": dsr, "trials": trials, "trials_source": source, "failed_scenarios": sorted(stressed),
+        "selected": chosen, "status": "selected" if chosen else "no_selection", "pbo": pbo, "psr": psr, "dsr": dsr, "trials": trials, "trials_source": source, "embargo": plan.embargo, "purged": plan.purged, "failed_scenarios": sorted(stressed),
         "gate": selection.gate_status(pbo, psr, dsr, [warning] if warning else []), "candidates": [{"formula": r.formula, "status": r.status, "reasons": list(r.reasons), "warnings": list(r.warnings)} for r in rows],
     }
 
 
-def write_run(folder: str, tables: dict[str, DataFrame], record: dict, registry: str | None = None) -> dict:
-    """Reports as JSON and CSV, ``closeout.json``, and ``checksums.json`` over them; the record goes to the registry. The folder must be new."""
-    if os.path.exists(os.path.join(folder, "closeout.json")):
+def refuse_finished(folder: str) -> None:
+    if files.exists(f"{folder}/closeout.json"):
         raise ValueError(f"{folder} holds a finished run")
+
+
+def write_run(folder: str, tables: dict[str, DataFrame], record: dict, registry: str | None = None) -> dict:
+    """Reports as JSON and CSV, ``closeout.json``, and ``checksums.json`` over them; the record goes to the registry. The folder, of any file system, must hold no finished run."""
+    refuse_finished(folder)
     for name, t in tables.items():
-        t = t.coalesce(1)  # reports: rows for formulas, years, splits or the trades of the formulas given
+        if name != "equity":  # trades stay in as many files as there are tasks; the rest are reports of a row for each formula, year or split
+            t = t.coalesce(1)
         t.write.mode("overwrite").json(f"{folder}/{name}")
         flat = t.select(*[F.concat_ws(";", c).alias(c) if k.startswith("array") else F.col(f"`{c}`") for c, k in t.dtypes])
         flat.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}_csv")
-    with open(os.path.join(folder, "closeout.json"), "w") as f:
-        json.dump(record, f, indent=2, sort_keys=True)
-    sums = protocol.checksums(folder)
-    with open(os.path.join(folder, "checksums.json"), "w") as f:
-        json.dump(sums, f, indent=2, sort_keys=True)
+    files.write(f"{folder}/closeout.json", json.dumps(record, indent=2, sort_keys=True))
+    spark = next(iter(tables.values())).sparkSession
+    files.write(f"{folder}/checksums.json", json.dumps(files.digests(spark, folder), indent=2, sort_keys=True))
     if registry:
-        protocol.Registry(registry).add({"folder": folder, **{k: record.get(k) for k in ("stage", "protocol_sha256", "formula", "selected", "status", "gate")}})
+        protocol.Registry(registry).add({"folder": folder, **{k: record.get(k) for k in ("run", "protocol_sha256", "formula", "selected", "status", "gate")}})
     return record
 
 
-def explain(folder: str) -> str:
+def explain(folder: str, spark: SparkSession | None = None) -> str:
     """A finished run in words; its files must be what they were when it ended."""
-    with open(os.path.join(folder, "checksums.json")) as f:
-        sums = json.load(f)
-    now = {k: v for k, v in protocol.checksums(folder).items() if k != "checksums.json"}
+    sums = json.loads(files.read(f"{folder}/checksums.json"))
+    try:
+        now = {k: v for k, v in files.digests(spark or SparkSession.getActiveSession(), folder).items() if k != "checksums.json"}
+    except Exception as e:
+        if "ChecksumException" not in str(e):
+            raise
+        raise ValueError(f"files of {folder} have changed: one does not match what its file system wrote") from e
     if now != sums:
         raise ValueError(f"files of {folder} have changed: {', '.join(sorted(k for k in now.keys() | sums.keys() if now.get(k) != sums.get(k)))}")
-    with open(os.path.join(folder, "closeout.json")) as f:
-        r = json.load(f)
+    r = json.loads(files.read(f"{folder}/closeout.json"))
     lines = [f"status {r['status']}, gate {r['gate']}", f"selected: {r['selected'] or 'none'}", f"pbo {r['pbo']}, psr {r['psr']}, dsr {r['dsr']} of {r['trials']} trials ({r['trials_source']})"]
     return "\n".join([*lines, *[f"{c['status']}: {c['formula']}" + (f" ({', '.join(c['reasons'])})" if c["reasons"] else "") for c in r["candidates"]]])

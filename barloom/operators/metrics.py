@@ -34,6 +34,12 @@ def asset(name: str) -> tuple[float, float, float, float, float]:
     return ASSETS[name.upper()]
 
 
+def risk_dollars(distance: Column, value: float) -> Column:
+    """What a contract risks: the distance of the stop times the value of a point (or tick); NULL unless it is finite and above 0."""
+    d = distance.cast("double") * F.lit(float(value))
+    return F.when((d > 0) & (d < float("inf")), d)
+
+
 def capital_path(rr: np.ndarray, s: Sizing, risk: np.ndarray | None = None) -> np.ndarray:
     """Capital before the first and after each trade."""
     if not s.contracts:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from dataclasses import asdict, dataclass
 from datetime import date, datetime, timezone
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources import files
 from .formula import Formula
 
 STAGES = ("discovery", "validation", "lockbox")
@@ -67,13 +70,31 @@ def export_formulas(path: str, combinations: list[str], protocol: Protocol | Non
     lines = ["# exported formulas", *[f"Rank {i}: {c}" for i, c in enumerate(combinations, 1)]]
     text = "\n".join(lines) + "\n"
     manifest = {"schema_version": 2, "formulas_sha256": hashlib.sha256(text.encode()).hexdigest(), "count": len(combinations), "protocol_sha256": protocol.digest() if protocol else None, **source}
-    with open(path, "w") as f:
-        f.write(text)
-    with open(f"{path}.manifest.json", "w") as f:
-        json.dump(manifest, f, indent=2, sort_keys=True)
+    files.write(path, text)
+    files.write(f"{path}.manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
     return manifest
 
 
+def bound_formulas(path: str, protocol: Protocol | None, target: str, direction: str) -> str:
+    """The text of a formula file; under a protocol it must come with the manifest of just this text, and target and direction be those of the protocol."""
+    text = files.read(path)
+    if protocol is None:
+        return text
+    protocol.validate()
+    for k, v in (("target", target), ("direction", direction)):
+        if getattr(protocol, k) != v:
+            raise ValueError(f"{k} is {v!r}, the protocol's is {getattr(protocol, k)!r}")
+    if not files.exists(f"{path}.manifest.json"):
+        if protocol.strict:
+            raise ValueError(f"{path} has no manifest; a strict protocol takes exported formulas only")
+        return text
+    manifest = json.loads(files.read(f"{path}.manifest.json"))
+    check_manifest(manifest, protocol)
+    if manifest.get("formulas_sha256") != hashlib.sha256(text.encode()).hexdigest():
+        raise ValueError(f"{path} is not the file that its manifest describes")
+    return text
+
+
 def check_manifest(manifest: dict, protocol: Protocol) -> None:
     """The formulas must come from this protocol's target, direction and discovery window."""
     if manifest.get("schema_version") != 2:
@@ -81,6 +102,8 @@ def check_manifest(manifest: dict, protocol: Protocol) -> None:
     for k in ("target", "direction"):
         if manifest.get(k) != getattr(protocol, k):
             raise ValueError(f"manifest {k} is {manifest.get(k)!r}, the protocol's is {getattr(protocol, k)!r}")
+    if protocol.strict and not manifest.get("protocol_sha256"):
+        raise ValueError("manifest is bound to no protocol")
     if manifest.get("protocol_sha256") not in (None, protocol.digest()):
         raise ValueError("manifest belongs to another protocol")
     end = manifest.get("source_end")
@@ -99,51 +122,39 @@ def check_stage(stage: str, formulas: list[Formula], mode: str) -> None:
             raise ValueError(f"{stage} makes no selection")
 
 
+def visible(df: DataFrame, protocol: Protocol, stage: str) -> DataFrame:
+    """The bars that a stage may see: none after its own window."""
+    end = getattr(protocol, stage if stage in STAGES else "lockbox").end
+    return df.where(F.to_date("ts") <= F.lit(end).cast("date")) if end else df
+
+
 class Registry:
-    """Run records as JSON files in a folder."""
+    """Run records as JSON files in a folder of any file system."""
 
     def __init__(self, path: str):
-        self.path = path
-        os.makedirs(path, exist_ok=True)
+        self.path = path.rstrip("/")
 
     def add(self, record: dict) -> str:
         body = {**record, "at": datetime.now(timezone.utc).isoformat()}
         name = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:16] + ".json"
-        tmp = os.path.join(self.path, "." + name)
-        with open(tmp, "w") as f:
-            json.dump(body, f, indent=2, sort_keys=True)
-        os.replace(tmp, os.path.join(self.path, name))
+        files.create(f"{self.path}/{name}", json.dumps(body, indent=2, sort_keys=True))
         return name
 
     def records(self) -> list[dict]:
-        out = []
-        for n in sorted(os.listdir(self.path)):
-            if n.endswith(".json") and not n.startswith("."):
-                with open(os.path.join(self.path, n)) as f:
-                    out.append(json.load(f))
-        return out
+        return [json.loads(files.read(f"{self.path}/{n}")) for n in files.names(self.path, ".json")]
 
     def lockbox_attempt(self, protocol_sha256: str, formula: str, acknowledge: bool = False) -> int:
-        """How often this formula met the lockbox before; a further time needs an acknowledgement."""
+        """Take the next attempt of a formula at the lockbox, before it is evaluated; how many there were before. A further one needs an acknowledgement, and of two runs at the same time one is refused."""
         n = sum(r.get("stage") == "lockbox" and r.get("protocol_sha256") == protocol_sha256 and r.get("formula") == formula for r in self.records())
         if n and not acknowledge:
             raise ValueError(f"the lockbox has seen this formula {n} times; acknowledge to rerun")
+        key = hashlib.sha256(json.dumps([protocol_sha256, formula]).encode()).hexdigest()[:24]
+        record = {"stage": "lockbox", "protocol_sha256": protocol_sha256, "formula": formula, "attempt": n, "at": datetime.now(timezone.utc).isoformat()}
+        if not files.create(f"{self.path}/lockbox-{key}-{n}.json", json.dumps(record, indent=2, sort_keys=True)):
+            raise ValueError("another run has just taken this attempt at the lockbox")
         return n
 
 
-def checksums(folder: str) -> dict[str, str]:
-    """sha256 of every file under a folder."""
-    out = {}
-    for top, _, names in os.walk(folder):
-        for n in sorted(names):
-            h = hashlib.sha256()
-            with open(os.path.join(top, n), "rb") as f:
-                for block in iter(lambda: f.read(1 << 20), b""):
-                    h.update(block)
-            out[os.path.relpath(os.path.join(top, n), folder)] = h.hexdigest()
-    return out
-
-
 def compare_benchmarks(old: dict[str, list[float]], new: dict[str, list[float]], median_budget: float = 0.03, p95_budget: float = 0.05, hard: frozenset[str] = frozenset()) -> dict[str, str]:
     """ok, regression or missing for each entry: a median beyond its budget, or a 95th percentile and a mean beyond theirs."""
     from statistics import mean, median

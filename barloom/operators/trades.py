@@ -26,7 +26,7 @@ def _parted(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("_part", F.floor(F.col("bar_idx") / size).cast("long"))
 
 
-def _next(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def following(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bars, the first bar that is free after each hit's trade, and the place of the hit that follows it: len(bars) beyond the part."""
     bars, exits = t.column("bar_idx").to_numpy(), t.column("_exit").fill_null(-1).to_numpy()
     free = np.where(exits >= bars, exits, bars + 1)
@@ -65,7 +65,7 @@ def choose(rows: DataFrame, keys: list[str], size: int | None = None) -> DataFra
 
     def summed(table: pa.Table) -> pa.Table:
         t = table.sort_by("bar_idx")
-        at, to = steps(*_next(t))
+        at, to = steps(*following(t))
         one = t.slice(0, 1).select([*group, "_part"])
         return one.append_column("at", pa.array([at], pa.list_(pa.int64()))).append_column("to", pa.array([to], pa.list_(pa.int64())))
 
@@ -81,7 +81,7 @@ def choose(rows: DataFrame, keys: list[str], size: int | None = None) -> DataFra
 
     def chosen(left: pa.Table, right: pa.Table) -> pa.Table:
         t = left.sort_by("bar_idx")
-        bars, _, then = _next(t)
+        bars, _, then = following(t)
         return t.take(reached(then, int(np.searchsorted(bars, right.column("_free")[0].as_py())))).drop_columns("_part") if t.num_rows else t.drop_columns("_part")
 
     sums = held.groupBy(*group, "_part").applyInArrow(summed, f"{own}, _part long, at array<long>, to array<long>")

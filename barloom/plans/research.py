@@ -283,7 +283,37 @@ SELECT v.formula, CAST(coalesce(h.n, 0) AS BIGINT) AS mask_hits, coalesce(q.trad
 
 
 put("x07_evaluate_window", lambda s, d: _round(formula.evaluate_window(held_one(s, d), FORMULAS, "t").select("formula", "mask_hits", "trades", *METRIC_KINDS)), _full_sql(_HELD_ONE))
-put("x07_many_series", lambda s, d: _round(formula.evaluate_window(held_frame(s, d), FORMULAS, "t").select("formula", "mask_hits", "trades", *METRIC_KINDS)), _full_sql(_HELD))
+put("x07_many_series", lambda s, d: _round(formula.evaluate_window(held_frame(s, d), FORMULAS, "t", part=FOLD_PART).select("formula", "mask_hits", "trades", *METRIC_KINDS)), _full_sql(_HELD))
+
+
+def _top_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best combinations by what the search stores, with full metrics computed again."""
+    df, cols = held_one(spark, sf_dir), combine.trade_columns("t")
+    found = combine.evaluate(spark, combine.prepare(df, PREDICATES, cols), 2, 20)
+    full = store.full_results(df, store.top_results(found, 5, rank_by="total_return"), cols, PREDICATES, False, Sizing())
+    return _round(full.select("combination", "stored_trades", "stored_total_return", "mask_hits", "trades", *METRIC_KINDS))
+
+
+put("a23_top_full", _top_full, f"""WITH RECURSIVE {took_sql(_HELD_ONE, _combos_sql(2))}, {metrics_sql()}, h AS (SELECT combination, count(*) AS n FROM p GROUP BY 1), q AS (SELECT combination, total_return AS stored, CAST(trades AS BIGINT) AS trades, {rounded_sql()} FROM mt WHERE trades >= 20 ORDER BY total_return DESC, combination LIMIT 5)
+SELECT q.combination, q.trades AS stored_trades, round(stored, 4) AS stored_total_return, h.n AS mask_hits, q.* EXCLUDE (combination, stored) FROM q JOIN h ON h.combination = q.combination""")
+
+
+def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole contracts of 0.01 dollars a point, bought for 2 % of what there is by the distance of the stop, at most 40 and within a margin of 3,000; a trade costs 0.05 dollars."""
+    df = slice_frame(spark, sf_dir).withColumn("stop", W.sma(c("high") - c("low"), 14))
+    cols = combine.trade_columns("t", cost_dollar=F.lit(0.05), risk_dollar=metrics.risk_dollars(c("stop"), 0.01))
+    sizing = Sizing(risk_pct=2.0, contracts=True, most=40, margin=3_000.0)
+    out = bitmaps.evaluate(df, PREDICATES, cols, 1, 1, stacking=True, sizing=sizing, size=FOLD_PART)
+    return _round(out.select("combination", "trades", "total_return", "final_capital", "total_return_pct", "max_drawdown_pct_equity"))
+
+
+put("a13_contracts", _contracts, f"""WITH RECURSIVE {_SLICE}, z AS (SELECT *, span * 0.01 AS d, rr - 0.05 / (span * 0.01) AS net FROM y WHERE rr IS NOT NULL AND span > 0),
+p AS ({' UNION ALL '.join(f"SELECT '{k}' AS combination, bar_idx, net, d FROM z WHERE {k}" for k in FLAGS)}), q AS (SELECT *, row_number() OVER (PARTITION BY combination ORDER BY bar_idx) AS i FROM p),
+cap(combination, i, x) AS (SELECT DISTINCT combination, CAST(0 AS BIGINT), CAST(100000 AS DOUBLE) FROM q
+  UNION ALL SELECT q.combination, q.i, cap.x + q.net * q.d * least(greatest(floor(cap.x * 0.02 / q.d), 1), 40, CASE WHEN cap.x > 0 THEN floor(cap.x / 3000) ELSE 40 END) FROM cap JOIN q ON q.combination = cap.combination AND q.i = cap.i + 1),
+e AS (SELECT *, max(x) OVER (PARTITION BY combination ORDER BY i) AS top FROM cap),
+m AS (SELECT combination, arg_max(x, i) AS x, max((top - x) / top * 100) AS fall FROM e GROUP BY 1), r AS (SELECT combination, count(*) AS trades, sum(net) AS total FROM q GROUP BY 1)
+SELECT m.combination, r.trades, round(total, 4) AS total_return, round(x, 4) AS final_capital, round((x / 100000 - 1) * 100, 4) AS total_return_pct, round(fall, 4) AS max_drawdown_pct_equity FROM m JOIN r ON r.combination = m.combination""")
 
 
 def _years(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,13 @@ def test_store(spark, tmp_path):
     s.check("i", "h")
     with pytest.raises(ValueError):
         s.check("i", "other")
+    # a batch that was cut off before its record does not count, and counts once when it comes again
+    got.withColumn("identity", B.F.lit("i")).write.parquet(str(tmp_path / "s/results/batch=cut"))
+    assert s.summary() == (5, 4)
+    assert s.append(got, "i", "h", "long", "t", 3, start=5) and not s.append(got, "i", "h", "long", "t", 3, start=5)
+    assert s.offset("i", "h") == 8 and s.summary() == (8, 7)
+    full = s.recompute(df, combine.trade_columns("t"), [catalog.Predicate(x, x) for x in "ab"], 2, True, metrics.Sizing(), rank_by="total_return").collect()
+    assert full and all(r.trades == r.stored_trades and abs(r.total_return - r.stored_total_return) < 1e-9 and r.profit_factor > 0 for r in full)
     assert [r.combination for r in s.query(2, rank_by="total_return", target="t").collect()][0] == "b"
     assert B.write_prepared(df, str(tmp_path / "p")) and not B.write_prepared(df, str(tmp_path / "p"))
     with pytest.raises(ValueError):
