@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import yes
+from . import order
 from .features import ANCHORS, BOOLEANS, PAIRED
 from .targets import drop_targets
 
@@ -96,13 +97,19 @@ def label(value: float) -> str:
     return text + "0" if text.endswith(".") else text
 
 
-def percentiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
-    """Count, 1st and 99th percentile (linear) of the finite values of all columns, in one aggregate."""
-    exprs = []
+#: rows up to which all values of a column may meet in one aggregate
+MOST_ROWS = 1_000_000
+
+
+def percentiles(df: DataFrame, columns: list[str], most: int = MOST_ROWS) -> dict[str, tuple[int, float, float]]:
+    """Count, 1st and 99th percentile (linear) of the finite values of all columns: one aggregate over at most ``most`` rows, of more rows by brackets (``order.column_quantiles``). Both are exact."""
+    exprs, values = [], {}
     for i, x in enumerate(columns):
         v = F.col(f"`{x}`").cast("double")
-        v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+        values[x] = v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
         exprs += [F.count(v).alias(f"n{i}"), F.percentile(v, F.array(F.lit(0.01), F.lit(0.99))).alias(f"p{i}")]
+    if df.count() > most:
+        return {x: (n, *q) for x, (n, q) in order.column_quantiles(df, values, [0.01, 0.99]).items()}
     r = df.agg(*exprs).first()
     return {x: (r[f"n{i}"], r[f"p{i}"][0], r[f"p{i}"][1]) for i, x in enumerate(columns) if r[f"p{i}"] is not None}
 
@@ -159,19 +166,44 @@ def supports(df: DataFrame, predicates: list[Predicate], gate: Column | None = N
     return out
 
 
+def duplicates(df: DataFrame, groups: list[list[Predicate]]) -> set[str]:
+    """Names of the predicates that hold on just the rows of an earlier one of their group. Groups come by a hash; here rows are compared, so that unlike masks with one hash both stay."""
+    out: set[str] = set()
+    groups = [g for g in groups if len(g) > 1]
+    while groups:
+        pairs = [(g[0], p) for g in groups for p in g[1:]]
+        differ: list[int] = []
+        for at in range(0, len(pairs), 400):
+            part = pairs[at : at + 400]
+            r = df.agg(*[F.count_if(a.column() != b.column()).alias(f"d{i}") for i, (a, b) in enumerate(part)]).first()
+            differ += list(r)
+        unlike = iter(differ)
+        rest = []
+        for g in groups:  # what differs from the first of its group is compared with the first of those
+            left = []
+            for p in g[1:]:
+                if next(unlike):
+                    left.append(p)
+                else:
+                    out.add(p.name)
+            rest.append(left)
+        groups = [g for g in rest if len(g) > 1]
+    return out
+
+
 def prune(df: DataFrame, predicates: list[Predicate], least: int = 0, gate: Column | None = None) -> list[Predicate]:
-    """Without predicates that are always or never true, fall below ``least`` gated rows, or equal an earlier one row by row; first names win."""
+    """Without predicates that are always or never true, fall below ``least`` gated rows, or equal an earlier one of their kind (flags or comparisons) row by row; first names win."""
     n, found = df.count(), supports(df, predicates, gate)
-    seen: set[tuple[int, int]] = set()
-    out, names = [], set()
+    kept: dict[str, Predicate] = {}
     for p in predicates:
-        hits, gated, h = found[p.name]
-        if p.name in names or hits in (0, n) or gated < least or (hits, h) in seen:
-            continue
-        seen.add((hits, h))
-        names.add(p.name)
-        out.append(p)
-    return out
+        hits, gated, _ = found[p.name]
+        if p.name not in kept and hits not in (0, n) and gated >= least:
+            kept[p.name] = p
+    alike: dict[tuple[bool, int, int], list[Predicate]] = {}
+    for p in kept.values():
+        alike.setdefault((bool(p.op), found[p.name][0], found[p.name][2]), []).append(p)
+    gone = duplicates(df, list(alike.values()))
+    return [p for p in kept.values() if p.name not in gone]
 
 
 def build(df: DataFrame, with_pairs: bool = True) -> list[Predicate]:

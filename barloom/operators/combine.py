@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import yes
@@ -118,6 +118,16 @@ def combinations(spark: SparkSession, n: int, k: int, low: int, high: int) -> Da
     return out if out is not None else spark.createDataFrame([], "number decimal(38,0), combination string")
 
 
+def totals(counts: DataFrame, depth: int) -> DataFrame:
+    """The columns of ``counts`` with its column ``n``, a number of features, and for each depth up to ``depth``: depth, combinations (of this size) and total (up to it), within 64 bits (larger numbers: ``total``)."""
+    whole = "decimal(38,0)"
+    step = lambda acc, i: F.call_function("div", acc * (F.col("n").cast("long") - i), (i + 1).cast("long"))
+    each = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("depth"))
+    size = F.aggregate(F.sequence(F.lit(0), F.col("depth") - 1), F.lit(1).cast("long"), step)
+    upto = Window.partitionBy(*counts.columns).orderBy("depth")
+    return each.withColumn("combinations", size.cast(whole)).withColumn("total", F.sum("combinations").over(upto).cast(whole))
+
+
 def rank(combination: list[int], n: int) -> int:
     """The lexicographic number of a combination."""
     k, out, before = len(combination), 0, -1

@@ -121,8 +121,14 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 put("c04_percentiles", _bounds, f"WITH {HOUR} " + " UNION ALL ".join(f"SELECT '{x}' AS feature, count({x}) AS n, round(quantile_cont({x}, 0.01), 6) AS p1, round(quantile_cont({x}, 0.99), 6) AS p99 FROM b" for x in ("open", "high", "low", "close")))
 put("c01_catalog", lambda s, d: catalog.as_table(s, catalog.build(hour_features(s, d))), None)
-put("c10_pairs", lambda s, d: catalog.as_table(s, catalog.pair_predicates(["open", "high", "low", "close"])).select("name", "base", "op", "rhs"),
-    "WITH f(x) AS (VALUES ('open'), ('high'), ('low'), ('close')), o(op) AS (VALUES ('>'), ('<')) SELECT a.x || op || z.x AS name, a.x AS base, op, z.x AS rhs FROM f a JOIN f z ON a.x < z.x CROSS JOIN o")
+def _pairs_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bars of each series meet each pair of prices."""
+    preds = catalog.pair_predicates(list(B.PRICES))
+    met = all_bars(spark, sf_dir).select("series_id", F.inline(F.array_compact(F.array(*[F.when(p.column(), F.struct(F.lit(p.name).alias("name"), F.lit(p.base).alias("base"), F.lit(p.op).alias("op"), F.lit(p.rhs).alias("rhs"))) for p in preds]))))
+    return met.groupBy("series_id", "name", "base", "op", "rhs").agg(F.count("*").alias("bars"))
+
+
+put("c10_pairs", _pairs_held, f"WITH {BARS}, x AS (" + " UNION ALL ".join(f"SELECT series_id, '{a}{o}{z}' AS name, '{a}' AS base, '{o}' AS op, '{z}' AS rhs FROM b WHERE {a} {o} {z}" for i, a in enumerate(sorted(B.PRICES)) for z in sorted(B.PRICES)[i + 1 :] for o in "><") + ") SELECT *, count(*) AS bars FROM x GROUP BY ALL")
 
 FLAGS = {"is_green": "close > open", "prev_green": "lag(close > open, 1, false) " + ALONG, "higher_high": f"coalesce(high > lag(high) {ALONG}, false)", "higher_low": f"coalesce(low > lag(low) {ALONG}, false)", "above_sma": f"coalesce(close > CASE WHEN count(close) {w(20)} = 20 THEN avg(close) {w(20)} END, false)"}
 
@@ -261,9 +267,17 @@ def _core(spark: SparkSession, sf_dir: str, stacking: bool) -> DataFrame:
 
 put("a09_evaluate_no_stacking", lambda s, d: _core(s, d, False), _core_sql(3, False))
 put("a12_equity_metrics", lambda s, d: _core(s, d, True), _core_sql(3, True))
-put("n03_unrank", lambda s, d: combine.combinations(s, 12, 4, 100, 400).select(c("number").cast("long").alias("number"), "combination"), """WITH i(x) AS (SELECT unnest(range(12))), q AS (SELECT a.x AS a, b.x AS b, c.x AS c, d.x AS d, row_number() OVER (ORDER BY a.x, b.x, c.x, d.x) - 1 AS number FROM i a JOIN i b ON b.x > a.x JOIN i c ON c.x > b.x JOIN i d ON d.x > c.x)
-SELECT CAST(number AS BIGINT) AS number, a || ' ' || b || ' ' || c || ' ' || d AS combination FROM q WHERE number >= 100 AND number < 400""")
-put("n01_count", lambda s, d: s.createDataFrame([(k, combine.total(10, k)) for k in range(1, 6)], "depth int, n long"), "WITH RECURSIVE f(k, b) AS (SELECT 1, 10 UNION ALL SELECT k + 1, b * (10 - k) // (k + 1) FROM f WHERE k < 5) SELECT k AS depth, CAST(sum(b) OVER (ORDER BY k) AS BIGINT) AS n FROM f")
+def _unranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combinations of four nations, by their numbers."""
+    names = [r.n_name for r in B.read_table(spark, sf_dir, "nation").select("n_name", "n_nationkey").orderBy("n_nationkey").collect()]  # a dimension of 25 rows
+    of = F.transform(F.split("combination", " "), lambda i: F.element_at(F.array(*[F.lit(x) for x in names]), i.cast("int") + 1))
+    return combine.combinations(spark, len(names), 4, 100, 12_000).select(c("number").cast("long").alias("number"), F.array_join(of, " && ").alias("combination"))
+
+
+put("n03_unrank", _unranked, """WITH i AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_nationkey) AS x FROM nation), q AS (SELECT a.name || ' && ' || b.name || ' && ' || c.name || ' && ' || d.name AS combination, row_number() OVER (ORDER BY a.x, b.x, c.x, d.x) - 1 AS number FROM i a JOIN i b ON b.x > a.x JOIN i c ON c.x > b.x JOIN i d ON d.x > c.x)
+SELECT CAST(number AS BIGINT) AS number, combination FROM q WHERE number >= 100 AND number < 12000""")
+put("n01_count", lambda s, d: combine.totals(B.read_table(s, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n")), 5).select(c("s_nationkey").cast("long").alias("s_nationkey"), "depth", c("combinations").cast("long").alias("combinations"), c("total").cast("long").alias("total")),
+    "WITH RECURSIVE g AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1), f(s_nationkey, n, k, b) AS (SELECT s_nationkey, n, 1, CAST(n AS HUGEINT) FROM g UNION ALL SELECT s_nationkey, n, k + 1, b * greatest(n - k, 0) // (k + 1) FROM f WHERE k < 5) SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, k AS depth, CAST(b AS BIGINT) AS combinations, CAST(sum(b) OVER (PARTITION BY s_nationkey ORDER BY k) AS BIGINT) AS total FROM f")
 put("q01_top_results", lambda s, d: _round(store.top_results(_evaluated(s, d, 2, True), 5, 10, rank_by="total_return").select("combination", "trades", "total_return")),
     f"WITH {_SLICE}, p AS (" + " UNION ALL ".join(f"SELECT '{n}' AS combination, count(rr) AS trades, sum(rr) AS t FROM y WHERE {x}" for n, x in _combos_sql(2)) + ") SELECT combination, trades, round(t, 4) AS total_return FROM p WHERE trades >= 10 ORDER BY t DESC, combination LIMIT 5")
 
