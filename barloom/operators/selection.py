@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,16 +95,68 @@ def splits(n: int, most: int = 10_000) -> list[tuple[int, ...]]:
     return [] if n < 4 or n % 2 else list(itertools.islice(itertools.combinations(range(n), n // 2), most))
 
 
+#: formulas whose metrics of all splits are held at once
+TILE = 256
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], train: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Formulas, and their metrics in training and in test by split: the product of block metrics with the indicator of the splits (blocks x splits), block after block, so that equal rows give equal sums."""
+    for b in batches:
+        for at in range(0, b.num_rows, TILE):
+            part = b.slice(at, TILE)
+            m = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+            inside, outside = np.zeros((part.num_rows, train.shape[1])), np.zeros((part.num_rows, train.shape[1]))
+            for k in range(len(train)):
+                inside += np.where(train[k], m[:, k, None], 0.0)
+                outside += np.where(train[k], 0.0, m[:, k, None])
+            yield part.column(0).to_pylist(), inside, outside
+
+
 def backtest_overfitting(metrics: DataFrame, n: int, most: int = 10_000) -> DataFrame:
-    """A row for each split of ``metrics`` (formula, block, metric): the formula best in training (ties: the smaller text), its rank in the test blocks, and whether its logit is 0 or less. The mean of ``overfit`` is the probability of overfitting."""
-    spark = metrics.sparkSession
-    plan = spark.createDataFrame([(i, list(s)) for i, s in enumerate(splits(n, most))], "split int, train array<int>")
-    sums = metrics.crossJoin(F.broadcast(plan)).groupBy("split", "formula").agg(  # plan: at most ``most`` short rows
-        F.sum(F.when(F.array_contains("train", F.col("block")), F.col("metric")).otherwise(0.0)).alias("train_metric"), F.sum(F.when(~F.array_contains("train", F.col("block")), F.col("metric")).otherwise(0.0)).alias("test_metric"))
-    w = Window.partitionBy("split")
-    r = sums.withColumns({"train_rank": F.row_number().over(w.orderBy(F.desc("train_metric"), "formula")), "test_rank": F.row_number().over(w.orderBy(F.desc("test_metric"), "formula")), "candidates": F.count("*").over(w)})
+    """A row for each split of ``metrics`` (formula, block, metric): the formula best in training (ties: the smaller text), its rank in the test blocks, and whether its logit is 0 or less. The mean of ``overfit`` is the probability of overfitting.
+
+    Formulas meet the splits in tiles, twice: once for the best of each split, once to count those that beat it in test. What leaves a task is a row for each split, ``most`` at most."""
+    spark, plan = metrics.sparkSession, splits(n, most)
+    schema = "split int, formula string, train_metric double, test_metric double, test_rank int, test_percentile double, logit double, overfit boolean"
+    train = np.array([[k in s for s in plan] for k in range(n)], bool).reshape(n, len(plan))
+    block = F.create_map(*[x for k in range(n) for x in (F.lit(k), F.lit(0.0))])
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("block").cast("int"), F.col("metric"))))
+    sums = metrics.groupBy("formula", "block").agg(F.coalesce(F.sum(F.col("metric").cast("double")), F.lit(0.0)).alias("metric"))
+    rows = sums.groupBy("formula").agg(held.alias("held")).select("formula", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.element_at(block, k))).alias("m"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[float, str, float] | None] = [None] * len(plan)
+        for names, inside, outside in _tiles(batches, train):
+            order = np.argsort(np.array(names, object), kind="stable")
+            first = order[np.argmax(inside[order], axis=0)]  # of equal ones the smallest text
+            for j, i in enumerate(first.tolist()):
+                new = (inside[i, j], names[i], outside[i, j])
+                old = found[j]
+                if old is None or new[0] > old[0] or (new[0] == old[0] and new[1] < old[1]):
+                    found[j] = new
+        got = [(j, f[1], float(f[0]), float(f[2])) for j, f in enumerate(found) if f is not None]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.string(), pa.float64(), pa.float64()))], ["split", "formula", "train_metric", "test_metric"])
+
+    tops = rows.mapInArrow(best, "split int, formula string, train_metric double, test_metric double")
+    chosen = tops.groupBy("split").agg(F.max("train_metric").alias("train_metric")).join(tops, ["split", "train_metric"]).groupBy("split", "train_metric").agg(F.min(F.struct("formula", "test_metric")).alias("x")).orderBy("split").collect()  # a row for each split
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    names, level = [r.x.formula for r in chosen], np.array([r.x.test_metric for r in chosen])
+
+    def beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, seen = np.zeros(len(names), np.int64), 0
+        for own, _, outside in _tiles(batches, train):
+            count += (outside > level).sum(axis=0)
+            for i, j in zip(*np.nonzero(outside == level)):
+                count[j] += own[i] < names[j]
+            seen += len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names), dtype=np.int32)), pa.array(count), pa.array(np.full(len(names), seen))], ["split", "above", "seen"])
+
+    ranks = rows.mapInArrow(beaten, "split int, above long, seen long").groupBy("split").agg((F.sum("above") + 1).cast("int").alias("test_rank"), F.sum("seen").alias("candidates"))
+    tops = spark.createDataFrame([(r.split, r.x.formula, r.train_metric, r.x.test_metric) for r in chosen], "split int, formula string, train_metric double, test_metric double")
     pct = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), (F.col("candidates") - F.col("test_rank") + 1) / F.col("candidates")))
-    r = r.where("train_rank = 1").withColumn("test_percentile", pct).withColumn("logit", F.log(F.col("test_percentile") / (1 - F.col("test_percentile"))))
+    r = tops.join(ranks, "split").withColumn("test_percentile", pct).withColumn("logit", F.log(F.col("test_percentile") / (1 - F.col("test_percentile"))))
     return r.select("split", "formula", "train_metric", "test_metric", "test_rank", "test_percentile", "logit", (F.col("logit") <= 0).alias("overfit"))
 
 
