@@ -64,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--top-k", type=int, default=20)
     q.add_argument("--force", action="store_true")
     q.add_argument("--dry-run", action="store_true")
+    q.add_argument("--subset-prune", action="store_true", help="leave out what holds a pair with too few trades; the pairs are kept with the store")
     trade(q)
 
     def ahead(q: argparse.ArgumentParser) -> None:
@@ -177,7 +178,13 @@ def comb(a: argparse.Namespace, spark: SparkSession) -> None:
     own = identity(a, catalog.catalog_hash(preds))
     s.check(own, sha, a.force)
     # masks of one series that fit are broadcast, others stream through the tasks in blocks
-    setup = combine.prepare(df, preds, cols, a.require) if combine.fits(df, preds) else None
+    setup = combine.prepare(df, preds, cols, a.require) if not a.subset_prune and combine.fits(df, preds) else None
+    dead, names = None, [p.name for p in preds]
+    if a.subset_prune:
+        dead = s.dead(own, sha, names)
+        if dead is None:
+            dead = combine.dead_matrix(names, combine.evaluate_pairs(df, preds, cols), a.min_samples)
+            s.keep_dead(own, sha, names, dead)
     at, stop = s.offset(own, sha), min(n, a.max_combos or n)
     last = df.agg(F.max(F.to_date("ts")).cast("string")).first()[0]
     while at < stop:
@@ -185,7 +192,7 @@ def comb(a: argparse.Namespace, spark: SparkSession) -> None:
         if setup:
             found = combine.evaluate(spark, setup, a.max_depth, a.min_samples, a.max_drawdown, a.stacking, sizing, at, end)
         else:
-            found = bitmaps.evaluate(df, preds, cols, a.max_depth, a.min_samples, a.max_drawdown, a.stacking, sizing, at, end, a.require)
+            found = bitmaps.evaluate(df, preds, cols, a.max_depth, a.min_samples, a.max_drawdown, a.stacking, sizing, at, end, a.require, dead=dead)
         s.append(found, own, sha, a.direction, a.target, end - at, at, last)
         at = end
     if s.results() is not None:

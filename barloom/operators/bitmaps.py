@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.chain import PART, numbers, part_of
 from ..session import settle
 from .catalog import Predicate
-from .combine import RESULT, Setup, allowed, choose_trades, ranges, total, unrank
+from .combine import RESULT, Setup, allowed, choose_trades, ranges, total, unrank, unrank_live
 from .metrics import Sizing
 
 #: combinations that a lane keeps numbers of, at most; cells of a hit table at once
@@ -151,8 +151,9 @@ def _lanes(n: int, depth: int, start: int, stop: int, most: int) -> list[tuple[i
     return out
 
 
-def evaluate(df: DataFrame, predicates: list[Predicate], columns: dict[str, Column], depth: int, least: int = 1, max_drawdown: float = math.inf, stacking: bool = False, sizing: Sizing | None = None, start: int = 0, stop: int | None = None, required: list[str] | None = None, size: int | None = None, lane: int | None = None) -> DataFrame:
-    """What ``combine.evaluate`` gives, for any number of bars and series (trades in the order of series and bars): the combinations numbered ``start`` to ``stop`` with ``least`` trades and a drawdown within the cap."""
+def evaluate(df: DataFrame, predicates: list[Predicate], columns: dict[str, Column], depth: int, least: int = 1, max_drawdown: float = math.inf, stacking: bool = False, sizing: Sizing | None = None, start: int = 0, stop: int | None = None, required: list[str] | None = None, size: int | None = None, lane: int | None = None, dead: np.ndarray | None = None) -> DataFrame:
+    """What ``combine.evaluate`` gives, for any number of bars and series (trades in the order of series and bars): the combinations numbered ``start`` to ``stop`` with ``least`` trades and a drawdown within the cap.
+    ``dead`` (see ``combine.dead_matrix``) names pairs that no combination with so many trades can hold: runs of numbers that begin with one are not enumerated, and nothing else changes."""
     spark, sizing, names = df.sparkSession, sizing or Sizing(), [p.name for p in predicates]
     missing = set(required or ()) - set(names)
     if missing:
@@ -173,11 +174,19 @@ def evaluate(df: DataFrame, predicates: list[Predicate], columns: dict[str, Colu
 
     def begin(k: int) -> tuple[Lane, np.ndarray]:
         depth_k, first, lo, hi, _ = lanes[k]
-        behind, local = (first[-1] + 1 if first else 0), np.arange(lo, hi)
-        combos = unrank(local, n - behind, depth_k - len(first)) + behind
+        behind = first[-1] + 1 if first else 0
+        if dead is None:
+            local = np.arange(lo, hi)
+            combos = unrank(local, n - behind, depth_k - len(first)) + behind
+        else:
+            local, combos, _ = unrank_live(lo, hi, n - behind, depth_k - len(first), dead[behind:, behind:])
+            combos = combos + behind
         if first:
             combos = np.concatenate((np.tile(np.array(first, np.int64), (len(combos), 1)), combos), axis=1)
         ok = allowed(combos, rules)
+        if dead is not None:
+            for i in range(len(first)):
+                ok &= ~dead[combos[:, i, None], combos[:, i + 1 :]].any(axis=1)
         if left.value is not None:
             ok &= (left.value[0][combos] >= least).all(axis=1)
         return Lane(combos[ok], sizing), local[ok]

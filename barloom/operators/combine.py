@@ -67,6 +67,28 @@ def unrank(numbers: np.ndarray | list[int], n: int, k: int) -> np.ndarray:
     return out
 
 
+def unrank_live(low: int, high: int, n: int, k: int, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The numbers among low .. high - 1 whose combinations of k of n hold no pair that ``dead`` (n x n, true above the diagonal) rules out, those combinations, and how many beginnings were looked at.
+
+    Combinations with the same beginning are a run of numbers. Beginnings grow element by element, and one that holds a dead pair is left out with its whole run, so what lies in it is never made."""
+    held, start, seen = np.zeros((1, 0), np.int64), np.zeros(1, np.int64), 0
+    for i in range(k):
+        table = np.array(_below(n, k - i), np.int64)
+        at = held[:, -1] + 1 if i else np.zeros(len(held), np.int64)
+        # the children of a beginning are runs next to each other: take those that meet the range
+        shift = start - table[at]
+        first = np.maximum(np.searchsorted(table, low - shift, side="right") - 1, at)
+        last = np.minimum(np.searchsorted(table, high - shift, side="left"), n - (k - i) + 1)
+        many = np.maximum(last - first, 0)
+        of = np.repeat(np.arange(len(held)), many)
+        x = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + first[of]
+        seen += len(of)
+        live = ~dead[held[of], x[:, None]].any(axis=1) if i else np.ones(len(of), bool)
+        of, x = of[live], x[live]
+        held, start = np.column_stack((held[of], x)), shift[of] + table[x]
+    return start, held, seen
+
+
 def _unrank_one(number: int, n: int, k: int) -> list[int]:
     out, low = [], 0
     for i in range(k):
@@ -337,6 +359,15 @@ def evaluate_pairs(df: DataFrame, predicates: list[Predicate], columns: dict[str
     return g.select(F.element_at(names, F.col("a") + 1).alias("name_a"), F.element_at(names, F.col("b") + 1).alias("name_b"), "mask_hits", "gated", "total_return")
 
 
+def dead_matrix(names: list[str], pairs: DataFrame, least: int) -> np.ndarray:
+    """Which pairs of predicates (as numbers, the smaller first) have fewer than ``least`` gated bars: no combination that holds one has so many trades. ``pairs``: those of ``evaluate_pairs``, which leaves out pairs that no bar meets."""
+    number, out = {x: i for i, x in enumerate(names)}, np.triu(np.ones((len(names), len(names)), bool), 1)
+    for r in pairs.where(F.col("gated") >= least).select("name_a", "name_b").collect():  # a row for each live pair of the catalog
+        a, b = sorted((number[r.name_a], number[r.name_b]))
+        out[a, b] = False
+    return out
+
+
 def dead_pairs(pairs: DataFrame, least: int) -> DataFrame:
     """Pairs with too few gated rows; a deeper combination that holds one can be skipped when stacking."""
     return pairs.where(F.col("gated") < least).select("name_a", "name_b")

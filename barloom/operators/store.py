@@ -57,6 +57,25 @@ class ResultStore:
         row = {"batch": batch, **own, "start": start, "processed": processed, "source_end": source_end, "at": datetime.now(timezone.utc).isoformat()}
         return files.create(record, json.dumps(row, sort_keys=True))
 
+    def keep_dead(self, identity: str, data_hash: str, names: list[str], dead) -> None:
+        """Keep the pairs that a search leaves out, for the runs that go on with it."""
+        a, b = dead.nonzero()
+        files.create(f"{self.path}/dead/{hashlib.sha256(json.dumps([identity, data_hash]).encode()).hexdigest()[:32]}.json", json.dumps({"names": names, "pairs": [a.tolist(), b.tolist()]}))
+
+    def dead(self, identity: str, data_hash: str, names: list[str]):
+        """The pairs kept for a search over these predicates, as a matrix, or None."""
+        import numpy as np
+
+        path = f"{self.path}/dead/{hashlib.sha256(json.dumps([identity, data_hash]).encode()).hexdigest()[:32]}.json"
+        if not files.exists(path):
+            return None
+        got = json.loads(files.read(path))
+        if got["names"] != names:
+            return None
+        out = np.zeros((len(names), len(names)), bool)
+        out[tuple(got["pairs"])] = True
+        return out
+
     def results(self) -> DataFrame | None:
         """The rows of all batches that count, or None."""
         done = [r["batch"] for r in self.ledger()]

@@ -75,3 +75,33 @@ def test_series_do_not_block_each_other(spark):
 def test_blocks_hold_a_bounded_share(one):
     got = bitmaps.blocks(one, predicates(), combine.trade_columns("t"), 64).collect()
     assert len(got) == 11 and max(len(r.words) for r in got) == 8 * 8 and sum(r.support[0] for r in got) == one.where("f0").count()
+
+
+def test_dead_beginnings_are_never_made():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for n, k, share in ((7, 3, 0.3), (9, 4, 0.5), (6, 1, 0.5), (12, 2, 0.9), (8, 5, 0.0)):
+        dead = np.triu(rng.random((n, n)) < share, 1)
+        every = list(itertools.combinations(range(n), k))
+        want = [(i, c) for i, c in enumerate(every) if not any(dead[a, b] for a, b in itertools.combinations(c, 2))]
+        for low, high in ((0, len(every)), (3, len(every) - 2), (len(every) // 3, len(every) // 2), (5, 5)):
+            number, combos, _ = combine.unrank_live(low, high, n, k, dead)
+            assert list(zip(number.tolist(), map(tuple, combos.tolist()))) == [x for x in want if low <= x[0] < high]
+    dead = np.triu(np.ones((60, 60), bool), 1)
+    dead[:8, :8] = False
+    number, _, seen = combine.unrank_live(0, math.comb(60, 4), 60, 4, dead)
+    assert len(number) == math.comb(8, 4) and seen < math.comb(60, 4) / 20
+
+
+def test_pruned_search_equals_the_whole(spark, one, tmp_path):
+    cols, names = combine.trade_columns("t"), [p.name for p in predicates()]
+    dead = combine.dead_matrix(names, combine.evaluate_pairs(one, predicates(), cols), 60)
+    assert 0 < dead.sum() < 28
+    got = table(bitmaps.evaluate(one, predicates(), cols, 3, 60, size=128, dead=dead))
+    assert got == table(bitmaps.evaluate(one, predicates(), cols, 3, 60, size=128)) and got
+    from barloom.operators.store import ResultStore
+
+    s = ResultStore(spark, str(tmp_path / "s"))
+    s.keep_dead("i", "h", names, dead)
+    assert np.array_equal(s.dead("i", "h", names), dead) and s.dead("i", "other", names) is None and s.dead("i", "h", names[:3]) is None

@@ -23,7 +23,8 @@ def test_prepare_search_export_evaluate(spark, tmp_path, capsys):
     assert "reused" in capsys.readouterr().out
     args = ["comb", data, out, "--max-depth", "1", "--min-samples", "5", "--max-drawdown", "1000", "--no-pairs", "--batch", "150", "--end", "2024-02-15", "--top-k", "3"]
     cli.main(args)
-    cli.main(args)  # all done: adds nothing
+    cli.main([*args, "--subset-prune"])  # all done: adds nothing but the pairs that are left out from here on
+    assert len(list((tmp_path / "store/dead").glob("*.json"))) == 1
     from barloom.operators.store import ResultStore
 
     processed, stored = ResultStore(spark, out).summary()
