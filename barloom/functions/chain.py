@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Generator, Iterator
 from typing import Any
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -226,9 +227,15 @@ def numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64) if isinstance(column, pa.Array) else column.combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+#: bounds of frames that are known: one job for a frame, none for what is made of it row by row
+_bounds: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
 def longest(df: DataFrame) -> int:
     """A bound of the bars of any series, from the largest index."""
-    return (df.agg(F.max("bar_idx")).first()[0] or 0) + 1
+    if df not in _bounds:
+        _bounds[df] = (df.agg(F.max("bar_idx")).first()[0] or 0) + 1
+    return _bounds[df]
 
 
 def part_of(size: int) -> Column:
@@ -297,7 +304,9 @@ def along_parts(df: DataFrame, make: Callable[..., Kernel], inputs: tuple[str, .
         return _with(t, alone(make(*[numbers(t.column(c)) for c in inputs])), outputs)
 
     if longest(df) <= size:
-        return df.groupBy("series_id").applyInArrow(whole, schema)
+        out = df.groupBy("series_id").applyInArrow(whole, schema)
+        _bounds[out] = longest(df)
+        return out
     held = df.withColumn("_part", part_of(size))
     links = rounds(make, len(inputs))
 
@@ -307,7 +316,9 @@ def along_parts(df: DataFrame, make: Callable[..., Kernel], inputs: tuple[str, .
             return _with(t, dict.fromkeys(outputs, np.empty(0)), outputs)
         return _with(t, _replay(make(*[numbers(t.column(c)) for c in inputs]), links, np.array(right.column("_state")[0].as_py(), float)), outputs)
 
-    return held.groupBy("series_id", "_part").cogroup(states(held, make, inputs).groupBy("series_id", "_part")).applyInArrow(finish, schema)
+    out = held.groupBy("series_id", "_part").cogroup(states(held, make, inputs).groupBy("series_id", "_part")).applyInArrow(finish, schema)
+    _bounds[out] = longest(df)
+    return out
 
 
 def _with(t: pa.Table, made: dict[str, np.ndarray], outputs: dict[str, str]) -> pa.Table:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .formula import Formula, evaluate_scenarios
 from .metrics import Sizing
 
@@ -122,7 +123,7 @@ def backtest_overfitting(metrics: DataFrame, n: int, most: int = 10_000) -> Data
     block = F.create_map(*[x for k in range(n) for x in (F.lit(k), F.lit(0.0))])
     held = F.map_from_entries(F.collect_list(F.struct(F.col("block").cast("int"), F.col("metric"))))
     sums = metrics.groupBy("formula", "block").agg(F.coalesce(F.sum(F.col("metric").cast("double")), F.lit(0.0)).alias("metric"))
-    rows = sums.groupBy("formula").agg(held.alias("held")).select("formula", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.element_at(block, k))).alias("m"))
+    rows = settle(sums.groupBy("formula").agg(held.alias("held")).select("formula", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.element_at(block, k))).alias("m")))  # a row for each formula, read by both passes
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[float, str, float] | None] = [None] * len(plan)
