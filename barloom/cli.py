@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bitmaps, catalog, combine, formula, forward, metrics, protocol, selection, store, targets
+from .operators import audit, bitmaps, catalog, combine, formula, forward, metrics, protocol, selection, store, targets
 from .operators.features import features
 from .operators.metrics import Sizing, asset
 from .sources import bars as B
@@ -59,6 +59,9 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--end")
     q.add_argument("--require", action="append", default=[])
     q.add_argument("--no-pairs", action="store_true")
+    q.add_argument("--feature-ranges", help="JSON of operators, min, max, increment and enabled for each feature, in place of the standard ranges")
+    q.add_argument("--reward-column", help="by default the target's own, the side's or a usual name; without any only labels count")
+    q.add_argument("--audit", action="store_true", help="say where columns and the lists of features part")
     q.add_argument("--batch", type=int, default=1_000_000)
     q.add_argument("--max-combos", type=int)
     q.add_argument("--top-k", type=int, default=20)
@@ -150,7 +153,7 @@ def _dollars(a: argparse.Namespace, df: DataFrame) -> dict[str, Column]:
 def identity(a: argparse.Namespace, catalog_sha: str) -> str:
     """What a stored search depends on, but for depth, batch and limits: deeper searches extend it."""
     keys = ("target", "direction", "cost_r", "stacking", "capital", "risk_pct", "years", "asset", "position_sizing", "cost_dollar", "stop_distance_column", "stop_distance_unit", "min_contracts", "max_contracts", "min_samples", "max_drawdown", "start", "end", "require", "no_pairs")
-    return hashlib.sha256(json.dumps([catalog_sha, *[getattr(a, k) for k in keys]]).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([catalog_sha, *[getattr(a, k) for k in keys], *([a.reward_column] if a.reward_column else [])]).encode()).hexdigest()
 
 
 def prepare(a: argparse.Namespace, spark: SparkSession) -> None:
@@ -167,11 +170,17 @@ def prepare(a: argparse.Namespace, spark: SparkSession) -> None:
 
 def comb(a: argparse.Namespace, spark: SparkSession) -> None:
     df = B.date_range(B.read_prepared(spark, a.data), a.start, a.end)
-    cols = combine.trade_columns(a.target, a.cost_r, **_dollars(a, df))
-    preds = catalog.build(df, not a.no_pairs)
-    preds = catalog.prune(df, preds, a.min_samples, cols["_gate"])
+    cols, returns = combine.found_columns(df, a.target, a.direction, a.reward_column, a.stacking, cost=a.cost_r, **_dollars(a, df))
+    if a.audit:
+        for r in audit.audit(df).collect():  # a row for each column at most
+            print(*[x for x in r if x is not None])
+    preds = catalog.build(df, not a.no_pairs, catalog.ranges_of(files.read(a.feature_ranges)) if a.feature_ranges else catalog.RANGES)
+    held = catalog.supports(df, preds, cols["_gate"])
+    for kind, every, dropped, eligible in catalog.sampling(preds, held, a.min_samples):
+        print(f"{kind}s: {every}, {dropped} below {a.min_samples} samples, {eligible} eligible")
+    preds = catalog.prune(df, preds, a.min_samples, cols["_gate"], held)
     n = combine.total(len(preds), a.max_depth)
-    print(f"{len(preds)} predicates, {n} combinations")
+    print(f"{len(preds)} predicates, {n} combinations" + ("" if returns else "; no returns: only labels count"))
     if a.dry_run:
         return
     sizing, sha, s = _sizing(a, df), str(B.content_hash(df)), store.ResultStore(spark, a.out)
@@ -193,9 +202,11 @@ def comb(a: argparse.Namespace, spark: SparkSession) -> None:
             found = combine.evaluate(spark, setup, a.max_depth, a.min_samples, a.max_drawdown, a.stacking, sizing, at, end)
         else:
             found = bitmaps.evaluate(df, preds, cols, a.max_depth, a.min_samples, a.max_drawdown, a.stacking, sizing, at, end, a.require, dead=dead)
-        s.append(found, own, sha, a.direction, a.target, end - at, at, last)
+        s.append(found if returns else combine.by_labels(found), own, sha, a.direction, a.target, end - at, at, last)
         at = end
-    if s.results() is not None:
+    if s.results() is not None and not returns:
+        s.query(a.top_k, rank_by="total_return", target=a.target, direction=a.direction).show(a.top_k, truncate=False)
+    elif s.results() is not None:
         s.recompute(df, cols, preds, a.top_k, a.stacking, sizing, target=a.target, direction=a.direction).orderBy(F.desc("calmar_ratio"), "combination").show(a.top_k, truncate=False)
 
 

@@ -21,19 +21,105 @@ from .features import ANCHORS, BOOLEANS, PAIRED
 from .targets import drop_targets
 
 OPERATORS = (">", "<", ">=", "<=")
-# Which comparisons each range feature takes, and the increments to choose from.
-RANGES = {
-    **dict.fromkeys("""rsi_14 adx kf_adx bb_position kf_vs_200sma kf_vs_9ema price_vs_9ema_dev price_vs_200sma_dev 9ema_to_200sma kf_price_deviation macd macd_hist macd_signal stoch_k stoch_d
-    momentum_score trend_strength adx_sma""".split(), (">=", "<=")),
-    **dict.fromkeys("""momentum_14 roc_5 roc_10 kf_trend_momentum kf_atr_momentum_5 kf_atr_c2c_momentum_5 kf_adx_momentum_5 kf_atr_deviation kf_adx_deviation kf_atr_vs_c2c kf_trend_volatility_ratio bb_std
-    body_to_total_wick body_atr_ratio""".split(), (">", "<")),
-    **dict.fromkeys("""rsi_7 rsi_21 atr_pct volatility_20_cv body_size_pct kf_atr_pct kf_atr_c2c_pct kf_innovation_abs kf_adx_innovation_abs atr_c2c_pct ext ext_sma14 wicks_diff wicks_diff_sma14 bar_range_pct
-    lower_shadow_ratio upper_shadow_ratio atr_pct_mean50 atr_c2c_mean50 kf_atr kf_atr_c2c""".split(), (">",)),
-    "consecutive_green": (">=",),
-}
+# Range features, their comparisons, least and greatest threshold, increment, and whether they are on.
+RANGE_TABLE = """
+rsi_14                    >=,<=   auto auto auto on
+rsi_7                     >       auto auto auto on
+rsi_21                    >       auto auto auto on
+adx                       >=,<=   auto auto auto on
+kf_adx                    >=,<=   auto auto auto on
+atr_pct                   >       auto auto auto on
+volatility_20_cv          >       auto auto auto on
+momentum_14               >,<     auto auto auto on
+roc_5                     >,<     auto auto auto on
+roc_10                    >,<     auto auto auto on
+body_size_pct             >       auto auto auto on
+consecutive_green         >=      auto auto auto on
+bb_position               >=,<=   auto auto auto on
+kf_vs_200sma              >=,<=   auto auto auto on
+kf_vs_9ema                >=,<=   auto auto auto on
+price_vs_9ema_dev         >=,<=   auto auto auto on
+price_vs_200sma_dev       >=,<=   auto auto auto on
+9ema_to_200sma            >=,<=   auto auto auto on
+kf_trend_momentum         >,<     auto auto auto on
+kf_atr_momentum_5         >,<     auto auto auto on
+kf_atr_c2c_momentum_5     >,<     auto auto auto on
+kf_adx_momentum_5         >,<     auto auto auto on
+kf_atr_pct                >       auto auto auto on
+kf_atr_c2c_pct            >       auto auto auto on
+kf_innovation_abs         >       auto auto auto on
+kf_adx_innovation_abs     >       auto auto auto on
+kf_price_deviation        >=,<=   auto auto auto on
+kf_atr_deviation          >,<     auto auto auto on
+kf_adx_deviation          >,<     auto auto auto on
+kf_atr_vs_c2c             >,<     auto auto auto on
+kf_trend_volatility_ratio >,<     auto auto auto on
+atr_c2c_pct               >       auto auto auto on
+bb_std                    >,<     auto auto auto on
+macd                      >=,<=   auto auto auto on
+macd_hist                 >=,<=   auto auto auto on
+macd_signal               >=,<=   auto auto auto on
+stoch_k                   >=,<=   auto auto auto on
+stoch_d                   >=,<=   auto auto auto on
+ext                       >       auto auto auto on
+ext_sma14                 >       auto auto auto on
+momentum_score            >=,<=   auto auto auto on
+wicks_diff                >       auto auto auto on
+wicks_diff_sma14          >       auto auto auto on
+kf_wicks_smooth           >       auto auto auto off
+bar_range_pct             >       auto auto auto on
+body_to_total_wick        >,<     auto auto auto on
+body_atr_ratio            >,<     auto auto auto on
+trend_strength            >=,<=   auto auto auto on
+adx_sma                   >=,<=   auto auto auto on
+lower_shadow_ratio        >       auto auto auto on
+upper_shadow_ratio        >       auto auto auto on
+atr_pct_mean50            >       auto auto auto on
+atr_c2c_mean50            >       auto auto auto on
+kf_atr                    >       auto auto auto on
+kf_atr_c2c                >       auto auto auto on
+"""
+# The increments to choose from.
 INCREMENTS = [m * 10.0**e for e in range(-5, 4) for m in (1, 2, 5)]
 
 
+@dataclass(frozen=True)
+class Range:
+    """Comparisons of a feature with thresholds from ``low`` to ``high`` by ``step``; None: found in the data."""
+
+    operators: tuple[str, ...]
+    low: float | None = None
+    high: float | None = None
+    step: float | None = None
+    on: bool = True
+
+    def __post_init__(self) -> None:
+        wrong = [o for o in self.operators if o not in OPERATORS]
+        if wrong:
+            raise ValueError(f"unknown operator {', '.join(wrong)}; known are {', '.join(OPERATORS)}")
+
+
+def _own(value: str | float | None) -> float | None:
+    return None if value in (None, "auto") else float(value)
+
+
+def parse_ranges(table: str) -> dict[str, Range]:
+    """Ranges by feature from lines of feature, operators, low, high, step (numbers or ``auto``), on or off."""
+    out = {}
+    for line in table.strip().splitlines():
+        name, ops, low, high, step, on = line.split()
+        out[name] = Range(tuple(ops.split(",")), _own(low), _own(high), _own(step), on == "on")
+    return out
+
+
+def ranges_of(text: str) -> dict[str, Range]:
+    """Ranges from JSON: an object for each feature with ``operators``, ``min``, ``max``, ``increment`` (numbers or "auto") and perhaps ``enabled``."""
+    return {name: Range(tuple(r["operators"]), _own(r["min"]), _own(r["max"]), _own(r["increment"]), r.get("enabled") is not False) for name, r in json.loads(text).items()}
+
+
+RANGES = parse_ranges(RANGE_TABLE)
+
+
 @dataclass(frozen=True)
 class Predicate:
     """A flag (no operator), a comparison with a constant, or one with another feature."""
@@ -114,18 +200,23 @@ def percentiles(df: DataFrame, columns: list[str], most: int = MOST_ROWS) -> dic
     return {x: (r[f"n{i}"], r[f"p{i}"][0], r[f"p{i}"][1]) for i, x in enumerate(columns) if r[f"p{i}"] is not None}
 
 
-def threshold_predicates(df: DataFrame, ranges: dict[str, tuple[str, ...]] = RANGES) -> list[Predicate]:
-    """Scalar thresholds of the range features; labels that coincide keep the first value."""
-    columns = [x for x in ranges if x in df.columns]
+def threshold_predicates(df: DataFrame, ranges: dict[str, Range] = RANGES) -> list[Predicate]:
+    """Scalar thresholds of the range features; labels that coincide keep the first value. Ranges that are off, of targets or of columns that are no numbers give none."""
+    kinds = dict(df.dtypes)
+    columns = drop_targets([x for x, r in ranges.items() if r.on and kinds.get(x, "string") not in ("boolean", "string", "timestamp", "date")])
     found = percentiles(df, columns) if columns else {}
     out: dict[str, Predicate] = {}
     for x in sorted(found):
         n, p1, p99 = found[x]
-        low, high = nice(p1, True), nice(p99, False)
+        own = ranges[x]
+        low = nice(p1, True) if own.low is None else own.low
+        high = nice(p99, False) if own.high is None else own.high
         if n < 2 or low >= high:
             continue
-        step = increment(low, high, len(ranges[x]))
-        for op in ranges[x]:
+        step = increment(low, high, len(own.operators)) if own.step is None else own.step
+        if step <= 0:
+            continue
+        for op in own.operators:
             for v in thresholds(low, high, step, op):
                 out.setdefault(f"{x}{op}{label(v)}", Predicate(f"{x}{op}{label(v)}", x, op, v))
     if not out:
@@ -191,9 +282,9 @@ def duplicates(df: DataFrame, groups: list[list[Predicate]]) -> set[str]:
     return out
 
 
-def prune(df: DataFrame, predicates: list[Predicate], least: int = 0, gate: Column | None = None) -> list[Predicate]:
-    """Without predicates that are always or never true, fall below ``least`` gated rows, or equal an earlier one of their kind (flags or comparisons) row by row; first names win."""
-    n, found = df.count(), supports(df, predicates, gate)
+def prune(df: DataFrame, predicates: list[Predicate], least: int = 0, gate: Column | None = None, found: dict[str, tuple[int, int, int]] | None = None) -> list[Predicate]:
+    """Without predicates that are always or never true, fall below ``least`` gated rows, or equal an earlier one of their kind (flags or comparisons) row by row; first names win. ``found``: supports that are known."""
+    n, found = df.count(), found or supports(df, predicates, gate)
     kept: dict[str, Predicate] = {}
     for p in predicates:
         hits, gated, _ = found[p.name]
@@ -206,10 +297,18 @@ def prune(df: DataFrame, predicates: list[Predicate], least: int = 0, gate: Colu
     return [p for p in kept.values() if p.name not in gone]
 
 
-def build(df: DataFrame, with_pairs: bool = True) -> list[Predicate]:
+def sampling(predicates: list[Predicate], found: dict[str, tuple[int, int, int]], least: int) -> list[tuple[str, int, int, int]]:
+    """(kind, total, dropped, eligible) of flags, thresholds and pairs: those with fewer than ``least`` gated rows (by ``supports``) are dropped."""
+    kinds = {"flag": [], "threshold": [], "pair": []}
+    for p in predicates:
+        kinds["flag" if not p.op else "threshold" if p.rhs is None else "pair"].append(found[p.name][1] < least)
+    return [(k, len(v), sum(v), len(v) - sum(v)) for k, v in kinds.items()]
+
+
+def build(df: DataFrame, with_pairs: bool = True, ranges: dict[str, Range] = RANGES) -> list[Predicate]:
     """Flags (constant and duplicate ones dropped), thresholds, pairs; the order is fixed."""
     flags = prune(df, [Predicate(x, x) for x in BOOLEANS if x in df.columns])
-    parts = [*flags, *threshold_predicates(df), *(pair_predicates(df.columns) if with_pairs else [])]
+    parts = [*flags, *threshold_predicates(df, ranges), *(pair_predicates(df.columns) if with_pairs else [])]
     return list({p.name: p for p in reversed(parts)}.values())[::-1]
 
 

@@ -179,15 +179,53 @@ class Setup:
         return len(self.reward)
 
 
-def trade_columns(target: str, cost: float = 0.0, reward: str | None = None, cost_dollar: Column | None = None, risk_dollar: Column | None = None) -> dict[str, Column]:
-    """gate, reward net of cost, label, exit bar and dollar risk of each bar; a null reward counts as 0, a NaN one as no trade."""
-    rr = F.coalesce(F.col(f"`{reward or f'rr_{target}'}`"), F.lit(0.0))
+def trade_columns(target: str, cost: float = 0.0, reward: str | None = None, cost_dollar: Column | None = None, risk_dollar: Column | None = None, lacks: dict[str, Column] | None = None) -> dict[str, Column]:
+    """gate, reward net of cost, label, exit bar and dollar risk of each bar; a null reward counts as 0, a NaN one as no trade. ``lacks`` stands in for columns that are missing."""
+    lacks = lacks or {}
+    of = lambda x: lacks.get(x, F.col(f"`{x}`"))
+    rr = F.coalesce(of(reward or f"rr_{target}"), F.lit(0.0))
     if cost_dollar is not None and risk_dollar is not None:
         net = rr - F.when(risk_dollar > 0, F.try_divide(cost_dollar, risk_dollar))
     else:
         net = rr - cost
     net = F.when(~F.isnan(net) & (F.abs(net) != float("inf")), net)
-    return {"_reward": net, "_gate": yes(F.col(f"`{target}_eligible`")) & net.isNotNull(), "_label": yes(F.col(f"`{target}`")), "_exit": F.col(f"`{target}_exit_i`").cast("long"), "_risk": risk_dollar if risk_dollar is not None else F.lit(None).cast("double")}
+    return {"_reward": net, "_gate": yes(of(f"{target}_eligible")) & net.isNotNull(), "_label": yes(F.col(f"`{target}`")), "_exit": of(f"{target}_exit_i").cast("long"), "_risk": risk_dollar if risk_dollar is not None else F.lit(None).cast("double")}
+
+
+#: Where returns are looked for when no column is named after target or side.
+REWARDS = ("rr", "reward", "r_multiple", "returns")
+
+
+def reward_column(columns: list[str], target: str, direction: str = "both", named: str | None = None) -> str | None:
+    """The column of returns: the one that is named (an error if it is missing), else the first there is of the target's own, the side's (long before short) and the usual names; None if there is none."""
+    named = (named or "").strip()
+    if named:
+        if named not in columns:
+            raise ValueError(f"the column of returns {named} is missing")
+        return named
+    sides = ("long", "short") if direction == "both" else (direction,)
+    return next((x for x in (f"rr_{target}", *(f"rr_{s}" for s in sides), *REWARDS) if x in columns), None)
+
+
+def found_columns(df: DataFrame, target: str, direction: str = "both", named: str | None = None, stacking: bool = False, **options) -> tuple[dict[str, Column], bool]:
+    """``trade_columns`` of what the frame has, and whether it has returns. Without any each trade returns 0, and only labels count (see ``by_labels``); without a column of eligibility every bar is eligible; without exit bars trades may only stack."""
+    reward = reward_column(df.columns, target, direction, named)
+    if target not in df.columns:
+        raise ValueError(f"the target {target} is missing")
+    if not stacking and f"{target}_exit_i" not in df.columns:
+        raise ValueError(f"trades that may not overlap need the column {target}_exit_i")
+    lacks = {f"{target}_eligible": F.lit(True), f"{target}_exit_i": F.lit(None).cast("long"), **({} if reward else {f"rr_{target}": F.lit(0.0)})}
+    cols = trade_columns(target, reward=reward, lacks={k: v for k, v in lacks.items() if k not in df.columns}, **(options if reward else {}))
+    return cols, reward is not None
+
+
+def by_labels(results: DataFrame) -> DataFrame:
+    """Results of trades without returns: wins are label hits, losses the others; an expectancy of twice the share of wins less 1 and odds as profit factor, where the results have these columns; all other metrics are 0."""
+    share = F.when(F.col("trades") > 0, F.col("label_hits") / F.col("trades")).otherwise(0.0)
+    own = {"wins": F.col("label_hits"), "losses": F.col("trades") - F.col("label_hits"), "win_rate": share * 100.0, "expectancy": F.when(F.col("trades") > 0, 2.0 * share - 1.0).otherwise(0.0), "profit_factor": F.when(share >= 1.0, float("inf")).otherwise(share / (1.0 - share))}
+    kept = ("combo_id", "depth", "mask_hits", "trades", "label_hits", "formula_id", "source_rank")
+    kinds = {k: t for k, t in results.dtypes if t in ("double", "bigint") and k not in (*own, *kept)}
+    return results.withColumns({**{k: v for k, v in own.items() if k in results.columns}, **{k: F.lit(0).cast(t) for k, t in kinds.items()}})
 
 
 def fits(df: DataFrame, predicates: list[Predicate]) -> bool:
@@ -261,20 +299,20 @@ def choose_trades(row: np.ndarray, hit: np.ndarray, rows: int, bars: int, exits:
     return chosen
 
 
-def score(setup: Setup, combos: np.ndarray, least: int, stacking: bool, sizing: Sizing) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Which of the combinations have ``least`` trades, and their metrics: mask hits before the gate, and those of the trades."""
+def score(setup: Setup, combos: np.ndarray, least: int, stacking: bool, sizing: Sizing, short: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which of the combinations have ``least`` trades, and their metrics: mask hits before the gate, and those of the trades. With ``short`` those with fewer stay too, as rows whose trades all count as losses and whose other metrics are 0."""
     words = setup.words[combos[:, 0]]
     for i in range(1, combos.shape[1]):
         words &= setup.words[combos[:, i]]
     mask_hits = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
     words &= np.packbits(np.append(setup.gate, np.zeros(words.shape[1] * 64 - setup.bars, bool)), bitorder="little").view(np.uint64)
-    live = np.flatnonzero((mask_hits >= least) & (np.bitwise_count(words).sum(axis=1) >= max(least, 1)))
+    live = np.arange(len(combos)) if short else np.flatnonzero((mask_hits >= least) & (np.bitwise_count(words).sum(axis=1) >= max(least, 1)))
     row, hit = np.nonzero(np.unpackbits(words[live].view(np.uint8), axis=1, count=setup.bars, bitorder="little"))
     if not stacking and len(row):
         took = choose_trades(row, hit, len(live), setup.bars, setup.exits)
         row, hit = row[took], hit[took]
     trades = np.bincount(row, minlength=len(live))
-    enough = trades >= max(least, 1)
+    enough = trades >= (0 if short else max(least, 1))
     keep = enough[row]
     place = np.cumsum(enough) - 1
     row, hit, live, trades = place[row[keep]], hit[keep], live[enough], trades[enough]
@@ -289,13 +327,16 @@ def score(setup: Setup, combos: np.ndarray, least: int, stacking: bool, sizing:
             own = capital_path(rr[i, : trades[i]], sizing, setup.risk[hit[first[i] : first[i] + trades[i]]])
             path[i, : len(own)], path[i, len(own) :] = own, own[-1]
     out = {"mask_hits": mask_hits[live], "trades": trades, "label_hits": np.bincount(row, setup.label[hit], n).astype(np.int64), **core_rows(rr, trades, sizing, path)}
+    if short:
+        few = trades < least
+        out = {k: v if k in ("mask_hits", "trades") else np.where(few, trades if k == "losses" else 0, v) for k, v in out.items()}
     return live, out
 
 
 RESULT = "combo_id decimal(38,0), depth int, features array<int>, combination string, mask_hits long, trades long, wins long, losses long, label_hits long, win_rate double, total_return double, max_drawdown double, final_capital double, total_return_pct double, cagr_pct double, max_drawdown_pct_equity double, calmar_ratio double"
 
 
-def _range(spark: SparkSession, shared, names: list[str], first: tuple[int, ...], k: int, low: int, high: int, base: int, least: int, max_drawdown: float, stacking: bool, sizing: Sizing, partitions: int | None) -> DataFrame:
+def _range(spark: SparkSession, shared, names: list[str], first: tuple[int, ...], k: int, low: int, high: int, base: int, least: int, max_drawdown: float, stacking: bool, sizing: Sizing, partitions: int | None, short: bool = False) -> DataFrame:
     """Score the combinations of depth k that begin with ``first`` and go on with those numbered low .. high - 1, whose global numbers are ``base`` and these."""
     import decimal
 
@@ -310,11 +351,11 @@ def _range(spark: SparkSession, shared, names: list[str], first: tuple[int, ...]
                 combos = unrank(local, len(s.names) - behind, k - len(first)) + behind
                 if first:
                     combos = np.concatenate((np.tile(np.array(first, np.int64), (len(combos), 1)), combos), axis=1)
-                ok = allowed(combos, s) & live[combos].all(axis=1)
+                ok = allowed(combos, s) & (short | live[combos].all(axis=1))
                 local, combos = local[ok], combos[ok]
                 if not len(local):
                     continue
-                who, m = score(s, combos, least, stacking, sizing)
+                who, m = score(s, combos, least, stacking, sizing, short)
                 good = m["max_drawdown"] <= max_drawdown
                 who, m = who[good], {x: v[good] for x, v in m.items()}
                 m["combo_id"] = [decimal.Decimal(base + i) for i in local[who].tolist()]
@@ -327,8 +368,8 @@ def _range(spark: SparkSession, shared, names: list[str], first: tuple[int, ...]
     return spark.range(0, high - low, 1, partitions or max(1, min(2 * spark.sparkContext.defaultParallelism, -(-(high - low) // 2_000)))).mapInArrow(run, RESULT)
 
 
-def evaluate(spark: SparkSession, setup: Setup, depth: int, least: int = 1, max_drawdown: float = math.inf, stacking: bool = False, sizing: Sizing | None = None, start: int = 0, stop: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Score the combinations numbered ``start`` to ``stop``: those with ``least`` trades and a drawdown within the cap, under their true global numbers.
+def evaluate(spark: SparkSession, setup: Setup, depth: int, least: int = 1, max_drawdown: float = math.inf, stacking: bool = False, sizing: Sizing | None = None, start: int = 0, stop: int | None = None, partitions: int | None = None, short: bool = False) -> DataFrame:
+    """Score the combinations numbered ``start`` to ``stop``: those with ``least`` trades and a drawdown within the cap, under their true global numbers; with ``short`` also those with fewer trades (see ``score``).
 
     A depth is one range, or where its numbers exceed 64 bits a range for each of some first elements; a range counts from 0."""
     ship_package(spark)
@@ -345,7 +386,7 @@ def evaluate(spark: SparkSession, setup: Setup, depth: int, least: int = 1, max_
             continue
 
         for first, lo, hi, offset in ranges(low, high, n, k):
-            part = _range(spark, shared, names, first, k, lo, hi, base + offset, least, max_drawdown, stacking, sizing, partitions)
+            part = _range(spark, shared, names, first, k, lo, hi, base + offset, least, max_drawdown, stacking, sizing, partitions, short)
             out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], RESULT) if out is None else out
 

@@ -60,8 +60,8 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
 REACH = 0.0005
 
 
-def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, tuple[int, list[float]]]:
-    """Count and exact quantiles of each column over all rows, NULL aside, in three passes for all columns at once: sketches give a bracket of values around each quantile, counts of what is below say which place in the bracket
+def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], truncated: bool = False) -> dict[str, tuple[int, list[float]]]:
+    """Count and exact quantiles (linear, or the value at the place below) of each column over all rows, NULL aside, in three passes for all columns at once: sketches give a bracket of values around each quantile, counts of what is below say which place in the bracket
     is wanted (a bracket that the sketch put wrong is opened to both ends), and only the values inside brackets, a thousandth of the rows for each, are counted and put in order."""
     names = list(columns)
     x = [F.col(f"v{i}") for i in range(len(names))]
@@ -69,7 +69,7 @@ def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[flo
     ends = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-REACH, REACH)]
     r = v.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(x)], *[F.percentile_approx(c, ends, 10_000).alias(f"p{i}") for i, c in enumerate(x)]).first()
     there = [i for i in range(len(names)) if r[f"n{i}"]]
-    places = {(i, k): (r[f"n{i}"] - 1) * q for i in there for k, q in enumerate(shares)}
+    places = {(i, k): float(math.floor((r[f"n{i}"] - 1) * q)) if truncated else (r[f"n{i}"] - 1) * q for i in there for k, q in enumerate(shares)}
     bracket = {(i, k): (r[f"p{i}"][2 * k], r[f"p{i}"][2 * k + 1]) for i, k in places}
     if not places:
         return {}

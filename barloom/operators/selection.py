@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,6 +203,27 @@ def deflated_sharpe(x: list[float], trials: int) -> float | None:
     return probabilistic_sharpe(x, m[1] / math.sqrt(len(x)) * ((1 - gamma) * first + gamma * second))
 
 
+def sharpe_table(df: DataFrame, keys: list[str], value: str, trials: int = 1) -> DataFrame:
+    """keys, n, sharpe, skew, kurtosis, psr and dsr of the finite values of each group, as ``probabilistic_sharpe`` and ``deflated_sharpe`` give for one: one aggregate with partial sums, whatever the size of a group.
+    Fewer than 4 values, or equal ones, have n only."""
+    gamma, tried = 0.5772156649015329, max(trials, 1)
+    beyond = (1 - gamma) * (normal_quantile(1 - 1 / tried) or 0.0) + gamma * (normal_quantile(1 - 1 / (tried * math.e)) or 0.0)
+    v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    g = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_std"), F.skewness(v).alias("_skew"), F.kurtosis(v).alias("_kurt"))
+    ok, of = (F.col("n") >= 4) & (F.col("_std") > 0), (F.col("n") - 1) / F.col("n")  # moments by the sample's deviation, not the population's
+    g = g.withColumns({"sharpe": F.when(ok, F.col("_mean") / F.col("_std")), "skew": F.when(ok, F.col("_skew") * F.pow(of, 1.5)), "kurtosis": F.when(ok, (F.col("_kurt") + 3.0) * of * of)})
+    inner = 1.0 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") - 1.0) / 4.0 * F.col("sharpe") * F.col("sharpe")
+    z = lambda benchmark: F.when(inner > 0, (F.col("sharpe") - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(inner))
+
+    @F.pandas_udf("double")
+    def cdf(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: normal_cdf(a) if a == a else None)
+
+    g = g.withColumns({"_z": z(F.lit(0.0)), "_d": z(F.col("_std") / F.sqrt("n") * beyond)})
+    return g.select(*keys, "n", "sharpe", "skew", "kurtosis", cdf("_z").alias("psr"), cdf("_d").alias("dsr"))
+
+
 def gate_status(pbo: float | None, psr: float | None, dsr: float | None, warnings: list[str], max_pbo: float = 0.2, min_psr: float = 0.95, min_dsr: float = 0.95) -> str:
     if (pbo is not None and pbo > max_pbo) or (psr is not None and psr < min_psr) or (dsr is not None and dsr < min_dsr):
         return "fail"
