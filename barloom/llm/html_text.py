@@ -1,12 +1,16 @@
 """Main text of web pages by site template removal.
 
-A page is parsed into a tree that forgives missing and crossed tags. The subtrees of its block elements are hashed (tag, class, text and
-children) and, for each host, the pages with different text that hold a hash are counted in Spark. A subtree that recurs on ``MIN_PAGES`` pages or more
-of its host, however large the host is, belongs to the site's template and is deleted; what remains is the main text. There is no choice of one article
+A page is parsed into a tree that forgives missing and crossed tags. The subtrees of its block elements are hashed twice: with their text (tag, class, text and
+children), and as shapes (tag, class and children, text masked, runs of like children as one). For each host, the pages with different text that hold a hash are counted in Spark. A subtree that
+recurs on ``MIN_PAGES`` pages or more of its host, however large the host is, belongs to the site's template and is deleted; what remains is the main text. There is no choice of one article
 element: text outside of it stays unless it is deleted.
 
-Beside recurrence, elements that by their own tag or role hold no article text (navigation, footers, asides, forms, scripts) go. Class and id
-names are hints only: outside of articles a hinted container goes, within one only if its kind (tag and class) recurs on ``MIN_PAGES`` pages of the host too, and none
+A shape is a slot of the template, whose words may differ on each page (adverts, lists of links). It is counted and deleted only where an author's text would not stand: outside of articles, in a container
+whose kind holds at most a quarter of the page's text and which is mostly links, or has a class or id and no paragraph or heading on a page that has an article.
+
+Beside recurrence, elements that by their own tag or role hold no article text (navigation, footers, asides, scripts) go, and forms but for one that wraps prose and more than half of the page's text. Class and id
+names are hints for what is too rare to recur. A name is a hint if all its parts are words of ``HINTS`` or of ``NEUTRAL`` ("ad-box", not "ad-hoc"). Outside of articles a hinted container goes, unless it holds prose and more than a quarter of the text of a page without an article
+and its kind (tag and class) does not recur; within one it goes if its name says reader comments or adverts (``SURE``), or if its kind recurs on ``MIN_PAGES`` pages of the host. None
 goes that holds more than half of the page's text, if it holds an article or the page has none. Headings, paragraphs, quotations and list items inside an article are the author's: they never go by a class, and
 stay even if they recur, as licence lines and quotations do. An article, and what holds one, is deleted only if it is the smaller part of the text.
 
@@ -44,27 +48,34 @@ CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legen
 ROOT = frozenset(("article", "main"))
 CONTAINER = frozenset("div section article main ul ol dl dir table details header hgroup address center figure fieldset".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-DROP = frozenset("""script style noscript template head title nav footer aside form iframe button select textarea object embed canvas audio video dialog menu
+DROP = frozenset("""script style noscript template head title nav footer aside iframe button select textarea object embed canvas audio video dialog menu
 map datalist input svg""".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
 HINTS = frozenset("""ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo cookie cookies consent gdpr notice notices
 sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer share sharing social related newsletter subscribe popup modal overlay comment comments commentlist respond
 disqus widget widgets toolbar pagination pager login signup""".split())
+SURE = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsored comment comments commentlist respond disqus".split())
+NEUTRAL = frozenset("""area bar block body bottom box button buttons container content form google group header inner item items left link links list main middle outer page post right section
+site slot text title top unit wrap wrapper""".split())
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""["'>]""")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-_WORDS = re.compile(r"[^a-z0-9]+")
+_WORDS = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 _SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select",)}
 _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot"), "option": ("option",)}
 _AROUND_P = ("table", "td", "th", "button", "object", "article", "main", "div", "section", "li", "blockquote", "body")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash", "rooted", "size")
+    """An element. ``rooted``: it holds an article; ``prose``: a paragraph or heading; ``size``, ``links``: characters of text, and those in links; ``slot``: an author's text would not stand here."""
+
+    __slots__ = ("tag", "attrs", "kids", "hash", "shape", "rooted", "prose", "size", "links", "slot")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids, self.hash, self.rooted, self.size = tag, attrs, [], 0, False, 0
+        self.tag, self.attrs, self.kids, self.hash, self.shape = tag, attrs, [], 0, 0
+        self.rooted, self.prose, self.size, self.links, self.slot = False, False, 0, 0, False
 
 
 class _Open:
@@ -192,9 +203,14 @@ def parse(source: str) -> Node:
     return top
 
 
+def _label(node: Node) -> str:
+    """The class of an element, or else its id, without numbers."""
+    return _DIGITS.sub("0", node.attrs.get("class", "") or node.attrs.get("id", ""))
+
+
 def _seal(top: Node) -> list[Node]:
-    """Hashes of all subtrees, children first, how much text they hold and whether an article; the elements that may be templates."""
-    out, todo = [], [(top, False, False, False)]
+    """Hashes and shapes of all subtrees, children first, and what they hold; returns the elements that may be templates."""
+    out, outside, todo = [], [], [(top, False, False, False)]
     while todo:
         node, ready, inside, gone = todo.pop()
         if not ready:
@@ -203,20 +219,38 @@ def _seal(top: Node) -> list[Node]:
             todo += [(k, False, below, gone) for k in node.kids if isinstance(k, Node)]
             continue
         h = xxhash.xxh64(f"{node.tag}\x00{node.attrs.get('class', '')}")
+        shape = xxhash.xxh64(f"{node.tag}\x02{_label(node)}")
+        last = None
         for k in node.kids:
             if isinstance(k, Node):
                 h.update(k.hash.to_bytes(8, "little"))
                 node.rooted |= k.rooted or k.tag in ROOT
+                node.prose |= k.prose or k.tag in PROSE
                 node.size += k.size
+                node.links += k.links
+                form = k.shape
             else:
                 said = " ".join(k.split())
                 h.update("\x01" + said)
                 node.size += len(said)
-        node.hash = h.intdigest()
+                form = 1 if said else last
+            if form != last:
+                shape.update(form.to_bytes(8, "little"))
+                last = form
+        node.hash, node.shape = h.intdigest(), shape.intdigest()
         if node.tag in DROP:
-            node.size = 0
-        elif node.size and not gone and (node.tag in CONTAINER or (node.tag in PROSE and not inside)):
+            node.size = node.links = 0
+        elif node.tag == "a":
+            node.links = node.size
+        if node.size and not gone and node.tag not in DROP and (node.tag in CONTAINER or (node.tag in PROSE and not inside)):
             out.append(node)
+            if node.tag in CONTAINER and not inside and not node.rooted and node.tag not in ROOT:
+                outside.append(node)
+    share: dict[int, int] = defaultdict(int)
+    for x in outside:
+        share[x.shape] += x.size
+    for x in outside:
+        x.slot = 4 * share[x.shape] <= top.size and (2 * x.links > x.size or (top.rooted and not x.prose and _label(x) != ""))
     return out
 
 
@@ -225,24 +259,42 @@ def _kind(node: Node) -> int:
     return xxhash.xxh64_intdigest(f"{node.tag}\x01{node.attrs.get('class', '')}\x01{'' if node.attrs.get('class') else node.attrs.get('id', '')}")
 
 
-def _hinted(node: Node) -> bool:
-    """A container whose names or attributes say that it is no article text."""
+def _hint(node: Node) -> int:
+    """What the names and attributes of a container say: 2 for reader comments or adverts, 1 for other text that is no article's, else 0."""
     a = node.attrs
     if not a or node.tag not in CONTAINER:
-        return False
-    if "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return not HINTS.isdisjoint(_WORDS.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+        return 0
+    level = int("hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower())
+    for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        words = set(_WORDS.findall(name))
+        if not HINTS.isdisjoint(words) and words <= HINTS | NEUTRAL:
+            level = max(level, 1 if SURE.isdisjoint(words) else 2)
+    return level
+
+
+def _marks(nodes: list[Node]) -> set[int]:
+    """What is counted for each host: subtrees, shapes of slots, kinds of hinted containers."""
+    return {x.hash for x in nodes} | {x.shape for x in nodes if x.slot} | {_kind(x) for x in nodes if _hint(x)}
 
 
 def _deleted(x: Node, top: Node, inside: bool, templates) -> bool:
     """Whether an element goes; ``inside``: it stands in an article."""
-    if x.tag in DROP or x.attrs.get("role", "").lower() in DROP_ROLES or (x.tag == "header" and not inside and not x.rooted):
-        return True
     most, holds = 2 * x.size > top.size, x.rooted or x.tag in ROOT
+    role = x.attrs.get("role", "").lower()
+    if x.tag == "form" or role == "form":
+        return not (most and (x.prose or holds))
+    if x.tag in DROP or (role in DROP_ROLES and not (most and holds)) or (x.tag == "header" and not inside and not x.rooted):
+        return True
     if (x.tag in CONTAINER or (x.tag in PROSE and not inside)) and not (most and holds) and x.hash in templates:
         return True
-    return not (most and (holds or not top.rooted)) and _hinted(x) and (not inside or _kind(x) in templates)
+    if x.slot and x.shape in templates:
+        return True
+    hint = _hint(x)
+    if not hint or (most and (holds or not top.rooted)):
+        return False
+    if inside:
+        return hint == 2 or _kind(x) in templates
+    return hint == 2 or not (x.prose and not top.rooted and 4 * x.size > top.size) or _kind(x) in templates
 
 
 def blocks(top: Node, templates=frozenset()) -> list[str]:
@@ -288,7 +340,7 @@ def _key(host: str, h: int) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sub, page: each subtree, and each kind of hinted container, that a page of this text holds; sub stands for host and subtree."""
+    """sub, page: each subtree, shape of a slot and kind of hinted container that a page of this text holds; sub stands for host and subtree."""
     for b in batches:
         seen = set()
         for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -297,10 +349,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host, top = host_of(url), parse(source)
             nodes = _seal(top)
             page = xxhash.xxh64_intdigest("\n".join(blocks(top))) - (1 << 63)
-            for x in nodes:
-                seen.add((_key(host, x.hash), page))
-                if _hinted(x):
-                    seen.add((_key(host, _kind(x)), page))
+            seen.update((_key(host, x), page) for x in _marks(nodes))
         cols = list(zip(*seen)) or [[]] * 2
         yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["sub", "page"])
 
@@ -353,8 +402,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for k, url, source in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if source:
                     host = host_of(url)
-                    nodes = _seal(parse(source))
-                    rows += [(k, s) for s in {_key(host, x.hash) for x in nodes} | {_key(host, _kind(x)) for x in nodes if _hinted(x)}]
+                    rows += [(k, _key(host, x)) for x in _marks(_seal(parse(source)))]
             cols = list(zip(*rows)) or [[]] * 2
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["key", "sub"])
 

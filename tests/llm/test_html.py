@@ -105,10 +105,40 @@ def test_templates_need_the_same_number_of_pages_on_any_host(spark):
 
 
 def test_kinds_inside_an_article_go_where_they_recur(spark):
-    page = "<article><h1>t{i}</h1><p>text number {i}</p><div class=comments><p>{i} remarks {i}</p></div></article>"
+    page = "<article><h1>t{i}</h1><p>text number {i}</p><div class=related><p>{i} more {i}</p></div><div class=comments><p>{i} remarks {i}</p></div></article>"
     rows = [(i, "http://h.org/", page.format(i=i)) for i in range(H.MIN_PAGES)] + [(90, "http://other.org/", page.format(i=90))]
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got[2] == "t2\ntext number 2" and got[90].endswith("90 remarks 90")
+    assert got[2] == "t2\ntext number 2" and got[90] == "t90\ntext number 90\n90 more 90"  # reader comments go on any host
+
+
+def test_shapes_of_slots_decide_whatever_their_words(spark):
+    """No name tells what the slots hold, and no two pages have the same text in them."""
+    page = "<body><ul class=k1><li><a href=/{i}>go {i}</a></li><li><a href=/z{i}>up {i}</a></li></ul><div class=k2>buy {i} now</div><article><h1>t{i}</h1><p>text number {i}</p><div class=k3>table {i}</div></article><div class=k4><p>outside {i}</p></div></body>"
+    rows = [(i, f"http://{'large' if i < 40 else 'small'}.org/{i}", page.format(i=i)) for i in range(40 + H.MIN_PAGES - 1)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"t{i}\ntext number {i}\ntable {i}\noutside {i}" for i in range(40))
+    assert all(got[i].startswith(f"go {i}\nup {i}\nbuy {i} now\nt{i}\n") for i in range(40, len(rows)))
+
+
+def test_shapes_leave_an_authors_blocks(spark):
+    """Pages without article: titles and parts in containers of one shape stay, and so does what holds much of the text."""
+    page = "<div class=title>title {i}</div><div class=part>part one of {i}</div><div class=part>part two of {i}</div><div class=sum><p>in short: {i}</p></div>"
+    rows = [(i, "http://h.org/", page.format(i=i)) for i in range(20)]
+    rows += [(100 + i, "http://list.org/", f"<ul class=all><li><a href=x>first {i}</a></li><li><a href=y>second {i}</a></li></ul>") for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[7] == "title 7\npart one of 7\npart two of 7\nin short: 7" and got[107] == "first 7\nsecond 7"
+
+
+def test_forms_and_names():
+    text = "<h1>Head</h1><p>one of the texts that a server wraps</p>"
+    want = "Head\none of the texts that a server wraps"
+    assert H.main_text(f"<form id=f>{text}<input><button>ok</button></form>") == want
+    assert H.main_text(f"<body><form><nav>m</nav><article>{text}<form>mail</form></article></form></body>") == want
+    assert H.main_text(f"{text}<form><p>sign up</p><input></form>") == want
+    assert H.main_text(f'{text}<section class="ad-hoc"><p>it is real prose</p></section>') == want + "\nit is real prose"
+    assert H.main_text(f'{text}<div class="notice"><p>it is a long text about what is to be noted by all</p></div>').endswith("noted by all")
+    assert H.main_text(f'<article>{text}</article><div class="notice"><p>it is a long text about what is to be noted by all</p></div>') == want
+    assert H.main_text(f'<article>{text}<div class="ad-box">buy</div><section id="comments-2"><p>{"first! " * 99}</p></section></article>') == want
 
 
 def test_copies_and_licence_lines_stay(spark):
