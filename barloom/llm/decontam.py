@@ -170,19 +170,24 @@ Hit = tuple[int, int, list[int], list[int], list[bool]]
 
 def _best(hits: list[Hit], of: int) -> tuple[int, int, int, int]:
     """The stretch of a document that covers most of an item: covered tokens, the longest run of them, and which hits (from, to). Hits are sorted by place."""
-    count = np.zeros(of, np.int64)
-    best, low, covered = (0, 0, 0, 0), 0, 0
+    count, best, low, covered = [0] * of, (0, 0, 0), 0, 0
     for high, (p, q, put, _, _) in enumerate(hits):
-        count[q : q + len(put)] += 1
+        for i in range(q, q + len(put)):
+            covered += not count[i]
+            count[i] += 1
         while p + len(put) - hits[low][0] > 2 * of + SLACK:
-            _, i, x, _, _ = hits[low]
-            count[i : i + len(x)] -= 1
+            _, start, x, _, _ = hits[low]
+            for i in range(start, start + len(x)):
+                count[i] -= 1
+                covered -= not count[i]
             low += 1
-        covered = int(np.count_nonzero(count))
         if covered > best[0]:
-            ends = np.flatnonzero(np.concatenate(([True], count == 0, [True])))
-            best = covered, int(np.diff(ends).max()) - 1, low, high + 1
-    return best
+            best = covered, low, high + 1
+    most, low, high = best
+    held = np.zeros(of + 2, np.int8)
+    for _, q, put, _, _ in hits[low:high]:
+        held[q + 1 : q + 1 + len(put)] = 1
+    return most, int(np.diff(np.flatnonzero(held == 0)).max()) - 1, low, high
 
 
 def _consistent(hits: list[Hit]) -> tuple[bool, int, int]:

@@ -13,8 +13,7 @@ of ``TILE`` by ``TILE``, where lengths and counts of words in ``BINS`` bins show
 distance of the two word sequences against what a similarity of 0.8 allows; bounds from the words alone decide most pairs before. Verified links are joined to classes.
 
 Defined results: a text that is null or has no word is alone in its class (class_id is its own doc_id). Rows of the same doc_id are one document, and their texts one class. A row without
-doc_id stands alone and has no class_id. Two texts of whom the band would hold more than ``MOST_CELLS`` cells are similar if an alignment along their unique words costs no more than
-is allowed; a costlier one counts as dissimilar. Extra columns are ignored.
+doc_id stands alone and has no class_id. Texts of any length are aligned exactly, in memory that grows with the texts alone. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +45,6 @@ TILE = 1000
 FIRST = 16
 #: members that one task aligns with a leader's text
 SALT_ROWS = 64
-#: cells of an alignment's band
-MOST_CELLS = 4_000_000_000
 _WORD = re.compile(r"[^\W_]+")
 _known: dict[str, int] = {}
 _rng = np.random.default_rng(20240917)
@@ -150,7 +147,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     if not n or not m:
         return max(n, m) if max(n, m) <= limit else limit + 1
     if limit > 400:
-        return _edit_rows(a, b, limit)
+        return _edit_diagonals(a, b, limit)
     # Myers' bit vectors: a column of the table at a time, its differences as bits of one number
     equal: dict[int, int] = {}
     for i, w in enumerate(a.tolist()):
@@ -173,32 +170,51 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return cost
 
 
-def _edit_rows(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """The same by rows of the band, for long texts: a row's insertions are one running minimum."""
-    n, m = len(a), len(b)
-    band = 64
-    while True:
-        band = min(band, limit)
-        low = np.arange(-band, band + 1)
-        cur = np.where((low >= 0) & (low <= m), low, 1 << 40).astype(np.int64)
-        pad = np.concatenate((np.zeros(band, b.dtype), b, np.zeros(band + 1 + max(0, n - m), b.dtype)))
-        for i in range(1, n + 1):
-            j = low + i
-            diag = cur + (pad[i - 1 : i + 2 * band] != a[i - 1])
-            up = np.append(cur[1:], 1 << 40) + 1
-            best = np.minimum(diag, up)
-            best = np.where((j >= 1) & (j <= m), best, 1 << 40)
-            if i <= band:
-                best[band - i] = i
-            cur = np.minimum(np.minimum.accumulate(best - low) + low, 1 << 40)
-            if cur.min() > band:
+def _slide(a: np.ndarray, b: np.ndarray, i: np.ndarray, k: np.ndarray) -> None:
+    """Move each place i of ``a``, on diagonal k, over the words that agree from there; both texts end in words of their own."""
+    act = np.flatnonzero(a[i] == b[i + k])
+    for _ in range(16):
+        if not len(act):
+            return
+        i[act] += 1
+        at = i[act]
+        act = act[a[at] == b[at + k[act]]]
+    for x in act.tolist():
+        p, q, size = int(i[x]), int(i[x] + k[x]), 64
+        while True:
+            size = min(size, len(a) - p, len(b) - q)
+            off = a[p : p + size] != b[q : q + size]
+            step = int(off.argmax())
+            if off[step]:
                 break
-        else:
-            if abs(m - n) <= band and cur[m - n + band] <= band:
-                return int(cur[m - n + band])
-        if band >= limit:
-            return limit + 1
-        band *= 4
+            p, q, size = p + size, q + size, size * 4
+        i[x] = p + step
+
+
+def _edit_diagonals(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """The same for long texts, by the furthest place that each diagonal reaches with one more error: time grows with the square of the distance, memory with the texts."""
+    n, m = len(a), len(b)
+    ids = np.unique(np.concatenate((a, b)), return_inverse=True)[1].astype(np.int64)
+    a, b = np.append(ids[:n], -1), np.append(ids[n:], -2)
+    goal, none = m - n, -(1 << 40)
+    low, at = 0, np.zeros(1, np.int64)
+    _slide(a, b, at, np.zeros(1, np.int64))
+    if not goal and at[0] >= n:
+        return 0
+    for e in range(1, limit + 1):
+        left = limit - e  # a diagonal farther than that from the goal cannot come back to it
+        lo, hi = max(-e, -n, goal - left), min(e, m, goal + left)
+        before = np.full(hi - lo + 3, none)  # diagonals lo - 1 to hi + 1
+        first, last = max(low, lo - 1), min(low + len(at) - 1, hi + 1)
+        before[first - lo + 1 : last - lo + 2] = at[first - low : last - low + 1]
+        k = np.arange(lo, hi + 1)
+        at = np.maximum(np.maximum(before[1:-1], before[2:]) + 1, before[:-2])
+        np.minimum(at, np.minimum(n, m - k), out=at)
+        _slide(a, b, at, k)
+        low = lo
+        if lo <= goal <= hi and at[goal - lo] >= n:
+            return e
+    return limit + 1
 
 
 def _increasing(q: np.ndarray) -> np.ndarray:
@@ -260,7 +276,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     once = (ca[both] == 1) & (cb[at] == 1)
     if upper_bound(a, b, fa[both][once], fb[at][once]) <= limit:
         return True
-    return n * limit <= MOST_CELLS and edit_distance(a, b, limit) <= limit
+    return edit_distance(a, b, limit) <= limit
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Decontamination: names, edits, partial quotes, against brute force, odd rows."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -137,3 +138,24 @@ def test_slots():
     ids, slot, value = D.canonical("Take 12 kg of it to Tom Brown, then to Tom.")
     assert slot.tolist() == [False, True, True, False, False, False, True, False, False, True] or slot.sum() == 5
     assert np.unique(ids[slot]).size == 3 and len(value) == len(ids)
+
+
+def test_judge_takes_time_in_proportion_and_keeps_the_best_stretch():
+    began = time.time()
+    hit = lambda p, q: (p, q, [1] * 8, [1] * 8, [False] * 8)
+    assert D.judge([hit(q, q) for q in range(300_000 - 7)], 300_000) == (1.0, 0, 0)
+    assert time.time() - began < 20
+    rng = random.Random(5)
+    for _ in range(200):
+        of = rng.randrange(8, 40)
+        hits = sorted(hit(rng.randrange(400), rng.randrange(of - 7)) for _ in range(rng.randrange(1, 30)))
+        want = (0, 0)
+        for lo in range(len(hits)):
+            for hi in range(lo + 1, len(hits) + 1):
+                if hits[hi - 1][0] + 8 - hits[lo][0] <= 2 * of + D.SLACK:
+                    held = {q + i for _, q, *_ in hits[lo:hi] for i in range(8)}
+                    want = max(want, (len(held), 0))
+        covered, run, low, high = D._best(hits, of)
+        held = {q + i for _, q, *_ in hits[low:high] for i in range(8)}
+        assert covered == want[0] == len(held)
+        assert run == max(b - a for a in range(of) for b in range(a, of + 1) if set(range(a, b)) <= held)
