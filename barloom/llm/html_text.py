@@ -209,7 +209,7 @@ def _label(node: Node) -> str:
 
 
 def _seal(top: Node) -> list[Node]:
-    """Hashes and shapes of all subtrees, children first, and what they hold; returns the elements that may be templates."""
+    """Hashes of all subtrees, children first, shapes where slots may be, and what they hold; returns the elements that may be templates."""
     out, outside, todo = [], [], [(top, False, False, False)]
     while todo:
         node, ready, inside, gone = todo.pop()
@@ -219,7 +219,7 @@ def _seal(top: Node) -> list[Node]:
             todo += [(k, False, below, gone) for k in node.kids if isinstance(k, Node)]
             continue
         h = xxhash.xxh64(f"{node.tag}\x00{node.attrs.get('class', '')}")
-        shape = xxhash.xxh64(f"{node.tag}\x02{_label(node)}")
+        shape = None if inside or gone else xxhash.xxh64(f"{node.tag}\x02{_label(node)}")
         last = None
         for k in node.kids:
             if isinstance(k, Node):
@@ -235,9 +235,10 @@ def _seal(top: Node) -> list[Node]:
                 node.size += len(said)
                 form = 1 if said else last
             if form != last:
-                shape.update(form.to_bytes(8, "little"))
+                if shape:
+                    shape.update(form.to_bytes(8, "little"))
                 last = form
-        node.hash, node.shape = h.intdigest(), shape.intdigest()
+        node.hash, node.shape = h.intdigest(), shape.intdigest() if shape else 0
         if node.tag in DROP:
             node.size = node.links = 0
         elif node.tag == "a":
