@@ -16,6 +16,12 @@ def yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x at so many decimals, halves of the scaled double away from zero, as SQL engines round doubles; Spark's own round takes the halves of the shortest decimal."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def ratio(a: Column, b: Column, eps: float = EPS) -> Column:
     """a / b, and 0 where b is next to 0."""
     return F.when(F.abs(b) < eps, 0.0).otherwise(F.try_divide(a, b))

@@ -53,7 +53,7 @@ def put(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | Non
 
 
 def _out(df: DataFrame, v: Column, flag: bool) -> DataFrame:
-    return df.select("series_id", "bar_idx", v.cast("int").alias("v") if flag else F.round(v.cast("double"), 4).alias("v"))
+    return df.select("series_id", "bar_idx", v.cast("int").alias("v") if flag else S.rounded(v.cast("double"), 4).alias("v"))
 
 
 def window_query(name: str, v: Callable[[], Column], sql: str, first: dict[str, tuple[Callable[[], Column], str]] | None = None, flag: bool = False) -> None:
@@ -81,7 +81,7 @@ def fold_query(name: str, kernel, inputs: tuple[str, ...], sql: str, which: int
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = R.along_parts(all_bars(spark, sf_dir), make, inputs, part, v="double")
-        return df.select("series_id", "bar_idx", F.round("v", 4).alias("v"))
+        return df.select("series_id", "bar_idx", S.rounded("v", 4).alias("v"))
 
     put(name, run, f"WITH RECURSIVE {BARS}, {sql} SELECT b.series_id, b.bar_idx, round(r.v, 4) AS v FROM b LEFT JOIN r ON r.series_id = b.series_id AND r.bar_idx = b.bar_idx")
 

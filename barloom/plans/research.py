@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recurrence as R
 from ..functions import window as W
-from ..functions.scalar import yes
+from ..functions.scalar import rounded, yes
 from ..operators import backtest, bitmaps, catalog, combine, formula, metrics, selection, store, targets
 from ..operators.features import features
 from ..operators.metrics import Sizing
@@ -19,7 +19,7 @@ T = "2x_atr_tp_atr_stop"
 
 
 def _round(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(c(f"`{n}`"), digits).alias(n) if t == "double" else c(f"`{n}`") for n, t in df.dtypes])
+    return df.select(*[rounded(c(f"`{n}`"), digits).alias(n) if t == "double" else c(f"`{n}`") for n, t in df.dtypes])
 
 
 # sources
@@ -74,7 +74,7 @@ def _barrier(name: str):
         for side in targets.SIDES:
             # those with bar stops run in parts that the longest series has several of, those with ATR stops in parts of the usual size
             t = targets.barrier_target(df, name, side, tick=0.25, part=FOLD_PART if name.startswith("highlow") else None)
-            t = t.where(c(f"`rr_{name}_{side}`").isNotNull()).select("series_id", "bar_idx", F.lit(side).alias("side"), c(f"`{name}_exit_i_{side}`").alias("exit_i"), c(f"`{name}_{side}`").cast("int").alias("hit"), F.round(f"`rr_{name}_{side}`", 4).alias("rr"), F.round(f"`{name}_risk_{side}`", 4).alias("risk"))
+            t = t.where(c(f"`rr_{name}_{side}`").isNotNull()).select("series_id", "bar_idx", F.lit(side).alias("side"), c(f"`{name}_exit_i_{side}`").alias("exit_i"), c(f"`{name}_{side}`").cast("int").alias("hit"), rounded(f"`rr_{name}_{side}`", 4).alias("rr"), rounded(f"`{name}_risk_{side}`", 4).alias("risk"))
             out = t if out is None else out.unionByName(t)
         return out
 
@@ -89,7 +89,7 @@ def _next_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = all_bars(spark, sf_dir).withColumn("wicks_diff", F.when(c("close") > c("open"), c("open") - c("low")).otherwise(c("high") - c("open")))
     n = "next_bar_color_and_wicks"
     t = targets.next_bar_target(df.withColumn("wicks_diff_sma14", W.sma(c("wicks_diff"), 14)), n, tick=0.25)
-    return t.where(c(f"{n}_exit_i_long").isNotNull()).select("series_id", "bar_idx", *[x for s in targets.SIDES for x in (c(f"{n}_{s}").cast("int").alias(f"hit_{s}"), F.round(f"rr_{n}_{s}", 4).alias(f"rr_{s}"), c(f"{n}_exit_i_{s}").alias(f"exit_{s}"))])
+    return t.where(c(f"{n}_exit_i_long").isNotNull()).select("series_id", "bar_idx", *[x for s in targets.SIDES for x in (c(f"{n}_{s}").cast("int").alias(f"hit_{s}"), rounded(f"rr_{n}_{s}", 4).alias(f"rr_{s}"), c(f"{n}_exit_i_{s}").alias(f"exit_{s}"))])
 
 
 _D = f"lead({{}}) {ALONG}"
@@ -140,7 +140,7 @@ def slice_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = F.lead(c("close") - c("open")).over(W.along())
     span = W.sma(c("high") - c("low"), 14)
     df = df.withColumns({"is_green": green, "higher_high": W.changes(c("high")), "higher_low": W.changes(c("low")), "above_sma": yes(c("close") > W.sma(c("close"), 20)), "_r": F.when(span > 0, nxt / span), "t_exit_i": c("bar_idx") + 1})
-    return df.withColumns({"prev_green": W.shifted(c("is_green")), "rr_t": F.when(c("_r").isNull(), F.lit(float("nan"))).otherwise(F.round("_r", 6)), "t": yes(c("_r") > 0), "t_eligible": c("_r").isNotNull()}).drop("_r")
+    return df.withColumns({"prev_green": W.shifted(c("is_green")), "rr_t": F.when(c("_r").isNull(), F.lit(float("nan"))).otherwise(rounded("_r", 6)), "t": yes(c("_r") > 0), "t_eligible": c("_r").isNotNull()}).drop("_r")
 
 
 def held_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def held_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     green = yes(c("close") > c("open"))
     nxt, span = F.lead(c("close") - c("open")).over(W.along()), W.sma(c("high") - c("low"), 14)
     df = df.withColumns({"is_green": green, "higher_high": W.changes(c("high")), "higher_low": W.changes(c("low")), "above_sma": yes(c("close") > W.sma(c("close"), 20)), "_r": F.when(span > 0, nxt / span), "t_exit_i": c("bar_idx") + 3})
-    return df.withColumns({"prev_green": W.shifted(c("is_green")), "rr_t": F.when(c("_r").isNull(), F.lit(float("nan"))).otherwise(F.round("_r", 6)), "t": yes(c("_r") > 0), "t_eligible": c("_r").isNotNull()}).drop("_r")
+    return df.withColumns({"prev_green": W.shifted(c("is_green")), "rr_t": F.when(c("_r").isNull(), F.lit(float("nan"))).otherwise(rounded("_r", 6)), "t": yes(c("_r") > 0), "t_eligible": c("_r").isNotNull()}).drop("_r")
 
 
 def held_one(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import recurrence as R
-from ..functions.scalar import yes
+from ..functions.scalar import rounded, yes
 from ..functions.window import whole
 from ..operators import audit, bitmaps, catalog, combine, formula, selection, store, targets
 from ..operators.catalog import Predicate, Range
@@ -78,7 +78,7 @@ def _wicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = "wicks_kf"
     t = targets.next_bar_target(R.along_parts(df, make, ("wicks_diff",), FOLD_PART, kf_wicks_smooth="double"), n, tick=0.25)
-    return t.where(c(f"{n}_exit_i_long").isNotNull()).select("series_id", "bar_idx", *[x for s in targets.SIDES for x in (c(f"{n}_{s}").cast("int").alias(f"hit_{s}"), F.round(f"rr_{n}_{s}", 4).alias(f"rr_{s}"), c(f"{n}_exit_i_{s}").alias(f"exit_{s}"))])
+    return t.where(c(f"{n}_exit_i_long").isNotNull()).select("series_id", "bar_idx", *[x for s in targets.SIDES for x in (c(f"{n}_{s}").cast("int").alias(f"hit_{s}"), rounded(f"rr_{n}_{s}", 4).alias(f"rr_{s}"), c(f"{n}_exit_i_{s}").alias(f"exit_{s}"))])
 
 
 _WICKS = _NEXT.replace(_NEXT[_NEXT.index("y AS") : _NEXT.index("z AS")], f"ws AS (SELECT series_id, bar_idx AS i, wd FROM x), {kalman_sql('kw', 'ws', 'wd', 0.01, 0.1)}, y AS (SELECT x.*, kw.v AS m FROM x JOIN kw ON kw.series_id = x.series_id AND kw.i = x.bar_idx),\n").replace("2.3e-16", "2.220446049250313e-16")  # the filter falls through the bound where wicks are zero for long
