@@ -202,7 +202,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars before the cutoff; trades that end after it or at no bar are out."""
     df = formula.purge(formula.split_window(held_frame(spark, sf_dir), CUTOFF, "pre"), "t")
-    return df.select("series_id", "bar_idx", c("t").cast("int").alias("label"), c("t_eligible").cast("int").alias("eligible"), F.when(~F.isnan("rr_t"), F.round("rr_t", 4)).alias("rr"))
+    return df.select("series_id", "bar_idx", c("t").cast("int").alias("label"), c("t_eligible").cast("int").alias("eligible"), F.when(~F.isnan("rr_t"), rounded("rr_t", 4)).alias("rr"))
 
 
 put("x04_split", _sides, f"WITH {BARS} SELECT series_id, bar_idx, CASE WHEN CAST(ts AS DATE) <= DATE '{CUTOFF}' THEN 'pre' ELSE 'post' END AS side FROM b")

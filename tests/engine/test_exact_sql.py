@@ -16,7 +16,7 @@ def both(spark, name, folder):
     return got, want
 
 
-@pytest.mark.parametrize("name", ["t_wicks_kf"])
+@pytest.mark.parametrize("name", ["t_wicks_kf", "x06_purge"])
 def test_halves(spark, name):
     got, want = both(spark, name, "/root/testdata/sf0.01")
     assert got == want
