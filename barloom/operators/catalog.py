@@ -167,19 +167,20 @@ def increment(low: float, high: float, operators: int, target: int = 10) -> floa
     return min(steps, key=lambda s: abs(s - ideal))
 
 
-def thresholds(low: float, high: float, step: float, op: str) -> list[float]:
-    """low, low + step, ... by adding up, without values that can't be met."""
-    out, x = [], low
+def thresholds(low: float, high: float, step: float, op: str, exact: bool = False) -> list[float]:
+    """low, low + step, ... by adding up, or each as low + i * step (``exact``), without values that can't be met."""
+    out, x, i = [], low, 0
     while x <= high + 2.220446049250313e-16:
         if not (op == ">" and x >= high or op == "<" and x <= low):
             out.append(x)
-        x += step
+        i += 1
+        x = low + step * i if exact else x + step
     return out
 
 
-def label(value: float) -> str:
-    """Two decimals, without trailing zeros but one."""
-    text = f"{value:.2f}".rstrip("0")
+def label(value: float, digits: int = 2) -> str:
+    """Two decimals, or ``digits``, without trailing zeros but one."""
+    text = f"{value:.{digits}f}".rstrip("0")
     return text + "0" if text.endswith(".") else text
 
 
@@ -200,8 +201,9 @@ def percentiles(df: DataFrame, columns: list[str], most: int = MOST_ROWS) -> dic
     return {x: (r[f"n{i}"], r[f"p{i}"][0], r[f"p{i}"][1]) for i, x in enumerate(columns) if r[f"p{i}"] is not None}
 
 
-def threshold_predicates(df: DataFrame, ranges: dict[str, Range] = RANGES) -> list[Predicate]:
-    """Scalar thresholds of the range features; labels that coincide keep the first value. Ranges that are off, of targets or of columns that are no numbers give none."""
+def threshold_predicates(df: DataFrame, ranges: dict[str, Range] = RANGES, every: bool = False) -> list[Predicate]:
+    """Scalar thresholds of the range features; labels that coincide keep the first value, unless ``every`` threshold is wanted: then each is low + i * step, and labels have as many decimals
+    as keep them apart. Ranges that are off, of targets or of columns that are no numbers give none."""
     kinds = dict(df.dtypes)
     columns = drop_targets([x for x, r in ranges.items() if r.on and kinds.get(x, "string") not in ("boolean", "string", "timestamp", "date")])
     found = percentiles(df, columns) if columns else {}
@@ -217,8 +219,10 @@ def threshold_predicates(df: DataFrame, ranges: dict[str, Range] = RANGES) -> li
         if step <= 0:
             continue
         for op in own.operators:
-            for v in thresholds(low, high, step, op):
-                out.setdefault(f"{x}{op}{label(v)}", Predicate(f"{x}{op}{label(v)}", x, op, v))
+            values = thresholds(low, high, step, op, every)
+            digits = next((k for k in range(2, 13) if len({label(v, k) for v in values}) == len(values)), 13) if every else 2
+            for v in values:
+                out.setdefault(f"{x}{op}{label(v, digits)}", Predicate(f"{x}{op}{label(v, digits)}", x, op, v))
     if not out:
         floats = [x for x in drop_targets([n for n, t in df.dtypes if t in ("double", "float")])]
         if floats:

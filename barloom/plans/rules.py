@@ -99,7 +99,7 @@ RANGES = {"close": Range((">", "<="), 20.0, 120.0, 20.0), "high": Range((">",)),
 def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds of ranges that are given, found in the data, or mixed, and the bars of each series that meet them."""
     df = all_bars(spark, sf_dir).withColumns({"span": c("high") - c("low"), "rr_t": c("close") / c("open")})
-    return _met(df, catalog.threshold_predicates(df.where("series_id <> 'orders'"), RANGES), "base", "op", "threshold")
+    return _met(df, catalog.threshold_predicates(df.where("series_id <> 'orders'"), RANGES, every=True), "base", "op", "threshold")
 
 
 _STEPS = "(SELECT row_number() OVER () - 1 AS k, round(m * power(10, e), 5) AS s FROM (SELECT unnest(range(-5, 4)) AS e) CROSS JOIN (SELECT unnest([1, 2, 5]) AS m) ORDER BY e, m)"

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from barloom.operators import catalog
 from barloom.plans import rules  # noqa: F401
 from barloom.plans.kernels import ORACLES, QUERIES
 
@@ -16,6 +17,29 @@ def both(spark, name, folder):
     return got, want
 
 
+@pytest.fixture(scope="module")
+def dense(tmp_path_factory):
+    """Hours whose lows are 0, 0.01 or 0.02 and whose highs lie on multiples of 0.1; lows of days seldom rise."""
+    folder = str(tmp_path_factory.mktemp("dense"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE h AS SELECT i, hash(i) % 100 AS a, hash(i + 5000) % 9 AS b FROM range(720) r(i)")
+    con.execute("""CREATE TABLE e AS SELECT i, 60 AS s, round(0.3 + (i % 5) / 10, 2) AS value, 'view' AS event_type FROM h
+      UNION ALL SELECT i, 120, CASE WHEN a < 60 THEN 0.0 WHEN a < 80 THEN 0.01 ELSE 0.02 END, 'view' FROM h
+      UNION ALL SELECT i, 180, round(CASE WHEN b = 0 THEN 0.15 ELSE (b + 2) / 10 END, 2), 'click' FROM h
+      UNION ALL SELECT i, 200, 0.02, 'click' FROM h
+      UNION ALL SELECT i, 240, round(0.05 + (i % 24 % 3) / 100, 2), 'buy' FROM h
+      UNION ALL SELECT i, 300, CASE WHEN i < 48 THEN 0.01 + floor(i / 24) / 100 ELSE 0.01 END, 'buy' FROM h""")
+    con.execute(f"COPY (SELECT row_number() OVER (ORDER BY i, s) AS event_id, TIMESTAMP '2024-01-01' + to_seconds(3600 * i + s) AS ts, 1 AS user_id, event_type, value, '' AS props FROM e) TO '{folder}/events.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT i AS o_orderkey, 1 AS o_custkey, 'O' AS o_orderstatus, round(1000 + hash(i) % 1000000 / 100, 2) AS o_totalprice, TIMESTAMP '1995-01-01' + to_days(CAST(i % 90 AS INTEGER)) AS o_orderdate, '' AS o_orderpriority FROM range(400) r(i)) TO '{folder}/orders.parquet' (FORMAT parquet)")
+    return folder
+
+
+def test_every_threshold_of_fine_ranges(spark, dense):
+    got, want = both(spark, "s16_ranges", dense)
+    assert got == want and any(r[1] == "low" and r[4] == 0.015 for r in want)
+    assert catalog.thresholds(0.1, 1.0, 0.1, ">", exact=True)[7] == 0.1 + 0.1 * 7 == 0.8 != catalog.thresholds(0.1, 1.0, 0.1, ">")[7]
+
+
 @pytest.mark.parametrize("name", ["t_wicks_kf", "x06_purge"])
 def test_halves(spark, name):
     got, want = both(spark, name, "/root/testdata/sf0.01")
