@@ -230,7 +230,7 @@ SELECT formula, CASE WHEN reasons <> '' THEN 'rejected' WHEN row_number() OVER (
 def _sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilistic and deflated Sharpe ratios of the trades of each flag and series, 50 trials."""
     met = F.explode(F.array_compact(F.array(*[F.when(p.column(), F.lit(p.name)) for p in PREDICATES])))
-    return _round(selection.sharpe_table(held_frame(spark, sf_dir).select("series_id", "rr_t", met.alias("formula")), ["series_id", "formula"], "rr_t", 50))
+    return _round(selection.sharpe_table(held_frame(spark, sf_dir).where(~F.isnan("rr_t")).select("series_id", "rr_t", met.alias("formula")), ["series_id", "formula"], "rr_t", 50))
 
 
 def _phi(z: str) -> str:
