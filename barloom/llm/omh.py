@@ -449,6 +449,13 @@ def _meetings(reps: DataFrame, tables: Tables) -> DataFrame:
     return tables.keep(with_least(reps.select("id", F.explode("sk").alias("bucket")), "bucket", "id", "lead", tables, above=1).select("bucket", "id", "lead"))
 
 
+def _mixed(met: DataFrame, top: DataFrame, tables: Tables) -> DataFrame:
+    """The rows of ``met`` (bucket, id, lead) whose bucket holds members of several classes; ``top``: id, comp. In the other buckets no pair is open."""
+    own = tables.keep(met.join(top, "id", "left").select("bucket", "id", "lead", F.coalesce("comp", "id").alias("comp")))
+    several = own.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
+    return own.join(several, "bucket", "left_semi").select("bucket", "id", "lead")
+
+
 def _apart(pairs: DataFrame, top: DataFrame) -> DataFrame:
     """The pairs (lead, id) that are not in one class."""
     both = pairs.join(top, "id", "left").join(top.withColumnsRenamed({"id": "lead", "comp": "other"}), "lead", "left")
@@ -474,13 +481,13 @@ def _links(reps: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     own = lambda top: top.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     first = tables.keep(met.where("id <> lead").groupBy("id").agg(F.min("lead").alias("lead")).select("lead", "id"))
     top = components(_verify(_worth(first, known, tables), texts, tables), tables)
-    pairs = tables.keep(met.where("id <> lead").select("lead", "id").distinct())
-    left = tables.keep(_apart(pairs.join(first, ["lead", "id"], "left_anti"), own(top)))
+    more = tables.keep(_mixed(met, own(top), tables).where("id <> lead").select("lead", "id").distinct().join(first, ["lead", "id"], "left_anti"))
+    left = tables.keep(_apart(more, own(top)))
     top = components(top.unionAll(_verify(_worth(left, known, tables), texts, tables)), tables)
-    open_ = _across(met, own(top), known, pairs, tables)
+    open_ = _across(met, own(top), known, first.unionAll(left), tables)
     few = tables.keep(_some_of_each(open_))
     top = components(top.unionAll(_verify(few, texts, tables)), tables)
-    left = tables.keep(_still_apart(open_.join(few, ["lead", "id"], "left_anti"), own(top)))
+    left = tables.keep(_still_apart(open_, own(top)).join(few, ["lead", "id"], "left_anti"))
     return components(top.unionAll(_verify(left, texts, tables)), tables)
 
 

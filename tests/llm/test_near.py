@@ -183,6 +183,13 @@ def test_buckets_are_searched_until_no_pair_is_open(spark, monkeypatch):
         assert got == [(2, 3), (2, 6), (3, 5), (3, 6), (5, 6)]
 
 
+def test_buckets_of_one_class_give_no_pairs(spark):
+    met = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 1, 1), (2, 4, 1), (3, 5, 5), (3, 6, 5)], "bucket long, id long, lead long")
+    top = spark.createDataFrame([(2, 1), (3, 1), (6, 5)], "id long, comp long")
+    with Tables(spark) as tables:
+        assert sorted(map(tuple, omh._mixed(met, top, tables).collect())) == [(2, 1, 1), (2, 4, 1)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)] + [(500, 501 + i) for i in range(300)], "u long, v long")
     with Tables(spark) as tables:
