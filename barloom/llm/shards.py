@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +96,11 @@ class Tokens:
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), np.uint16).tobytes()
+        return array("H", self.bpe.encode_ordinary(text)).tobytes()
+
+    def count(self, text: str) -> int:
+        """How many tokens ``encode`` gives, without the bytes."""
+        return len(self.bpe.encode_ordinary(text))
 
     def decode(self, ids: np.ndarray) -> str:
         return self.bpe.decode(ids.tolist())
@@ -149,7 +154,7 @@ def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY, per_shard: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens_of(shared.value)
         for b in batches:
-            n = [len(t.encode(x)) // 2 + 1 for x in b.column(1).to_pylist()]
+            n = [t.count(x) + 1 for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], ["bucket", "n"])
 
     counted = rows.select("bucket", "text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()

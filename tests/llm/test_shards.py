@@ -80,3 +80,10 @@ def test_odd_rows(spark, tmp_path):
     assert (stream == S.END).sum() == 7
     assert S.write_shards(d.limit(0), str(tmp_path / "e"), str(tmp_path / "em")).count() == 0 and list(S.read_from(str(tmp_path / "e"), 0, 5)) == []
     assert S.read_shards(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_tokens_are_counted_as_encoded():
+    t = S.Tokens(open(S.RANKS, "rb").read())
+    for text in ("", "one two\n\n three", "Straße 東京 \x00 <|endoftext|> 123", "a " * 70_000):
+        ids = t.bpe.encode_ordinary(text)
+        assert t.count(text) == len(ids) and t.encode(text) == np.array(ids, np.uint16).tobytes()
