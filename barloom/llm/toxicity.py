@@ -1,15 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, one of toxic and one of ordinary labelled texts, share their backoff. A word counts once for each different word before it in texts of the class
-(the continuation counts of Kneser-Ney), so copies of a text and phrases repeated in one add nothing. What absolute discounting takes from the words of a class falls to their
+Two models, one of toxic and one of ordinary labelled texts, share their backoff. Their highest order is that of word pairs: how often a word follows another in the different texts of the class. What
+absolute discounting takes from the pairs of a word falls to the words of the class. A word counts once for each different word before it there
+(the continuation counts of Kneser-Ney), so copies of a text and phrases repeated in one add nothing. What discounting takes from the words of a class falls to their
 stems (a word's first ``STEM`` letters, in ``CELLS`` hashed cells), which are counted alike for the class, and what it takes there to the stems of the whole corpus. Discounts for counts of 1, 2 and more are estimated
 from the counts of counts of each class and order. Within a stem the words share by their counts in both classes, so a word seen in neither costs both nearly alike and a rare one is judged by its
-relatives. Each class's probabilities sum to 1.
+relatives. Each class's probabilities sum to 1, those of a word alone and those of a word after any other.
 
 Both log-likelihoods are divided by length; the difference is taken for the whole text and for its passages of ``SPAN`` words, of which the most toxic counts, so that one insult in a long text is not
-averaged away. A logistic curve fitted on labelled texts apart from the counts turns the two differences into a score.
+averaged away; both with the order of pairs and from words on, for pairs of near copies that lie in both classes by chance say little. A logistic curve fitted on labelled texts apart from the counts turns the four differences into a score.
 
-Fitted on about ``SAMPLE`` labelled documents of each class, chosen by a hash of doc_id; all their words count. The stems of the corpus are counted over all documents. A task holds the words of the sample and ``CELLS`` cells.
+Fitted on about ``SAMPLE`` labelled documents of each class, chosen by a hash of doc_id; all their words and pairs count. The stems of the corpus are counted over all documents. A task holds the words and pairs of the sample and ``CELLS`` cells.
 
 Defined results: a null or empty text, or one without words, has the score of equal likelihoods. Repeated rows score
 alike. With only one class among the labels, or none, all scores are 0. Where a doc_id has several labels, the largest counts. Labels without a document
@@ -19,6 +20,7 @@ and null labels are ignored; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,10 +29,11 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, claim, crc_mod
+from .common import Tables, claim, crc_mod, text_key
 
 SAMPLE = 20_000
 STEM = 4
@@ -41,6 +44,11 @@ ASIDE = 0.25
 PREDICT = 0.7
 #: words whose difference a worker keeps
 CACHE = 300_000
+#: bits of a pair's key that a bitmap knows, so that most pairs the sample lacks are not searched for
+BITS = 26
+#: 2 ** PARTS tasks pack the pairs for the driver
+PARTS = 5
+PACKED = pa.schema([("part", pa.int32()), ("size", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,36 +76,87 @@ def _corpus_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(by[some])], ["cell", "n"])
 
 
+def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What a pair of word hashes is known by; 0 stands before the first word."""
+    x = prev.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, prev, word, cell: pairs of words as numbers, some 200,000 at a time without repeats; 0 before the first word."""
+    """prev, word, cell, n0, n1: pairs of words as numbers and how often they stand in texts of each class, some 200,000 at a time summed; 0 before the first word."""
     ids: dict[str, tuple[int, int]] = {}
-    seen: set[tuple[int, int, int, int]] = set()
+    held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        cols = list(zip(*seen)) or [[]] * 4
-        seen.clear()
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["toxic", "prev", "word", "cell"])
-
+        prev, word, cell = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+        toxic = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
+        held.clear()
+        order = np.lexsort((word, prev))
+        prev, word, cell, toxic = prev[order], word[order], cell[order], toxic[order]
+        start = np.flatnonzero(np.append(True, (prev[1:] != prev[:-1]) | (word[1:] != word[:-1])))
+        n1 = np.add.reduceat(toxic, start)
+        n0 = np.diff(np.append(start, len(prev))) - n1
+        return pa.record_batch([pa.array(prev[start]), pa.array(word[start]), pa.array(cell[start].astype(np.int32)), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], ["prev", "word", "cell", "n0", "n1"])
+
+    size = 0
     for b in batches:
         for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            prev = 0
-            for w in words_of(text):
-                got = ids.get(w)
-                if got is None:
-                    got = ids[w] = word_hash(w), cell_of(w)
-                seen.add((toxic, prev, *got))
-                prev = got[0]
-            if len(seen) > 200_000:
+            words = words_of(text)
+            if not words:
+                continue
+            for w in set(words).difference(ids):
+                ids[w] = word_hash(w), cell_of(w)
+            word, cell = np.array([ids[w] for w in words], np.int64).T
+            held.append((toxic, np.append(0, word[:-1]), word, cell))
+            size += len(words)
+            if size > 200_000:
                 yield flush()
+                size = 0
                 if len(ids) > CACHE:
                     ids.clear()
-    if seen:
+    if held:
         yield flush()
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key = pair_key(b.column(0).to_numpy(), b.column(1).to_numpy())
+        part = (key >> np.uint64(64 - PARTS)).astype(np.int32)
+        yield pa.record_batch([pa.array(part), pa.array(key.view(np.int64)), b.column(2), b.column(3)], ["part", "key", "n0", "n1"])
+
+
+def pack(part: int, key: np.ndarray, n: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """A part of all pairs: its number, how many they are, the steps between their sorted keys in as few bytes as the longest takes, and their counts [class, pair]."""
+    order = np.argsort(key)
+    step = np.diff(key[order], prepend=np.uint64(part << 64 - PARTS))
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    n = n[:, order].astype(np.uint8 if n.max() < 256 else np.uint32)
+    return part, len(key), step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), zlib.compress(n.tobytes(), 1)
+
+
+def unpack(part: int, size: int, steps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step = np.zeros((size, 8), np.uint8)
+    step[:, : len(steps) // size] = np.frombuffer(steps, np.uint8).reshape(size, -1)
+    n = zlib.decompress(counts)
+    return np.cumsum(step.reshape(-1).view("<u8"), dtype=np.uint64) + np.uint64(part << 64 - PARTS), np.frombuffer(n, np.uint8 if len(n) == 2 * size else np.uint32).reshape(2, size)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches)
+    part, key, n0, n1 = (rows.column(c).to_numpy() for c in range(4)) if rows.num_rows else [np.empty(0, np.int64)] * 4
+    for x in np.unique(part).tolist():
+        at = np.flatnonzero(part == x)
+        yield pa.RecordBatch.from_pylist([dict(zip(("part", "size", "steps", "counts"), pack(x, key[at].view(np.uint64), np.stack((n0[at], n1[at])))))], PACKED)
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """What counts of 0, 1, 2 and 3 or more are reduced by, estimated from how many counts of 1, 2, 3 and 4 there are."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
+    return _discounts([int((counts == k).sum()) for k in range(1, 5)])
+
+
+def _discounts(n: list[int]) -> np.ndarray:
+    """The same from how many counts of 1, 2, 3 and 4 there are."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
     out = [0.0]
     for k in range(1, 4):
@@ -116,9 +175,79 @@ def discounted(counts: np.ndarray) -> tuple[np.ndarray, float]:
     return left / total, float(1.0 - left.sum() / total)
 
 
+@dataclass
+class Pairs:
+    """The order of pairs of both classes (first axis: ordinary, toxic)."""
+
+    #: all pairs, in the order of their parts
+    parts: list[tuple[int, int, bytes, bytes]]
+    #: sorted hashes of the words that others follow; how many pairs begin with each, and the share of them that falls to the words. The last place stands for all other words
+    before: np.ndarray
+    of: np.ndarray
+    rest: np.ndarray
+    #: [class, count up to 3]
+    less: np.ndarray
+    #: sorted keys, their counts, and a bitmap of the keys' highest bits, once they are asked for
+    opened: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "opened": None}
+
+    def open(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.opened is None:
+            size, at = sum(x[1] for x in self.parts), 0
+            keys, n, marks = np.empty(size, np.uint64), np.empty((2, size), np.uint8), np.zeros(1 << BITS - 3, np.uint8)
+            for x in self.parts:  # a part at a time, for workers have little room
+                key, counts = unpack(*x)
+                if counts.dtype.itemsize > n.dtype.itemsize:
+                    n = n.astype(counts.dtype)
+                keys[at : at + len(key)], n[:, at : at + len(key)] = key, counts
+                at += len(key)
+                top = key >> np.uint64(64 - BITS)
+                byte = (top >> np.uint64(3)).astype(np.int64)
+                start = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+                marks[byte[start]] = np.bitwise_or.reduceat(np.uint8(1) << (top & np.uint64(7)).astype(np.uint8), start)
+            self.opened = keys, n, marks
+        return self.opened
+
+    def place(self, prev: np.ndarray) -> np.ndarray:
+        """Where the words ``prev`` (hashes) stand in ``before``."""
+        if not len(self.before):
+            return np.zeros(len(prev), np.int64)
+        at = np.minimum(np.searchsorted(self.before, prev), len(self.before) - 1)
+        return np.where(self.before[at] == prev, at, len(self.before))
+
+    def probabilities(self, prev: np.ndarray, place: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """[class, place in the text]: of each word (a hash, of probability ``p`` alone) after the word before it (a hash, and its place)."""
+        out = self.rest[:, place] * p
+        key = pair_key(prev, word)
+        keys, counts, marks = self.open()
+        top = key >> np.uint64(64 - BITS)
+        some = np.flatnonzero(marks[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+        if len(some):
+            at = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
+            hit = keys[at] == key[some]
+            some, n = some[hit], counts[:, at[hit]]
+            for c in (0, 1):
+                out[c, some] += (n[c] - self.less[c][np.minimum(n[c], 3)]) / np.maximum(self.of[c, place[some]], 1)
+        return out
+
+
+def pairs_of(parts: list[tuple[int, int, bytes, bytes]], before: np.ndarray, sums: np.ndarray, of: np.ndarray) -> Pairs:
+    """The order of pairs from its parts, the words that others follow with how many of their pairs have a count of 1, 2, and 3 or more and the sum of all
+    counts [class, 4, word], and how many counts of 1 to 4 there are [class, 4]."""
+    less = np.stack([_discounts(x.tolist()) for x in of])
+    at = np.argsort(before)
+    sums = sums[:, :, at].astype(np.float64)
+    taken = (less[:, 1:, None] * sums[:, :3]).sum(axis=1)
+    rest = np.where(sums[:, 3] > 0, taken / np.maximum(sums[:, 3], 1), 1.0)
+    other = np.array([[0.0], [0.0]])
+    return Pairs(sorted(parts), before[at], np.hstack((sums[:, 3], other)), np.hstack((rest, other + 1)), less)
+
+
 @dataclass
 class Model:
-    """Probabilities of both classes (first axis: ordinary, toxic) for the words of the sample and the cells of stems, and the curve."""
+    """Probabilities of both classes (first axis: ordinary, toxic) for the words of the sample and the cells of stems, the order of pairs above them, and the curve."""
 
     #: sorted hashes of words
     words: np.ndarray
@@ -126,11 +255,25 @@ class Model:
     word_p: np.ndarray
     #: [class, cell]: what a word that the sample lacks has there
     cell_p: np.ndarray
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    known: dict[str, float] = field(default_factory=dict)
+    pairs: Pairs
+    curve: tuple[float, ...] = (0.0,) * 5
+    #: places of words in ``kept``: their hashes, places in ``pairs.before`` and probabilities
+    known: dict[str, int] = field(default_factory=dict)
+    kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    #: its name and broadcast, without the curve, once it has been sent to the workers
+    sent: tuple[str, Broadcast] | None = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "known": {}}
+        return {**self.__dict__, "cell_p": zlib.compress(self.cell_p.tobytes(), 1), "known": {}, "kept": None, "sent": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.cell_p = np.frombuffer(zlib.decompress(self.cell_p), np.float32).reshape(2, CELLS)
+
+    def send(self, docs: DataFrame) -> tuple[str, Broadcast]:
+        if self.sent is None:
+            self.sent = uuid4().hex, docs.sparkSession.sparkContext.broadcast(self)
+        return self.sent
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         """[class, word]"""
@@ -142,37 +285,52 @@ class Model:
             out[:, hit] = self.word_p[:, at[hit]]
         return out
 
-    def differences(self, words: list[str]) -> np.ndarray:
-        """The log-likelihoods of each word, toxic less ordinary."""
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the words are in ``kept``."""
         known = self.known
         new = list(set(words).difference(known))
         if new:
-            if len(known) + len(new) > CACHE:
+            if self.kept is None or len(known) + len(new) > len(self.kept[0]):
                 known.clear()
                 new = list(set(words))
-            p = self.probabilities(new)
-            known.update(zip(new, (np.log(p[1]) - np.log(p[0])).tolist()))
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The length-normalised difference over the most toxic passage and over the whole text."""
+                size = max(CACHE, len(new))
+                if self.kept is None or len(self.kept[0]) < size:
+                    self.kept = np.empty(size, np.int64), np.empty(size, np.int64), np.empty((2, size))
+            h, place, p = self.kept
+            at = slice(len(known), len(known) + len(new))
+            h[at] = np.fromiter(map(word_hash, new), np.int64, len(new))
+            place[at] = self.pairs.place(h[at])
+            p[:, at] = self.probabilities(new)
+            known.update(zip(new, range(at.start, at.stop)))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def likelihoods(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[class, place in the text]: the probabilities of the words alone, and of each after the one before it."""
+        at = self._places(words)
+        h, place, p = self.kept
+        word, alone = h[at], p[:, at]
+        before = np.append(self.pairs.place(np.zeros(1, np.int64)), place[at[:-1]])
+        return alone, self.pairs.probabilities(np.append(0, word[:-1]), before, word, alone)
+
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """The length-normalised difference (toxic less ordinary) of log-likelihoods over the most toxic passage and over the whole text, by words alone and with the order of pairs."""
         w = words_of(text)
         if not w:
-            return 0.0, 0.0
-        d = self.differences(w)
-        if len(d) <= SPAN:
-            return float(d.sum()) / SPAN, float(d.mean())
-        c = np.concatenate(([0.0], np.cumsum(d)))
-        return float((c[SPAN:] - c[:-SPAN]).max()) / SPAN, float(d.mean())
+            return 0.0, 0.0, 0.0, 0.0
+        out = []
+        for p in self.likelihoods(w):
+            d = np.log(p[1] / p[0])
+            c = np.concatenate(([0.0], np.cumsum(d)))
+            out += [float((c[SPAN:] - c[:-SPAN]).max() if len(d) > SPAN else c[-1]) / SPAN, float(c[-1]) / len(d)]
+        return tuple(out)
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.curve
-        x, y = self.features(text)
-        return float(1 / (1 + np.exp(-np.clip(a + b * x + c * y, -40, 40))))
+        x = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(text)))
+        return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def model_of(word: np.ndarray, cell: np.ndarray, n: np.ndarray, corpus: np.ndarray) -> Model:
-    """The model of words (hashes) with their cells and counts ``n`` [class, word], and the counts of all cells in the corpus."""
+def model_of(word: np.ndarray, cell: np.ndarray, n: np.ndarray, corpus: np.ndarray, pairs: Pairs) -> Model:
+    """The model of words (hashes) with their cells and counts ``n`` [class, word], the counts of all cells in the corpus, and the order of pairs."""
     order = np.argsort(word)
     word, cell, n = word[order], cell[order], n[:, order]
     shared = (corpus + 0.5) / (corpus.sum() + 0.5 * CELLS)
@@ -185,16 +343,16 @@ def model_of(word: np.ndarray, cell: np.ndarray, n: np.ndarray, corpus: np.ndarr
         own, rest = discounted(n[c])
         word_p[c] = own + rest * stem[cell] * within
         cell_p[c] = rest * stem / pooled
-    return Model(word, word_p, cell_p)
+    return Model(word, word_p, cell_p, pairs)
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float, float]:
+def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, ...]:
     """Logistic regression by Newton steps with a small ridge."""
     z = np.column_stack((np.ones(len(x)), x))
     mean, scale = z[:, 1:].mean(axis=0), z[:, 1:].std(axis=0) + 1e-9
     z[:, 1:] = (z[:, 1:] - mean) / scale
-    w = np.zeros(3)
-    ridge = np.diag([1e-6, 1.0, 1.0]) * 0.1
+    w = np.zeros(z.shape[1])
+    ridge = np.diag([1e-6, *[1.0] * x.shape[1]]) * 0.1
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (y - p) - ridge @ w
@@ -204,7 +362,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
         if np.abs(step).max() < 1e-8:
             break
     b = w[1:] / scale
-    return float(w[0] - (b * mean).sum()), float(b[0]), float(b[1])
+    return float(w[0] - (b * mean).sum()), *b.tolist()
 
 
 _held: dict[str, Model | None] = {}
@@ -215,7 +373,10 @@ def _of_worker(name: str, shared) -> Model | None:
     claim("toxicity", _held.clear)
     if name not in _held:
         _held.clear()
-        _held[name] = shared.value
+        model = _held[name] = shared.value
+        if model:
+            model.pairs.open()
+            model.pairs.parts = []
     return _held[name]
 
 
@@ -229,6 +390,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return _fit(docs, own, sizes, sample, tables)
 
 
+def _pairs(pairs: DataFrame) -> Pairs:
+    """The order of pairs from a table of prev, word, n0, n1."""
+    n = lambda c, k: F.count_if(F.col(f"n{c}") == k if k < 3 else F.col(f"n{c}") >= 3).alias(f"n{c}{k}")
+    sums = pairs.groupBy("prev").agg(*[x for c in (0, 1) for x in (*[n(c, k) for k in (1, 2, 3)], F.sum(f"n{c}").cast("long").alias(f"s{c}"))]).toArrow()
+    of = pairs.agg(*[F.count_if(F.col(f"n{c}") == k) for c in (0, 1) for k in range(1, 5)]).first()
+    keyed = pairs.select("prev", "word", "n0", "n1").mapInArrow(_keyed, "part int, key long, n0 int, n1 int").repartitionById(1 << PARTS, "part")
+    parts = [tuple(r) for r in keyed.mapInArrow(_packed, "part int, size long, steps binary, counts binary").collect()]
+    numbers = lambda t, *names: np.stack([t.column(x).to_numpy() for x in names])
+    by = np.stack([numbers(sums, *[f"n{c}{k}" for k in (1, 2, 3)], f"s{c}") for c in (0, 1)])
+    return pairs_of([(p, n, bytes(x), bytes(y)) for p, n, x, y in parts], sums.column("prev").to_numpy(), by, np.array(of).reshape(2, 4))
+
+
 def _fit(docs: DataFrame, own: DataFrame, sizes: dict[int, int], sample: int, tables: Tables) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
@@ -236,32 +409,39 @@ def _fit(docs: DataFrame, own: DataFrame, sizes: dict[int, int], sample: int, ta
     aside = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < int(ASIDE * 1_000_000)  # copies of a text are on one side
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("toxic", aside.alias("aside"), "text")  # at most about 2 * sample rows of two numbers
     rows = tables.keep(rows)
-    pairs = rows.where("not aside").select("toxic", "text").mapInArrow(_class_pairs, "toxic int, prev long, word long, cell int").distinct()
-    words = pairs.groupBy("word", "cell").agg(*[F.count_if(F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)]).toArrow()
+    counted = rows.where("not aside").groupBy("toxic", *text_key()).agg(F.first("text").alias("text")).select("toxic", "text")
+    found = counted.mapInArrow(_class_pairs, "prev long, word long, cell int, n0 long, n1 long").groupBy("prev", "word", "cell")
+    pairs = tables.keep(found.agg(*[F.sum(f"n{c}").cast("int").alias(f"n{c}") for c in (0, 1)]))
+    words = pairs.groupBy("word", "cell").agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"n{c}") for c in (0, 1)]).toArrow()
+    above = _pairs(pairs)
     cells = docs.select("text").mapInArrow(_corpus_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     corpus = np.zeros(CELLS, np.int64)
     corpus[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    model = model_of(words.column("word").to_numpy(), words.column("cell").to_numpy().astype(np.int64), np.stack([words.column(f"n{c}").to_numpy() for c in (0, 1)]), corpus)
-    held, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
+    counts = np.stack([words.column(f"n{c}").to_numpy() for c in (0, 1)])
+    model = model_of(words.column("word").to_numpy(), words.column("cell").to_numpy().astype(np.int64), counts, corpus, above)
+    name, held = model.send(docs)
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _of_worker(name, held)
         for b in batches:
             f = [m.features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], ["toxic", "x", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in f], pa.float64()) for k in range(4)]], ["toxic", *names])
 
-    got = rows.where("aside").select("toxic", "text").mapInArrow(differences, "toxic int, x double, y double").toPandas().sort_values(["toxic", "x", "y"])
-    held.unpersist()
-    model.curve = _fit_curve(got[["x", "y"]].to_numpy(), got["toxic"].to_numpy(np.float64)) if got["toxic"].nunique() == 2 else (-4.0, 1.0, 0.0)
+    names = ["x", "y", "pair_x", "pair_y"]
+    got = rows.where("aside").select("toxic", "text").mapInArrow(differences, "toxic int, x double, y double, pair_x double, pair_y double").toPandas().sort_values(["toxic", *names])
+    model.curve = _fit_curve(got[names].to_numpy(), got["toxic"].to_numpy(np.float64)) if got["toxic"].nunique() == 2 else (-4.0, 1.0, 0.0, 0.0, 0.0)
     return model
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = PREDICT) -> DataFrame:
     """doc_id, score, predicted of every row; only ``text`` is an input."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
+    name, shared = model.send(docs) if model else ("", None)
+    curve = model.curve if model else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _of_worker(name, shared)
+        m = _of_worker(name, shared) if shared else None
+        if m:
+            m.curve = curve
         for b in batches:
             s = np.array([m.score(t) if m else 0.0 for t in b.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])

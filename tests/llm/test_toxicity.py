@@ -1,5 +1,6 @@
 """Toxicity: the Kneser-Ney models against a plain version, held-out labels, odd rows."""
 
+import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,3 +136,65 @@ def test_one_class_only(spark, labels):
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     assert {r.score for r in T.score_documents(d, lab).collect()} == {0.0}
     assert T.score_documents(d.limit(0), lab).count() == 0
+
+
+def test_pairs_are_an_order_of_their_own(spark):
+    """Probabilities of words after others against a plain version, with copies of a text counted once; both classes sum to 1 after any word."""
+    rows, labels = made(240)
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    labels += [(1000 + i, c) for i, c in labels[:40]]
+    toxic = dict(labels)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = T.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    aside = {r.doc_id for r in d.selectExpr("doc_id", f"pmod(xxhash64(text, 1), 1000000) < {int(T.ASIDE * 1_000_000)} AS aside").where("aside").collect()}
+    n = (defaultdict(Counter), defaultdict(Counter))
+    for c, t in {(toxic[i], t) for i, t in rows if i not in aside}:
+        w = T.words_of(t)
+        for a, b in zip(["", *w], w):
+            n[c][a][b] += 1
+    words = ["wordaa", "wordba", "nastyone", "wordca", "unheard", "wordaa", *T.words_of(next(t for i, t in rows if i not in aside and toxic[i]))]
+    alone, after = m.likelihoods(words)
+    for c in (0, 1):
+        less = plain_discount([v for x in n[c].values() for v in x.values()])
+        for k, (a, b) in enumerate(zip(["", *words], words)):
+            x = n[c].get(a, Counter())
+            size = sum(x.values())
+            rest = sum(less[min(v, 3)] for v in x.values()) / size if size else 1.0
+            want = ((x[b] - less[min(x[b], 3)]) / size if size else 0.0) + rest * alone[c, k]
+            assert abs(after[c, k] - want) < 1e-9 * max(1, want)
+    assert not np.allclose(alone, after)
+    x, v = m.pairs, [a for a in n[1] if a][0]
+    at = int(x.place(np.array([T.word_hash(v)]))[0])
+    for c in (0, 1):
+        seen = sum(n[c][v].values())
+        assert x.of[c, at] == seen and abs(sum((k - x.less[c][min(k, 3)]) / seen for k in n[c][v].values()) + x.rest[c, at] - 1) < 1e-9
+
+
+def test_an_insult_of_two_ordinary_words(spark):
+    """Both words stand in ordinary texts as often, apart: only the order of pairs tells."""
+    rng = np.random.default_rng(6)
+    vocab = [f"{a}{b}{c}um" for a in "bdfgk" for b in "aeio" for c in "lmnrst"]
+    rows, labels = [], []
+    for i in range(1200):
+        w = rng.choice(vocab, 40).tolist()
+        for _ in range(3):
+            k = int(rng.integers(0, 18))
+            if i % 4 == 0:
+                w[k : k + 2] = ["drop", "dead"]
+            else:
+                w[k], w[k + 20] = "drop", "dead"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    got = T.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    want = dict(labels)
+    assert np.mean([r.predicted for r in got if want[r.doc_id]]) > 0.9 and np.mean([r.predicted for r in got if not want[r.doc_id]]) < 0.03
+
+
+def test_pairs_are_sent_as_steps():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        key, n2 = rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 300, (2, n))
+        part = key >> np.uint64(64 - T.PARTS)
+        x = T.pairs_of([T.pack(k, key[part == k], n2[:, part == k]) for k in set(part.tolist())], np.arange(3), np.ones((2, 4, 3), np.int64), np.ones((2, 4), np.int64))
+        keys, counts, marks = pickle.loads(pickle.dumps(x)).open()
+        assert keys.tolist() == sorted(key.tolist()) and (counts == n2[:, np.argsort(key)]).all() and int(np.unpackbits(marks).sum()) == len(set((key >> np.uint64(64 - T.BITS)).tolist()))
