@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -44,6 +45,8 @@ ASIDE = 0.25
 PREDICT = 0.7
 #: words whose difference a worker keeps
 CACHE = 300_000
+#: characters of the texts that are looked up at once
+LOT = 100_000
 #: bits of a pair's key that a bitmap knows, so that most pairs the sample lacks are not searched for
 BITS = 26
 #: 2 ** PARTS tasks pack the pairs for the driver
@@ -217,20 +220,22 @@ class Pairs:
         at = np.minimum(np.searchsorted(self.before, prev), len(self.before) - 1)
         return np.where(self.before[at] == prev, at, len(self.before))
 
-    def probabilities(self, prev: np.ndarray, place: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """[class, place in the text]: of each word (a hash, of probability ``p`` alone) after the word before it (a hash, and its place)."""
-        out = self.rest[:, place] * p
+    def find(self, prev: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs the sample holds, and their counts [class, pair]."""
         key = pair_key(prev, word)
         keys, counts, marks = self.open()
         top = key >> np.uint64(64 - BITS)
         some = np.flatnonzero(marks[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
-        if len(some):
-            at = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
-            hit = keys[at] == key[some]
-            some, n = some[hit], counts[:, at[hit]]
-            for c in (0, 1):
-                out[c, some] += (n[c] - self.less[c][np.minimum(n[c], 3)]) / np.maximum(self.of[c, place[some]], 1)
-        return out
+        if not len(some):
+            return some, counts[:, :0]
+        at = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
+        hit = keys[at] == key[some]
+        return some[hit], counts[:, at[hit]]
+
+    def probabilities(self, place: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """[class, pair]: of words that have the probabilities ``p`` alone and stand ``n`` times after the words of these places."""
+        less = np.stack([self.less[c][np.minimum(n[c], 3)] for c in (0, 1)])
+        return self.rest[:, place] * p + (n - less) / np.maximum(self.of[:, place], 1)
 
 
 def pairs_of(parts: list[tuple[int, int, bytes, bytes]], before: np.ndarray, sums: np.ndarray, of: np.ndarray) -> Pairs:
@@ -257,9 +262,9 @@ class Model:
     cell_p: np.ndarray
     pairs: Pairs
     curve: tuple[float, ...] = (0.0,) * 5
-    #: places of words in ``kept``: their hashes, places in ``pairs.before`` and probabilities
+    #: places of words in ``kept``: their hashes, places in ``pairs.before``, probabilities and differences
     known: dict[str, int] = field(default_factory=dict)
-    kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    kept: tuple[np.ndarray, ...] | None = None
     #: its name and broadcast, without the curve, once it has been sent to the workers
     sent: tuple[str, Broadcast] | None = None
 
@@ -295,38 +300,65 @@ class Model:
                 new = list(set(words))
                 size = max(CACHE, len(new))
                 if self.kept is None or len(self.kept[0]) < size:
-                    self.kept = np.empty(size, np.int64), np.empty(size, np.int64), np.empty((2, size))
-            h, place, p = self.kept
+                    self.kept = np.empty(size, np.int64), np.empty(size, np.int64), np.empty((2, size)), np.empty(size)
+            h, place, p, d = self.kept
             at = slice(len(known), len(known) + len(new))
             h[at] = np.fromiter(map(word_hash, new), np.int64, len(new))
             place[at] = self.pairs.place(h[at])
             p[:, at] = self.probabilities(new)
+            d[at] = np.log(p[1, at] / p[0, at])
             known.update(zip(new, range(at.start, at.stop)))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def likelihoods(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """[class, place in the text]: the probabilities of the words alone, and of each after the one before it."""
-        at = self._places(words)
-        h, place, p = self.kept
-        word, alone = h[at], p[:, at]
-        before = np.append(self.pairs.place(np.zeros(1, np.int64)), place[at[:-1]])
-        return alone, self.pairs.probabilities(np.append(0, word[:-1]), before, word, alone)
-
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """The length-normalised difference (toxic less ordinary) of log-likelihoods over the most toxic passage and over the whole text, by words alone and with the order of pairs."""
-        w = words_of(text)
-        if not w:
-            return 0.0, 0.0, 0.0, 0.0
-        out = []
-        for p in self.likelihoods(w):
-            d = np.log(p[1] / p[0])
-            c = np.concatenate(([0.0], np.cumsum(d)))
-            out += [float((c[SPAN:] - c[:-SPAN]).max() if len(d) > SPAN else c[-1]) / SPAN, float(c[-1]) / len(d)]
-        return tuple(out)
-
-    def score(self, text: str | None) -> float:
-        x = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(text)))
-        return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
+    def differences(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The log-likelihoods (toxic less ordinary) of the words of all texts, none of them empty: alone, and each after the one before it."""
+        at = self._places(list(chain.from_iterable(texts)))
+        h, place, p, d = self.kept
+        first = np.cumsum([0, *map(len, texts[:-1])])
+        word, prev, before = h[at], np.append(0, h[at[:-1]]), np.append(0, place[at[:-1]])
+        prev[first], before[first] = 0, self.pairs.place(np.zeros(1, np.int64))
+        alone = d[at]
+        after = alone + np.log(self.pairs.rest[1] / self.pairs.rest[0])[before]
+        some, n = self.pairs.find(prev, word)
+        q = self.pairs.probabilities(before[some], n, p[:, at[some]])
+        after[some] = np.log(q[1] / q[0])
+        return alone, after
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """[text, 4]: the length-normalised difference over the most toxic passage and over the whole text, by words alone and with the order of pairs."""
+        words = [words_of(t) for t in texts]
+        out, said = np.zeros((len(texts), 4)), np.flatnonzero([len(w) > 0 for w in words])
+        if not len(said):
+            return out
+        size = np.array([len(words[i]) for i in said])
+        first = np.cumsum(size) - size
+        end = np.repeat(first + size, size)
+        for k, d in zip((0, 2), self.differences([words[i] for i in said])):
+            whole = np.add.reduceat(d, first)
+            passage = d.copy()
+            for x in range(1, SPAN):
+                passage[:-x] += d[x:]
+            passage[np.arange(len(d)) + SPAN > end] = -np.inf
+            out[said, k] = np.where(size > SPAN, np.maximum.reduceat(passage, first), whole) / SPAN
+            out[said, k + 1] = whole / size
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(texts).T))
+        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def lots(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in lots of some ``LOT`` characters."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t)
+        size += len(t or "")
+        if size > LOT:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def model_of(word: np.ndarray, cell: np.ndarray, n: np.ndarray, corpus: np.ndarray, pairs: Pairs) -> Model:
@@ -424,8 +456,8 @@ def _fit(docs: DataFrame, own: DataFrame, sizes: dict[int, int], sample: int, ta
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _of_worker(name, held)
         for b in batches:
-            f = [m.features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in f], pa.float64()) for k in range(4)]], ["toxic", *names])
+            f = np.concatenate([np.empty((0, 4)), *[m.features(x) for x in lots(b.column(1).to_pylist())]])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in f.T.copy()]], ["toxic", *names])
 
     names = ["x", "y", "pair_x", "pair_y"]
     got = rows.where("aside").select("toxic", "text").mapInArrow(differences, "toxic int, x double, y double, pair_x double, pair_y double").toPandas().sort_values(["toxic", *names])
@@ -443,7 +475,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = PREDICT) -> D
         if m:
             m.curve = curve
         for b in batches:
-            s = np.array([m.score(t) if m else 0.0 for t in b.column(1).to_pylist()], np.float64)
+            s = np.concatenate([np.empty(0), *[m.scores(x) for x in lots(b.column(1).to_pylist())]]) if m else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")

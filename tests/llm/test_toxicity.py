@@ -153,7 +153,16 @@ def test_pairs_are_an_order_of_their_own(spark):
         for a, b in zip(["", *w], w):
             n[c][a][b] += 1
     words = ["wordaa", "wordba", "nastyone", "wordca", "unheard", "wordaa", *T.words_of(next(t for i, t in rows if i not in aside and toxic[i]))]
-    alone, after = m.likelihoods(words)
+    alone, p, h = m.probabilities(words), m.pairs, np.array([0, *map(T.word_hash, words)])
+    some, seen = p.find(h[:-1], h[1:])
+    of = np.zeros((2, len(words)), np.int64)
+    of[:, some] = seen
+    of = np.where(p.place(h[:-1]) < len(p.before), of, 0)
+    after = p.probabilities(p.place(h[:-1]), of, alone)
+    got = m.differences([words[:5], words[5:6], words])
+    np.testing.assert_allclose(got[0][6:], np.log(alone[1] / alone[0]), rtol=1e-9)
+    np.testing.assert_allclose(got[1][6:], np.log(after[1] / after[0]), rtol=1e-9)
+    assert np.allclose(got[1][:5], got[1][6:11]) and len(got[0]) == len(words) + 6
     for c in (0, 1):
         less = plain_discount([v for x in n[c].values() for v in x.values()])
         for k, (a, b) in enumerate(zip(["", *words], words)):
