@@ -362,7 +362,8 @@ def _bins(b: bytes) -> np.ndarray:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket and tile: bucket, l, r, side (1: left, 2: right, 3: both), id, lead, comp, n, bag. Pairs across the sides that may be similar, with their classes."""
+    """Rows come by bucket and tile: bucket, l, r, side (1: left, 2: right; 4: outside of the largest class, as all on the right are), id, lead, comp, n, bag, earlier (the smaller ones of
+    the text's buckets). Pairs across the sides that may be similar, with their classes: each in one direction, and only in the first bucket that both are in."""
     seen: set[tuple[int, int, int, int]] = set()
 
     def flush() -> pa.RecordBatch:
@@ -379,8 +380,10 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse = coarse.astype(np.uint16) if coarse.max() < 65_536 else coarse
         at = np.flatnonzero(side & 2)
         ri, rc, rn, rb, rcoarse = ids[at], comp[at], n[at], bags[at], coarse[at]
+        earlier = [set(x[6]) for x in rows]
         for i in np.flatnonzero(side & 1).tolist():
-            k = np.flatnonzero((rc != comp[i]) & (np.minimum(ri, ids[i]) != lead[i]))
+            fit = (rc != comp[i]) & (np.minimum(ri, ids[i]) != lead[i])
+            k = np.flatnonzero(fit & (ri > ids[i]) if side[i] & 4 else fit)
             longer = np.maximum(rn[k], n[i])
             limit = np.floor((1 - SIMILAR) * longer + 1e-9)
             near = np.abs(rn[k] - n[i]) <= limit
@@ -388,11 +391,14 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for mine, theirs in ((coarse[i], rcoarse), (bags[i], rb)):
                 near = longer - np.minimum(theirs[k], mine).sum(axis=1, dtype=np.int64) <= limit
                 k, longer, limit = k[near], longer[near], limit[near]
+            k = k[[earlier[i].isdisjoint(earlier[j]) for j in at[k].tolist()]] if len(k) else k
             seen.update((min(x, ids[i]), max(x, ids[i]), min(y, comp[i]), max(y, comp[i])) for x, y in zip(ri[k].tolist(), rc[k].tolist()))
 
     own, rows = None, []
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in range(9))):
+        ends = b.column(9).offsets.to_numpy()
+        smaller = b.column(9).values.to_numpy()
+        for row in zip(*(b.column(k).to_pylist() for k in range(9)), (smaller[x:y].tolist() for x, y in zip(ends, ends[1:]))):
             if row[:3] != own:
                 pair(rows)
                 own, rows = row[:3], []
@@ -434,19 +440,31 @@ def _across(met: DataFrame, top: DataFrame, reps: DataFrame, done: DataFrame, ta
     place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     rows = own.join(sizes, "bucket").select("bucket", "id", "lead", "comp", (F.col("comp") != F.col("main")).alias("out"), "gl", "gr", place(6, "gl").alias("pl"), place(7, "gr").alias("pr"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = F.transform(every("gr"), lambda r: F.struct(F.col("pl").alias("l"), r.alias("r"), F.when(F.col("out") & (r == F.col("pr")), 3).otherwise(1).alias("side")))
-    right = F.filter(F.transform(every("gl"), lambda x: F.struct(x.alias("l"), F.col("pr").alias("r"), F.lit(2).alias("side"))), lambda t: F.col("out") & (t["l"] != F.col("pl")))
+    left = F.transform(every("gr"), lambda r: F.struct(F.col("pl").alias("l"), r.alias("r"), F.when(F.col("out") & (r == F.col("pr")), 7).when(F.col("out"), 5).otherwise(1).alias("side")))
+    right = F.filter(F.transform(every("gl"), lambda x: F.struct(x.alias("l"), F.col("pr").alias("r"), F.lit(6).alias("side"))), lambda t: F.col("out") & (t["l"] != F.col("pl")))
     place_of = rows.select("id", "comp", F.struct("bucket", "lead", F.concat(left, right).alias("tiles")).alias("at"))
     held = place_of.groupBy("id", "comp").agg(F.collect_list("at").alias("at")).join(reps, "id")  # a place for each sketch of a text at most
-    tiles = held.select("id", "comp", "n", "bag", F.explode("at").alias("at")).select("*", F.explode("at.tiles").alias("t")).select("at.bucket", "t.l", "t.r", "t.side", "id", "at.lead", "comp", "n", "bag")
+    placed = held.select("id", "comp", "n", "bag", F.col("at.bucket").alias("buckets"), F.explode("at").alias("at")).withColumn("earlier", F.filter("buckets", lambda x: x < F.col("at.bucket")))
+    tiles = placed.select("*", F.explode("at.tiles").alias("t")).select("at.bucket", "t.l", "t.r", "t.side", "id", "at.lead", "comp", "n", "bag", "earlier")
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.repartition(n, "bucket", "l", "r").sortWithinPartitions("bucket", "l", "r")
-    return tables.keep(dealt.mapInArrow(_open_pairs, "lead long, id long, a long, b long").distinct().join(done, ["lead", "id"], "left_anti"))
+    return tables.keep(dealt.mapInArrow(_open_pairs, "lead long, id long, a long, b long").join(done, ["lead", "id"], "left_anti"))
 
 
 def _meetings(reps: DataFrame, tables: Tables) -> DataFrame:
-    """bucket, id, lead: the members of each bucket of two or more, and the smallest of them."""
-    return tables.keep(with_least(reps.select("id", F.explode("sk").alias("bucket")), "bucket", "id", "lead", tables, above=1).select("bucket", "id", "lead"))
+    """bucket, id, lead: the members of each bucket of two or more, and the smallest of them. A bitmap keeps most sketches that no other text has from being sent again."""
+    bits, shared = marks(reps.select(F.explode("sk").alias("id")).groupBy("id").count().where("count > 1").select("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sk = b.column(1)
+            bucket, id_ = sk.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), np.diff(sk.offsets.to_numpy()))
+            at = bucket.view(np.uint64) >> np.uint64(64 - bits)
+            keep = shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+            yield pa.record_batch([pa.array(id_[keep]), pa.array(bucket[keep])], ["id", "bucket"])
+
+    rows = tables.keep(reps.select("id", "sk").mapInArrow(run, "id long, bucket long"))
+    return tables.keep(with_least(rows, "bucket", "id", "lead", tables, above=1).select("bucket", "id", "lead"))
 
 
 def _mixed(met: DataFrame, top: DataFrame, tables: Tables) -> DataFrame:

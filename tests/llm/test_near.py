@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 
 from barloom.llm import omh
 from barloom.llm.common import Tables
@@ -204,3 +205,29 @@ def test_hot_keys_are_dealt_out(spark):
         got = {(r.k, r.v): r.m for r in with_least(rows, "k", "v", "m", tables).collect()}
         few = with_least(rows, "k", "v", "m", tables, above=1).where("k = 2").count()
     assert few == 0 and len(got) == 1003 and got[1, 1500] == 1000 and got[2, 5] == 5 and got[3, 7] == 6
+
+
+def test_a_pair_of_many_buckets_is_made_once():
+    """Two tasks that hold the same texts in two buckets give each open pair once, whichever class is the largest."""
+    names = ["bucket", "l", "r", "side", "id", "lead", "comp", "n", "bag", "earlier"]
+    bag = omh.bag(omh.word_ids("a b c d e f g h i j"))
+    got = []
+    for bucket, earlier in ((5, [3]), (7, [3, 5])):
+        # 1 leads; 2 and 3 are the largest class; 4 shares an earlier bucket with nobody
+        rows = [(bucket, 0, 0, side, i, 1, comp, 10, bag, [x for x in earlier if x != 3 or i == 2]) for i, side, comp in ((1, 7, 1), (2, 1, 2), (3, 1, 2), (4, 7, 4), (6, 7, 6))]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 8 + [pa.binary(), pa.list_(pa.int64())])], names)
+        got += [r for b in omh._open_pairs(iter([batch])) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(got) == [(2, 4), (2, 6), (3, 4), (3, 6), (4, 6)]
+
+
+def test_meetings_are_the_buckets_of_several(spark):
+    rng = np.random.default_rng(9)
+    sk = {i: [int(x) for x in rng.choice(rng.integers(-(1 << 63), 1 << 63, 5).tolist() + [7, 8, -9], 6)] for i in range(60)}
+    sk = {i: sorted(set(x)) for i, x in sk.items()}
+    by = {}
+    for i, x in sk.items():
+        for b in x:
+            by.setdefault(b, []).append(i)
+    with Tables(spark) as tables:
+        got = sorted(map(tuple, omh._meetings(spark.createDataFrame(list(sk.items()), "id long, sk array<long>"), tables).collect()))
+    assert got == sorted((b, i, min(x)) for b, x in by.items() if len(x) > 1 for i in x)
