@@ -84,9 +84,9 @@ def marks(ids: DataFrame, bits: int = 26) -> tuple[int, Broadcast]:
     place = (F.shiftrightunsigned("id", 64 - bits) + 1).alias("x")
     parts = ids.select(place).groupBy(F.bitmap_bucket_number("x").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     out = np.zeros(1 << bits - 3, np.uint8)
-    for r in parts.toLocalIterator():
-        got = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["part"] - 1) * len(got) : r["part"] * len(got)] = got
+    for part, got in zip(*parts.toArrow().columns):  # in one job; an iterator over its partitions would take one for each
+        got = np.frombuffer(got.as_buffer(), np.uint8)
+        out[(part.as_py() - 1) * len(got) : part.as_py() * len(got)] = got
     return bits, ids.sparkSession.sparkContext.broadcast(out)
 
 

@@ -35,7 +35,7 @@ def _large_star(e: DataFrame, n: int, tables: Tables) -> DataFrame:
     """Links (larger, smaller) of the larger neighbours of each node to the smallest of its neighbourhood."""
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = with_least(both, "u", "v", "m", tables, of=2 * n).withColumn("m", F.least("m", "u"))
-    return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # the small step drops repeats
 
 
 def _small_star(e: DataFrame, n: int, tables: Tables) -> DataFrame:
@@ -44,18 +44,25 @@ def _small_star(e: DataFrame, n: int, tables: Tables) -> DataFrame:
     return near.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
 
 
-def _stars(e: DataFrame) -> bool:
-    """Whether every node has one link, and none that is linked to is linked on."""
+def _stars(e: DataFrame) -> tuple[bool, int]:
+    """Whether every node has one link, and none that is linked to is linked on; and how many links there are."""
     ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out")))).alias("e")).select("e.*")
-    return ends.groupBy("x").agg(F.sum("out").alias("n"), F.min("out").alias("least")).where("n > 1 or (n = 1 and least = 0)").isEmpty()
+    by = ends.groupBy("x").agg(F.sum("out").alias("n"), F.min("out").alias("least"))
+    odd, n = by.agg(F.count_if(F.expr("n > 1 or (n = 1 and least = 0)")), F.sum("n")).first()
+    return not odd, n or 0
 
 
 def components(links: DataFrame, tables: Tables, most: int = 60) -> DataFrame:
     """(u, v): each linked node u above its component's smallest node v. ``links`` has the columns u, v of one orderable type. The result is one of ``tables``."""
     e = tables.keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most):
-        if _stars(e):
+        settled, n = _stars(e)
+        if settled:
             return e
-        n = e.count()
         e = tables.keep(_small_star(tables.keep(_large_star(e, n, tables)), n, tables))
     raise RuntimeError(f"components not settled after {most} rounds")
+
+
+def joined(top: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """The components ``top`` (a table that ``components`` gave) after more ``links``, a table too; without any they are as they were."""
+    return top if links.isEmpty() else components(top.unionAll(links), tables)

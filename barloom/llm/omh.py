@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, claim, cut, marks
-from .components import components, with_least
+from .components import components, joined, with_least
 
 PICK = 2
 SKETCHES = 80
@@ -343,9 +343,12 @@ def _marked(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
-    """The pairs (lead, id) whose texts are similar, as links u, v. A leader with many members is dealt out in salts of some ``SALT_ROWS``."""
+    """The pairs (lead, id), a table, whose texts are similar, as links u, v. A leader with many members is dealt out in salts of some ``SALT_ROWS``."""
+    size = pairs.count()
+    if not size:
+        return pairs.select(F.col("id").alias("u"), F.col("lead").alias("v"))
     counts = pairs.groupBy("lead").agg(F.count("*").alias("of")).where(F.col("of") > SALT_ROWS)
-    share = max(SALT_ROWS, pairs.count() // 50_000)
+    share = max(SALT_ROWS, size // 50_000)
     large = F.broadcast(counts.where(F.col("of") > share))  # 50,000 rows at most
     salts = F.ceil(F.coalesce("of", F.lit(1)) / SALT_ROWS).cast("long")
     salted = tables.keep(pairs.join(large, "lead", "left").select("lead", "id", F.pmod(F.xxhash64("id", F.lit(5)), salts).cast("int").alias("salt")))
@@ -501,12 +504,22 @@ def _links(reps: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     top = components(_verify(_worth(first, known, tables), texts, tables), tables)
     more = tables.keep(_mixed(met, own(top), tables).where("id <> lead").select("lead", "id").distinct().join(first, ["lead", "id"], "left_anti"))
     left = tables.keep(_apart(more, own(top)))
-    top = components(top.unionAll(_verify(_worth(left, known, tables), texts, tables)), tables)
+    top = joined(top, _verify(_worth(left, known, tables), texts, tables), tables)
     open_ = _across(met, own(top), known, first.unionAll(left), tables)
     few = tables.keep(_some_of_each(open_))
-    top = components(top.unionAll(_verify(few, texts, tables)), tables)
+    top = joined(top, _verify(few, texts, tables), tables)
     left = tables.keep(_still_apart(open_, own(top)).join(few, ["lead", "id"], "left_anti"))
-    return components(top.unionAll(_verify(left, texts, tables)), tables)
+    return joined(top, _verify(left, texts, tables), tables)
+
+
+def _of_one_document(of: DataFrame, tables: Tables) -> DataFrame:
+    """Links u, v from the texts of a doc_id to the smallest of them; ``of``: doc_id, rep."""
+    several = of.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("doc_id", "v")
+    several = tables.keep(several)
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("u"), "v")
+    rows = with_least(of.where("rep is not null"), "doc_id", "rep", "least", tables, above=1).where("rep <> least")
+    return tables.keep(rows.select(F.col("rep").alias("u"), F.col("least").alias("v")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -517,8 +530,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         said = sk.where("k1 is not null").groupBy("k1", "k2")
         reps = tables.keep(said.agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("bag").alias("bag")))
         of = tables.keep(sk.select("doc_id", "k1", "k2", "n").join(reps.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"], "left").groupBy("doc_id", "rep").agg(F.max("n").alias("n")))
-        same = with_least(of.where("rep is not null"), "doc_id", "rep", "least", tables, above=1).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-        top = components(_links(reps, docs, tables).unionAll(same), tables).select(F.col("u").alias("id"), F.col("v").alias("comp"))
+        same = _of_one_document(of, tables)
+        top = joined(_links(reps, docs, tables), same, tables).select(F.col("u").alias("id"), F.col("v").alias("comp"))
         own = tables.keep(reps.select("id", "doc_id").join(top, "id", "left").select("id", "doc_id", F.coalesce("comp", "id").alias("comp")))
         classes = with_least(own, "comp", "doc_id", "class_id", tables).select(F.col("id").alias("rep"), "class_id")
         out = of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n_words")).join(classes, "rep", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_words")

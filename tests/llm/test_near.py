@@ -1,13 +1,14 @@
 """Near-duplicate classes against brute force: no candidate link is lost, recall by similarity, identity of texts, odd rows."""
 
 import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
 
 from barloom.llm import omh
-from barloom.llm.common import Tables
-from barloom.llm.components import components, with_least
+from barloom.llm.common import Tables, marks
+from barloom.llm.components import components, joined, with_least
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, class_id string"
@@ -231,3 +232,40 @@ def test_meetings_are_the_buckets_of_several(spark):
     with Tables(spark) as tables:
         got = sorted(map(tuple, omh._meetings(spark.createDataFrame(list(sk.items()), "id long, sk array<long>"), tables).collect()))
     assert got == sorted((b, i, min(x)) for b, x in by.items() if len(x) > 1 for i in x)
+
+
+def jobs(spark, f):
+    """What f() gives, and how many jobs it ran."""
+    group = f"count-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = f()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_bitmap_takes_as_many_jobs_whatever_the_partitions(spark):
+    ids = [int(x) for x in np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 500)]
+    took = set()
+    for n in ("3", "40"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            (bits, shared), of = jobs(spark, lambda: marks(spark.createDataFrame([(i,) for i in ids], "id long")))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        took.add(of)
+        at = np.array(ids, np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        assert set(np.flatnonzero(np.unpackbits(shared.value, bitorder="little")).tolist()) == set(at.tolist())
+    assert len(took) == 1
+
+
+def test_no_more_links_leave_the_components(spark):
+    links = spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")
+    with Tables(spark) as tables:
+        top = components(links, tables)
+        assert joined(top, links.limit(0), tables) is top and sorted(map(tuple, joined(top, spark.createDataFrame([(5, 3)], "u long, v long"), tables).collect())) == [(2, 1), (3, 1), (5, 1)]
+        assert omh._verify(links.toDF("lead", "id").limit(0), None, tables).collect() == []
