@@ -1,12 +1,12 @@
 """Training-order materialisation of token ids as binary shards.
 
-Documents are dealt by a hash of doc_id and text into buckets, whose number follows from the bytes of all texts; in a bucket they are ordered by doc_id and text hash, tokenised, and packed,
-each followed by an end mark, into sequences of ``LENGTH`` tokens; only the last sequence of a bucket is padded. A first pass counts the tokens of each bucket, which numbers all sequences
-0 .. n - 1 by a prefix sum over buckets. A keyed Feistel network over the next even number of bits, walked until it falls below n,
+Documents are tokenised and dealt by a hash of doc_id and text into buckets, whose number follows from the bytes of all texts; in a bucket they are ordered by doc_id and text hash and packed,
+each followed by an end mark, into sequences of ``LENGTH`` tokens; only the last sequence of a bucket is padded. The packed sequences are a table, from which each bucket's are counted; that numbers
+all sequences 0 .. n - 1 by a prefix sum over buckets. A keyed Feistel network over the next even number of bits, walked until it falls below n,
 permutes these numbers: sequence i has the global slot permute(i). Slots are dealt to shards by ranges of ``PER_SHARD``, sorted, and written with a fixed stride, so slot s stands in shard s // PER_SHARD at byte
 (s % PER_SHARD) * stride: a reader goes through the slots in order and resumes at any of them by arithmetic. Neither sequences nor slots depend on how the input is cut into files or partitions.
 
-Texts cross the network once, compressed, and sequences once. What the driver holds is a number for each bucket (``BUCKET`` bytes of text) and a name for each
+Each text is tokenised once. Its tokens cross the network once, compressed, and sequences once. What the driver holds is a number for each bucket (``BUCKET`` bytes of text) and a name for each
 shard. A task writes a shard under a name of its own, which the manifest records when the task is committed; a task that runs again, or twice, leaves a file that no manifest names, and such files are deleted at the end.
 
 Defined results: a null text gives no tokens and no end mark, an empty one its end mark. Rows of equal doc_id follow each other by text hash if they meet in a bucket. Extra columns are ignored. An empty table
@@ -16,6 +16,7 @@ gives no shard.
 from __future__ import annotations
 
 import base64
+import gc
 import json
 import uuid
 from array import array
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, shared_dir
+from .common import Tables, claim, shared_dir
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -41,6 +42,8 @@ LENGTH = 1_024
 PER_SHARD = 4_096
 #: sequences that a task packs before it sends them on
 LOT = 4_096
+#: sequences in a row of the table of packed ones
+PACK = 512
 #: bytes of text in a bucket, about
 BUCKET = 32_000_000
 KEY = 20240917
@@ -141,8 +144,30 @@ def _packed(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int,
         yield own, n, docs, bytes(held)
 
 
-def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> tuple[DataFrame, int]:
-    """All sequences, in lots of one shard each (shard, slots, doc_ids, n_tokens, tokens: all of the lot, compressed), and their number."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket, in its order: bucket, doc_id, k, z (compressed tokens). Its sequences, some ``PACK`` in a row: bucket, first (number), n, doc_ids, n_tokens, z (tokens of all, compressed)."""
+    opened, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=5)
+    rows = ((bucket, i, opened.decompress(x)) for b in batches for bucket, i, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 3))))
+    held: list[tuple[int, int, list[int], bytes]] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = [
+            pa.array([held[0][0]], pa.int32()), pa.array([held[0][1]], pa.int64()), pa.array([len(held)], pa.int32()), pa.array([[x[2] for x in held]], pa.list_(pa.list_(pa.int64()))),
+            pa.array([[len(x[3]) // 2 for x in held]], pa.list_(pa.int32())), pa.array([z.compress(b"".join(x[3] for x in held))], pa.binary()),
+        ]
+        held.clear()
+        return pa.record_batch(columns, ["bucket", "first", "n", "doc_ids", "n_tokens", "z"])
+
+    for x in _packed(rows):
+        if held and (x[0] != held[0][0] or len(held) == PACK):
+            yield flush()
+        held.append(x)
+    if held:
+        yield flush()
+
+
+def sequences(docs: DataFrame, tables: Tables, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> tuple[DataFrame, int]:
+    """All sequences, in lots of one shard each (shard, slots, doc_ids, n_tokens, tokens: all of the lot, compressed), and their number. They are read from one of ``tables``, not made from the texts again."""
     with open(ranks, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.uint16(END).tobytes()
@@ -151,30 +176,34 @@ def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY, per_shard: in
     buckets = -(-size // BUCKET)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "k"), F.lit(max(buckets, 1))).cast("int"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokens_of(shared.value)
-        for b in batches:
-            n = [t.count(x) + 1 for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], ["bucket", "n"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, z = tokens_of(shared.value), zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                yield pa.record_batch([*b.columns[:3], pa.array([z.compress(t.encode(x) + end) for x in b.column(3).to_pylist()], pa.binary())], ["bucket", "doc_id", "k", "z"])
 
-    counted = rows.select("bucket", "text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    dealt = rows.select("bucket", "doc_id", "k", "text").mapInArrow(encode, "bucket int, doc_id long, k long, z binary").repartitionById(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "doc_id", "k")
+    packed = tables.keep(dealt.mapInArrow(_pack, "bucket int, first long, n int, doc_ids array<array<long>>, n_tokens array<int>, z binary"))
+    del dealt
     base, total = np.zeros(buckets, np.int64), 0
-    for r in sorted(counted):
+    for r in sorted(packed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()):
         base[r["bucket"]] = total
-        total += -(-r["n"] // LENGTH)
+        total += r["n"]
+    gc.collect()  # so that Spark deletes the shuffle of the tokens before it makes that of the sequences; Spark holds on to a job's until another has run
+    docs.sparkSession.sparkContext._jvm.System.gc()
     starts = docs.sparkSession.sparkContext.broadcast(base)
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=5)
-        for b in batches:
-            yield pa.record_batch([*b.columns[:3], pa.array([z.compress(x.encode()) for x in b.column(3).to_pylist()], pa.binary())], ["bucket", "doc_id", "k", "z"])
-
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, t, z = Permutation(total, key), tokens_of(shared.value), zstandard.ZstdDecompressor()
-        rows = ((bucket, i, t.encode(z.decompress(x).decode()) + end) for b in batches for bucket, i, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 3))))
-        held: list[tuple] = []
+        order, z, squeeze = Permutation(total, key), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=5)
+        held: list[tuple[int, int, list[int], bytes]] = []
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        def opened() -> Iterator[tuple[int, int, list[int], bytes]]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    bucket, first, _, ids, n, tokens = (c[i].as_py() for c in b.columns)
+                    tokens, ends = z.decompress(tokens), 2 * np.cumsum([0, *n])
+                    yield from ((bucket, first + j, own, tokens[x:y]) for j, (own, x, y) in enumerate(zip(ids, ends[:-1].tolist(), ends[1:].tolist())))
 
         def flush() -> pa.RecordBatch:
             slot = order.slot(starts.value[[x[0] for x in held]] + [x[1] for x in held])
@@ -187,7 +216,7 @@ def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY, per_shard: in
             ]
             return pa.record_batch(columns, ["shard", "slots", "doc_ids", "n_tokens", "tokens"])
 
-        for x in _packed(rows):
+        for x in opened():
             held.append(x)
             if len(held) == LOT:
                 yield flush()
@@ -195,8 +224,7 @@ def sequences(docs: DataFrame, ranks: str = RANKS, key: int = KEY, per_shard: in
         if held:
             yield flush()
 
-    dealt = rows.select("bucket", "doc_id", "k", "text").mapInArrow(squeeze, "bucket int, doc_id long, k long, z binary").repartitionById(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "doc_id", "k")
-    return dealt.mapInArrow(make, "shard int, slots array<long>, doc_ids array<array<long>>, n_tokens array<int>, tokens binary"), total
+    return packed.mapInArrow(make, "shard int, slots array<long>, doc_ids array<array<long>>, n_tokens array<int>, tokens binary"), total
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -205,8 +233,13 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def write_shards(docs: DataFrame, out: str, manifest: str, ranks: str = RANKS, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
     """Write all sequences of ``docs`` into ``out`` as shard-NNNNNNNN-*.bin, and meta.json; gives slot, doc_ids, n_tokens, file of what was written, kept as Parquet in ``manifest``."""
+    with Tables(docs.sparkSession) as tables:
+        return _write(docs, tables, out, manifest, ranks, key, per_shard)
+
+
+def _write(docs: DataFrame, tables: Tables, out: str, manifest: str, ranks: str, key: int, per_shard: int) -> DataFrame:
     spark = docs.sparkSession
-    got, total = sequences(docs, ranks, key, per_shard)
+    got, total = sequences(docs, tables, ranks, key, per_shard)
     shards = max(1, -(-total // per_shard))
     fs, top = _open(out)
     fs.create_dir(top, recursive=True)

@@ -1,9 +1,12 @@
 """Training-order shards: the permutation, exact round trips, independence of the input's partitions, retried tasks."""
 
+import shutil
+
 import numpy as np
 import pytest
 
 from barloom.llm import shards as S
+from barloom.llm.common import Tables
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, slot int, bucket string"
@@ -87,3 +90,12 @@ def test_tokens_are_counted_as_encoded():
     for text in ("", "one two\n\n three", "Straße 東京 \x00 <|endoftext|> 123", "a " * 70_000):
         ids = t.bpe.encode_ordinary(text)
         assert t.count(text) == len(ids) and t.encode(text) == np.array(ids, np.uint16).tobytes()
+
+
+def test_texts_are_tokenised_once(spark, tmp_path):
+    """The sequences come from the tokens of the first pass: the texts may be gone by then."""
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    with Tables(spark) as tables:
+        got, total = S.sequences(spark.read.parquet(str(tmp_path / "docs")), tables)
+        shutil.rmtree(tmp_path / "docs")
+        assert sum(len(r.slots) for r in got.collect()) == total > 0
