@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import Broadcast
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package, with_fields
 
 
-__all__ = ["Tables", "claim", "crc_mod", "cut", "delete", "marks", "own_prefix", "read", "shared_dir", "text_key", "with_fields"]
+__all__ = ["Tables", "claim", "crc_mod", "cut", "delete", "marks", "own_prefix", "read", "shared_dir", "small_batches", "text_key", "with_fields"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,6 +91,18 @@ def marks(ids: DataFrame, bits: int = 26) -> tuple[int, Broadcast]:
     return bits, ids.sparkSession.sparkContext.broadcast(out)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, Python workers get at most ``rows`` rows of a frame at a time: whole texts are large, and Spark and the worker each hold a batch or two."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _held: tuple[str, Callable[[], None]] | None = None
 
 

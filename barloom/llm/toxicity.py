@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 from uuid import uuid4
@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, claim, crc_mod, text_key
+from .common import Tables, claim, crc_mod, cut, small_batches, text_key
 
 SAMPLE = 20_000
 STEM = 4
@@ -44,7 +44,9 @@ SPAN = 2
 ASIDE = 0.25
 PREDICT = 0.7
 #: words whose difference a worker keeps
-CACHE = 300_000
+CACHE = 150_000
+#: rows of a batch that a worker gets
+ROWS = 1_000
 #: characters of the texts that are looked up at once
 LOT = 100_000
 #: bits of a pair's key that a bitmap knows, so that most pairs the sample lacks are not searched for
@@ -68,6 +70,7 @@ def cell_of(w: str) -> int:
 
 
 def _corpus_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _forget()
     by = np.zeros(CELLS, np.int64)
     for b in batches:
         for at in range(0, b.num_rows, 2000):
@@ -88,6 +91,7 @@ def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """prev, word, cell, n0, n1: pairs of words as numbers and how often they stand in texts of each class, some 200,000 at a time summed; 0 before the first word."""
+    _forget()
     ids: dict[str, tuple[int, int]] = {}
     held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -196,12 +200,15 @@ class Pairs:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "opened": None}
 
-    def open(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def open(self, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``last``: the parts are not needed any more, each goes when it has been read."""
         if self.opened is None:
             size, at = sum(x[1] for x in self.parts), 0
             keys, n, marks = np.empty(size, np.uint64), np.empty((2, size), np.uint8), np.zeros(1 << BITS - 3, np.uint8)
-            for x in self.parts:  # a part at a time, for workers have little room
-                key, counts = unpack(*x)
+            for k in range(len(self.parts)):  # a part at a time, for workers have little room
+                key, counts = unpack(*self.parts[k])
+                if last:
+                    self.parts[k] = ()
                 if counts.dtype.itemsize > n.dtype.itemsize:
                     n = n.astype(counts.dtype)
                 keys[at : at + len(key)], n[:, at : at + len(key)] = key, counts
@@ -348,10 +355,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def lots(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """The texts in lots of some ``LOT`` characters."""
+def lots(texts: Iterable[pa.Scalar]) -> Iterator[list[str | None]]:
+    """The texts in lots of some ``LOT`` characters; no more than one lot of a batch is held as Python's strings."""
     own, size = [], 0
-    for t in texts:
+    for x in texts:
+        t = x.as_py()
         own.append(t)
         size += len(t or "")
         if size > LOT:
@@ -400,6 +408,12 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, ..
 _held: dict[str, Model | None] = {}
 
 
+def _forget() -> None:
+    """A worker that counts for a new model has no use for the last one."""
+    claim("toxicity", _held.clear)
+    _held.clear()
+
+
 def _of_worker(name: str, shared) -> Model | None:
     """The broadcast model, with the differences that this worker keeps between tasks."""
     claim("toxicity", _held.clear)
@@ -407,7 +421,7 @@ def _of_worker(name: str, shared) -> Model | None:
         _held.clear()
         model = _held[name] = shared.value
         if model:
-            model.pairs.open()
+            model.pairs.open(last=True)
             model.pairs.parts = []
     return _held[name]
 
@@ -456,7 +470,7 @@ def _fit(docs: DataFrame, own: DataFrame, sizes: dict[int, int], sample: int, ta
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _of_worker(name, held)
         for b in batches:
-            f = np.concatenate([np.empty((0, 4)), *[m.features(x) for x in lots(b.column(1).to_pylist())]])
+            f = np.concatenate([np.empty((0, 4)), *[m.features(x) for x in lots(b.column(1))]])
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in f.T.copy()]], ["toxic", *names])
 
     names = ["x", "y", "pair_x", "pair_y"]
@@ -475,8 +489,10 @@ def score(docs: DataFrame, model: Model | None, threshold: float = PREDICT) -> D
         if m:
             m.curve = curve
         for b in batches:
-            s = np.concatenate([np.empty(0), *[m.scores(x) for x in lots(b.column(1).to_pylist())]]) if m else np.zeros(b.num_rows)
+            s = np.concatenate([np.empty(0), *[m.scores(x) for x in lots(b.column(1))]]) if m else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            b = None  # its texts go before the next batch is read
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -484,4 +500,5 @@ def score(docs: DataFrame, model: Model | None, threshold: float = PREDICT) -> D
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of documents whose crc32(doc_id) mod 3 is 1 are not learned from."""
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
-    return score(docs, fit(docs, labels.where(~held))).select("doc_id", held.alias("held_out"), "score", "predicted")
+    with small_batches(docs.sparkSession, ROWS):
+        return cut(score(docs, fit(docs, labels.where(~held))).select("doc_id", held.alias("held_out"), "score", "predicted"))

@@ -4,9 +4,11 @@ import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barloom.llm import toxicity as T
+from barloom.llm.common import small_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
 
@@ -207,3 +209,38 @@ def test_pairs_are_sent_as_steps():
         x = T.pairs_of([T.pack(k, key[part == k], n2[:, part == k]) for k in set(part.tolist())], np.arange(3), np.ones((2, 4, 3), np.int64), np.ones((2, 4), np.int64))
         keys, counts, marks = pickle.loads(pickle.dumps(x)).open()
         assert keys.tolist() == sorted(key.tolist()) and (counts == n2[:, np.argsort(key)]).all() and int(np.unpackbits(marks).sum()) == len(set((key >> np.uint64(64 - T.BITS)).tolist()))
+
+
+def test_texts_become_strings_a_lot_at_a_time(monkeypatch):
+    monkeypatch.setattr(T, "LOT", 10)
+    taken = []
+
+    class Text:
+        def __init__(self, t):
+            self.t = t
+
+        def as_py(self):
+            taken.append(self.t)
+            return self.t
+
+    texts = ["a" * 6, None, "b" * 6, "c", ""]
+    got = T.lots(map(Text, texts))
+    assert next(got) == texts[:3] == taken and list(got) == [texts[3:]]
+
+
+def test_packed_pairs_go_as_they_are_opened():
+    key = np.sort(np.random.default_rng(4).integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2))
+    part = key >> np.uint64(64 - T.PARTS)
+    n = np.ones((2, 50), np.int64)
+    packed = [T.pack(k, key[part == k], n[:, part == k]) for k in set(part.tolist())]
+    x, y = (T.pairs_of(list(packed), np.arange(3), np.ones((2, 4, 3), np.int64), np.ones((2, 4), np.int64)) for _ in range(2))
+    assert (x.open(last=True)[0] == key).all() and not any(x.parts) and (y.open()[0] == key).all() and all(y.parts)
+
+
+def test_batches_are_small_and_workers_forget(spark):
+    name, T._held["old"] = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+    before = spark.conf.get(name)
+    with small_batches(spark, 7):
+        sizes = spark.range(20, numPartitions=1).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) == 7 and spark.conf.get(name) == before
+    assert [b.num_rows for b in T._corpus_cells(iter([]))] == [0] and not T._held
